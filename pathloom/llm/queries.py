@@ -1,9 +1,12 @@
 """The queries of this subpackage and, where SQL can express one, its DuckDB twin."""
 
+from .bpe import op5_bpe
 from .near_dedup import op7_near_dedup
+from .ngram_lm import op1_lm_scoring
+from .pii import op6_pii
+from .quality_rules import op9_quality_rules
+from .secret_scan import op10_secret_scan
 
-QUERIES = {
-    "op7_near_dedup": op7_near_dedup,
-}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op5_bpe, op6_pii, op7_near_dedup, op9_quality_rules, op10_secret_scan)}
 
 ORACLE_SQL: dict[str, str] = {}

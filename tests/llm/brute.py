@@ -62,3 +62,23 @@ def spans(found, names):
     found = sorted(found)
     joined = ",".join(f"{names[k]}:{s}:{e}" for s, k, e in found)
     return [sum(x[1] == k for x in found) for k in range(len(names))], joined, hashlib.sha256(joined.encode()).hexdigest()
+
+
+def language_model(rows, order, mass, folds=5, held=1):
+    """doc_id: (held_out, n_tokens, n_known, train_tokens, base_score, score) by direct recursion."""
+    import collections
+    import math
+    import zlib
+
+    docs = {k: [*words(t, True), None] for k, t in rows}
+    out = {k: zlib.crc32(str(k).encode()) % folds == held for k in docs}
+    grams = collections.Counter(tuple(w[max(0, i - n) : i + 1]) for k, w in docs.items() if not out[k] for i in range(len(w)) for n in range(order) if n <= i)
+    total = sum(len(w) for k, w in docs.items() if not out[k])
+    types = sum(len(g) == 1 for g in grams)
+
+    def p(history, w):
+        if not history:
+            return (grams[(w,)] + 0.5) / (total + 0.5 * (types + 1))
+        return (grams[(*history, w)] + mass * p(history[1:], w)) / (grams[tuple(history)] + mass)
+
+    return {k: (out[k], len(w), sum(grams[(x,)] > 0 for x in w), total, sum(math.log10(p([], x)) for x in w), sum(math.log10(p(w[max(0, i - order + 1) : i], x)) for i, x in enumerate(w))) for k, w in docs.items()}
