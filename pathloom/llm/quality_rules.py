@@ -39,6 +39,8 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         F.length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         F.length(F.regexp_replace("text", r"[^A-Z]+", "")).cast("long").alias("n_upper"),
+        F.length(F.regexp_replace("text", r"[^!|]+", "")).cast("long").alias("n_marks"),
+        F.length(F.regexp_replace("text", r"[\x00-\x40\x5B-\x60\x7B-\x7F]+", "")).cast("long").alias("n_plain"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.size(F.array_distinct("words")).cast("long").alias("n_distinct"),
@@ -64,42 +66,43 @@ def rules() -> dict[str, Column]:
     words = F.greatest(F.col("n_words"), F.lit(1))
     symbols, repeats, upper = F.col("n_symbols") / words, F.col("n_repeat_words") / words, F.col("n_upper") / F.greatest(F.col("word_chars"), F.lit(1))
     lines, length, varied = F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)), F.col("word_chars") / words, F.col("n_distinct") / words
+    marks, some = F.col("n_marks") / words, F.col("n_words") >= 10
     return {
-        "length": _vote(F.col("n_words") >= 100, F.col("n_words") < 50),
-        "symbols": _vote(symbols <= 0.05, symbols > 0.2),
-        "repeats": _vote(repeats <= 0.15, repeats > 0.4),
-        "lines": _vote(lines <= 0.1, lines > 0.4),
-        "upper": _vote(upper <= 0.15, upper > 0.5),
-        "words": _vote((length >= 3) & (length <= 9), (length < 2.5) | (length > 12)),
-        "varied": _vote(varied >= 0.25, varied < 0.1),
+        "symbols": _vote(symbols <= 0.1, symbols > 0.5),
+        "letters": _vote((F.col("n_plain") / F.greatest(F.col("word_chars"), F.lit(1)) >= 0.85) & some, (F.col("n_plain") / F.greatest(F.col("word_chars"), F.lit(1)) < 0.72) & some),
+        "marks": _vote(marks <= 0.1, marks > 0.25),
+        "length": _vote((length >= 3) & (length <= 10) & some, (length < 2) | (length > 15)),
+        "upper": _vote((upper <= 0.15) & some, (upper > 0.5) & some),
+        "repeats": _vote(repeats <= 0.15, (repeats > 0.4) & some),
+        "varied": _vote((varied >= 0.35) & some, (varied < 0.2) & some),
+        "lines": _vote(lines <= 0.1, (lines > 0.4) & (F.col("n_lines") >= 5)),
     }
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100) -> tuple[float, list[float]]:
-    """Prior of good and accuracy of each rule when it does not abstain, from counts of vote patterns.
+def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50) -> tuple[float, list[tuple[float, float]]]:
+    """Prior of good, and each rule's log odds of good for a good and for a bad vote, from counts of vote patterns.
 
-    Starts from accuracies of 0.8, which fixes which class is the good one, and keeps them better than chance.
+    A document has few faults of all, so the start takes a pattern for bad once any rule votes bad. Abstaining says
+    nothing. A rule that votes good more often on bad documents than on good ones is given no say.
     """
-    rules_n = len(patterns[0][0]) if patterns else 0
-    total = sum(n for _, n in patterns)
-    prior, accuracy = 0.8, [0.8] * rules_n
+    total, prior = sum(n for _, n in patterns), 0.8
+    odds = [(0.0, 0.0)] * (len(patterns[0][0]) if patterns else 0)
+    good = [0.02 if min(votes) < 0 else 0.98 for votes, _ in patterns]
     for _ in range(rounds if total else 0):
-        good, right, cast = 0.0, [0.0] * rules_n, [0.0] * rules_n
-        for votes, n in patterns:
-            p = posterior(votes, prior, accuracy)
-            good += n * p
-            for j, v in enumerate(votes):
-                if v:
-                    cast[j] += n
-                    right[j] += n * (p if v > 0 else 1 - p)
-        prior = min(0.99, max(0.01, good / total))
-        accuracy = [min(0.99, max(0.55, (right[j] + 8) / (cast[j] + 10))) for j in range(rules_n)]
-    return prior, accuracy
+        for j in range(len(odds)):
+            rate = []
+            for c in (0, 1):
+                cast = [(n * (p if c else 1 - p), votes[j] > 0) for p, (votes, n) in zip(good, patterns) if votes[j]]
+                rate.append((sum(w for w, v in cast if v) + 0.5) / (sum(w for w, _ in cast) + 1))
+            odds[j] = (math.log(rate[1] / rate[0]), math.log((1 - rate[1]) / (1 - rate[0]))) if rate[1] > rate[0] else (0.0, 0.0)
+        prior = min(0.99, max(0.01, sum(p * n for p, (_, n) in zip(good, patterns)) / total))
+        good = [posterior(votes, prior, odds) for votes, _ in patterns]
+    return prior, odds
 
 
-def posterior(votes: tuple[int, ...], prior: float, accuracy: list[float]) -> float:
-    odds = math.log(prior / (1 - prior)) + sum(v * math.log(a / (1 - a)) for v, a in zip(votes, accuracy))
-    return 1 / (1 + math.exp(-odds))
+def posterior(votes: tuple[int, ...], prior: float, odds: list[tuple[float, float]]) -> float:
+    x = math.log(prior / (1 - prior)) + sum(own[v < 0] for v, own in zip(votes, odds) if v)
+    return 1 / (1 + math.exp(-max(-500.0, x)))
 
 
 def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_at: float = KEEP_AT) -> DataFrame:
@@ -108,10 +111,10 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     measured = staged(features(docs, id_col, text_col), "quality-features").withColumns({f"vote_{k}": v for k, v in votes.items()})
     names = [f"vote_{k}" for k in votes]
     counted = measured.groupBy(*names).agg(F.count("*").alias("n")).collect()  # at most 3 ** len(votes) rows
-    prior, accuracy = estimate(sorted((tuple(r[k] for k in names), r["n"]) for r in counted))
+    prior, weights = estimate(sorted((tuple(r[k] for k in names), r["n"]) for r in counted))
     odds = F.lit(math.log(prior / (1 - prior)))
-    for k, a in zip(names, accuracy):
-        odds = odds + F.col(k) * F.lit(math.log(a / (1 - a)))
+    for k, own in zip(names, weights):
+        odds = odds + F.when(F.col(k) > 0, own[0]).when(F.col(k) < 0, own[1]).otherwise(0.0)
     failed = (F.col("n_words") < LEAST_WORDS) | (MOST_REPEATED[1] * F.col("n_repeat_words") > MOST_REPEATED[0] * F.col("n_words"))
     return measured.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (1 / (1 + F.exp(-odds))).alias("p_quality")).withColumn("kept", ~F.col("base_failed") & (F.col("p_quality") >= keep_at))
 
