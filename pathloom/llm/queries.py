@@ -1,12 +1,27 @@
 """The queries of this subpackage and, where SQL can express one, its DuckDB twin."""
 
 from .bpe import op5_bpe
+from .decontaminate import op4_decontaminate
 from .near_dedup import op7_near_dedup
 from .ngram_lm import op1_lm_scoring
 from .pii import op6_pii
+from .quality_classifier import op8_quality_classifier
 from .quality_rules import op9_quality_rules
 from .secret_scan import op10_secret_scan
+from .token_counts import op2_token_counts
+from .warc import op3_warc
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op5_bpe, op6_pii, op7_near_dedup, op9_quality_rules, op10_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_token_counts, op3_warc, op4_decontaminate, op5_bpe, op6_pii, op7_near_dedup, op8_quality_classifier, op9_quality_rules, op10_secret_scan)}
 
-ORACLE_SQL: dict[str, str] = {}
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+
+ORACLE_SQL: dict[str, str] = {
+    "op3_warc": f"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),
+        f AS (SELECT *, min(page_id) OVER (PARTITION BY x) AS first FROM p)
+        SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
+               list_aggregate(list_transform(range(32), lambda i: substr('{_BASE32}', (((('0x' || substr(x, ((i // 4) * 5 + 1)::INT, 5))::BIGINT >> (15 - 5 * (i % 4))::INT) & 31) + 1)::INT, 1)), 'string_agg', '') AS payload_digest,
+               CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN first <> page_id THEN first END AS refers_to
+        FROM f""",
+}
