@@ -1,4 +1,681 @@
-"""The queries over the event tables and their DuckDB twins."""
+"""The queries over the event tables and their DuckDB twins.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+``query(sql)`` registers a function under its name, with the SQL that gives the same rows (None where SQL has no way to say
+it). Most read the trace view of events (sources.events_view), by day sessions; with the default gaps no burst is ever seen
+and every step is a pause, so that the fold runs with wide gaps as well.
+"""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .config import FoldConfig, HeuristicsConfig, ReportConfig, ScoreConfig
+from .functions import scalar as X
+from .functions.abstraction import abstract_args
+from .operators import align, evalrank, fold, gates, graph, patterns, process_tree, rca, rules, summary
+from .sources.events_view import duckdb_view, trace_view
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+WIDE = FoldConfig(burst_gap_ms=21_600_000, idle_gap_ms=43_200_000)
+DEFAULT = FoldConfig()
+NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
+
+
+def query(sql: str | None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+# ---- shared SQL ------------------------------------------------------------------------------------------------------
+
+
+def label_sql(v: str, bounds: tuple[int, ...] = (0, 1, 10, 100, 1000)) -> str:
+    cases, low = "", 0
+    for b in bounds:
+        cases += f" WHEN abs({v}) <= {b} THEN '{b if low == b else f'{low}-{b}'}'"
+        low = b + 1
+    return f"(CASE WHEN {v} < 0 THEN '-' ELSE '' END || CASE{cases} ELSE '{low}+' END)"
+
+
+def tv(coarse: bool = False) -> str:
+    return f"WITH tv AS ({duckdb_view(coarse)})"
+
+
+MS = "((epoch_us({a}) - epoch_us({b})) // 1000)"
+
+
+def folded(config: FoldConfig, coarse: bool = False) -> str:
+    """CTEs: tv, ev (screen, is_pause), cmd (action, is_burst), act (kept, numbered), lab (labelled)."""
+    gap = MS.format(a="ts", b="prev_ts")
+    return f"""{tv(coarse)},
+    ev0 AS (SELECT *, lag(ts) OVER (PARTITION BY session_id ORDER BY _ord) AS prev_ts,
+        last_value(CASE kind WHEN 'ScreenOpened' THEN screen_id WHEN 'NavigationOccurred' THEN nav_to END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY _ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS shown FROM tv),
+    ev AS (SELECT *, coalesce(shown, '<unknown>') AS screen, coalesce({gap} > {config.idle_gap_ms}, false) AS is_pause FROM ev0),
+    cmd0 AS (SELECT *, '{{"k":{{"_abstract":"numeric","bucket":"' || {label_sql('k')} || '"}}}}' AS abstract_args FROM ev WHERE kind = 'CommandExecuted'),
+    cmd1 AS (SELECT * EXCLUDE (prev_ts), screen || '|' || command_id || '|' || abstract_args AS action, lag(ts) OVER (PARTITION BY session_id ORDER BY _ord) AS prev_ts FROM cmd0),
+    cmd2 AS (SELECT *, lag(action) OVER (PARTITION BY session_id ORDER BY _ord) AS prev_action FROM cmd1),
+    cmd AS (SELECT *, coalesce(prev_action = action AND {gap} >= 0 AND {gap} < {config.burst_gap_ms}, false) AS is_burst FROM cmd2),
+    act AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY _ord) - 1 AS action_idx FROM cmd WHERE NOT is_burst)"""
+
+
+def graphed(config: FoldConfig = WIDE, where: str = "true") -> str:
+    """CTEs after folded: pr (src, dst pairs), cnt, edge."""
+    return f"""{folded(config)},
+    pr0 AS (SELECT session_id, action_idx, _ord, action AS src, lead(action) OVER (PARTITION BY session_id ORDER BY action_idx) AS dst FROM act WHERE {where}),
+    pr AS (SELECT * FROM pr0 WHERE dst IS NOT NULL),
+    cnt AS (SELECT src, dst, count(*) AS frequency FROM pr GROUP BY ALL),
+    edge AS (SELECT a.src, a.dst, a.frequency, 0::BIGINT AS failure_count,
+        CASE WHEN a.src = a.dst THEN 1 - a.frequency::DOUBLE / (a.frequency + 1) ELSE (1 - (a.frequency - coalesce(b.frequency, 0))::DOUBLE / (a.frequency + coalesce(b.frequency, 0) + 1)) / 2 END AS anomaly_score
+        FROM cnt a LEFT JOIN cnt b ON a.src = b.dst AND a.dst = b.src)"""
+
+
+def acts(spark: SparkSession, sf_dir: str, config: FoldConfig = WIDE) -> DataFrame:
+    return graph.labelled(fold.scenarios(trace_view(spark, sf_dir), config, nested=False))
+
+
+def edge_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.edges(acts(spark, sf_dir))
+
+
+# ---- summaries and slices --------------------------------------------------------------------------------------------
+
+IS_ERROR = "(kind IN ('ExceptionThrown', 'ValidationFailed') OR coalesce(outcome <> 'success', false))"
+
+
+@query(f"{tv(True)} SELECT count(DISTINCT session_id) AS sessions, count(*) AS events, count_if({IS_ERROR})::BIGINT AS errors, floor(count_if({IS_ERROR}) / count(*) * 1000 + 0.5) / 1000 AS error_rate FROM tv")
+def corpus_summary(spark, sf_dir):
+    return summary.summary(trace_view(spark, sf_dir, coarse=True))
+
+
+@query(f"{tv()} SELECT kind, count(*) AS n FROM tv GROUP BY kind")
+def per_kind_counts(spark, sf_dir):
+    return summary.per_kind(trace_view(spark, sf_dir))
+
+
+@query(f"{tv()} SELECT DISTINCT session_id FROM tv WHERE kind = 'ExceptionThrown'")
+def error_sessions(spark, sf_dir):
+    return summary.error_sessions(trace_view(spark, sf_dir))
+
+
+@query(f"{tv()} SELECT DISTINCT session_id FROM tv")
+def session_ids(spark, sf_dir):
+    return summary.session_ids(trace_view(spark, sf_dir))
+
+
+SLICE = ("session_id", "seq", "kind", "command_id", "operation_id", "screen_id", "outcome", "domain_entity_id")
+#: Values that every table size has.
+SLICES = {"session": ("session_id", "7"), "command": ("coalesce(command_id, operation_id)", "op2"), "screen": ("CASE WHEN kind = 'ScreenOpened' THEN screen_id END", "S2"), "outcome": ("outcome", "failure"), "entity": ("domain_entity_id", "Entity:42")}
+
+
+def _slice(dimension: str, value: str):
+    def run(spark, sf_dir):
+        return summary.slice_by(trace_view(spark, sf_dir, coarse=True), dimension, value).select(*SLICE)
+
+    run.__name__ = f"slice_by_{dimension}"
+    return run
+
+
+for _d, (_c, _v) in SLICES.items():
+    query(f"{tv(True)} SELECT {', '.join(SLICE)} FROM tv WHERE {_c} = '{_v}'")(_slice(_d, _v))
+
+
+@query(f"{tv()} SELECT session_id, seq, arg_max(kind, o) AS kind, max(o) AS _ord FROM (SELECT session_id, seq, kind, _ord AS o FROM tv UNION ALL SELECT session_id, seq // 2, kind, _ord + 1000000000 FROM tv) GROUP BY session_id, seq")
+def ingest_last_write_wins(spark, sf_dir):
+    events = trace_view(spark, sf_dir).select("session_id", "seq", "kind", "_ord")
+    again = events.select("session_id", F.call_function("div", F.col("seq"), F.lit(2)).alias("seq"), "kind", (F.col("_ord") + 1_000_000_000).alias("_ord"))
+    return summary.last_write_wins(events.unionByName(again))
+
+
+@query(f"{tv()} SELECT session_id, seq, kind AS idx_kind, coalesce(command_id, operation_id) AS idx_command_id, screen_id AS idx_screen_id, outcome AS idx_outcome FROM tv")
+def index_columns(spark, sf_dir):
+    return trace_view(spark, sf_dir).select("session_id", "seq", *(c.alias(n) for n, c in X.index_columns().items()))
+
+
+@query(f"{tv()} SELECT kind || ':' || coalesce(screen_id, command_id, nav_from || '→' || nav_to, validator || ':' || field_id, field_id, exception_type, operation_id) AS label, count(*) AS n FROM tv GROUP BY label")
+def event_labels(spark, sf_dir):
+    return trace_view(spark, sf_dir).groupBy(X.event_label().alias("label")).agg(F.count("*").alias("n"))
+
+
+# ---- scalar functions ------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT event_id, {label_sql('v')} AS label, {label_sql('v', (5, 50))} AS other FROM (SELECT event_id, (CASE WHEN event_id % 3 = 0 THEN -1 ELSE 1 END * floor(value * (event_id % 40)))::BIGINT AS v FROM events)")
+def bucket_labels(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    v = (F.when(F.col("event_id") % 3 == 0, -1).otherwise(1) * F.floor(F.col("value") * (F.col("event_id") % 40))).cast("bigint")
+    return e.select("event_id", v.alias("v")).select("event_id", X.bucket_label(F.col("v"), DEFAULT.bounds).alias("label"), X.bucket_label(F.col("v"), (5, 50)).alias("other"))
+
+
+_TEXTS = "CASE event_id % 6 WHEN 0 THEN event_type || '@mail.example' WHEN 1 THEN user_id::VARCHAR WHEN 2 THEN props WHEN 3 THEN repeat(event_type, (event_id % 40)::INT) WHEN 4 THEN event_type || '@.x' ELSE substr(md5(props), 1, 8) || '-' || substr(md5(props), 1, 4) || '-' || substr(md5(props), 5, 4) || '-' || substr(md5(props), 9, 4) || '-' || substr(md5(props), 13, 12) END"
+
+
+@query(rf"""SELECT event_id, CASE WHEN regexp_matches(s, '(?s)^[^@]+@[^.].*\.') THEN 'email' WHEN regexp_matches(s, '^[0-9a-fA-F]{{8}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{4}}-[0-9a-fA-F]{{12}}\z') THEN 'guid' WHEN regexp_matches(s, '^[0-9]+\z') THEN 'numeric' ELSE 'free' END AS class,
+    CASE WHEN strlen(s) = 0 THEN '0' WHEN strlen(s) <= 8 THEN '1-8' WHEN strlen(s) <= 32 THEN '9-32' WHEN strlen(s) <= 128 THEN '33-128' ELSE '128+' END AS len FROM (SELECT event_id, {_TEXTS} AS s FROM events)""")
+def string_classes(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.expr(_TEXTS.replace("::VARCHAR", "").replace("(event_id % 40)::INT", "int(event_id % 40)").replace("user_id", "string(user_id)")).alias("s"))
+    return e.select("event_id", X.string_class(F.col("s")).alias("class"), X.length_bucket(F.col("s")).alias("len"))
+
+
+@query(f"""SELECT args, n, '{{"k":{{"_abstract":"numeric","bucket":"' || {label_sql('k')} || '"}}}}' AS abstract_args FROM (SELECT props AS args, count(*) AS n, json_extract(props, '$.k')::INT AS k FROM events GROUP BY props)""")
+def args_abstracted(spark, sf_dir):
+    counted = spark.read.parquet(f"{sf_dir}/events.parquet").groupBy(F.col("props").alias("args")).agg(F.count("*").alias("n"))
+    return counted.withColumn("abstract_args", abstract_args(F.col("args"), DEFAULT, nested=False))
+
+
+@query(f"""SELECT args, '{{"a":[{{"_abstract":"numeric","bucket":"' || {label_sql('k')} || '"}},{{"_abstract":"string","class":"free","len":"1-8"}},null],"b":{{"x":true}}}}' AS abstract_args FROM (SELECT DISTINCT '{{"b": {{"x": true}}, "a": [' || json_extract(props, '$.k')::INT || ', "é", null]}}' AS args, json_extract(props, '$.k')::INT AS k FROM events)""")
+def args_abstracted_nested(spark, sf_dir):
+    args = F.concat(F.lit('{"b": {"x": true}, "a": ['), F.get_json_object("props", "$.k"), F.lit(', "é", null]}'))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(args.alias("args")).distinct().withColumn("abstract_args", abstract_args(F.col("args"), DEFAULT))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'solo' WHEN c_custkey % 3 = 1 THEN 'svc-' || c_custkey || '-x1' ELSE 'my-svc-' || c_custkey || '-x1' END AS pod, CASE WHEN c_custkey % 3 = 0 THEN 'solo' WHEN c_custkey % 3 = 1 THEN 'svc' ELSE 'my-svc' END AS service FROM customer")
+def service_of(spark, sf_dir):
+    key = F.col("c_custkey")
+    pod = F.when(key % 3 == 0, "solo").when(key % 3 == 1, F.concat(F.lit("svc-"), key.cast("string"), F.lit("-x1"))).otherwise(F.concat(F.lit("my-svc-"), key.cast("string"), F.lit("-x1")))
+    return spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", pod.alias("pod")).withColumn("service", X.service_of(F.col("pod")))
+
+
+@query("""SELECT event_id, left(t, 10) || ' ' || lpad((CASE WHEN m >= 60 THEN h + 1 ELSE h END)::VARCHAR, 2, '0') || ':' || lpad((m % 60)::VARCHAR, 2, '0') AS abnormal FROM
+    (SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M') AS t, hour(ts) AS h, minute(ts) + 2 AS m FROM events)""")
+def abnormal_window(spark, sf_dir):
+    stamped = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.date_format("ts", "yyyy-MM-dd HH:mm").alias("t"))
+    return stamped.select("event_id", X.abnormal_window(F.col("t")).alias("abnormal"))
+
+
+@query(None)
+def uuid5_ids(spark, sf_dir):
+    """UUIDs of version 5 of the session names (the tests compare them with the standard library's)."""
+    return summary.session_ids(trace_view(spark, sf_dir)).select("session_id", X.uuid5(NAMESPACE, F.col("session_id")).alias("id"))
+
+
+# ---- folding ---------------------------------------------------------------------------------------------------------
+
+
+@query(f"{folded(DEFAULT)} SELECT session_id, seq, screen FROM ev")
+def screen_in_effect(spark, sf_dir):
+    return fold.with_screen(trace_view(spark, sf_dir)).select("session_id", "seq", "screen")
+
+
+@query(f"{folded(DEFAULT)} SELECT session_id, action_idx, screen, command_id, abstract_args, seq FROM act")
+def canonical_actions(spark, sf_dir):
+    return fold.scenarios(trace_view(spark, sf_dir), DEFAULT, nested=False).select("session_id", "action_idx", "screen", "command_id", "abstract_args", "seq")
+
+
+@query(f"{folded(WIDE, True)} SELECT session_id, seq, is_burst FROM cmd")
+def bursts_wide(spark, sf_dir):
+    return fold.commands(trace_view(spark, sf_dir, coarse=True), WIDE, nested=False).select("session_id", "seq", "is_burst")
+
+
+@query(f"{folded(WIDE, True)} SELECT session_id, seq FROM ev WHERE is_pause")
+def pauses_wide(spark, sf_dir):
+    return fold.with_pauses(trace_view(spark, sf_dir, coarse=True), WIDE).filter("is_pause").select("session_id", "seq")
+
+
+def _report_sql(config: FoldConfig) -> str:
+    return f"""{folded(config, True)}, w AS (SELECT session_id, count(*) AS input_events, count_if(kind <> 'CommandExecuted')::BIGINT AS noise_dropped, count_if(is_pause)::BIGINT AS pauses FROM ev GROUP BY session_id),
+    b AS (SELECT session_id, count_if(is_burst)::BIGINT AS bursts_collapsed FROM cmd GROUP BY session_id)
+    SELECT w.session_id, input_events, input_events - noise_dropped - coalesce(bursts_collapsed, 0) AS output_actions, coalesce(bursts_collapsed, 0) AS bursts_collapsed, noise_dropped, pauses FROM w LEFT JOIN b USING (session_id)"""
+
+
+@query(_report_sql(WIDE))
+def fold_report(spark, sf_dir):
+    return fold.fold_report(trace_view(spark, sf_dir, coarse=True), WIDE, nested=False)
+
+
+@query(f"SELECT sum(input_events)::BIGINT AS input_events, sum(output_actions)::BIGINT AS output_actions, sum(bursts_collapsed)::BIGINT AS bursts_collapsed, sum(noise_dropped)::BIGINT AS noise_dropped, sum(pauses)::BIGINT AS pauses FROM ({_report_sql(DEFAULT)})")
+def fold_totals(spark, sf_dir):
+    return fold.fold_totals(fold.fold_report(trace_view(spark, sf_dir, coarse=True), DEFAULT, nested=False))
+
+
+@query(f"{folded(DEFAULT, True)}, r AS (SELECT session_id, coalesce(lag(action) OVER (PARTITION BY session_id ORDER BY action_idx) = action, false) AS c FROM act) SELECT session_id, count(*) AS input_actions, count_if(NOT c)::BIGINT AS output_actions, count_if(c)::BIGINT AS duplicates_collapsed FROM r GROUP BY session_id")
+def refold_report(spark, sf_dir):
+    return fold.refold_report(fold.scenarios(trace_view(spark, sf_dir, coarse=True), DEFAULT, nested=False), DEFAULT, nested=False)
+
+
+@query(f"{folded(WIDE, True)}, r AS (SELECT *, sum((NOT is_burst)::INT) OVER (PARTITION BY session_id ORDER BY _ord) - 1 AS i FROM cmd) SELECT session_id, i::BIGINT AS action_idx, action, string_agg(seq::VARCHAR, ',' ORDER BY _ord) AS seqs, arg_min(seq, _ord) AS first_seq FROM r GROUP BY session_id, i, action")
+def action_seqs(spark, sf_dir):
+    found = fold.action_sources(trace_view(spark, sf_dir, coarse=True), WIDE, nested=False)
+    return found.select("session_id", "action_idx", graph.label().alias("action"), F.array_join("seqs", ",").alias("seqs"), "first_seq")
+
+
+@query(f"{tv()} SELECT session_id, _ord, row_number() OVER (PARTITION BY session_id ORDER BY _ord) - 1 AS seq FROM tv WHERE command_id LIKE 'click%' OR command_id LIKE 'signup%'")
+def modality_filter(spark, sf_dir):
+    return fold.keep_commands(trace_view(spark, sf_dir), ["click", "signup"]).select("session_id", "_ord", "seq")
+
+
+# ---- graphs ----------------------------------------------------------------------------------------------------------
+
+
+@query(f"{folded(WIDE)} SELECT action, command_id, count(*) AS visit_count, min(_ord) AS first_seen FROM act GROUP BY action, command_id")
+def nodes(spark, sf_dir):
+    return graph.nodes(acts(spark, sf_dir))
+
+
+@query(f"{graphed()} SELECT src, dst, count(*) AS n, min(_ord) AS first_at FROM pr GROUP BY ALL")
+def pair_support(spark, sf_dir):
+    return rca.pair_support(acts(spark, sf_dir))
+
+
+@query(f"{graphed()} SELECT src, dst, frequency, failure_count, round(anomaly_score, 6) AS anomaly_score FROM edge")
+def edge_anomaly(spark, sf_dir):
+    return edge_table(spark, sf_dir).withColumn("anomaly_score", F.round("anomaly_score", 6))
+
+
+@query(f"{graphed()} SELECT src, dst, frequency FROM edge WHERE frequency >= 2 AND anomaly_score <= 0.25")
+def heuristics_edges(spark, sf_dir):
+    return graph.heuristics(edge_table(spark, sf_dir), HeuristicsConfig(0.5, 2)).select("src", "dst", "frequency")
+
+
+@query(f"{graphed()} SELECT src, dst, frequency FROM edge WHERE anomaly_score > 0.55")
+def anomaly_transitions(spark, sf_dir):
+    return graph.anomalies(edge_table(spark, sf_dir), 0.55).select("src", "dst", "frequency")
+
+
+@query(f"{graphed()}, s AS (SELECT frequency, row_number() OVER (ORDER BY frequency) - 1 AS i, count(*) OVER () AS n FROM edge) SELECT src, dst, edge.frequency, edge.frequency >= (SELECT frequency FROM s WHERE i = least(floor(0.8 * n), n - 1)) AS is_frequent FROM edge")
+def edge_p80_flags(spark, sf_dir):
+    return graph.edge_flags(edge_table(spark, sf_dir)).select("src", "dst", "frequency", "is_frequent")
+
+
+@query(f"{folded(WIDE)}, c AS (SELECT command_id, count(*) AS visits FROM act GROUP BY command_id) SELECT command_id, visits FROM c WHERE visits < (SELECT sum(visits) FROM c) * 0.1::DOUBLE")
+def dead_commands(spark, sf_dir):
+    return graph.dead_commands(graph.nodes(acts(spark, sf_dir)), 0.1)
+
+
+@query(None)
+def most_frequent_path(spark, sf_dir):
+    path = graph.most_frequent_path(nodes(spark, sf_dir).collect(), edge_table(spark, sf_dir).collect())
+    return spark.createDataFrame(list(enumerate(path)), "step int, action string")
+
+
+@query(None)
+def graph_exports(spark, sf_dir):
+    n, e = nodes(spark, sf_dir).collect(), edge_table(spark, sf_dir)
+    p80 = graph.p80_frequency(e).head()["p80"]
+    e = e.collect()
+    return spark.createDataFrame([("mermaid", graph.to_mermaid(n, e, p80)), ("dot", graph.to_dot(n, e))], "format string, text string")
+
+
+# ---- patterns and process trees --------------------------------------------------------------------------------------
+
+_PATTERNS = """, p1 AS (SELECT action AS pattern, count(DISTINCT session_id) AS support FROM act GROUP BY 1),
+    p2 AS (SELECT a.action || ' > ' || b.action AS pattern, count(DISTINCT a.session_id) AS support FROM act a JOIN act b ON a.session_id = b.session_id AND a.action_idx < b.action_idx GROUP BY 1),
+    p3 AS (SELECT a.action || ' > ' || b.action || ' > ' || c.action AS pattern, count(DISTINCT a.session_id) AS support FROM act a JOIN act b ON a.session_id = b.session_id AND a.action_idx < b.action_idx JOIN act c ON a.session_id = c.session_id AND b.action_idx < c.action_idx GROUP BY 1),
+    pat AS (SELECT *, 1 AS n FROM p1 UNION ALL SELECT *, 2 FROM p2 UNION ALL SELECT *, 3 FROM p3)"""
+
+
+def _joined(df: DataFrame) -> DataFrame:
+    return df.withColumn("pattern", F.array_join("pattern", " > "))
+
+
+@query(f"{folded(WIDE)}{_PATTERNS} SELECT pattern, support FROM pat WHERE support >= 5")
+def frequent_patterns_len3(spark, sf_dir):
+    return _joined(patterns.frequent_patterns(acts(spark, sf_dir), 5, max_length=3))
+
+
+@query(f"{folded(WIDE)}{_PATTERNS} SELECT pattern, support FROM pat WHERE support >= 5")
+def short_patterns(spark, sf_dir):
+    return _joined(patterns.short_patterns(acts(spark, sf_dir), 5, 3))
+
+
+@query(f"{folded(WIDE)}, p AS (SELECT a.command_id AS x, a.session_id FROM act a) SELECT x AS pattern, count(DISTINCT session_id) AS support FROM p GROUP BY x ORDER BY support DESC, pattern LIMIT 5")
+def top_workflows(spark, sf_dir):
+    by_command = acts(spark, sf_dir).withColumn("action", F.col("command_id"))
+    return _joined(patterns.top_workflows(patterns.frequent_patterns(by_command, 5, max_length=1), 5))
+
+
+@query(f"""{folded(WIDE)}{_PATTERNS}, bad AS (SELECT DISTINCT session_id FROM tv WHERE kind = 'ExceptionThrown'), tot AS (SELECT count(DISTINCT session_id) AS t FROM act),
+    f AS (SELECT action AS pattern, count(DISTINCT session_id) AS failing FROM act SEMI JOIN bad USING (session_id) GROUP BY 1
+          UNION ALL SELECT a.action || ' > ' || b.action, count(DISTINCT a.session_id) FROM act a SEMI JOIN bad USING (session_id) JOIN act b ON a.session_id = b.session_id AND a.action_idx < b.action_idx GROUP BY 1)
+    SELECT pattern, support, round(support::DOUBLE / t, 6) AS fraction, round(failing::DOUBLE / support, 6) AS error_rate FROM pat JOIN f USING (pattern), tot WHERE n <= 2 AND support >= 2 AND support::DOUBLE / t <= 0.01 AND failing::DOUBLE / support >= 0.05""")
+def rare_failing(spark, sf_dir):
+    a = acts(spark, sf_dir)
+    found = patterns.rare_failing(a, patterns.frequent_patterns(a, 2, max_length=2), summary.error_sessions(trace_view(spark, sf_dir)), ReportConfig())
+    return _joined(found).select("pattern", "support", F.round("fraction", 6).alias("fraction"), F.round("error_rate", 6).alias("error_rate"))
+
+
+@query(f"{folded(WIDE)}, p AS (SELECT command_id AS src, lead(command_id) OVER (PARTITION BY session_id ORDER BY action_idx) AS dst FROM act WHERE command_id LIKE 'click%' OR command_id LIKE 'purchase%') SELECT src, dst, count(*) AS n FROM p WHERE dst IS NOT NULL GROUP BY ALL HAVING count(*) >= 2")
+def directly_follows(spark, sf_dir):
+    names = [f"{e}.{c}" for e in ("click", "purchase") for c in ("Save", "Open", "Submit")]
+    return process_tree.directly_follows(acts(spark, sf_dir), names, 2)
+
+
+@query(f"{folded(WIDE)} SELECT session_id, arg_min(command_id, action_idx) AS first_command, arg_max(command_id, action_idx) AS last_command FROM act GROUP BY session_id")
+def start_end_activities(spark, sf_dir):
+    return process_tree.edge_activities(acts(spark, sf_dir))
+
+
+@query(f"{folded(WIDE)}, v AS (SELECT session_id, string_agg(command_id, ' > ' ORDER BY action_idx) AS commands FROM act GROUP BY session_id) SELECT commands, count(*) AS n FROM v GROUP BY commands")
+def process_variants(spark, sf_dir):
+    return process_tree.variants(acts(spark, sf_dir)).select(F.array_join("commands", " > ").alias("commands"), "n")
+
+
+@query(None)
+def process_discovery(spark, sf_dir):
+    tree = process_tree.discover(acts(spark, sf_dir))
+    return spark.createDataFrame([(process_tree.display(tree), len(process_tree.tree_edges(tree)))], "tree string, edges int")
+
+
+# ---- rules -----------------------------------------------------------------------------------------------------------
+
+_NEXT = f"""{tv()}, n AS (SELECT *, lead(kind) OVER o AS next_kind, lead(screen_id) OVER o AS opened, lead(exception_type) OVER o AS thrown, lead(seq) OVER o AS next_seq FROM tv WINDOW o AS (PARTITION BY session_id ORDER BY _ord))"""
+_VISITS = f"{tv()}, v0 AS (SELECT session_id, seq, _ord, CASE kind WHEN 'ScreenOpened' THEN screen_id WHEN 'NavigationOccurred' THEN nav_to END AS shown FROM tv), v AS (SELECT *, row_number() OVER (PARTITION BY session_id, shown ORDER BY _ord) AS visit FROM v0 WHERE shown IS NOT NULL)"
+_PENDING = f"""{tv()}, g0 AS (SELECT *, coalesce(sum((kind IN ('CommandExecuted', 'NavigationOccurred'))::INT) OVER (PARTITION BY session_id ORDER BY _ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stretch FROM tv),
+    g AS (SELECT *, list(seq) FILTER (WHERE kind = 'ValidationFailed') OVER (PARTITION BY session_id, stretch ORDER BY _ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pending FROM g0)"""
+
+RULE_SQL = {
+    "rule_unhandled": f"{tv()} SELECT session_id, 'Critical' AS severity, 'Unhandled exception: ' || exception_type || ': ' || message AS message, seq::VARCHAR AS evidence FROM tv WHERE kind = 'ExceptionThrown'",
+    "rule_error_modal": f"{_NEXT} SELECT session_id, 'Error' AS severity, 'Error/Modal screen ''' || opened || ''' opened after command (seq ' || seq || ')' AS message, seq || ',' || next_seq AS evidence FROM n WHERE kind = 'CommandExecuted' AND next_kind = 'ScreenOpened' AND (contains(opened, 'Error') OR contains(opened, 'Modal'))",
+    "rule_must_succeed": f"{tv()} SELECT session_id, 'Error' AS severity, 'Command ''' || command_id || ''' did not succeed (seq ' || seq || ')' AS message, seq::VARCHAR AS evidence FROM tv WHERE command_id IN ('click.Save', 'purchase.Submit') AND outcome <> 'success'",
+    "rule_forward": f"{_VISITS} SELECT session_id, 'Warning' AS severity, 'Navigation revisited screen ''' || shown || ''' (seq ' || seq || ')' AS message, seq::VARCHAR AS evidence FROM v WHERE visit > 1",
+    "rule_validations": f"{_PENDING} SELECT session_id, 'Error' AS severity, 'Submit command ''' || command_id || ''' fired with ' || len(pending) || ' outstanding validation failure(s)' AS message, array_to_string(pending, ',') || ',' || seq AS evidence FROM g WHERE kind = 'CommandExecuted' AND (command_id LIKE '%.Submit' OR command_id LIKE '%.Save') AND len(pending) > 0",
+    "rule_success_then_exception": f"{_NEXT} SELECT session_id, 'Error' AS severity, 'click.Open succeeded (seq ' || seq || ') but produced ' || thrown || ' (seq ' || next_seq || ')' AS message, seq || ',' || next_seq AS evidence FROM n WHERE command_id = 'click.Open' AND outcome = 'success' AND next_kind = 'ExceptionThrown' AND contains(thrown, 'Ex')",
+}
+RULES: dict[str, rules.Rule] = {
+    "rule_unhandled": rules.NoUnhandledException(),
+    "rule_error_modal": rules.NoErrorModalAfterCommand(),
+    "rule_must_succeed": rules.CommandMustSucceed(("click.Save", "purchase.Submit")),
+    "rule_forward": rules.ScreenMustNavigateForward(),
+    "rule_validations": rules.ValidationsPassBeforeSubmit(),
+    "rule_success_then_exception": rules.SuccessThenException("click.Open", "Ex"),
+}
+RULES["rule_and"] = rules.AndRule("both", (RULES["rule_unhandled"], RULES["rule_error_modal"]))
+RULE_SQL["rule_and"] = f"SELECT * FROM ({RULE_SQL['rule_unhandled']}) UNION ALL SELECT * FROM ({RULE_SQL['rule_error_modal']})"
+RULES["rule_or"] = rules.OrRule("either", (RULES["rule_unhandled"], RULES["rule_forward"]))
+RULE_SQL["rule_or"] = f"WITH a AS ({RULE_SQL['rule_unhandled']}), b AS ({RULE_SQL['rule_forward']}), u AS (SELECT * FROM a UNION ALL SELECT * FROM b) SELECT * FROM u WHERE session_id IN (SELECT session_id FROM a) AND session_id IN (SELECT session_id FROM b)"
+RULES["rule_within_window"] = rules.WithinWindow("early", RULES["rule_unhandled"], 3_600_000)
+RULE_SQL["rule_within_window"] = f"{tv()}, f AS (SELECT *, {MS.format(a='ts', b='first_value(ts) OVER (PARTITION BY session_id ORDER BY _ord)')} AS age FROM tv) SELECT session_id, 'Critical' AS severity, 'Unhandled exception: ' || exception_type || ': ' || message AS message, seq::VARCHAR AS evidence FROM f WHERE kind = 'ExceptionThrown' AND age BETWEEN 0 AND 3600000"
+
+
+def _rule(name: str):
+    def run(spark, sf_dir):
+        return RULES[name].violations(trace_view(spark, sf_dir)).select("session_id", "severity", "message", F.array_join("evidence", ",").alias("evidence"))
+
+    run.__name__ = name
+    return run
+
+
+for _n, _sql in RULE_SQL.items():
+    query(_sql)(_rule(_n))
+
+_PARTS = {"NoUnhandledException": "rule_unhandled", "NoErrorModalAfterCommand": "rule_error_modal", "ScreenMustNavigateForward": "rule_forward", "ValidationsPassBeforeSubmit": "rule_validations"}
+_RESULTS = f"""WITH v AS ({' UNION ALL '.join(f"SELECT session_id, severity, '{r}' AS rule FROM ({RULE_SQL[q]})" for r, q in _PARTS.items())}),
+    s AS (SELECT DISTINCT session_id FROM ({tv()} SELECT session_id FROM tv)),
+    g AS (SELECT session_id, rule FROM s, (SELECT unnest(['NoUnhandledException', 'NoErrorModalAfterCommand', 'CommandMustSucceed', 'ScreenMustNavigateForward', 'ValidationsPassBeforeSubmit']) AS rule)),
+    c AS (SELECT session_id, rule, count(*) AS n, max(severity) AS severity FROM v GROUP BY ALL),
+    r AS (SELECT g.session_id, g.rule, n IS NULL AS passed, coalesce(n, 0) AS n_violations, severity AS max_severity FROM g LEFT JOIN c USING (session_id, rule))"""
+
+
+@query(f"{_RESULTS} SELECT * FROM r")
+def rule_results(spark, sf_dir):
+    return rules.Engine().results(trace_view(spark, sf_dir))
+
+
+@query(f"{_RESULTS} SELECT session_id, bool_and(passed) AS all_passed, CASE max(CASE max_severity WHEN 'Critical' THEN 3 WHEN 'Error' THEN 2 WHEN 'Warning' THEN 1 END) WHEN 3 THEN 'Critical' WHEN 2 THEN 'Error' WHEN 1 THEN 'Warning' END AS max_severity FROM r GROUP BY session_id")
+def session_severity(spark, sf_dir):
+    return rules.Engine().sessions(trace_view(spark, sf_dir))
+
+
+# ---- similarity and alignment ----------------------------------------------------------------------------------------
+
+_DIMS = """, d AS (SELECT DISTINCT session_id, 'cmd:' || command_id AS dim FROM tv WHERE kind = 'CommandExecuted' UNION SELECT DISTINCT session_id, 'screen:' || screen_id FROM tv WHERE kind = 'ScreenOpened' UNION SELECT DISTINCT session_id, 'outcome:' || outcome FROM tv WHERE outcome IS NOT NULL),
+    ix AS (SELECT session_id, 'cmd:' || coalesce(command_id, operation_id) AS dim FROM tv UNION SELECT session_id, 'screen:' || screen_id FROM tv UNION SELECT session_id, 'outcome:' || outcome FROM tv)"""
+
+
+@query(f"""{tv(True)}{_DIMS}, p AS (SELECT dim FROM d WHERE session_id = '3'),
+    cand AS (SELECT DISTINCT session_id FROM ix SEMI JOIN p USING (dim) WHERE session_id <> '3'),
+    sc AS (SELECT session_id, count_if(dim IN (SELECT dim FROM p)) AS met, count(*) AS n FROM d SEMI JOIN cand USING (session_id) GROUP BY session_id)
+    SELECT session_id, round(met::DOUBLE / (n + (SELECT count(*) FROM p) - met), 6) AS score FROM sc ORDER BY met::DOUBLE / (n + (SELECT count(*) FROM p) - met) DESC, session_id LIMIT 10""")
+def similar_sessions(spark, sf_dir):
+    return summary.similar_sessions(trace_view(spark, sf_dir, coarse=True), "3", 10).withColumn("score", F.round("score", 6))
+
+
+@query(f"{tv(True)}{_DIMS} SELECT session_id, count(*) AS n, string_agg(dim, ',' ORDER BY dim) AS dims FROM d GROUP BY session_id")
+def dimension_sets(spark, sf_dir):
+    return summary.dimensions(trace_view(spark, sf_dir, coarse=True)).filter(F.size("dims") > 0).select("session_id", F.size("dims").cast("bigint").alias("n"), F.array_join(F.array_sort("dims"), ",").alias("dims"))
+
+
+@query(None)
+def align_pairs(spark, sf_dir):
+    """Each user's session aligned with that of the next user."""
+    labels = align.session_labels(trace_view(spark, sf_dir)).withColumn("user", F.split("session_id", "/")[0].cast("bigint")).withColumn("day", F.split("session_id", "/")[1])
+    left, right = (labels.select(F.col("session_id").alias(f"session_{s}"), F.col("labels").alias(s), (F.col("user") + k).alias("user"), "day") for s, k in (("a", 1), ("b", 0)))
+    return align.aligned(left.join(right, ["user", "day"]).drop("user", "day")).drop("a", "b")
+
+
+@query(None)
+def nearest_sessions(spark, sf_dir):
+    events = trace_view(spark, sf_dir)
+    return align.nearest(events, events.agg(F.min("session_id")).head()[0], 10)
+
+
+@query(f"{tv(True)}, r AS (SELECT count(*) FILTER (WHERE kind = 'ExceptionThrown') AS n FROM tv WHERE session_id = '5') SELECT '5' AS session_id, (SELECT count(*) FROM tv WHERE session_id = '5') AS events, (SELECT n FROM r)::BIGINT AS unhandled")
+def diagnostic_counts(spark, sf_dir):
+    from .plans.diagnostic import diagnostic_bundle
+
+    bundle = diagnostic_bundle(trace_view(spark, sf_dir, coarse=True), "5")
+    unhandled = F.filter("violations", lambda v: v["rule"] == "NoUnhandledException")
+    return bundle.select("session_id", F.size("events").cast("bigint").alias("events"), F.size(unhandled).cast("bigint").alias("unhandled"))
+
+
+# ---- root causes -----------------------------------------------------------------------------------------------------
+
+RCA = ScoreConfig(min_normal=5, keep=0.55)
+#: Actions here are command and screen alone, or pairs would hardly come twice.
+_SCORED = f"""{folded(WIDE)}, ra AS (SELECT a.session_id, a.action_idx, a._ord, a.user_id, a.command_id, a.phase, a.screen || '|' || a.command_id || '|' AS action FROM act a),
+    rp0 AS (SELECT phase, _ord, action AS src, lead(action) OVER (PARTITION BY session_id ORDER BY action_idx) AS dst FROM ra),
+    sup AS (SELECT phase, src, dst, count(*) AS n, min(_ord) AS first_at FROM rp0 WHERE dst IS NOT NULL GROUP BY ALL),
+    sco AS (SELECT a.src, a.dst, a.n, coalesce(b.n, 0) AS a, CASE WHEN b.n IS NULL THEN 1.0 ELSE a.n::DOUBLE / (a.n + b.n) END AS score, a.first_at
+        FROM sup a LEFT JOIN sup b ON b.phase = 'abnormal' AND a.src = b.src AND a.dst = b.dst WHERE a.phase = 'normal' AND a.n > 5),
+    scores AS (SELECT * FROM sco WHERE score >= 0.55),
+    kept AS (SELECT * FROM scores s WHERE NOT EXISTS (SELECT 1 FROM scores q WHERE q.dst = s.src AND q.score >= s.score)),
+    dep AS (SELECT action, session_id, _ord, 1 + coalesce(sum((command_id LIKE 'click%')::INT) OVER (PARTITION BY session_id ORDER BY action_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS depth FROM ra WHERE phase = 'normal'),
+    deep AS (SELECT action, depth, _ord FROM (SELECT *, row_number() OVER (PARTITION BY action ORDER BY depth DESC, _ord) AS r FROM dep) WHERE r = 1),
+    cand AS (SELECT k.src, k.dst, k.score, d.depth, 'pod' || (e.user_id % 9) AS pod, k.first_at FROM kept k JOIN deep d ON k.src = d.action JOIN (SELECT _ord, user_id FROM tv) e ON e._ord = d._ord),
+    ded AS (SELECT *, row_number() OVER (PARTITION BY pod ORDER BY depth DESC, first_at, src, dst) AS place, pod IN ('pod1', 'pod2', 'pod3', 'pod4') AS alarmed FROM cand),
+    fin AS (SELECT src, dst, score, depth, pod, first_at, row_number() OVER (ORDER BY score DESC, depth DESC, first_at, src, dst) AS pos FROM ded WHERE NOT alarmed OR place = 1)"""
+
+
+def _phases(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    events = trace_view(spark, sf_dir)
+    a = fold.scenarios(events, WIDE, nested=False).join(events.select("_ord", "phase"), "_ord").withColumn("abstract_args", F.lit(""))
+    # The view has no spans; clicks stand for them.
+    a = a.select("session_id", "action_idx", "_ord", "phase", graph.label().alias("action"), F.when(F.col("command_id").startswith("click"), F.concat(F.lit("span:"), "command_id")).otherwise(F.col("command_id")).alias("command_id"))
+    pods = events.select("_ord", F.concat(F.lit("pod"), (F.col("user_id") % 9).cast("string")).alias("pod"))
+    return a.filter("phase = 'normal'"), a.filter("phase = 'abnormal'"), pods
+
+
+def _scores(spark, sf_dir) -> DataFrame:
+    normal, abnormal, _ = _phases(spark, sf_dir)
+    return rca.differential_scores(rca.pair_support(normal), rca.pair_support(abnormal), RCA)
+
+
+@query(f"{_SCORED} SELECT src, dst, n, a, round(score, 6) AS score, first_at FROM scores")
+def differential_scores(spark, sf_dir):
+    return _scores(spark, sf_dir).withColumn("score", F.round("score", 6))
+
+
+@query(f"{_SCORED} SELECT src, dst, n, a FROM kept")
+def rootmost_pruned(spark, sf_dir):
+    return rca.root_most(_scores(spark, sf_dir)).select("src", "dst", "n", "a")
+
+
+@query(f"{_SCORED} SELECT action, depth::BIGINT AS depth, _ord FROM deep")
+def depth_attribution(spark, sf_dir):
+    return rca.deepest(_phases(spark, sf_dir)[0]).select("action", "depth", "_ord")
+
+
+def _alarms(spark) -> DataFrame:
+    return spark.createDataFrame([(f"pod{i}", "CpuUsageRate(%)") for i in range(1, 5)], "pod string, resource string")
+
+
+@query(f"{_SCORED} SELECT src, dst, round(score, 6) AS score, depth::BIGINT AS depth, pod, pos FROM fin")
+def rca_candidates(spark, sf_dir):
+    normal, abnormal, pods = _phases(spark, sf_dir)
+    found = rca.root_causes(normal, abnormal, pods, _alarms(spark), RCA)
+    return found.select("src", "dst", F.round("score", 6).alias("score"), "depth", "pod", F.col("pos").cast("bigint").alias("pos"))
+
+
+@query(f"{_SCORED}, gp AS (SELECT src, dst, count(*) AS f FROM rp0 WHERE dst IS NOT NULL AND phase = 'normal' GROUP BY ALL), ge AS (SELECT a.src, a.dst, CASE WHEN a.src = a.dst THEN 1 - a.f::DOUBLE / (a.f + 1) ELSE (1 - (a.f - coalesce(b.f, 0))::DOUBLE / (a.f + coalesce(b.f, 0) + 1)) / 2 END AS anomaly FROM gp a LEFT JOIN gp b ON a.src = b.dst AND a.dst = b.src) SELECT src, dst, pod, row_number() OVER (ORDER BY score DESC, anomaly DESC, depth DESC, first_at, src, dst) AS pos FROM fin JOIN ge USING (src, dst)")
+def rca_candidates_graph(spark, sf_dir):
+    normal, abnormal, pods = _phases(spark, sf_dir)
+    found = rca.root_causes(normal, abnormal, pods, _alarms(spark), RCA, graph.edges(normal))
+    return found.select("src", "dst", "pod", F.col("pos").cast("bigint").alias("pos"))
+
+
+@query("""WITH s AS (SELECT l_orderkey * 10 + l_linenumber AS row, l_partkey % 500 AS span_id, l_suppkey % 500 AS parent_id, 'pod' || (l_partkey % 7) AS pod, l_orderkey * 1000003 % 100000007 AS end_ns FROM lineitem),
+    p AS (SELECT span_id AS parent_id, arg_max(pod, row) AS parent_pod, arg_max(end_ns, row) AS parent_end FROM s GROUP BY span_id)
+    SELECT pod, count(*) AS n_samples, round(CASE WHEN count(*) > 2 THEN quantile_cont((parent_end - end_ns) / 1000000, 0.9) ELSE 10.0 END, 4) AS p90 FROM s JOIN p USING (parent_id) WHERE parent_pod <> pod GROUP BY pod""")
+def p90_threshold(spark, sf_dir):
+    item = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    spans = item.selectExpr("l_orderkey * 10 + l_linenumber AS row", "l_partkey % 500 AS span_id", "l_suppkey % 500 AS parent_id", "concat('pod', string(l_partkey % 7)) AS pod", "l_orderkey * 1000003 % 100000007 AS end_ns")
+    return rca.latency_p90(spans).withColumn("p90", F.round("p90", 4))
+
+
+# ---- rank evaluation -------------------------------------------------------------------------------------------------
+
+#: Lists made from orders: a case for each customer, scored by coarse price and priority.
+_LISTS = "SELECT o_custkey AS case_id, row_number() OVER (PARTITION BY o_custkey ORDER BY floor(o_totalprice / 50000) DESC, o_orderkey) AS pos, floor(o_totalprice / 50000) AS score, o_orderkey % 2 AS depth, concat('svc', {s}) AS service, o_orderkey % 5 = 0 AS matches, o_orderkey % 3 = 0 AS is_resource, o_custkey % 2 = 0 AS one_part FROM {t}"
+_L = f"WITH l AS ({_LISTS.format(s='(o_orderkey % 7)::VARCHAR', t='orders')})"
+_RUNS = "{l}, r AS (SELECT *, CASE WHEN row_number() OVER w = 1 OR score IS DISTINCT FROM lag(score) OVER w OR depth IS DISTINCT FROM lag(depth) OVER w THEN 1 ELSE 0 END AS step FROM {src} WINDOW w AS (PARTITION BY case_id ORDER BY pos))"
+_DEDUP = _L + ", dd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY case_id, service ORDER BY pos) AS k FROM l) WHERE k = 1)"
+_FIRST = _RUNS.format(l=_DEDUP, src="dd") + ", q AS (SELECT *, sum(step) OVER (PARTITION BY case_id ORDER BY pos)::INT AS rank FROM r), ranks AS (SELECT case_id, (arg_min(rank, pos) FILTER (WHERE service = 'svc3'))::INT AS rank FROM q GROUP BY case_id)"
+
+
+def _lists(spark, sf_dir) -> DataFrame:
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return spark.sql(_LISTS.format(s="string(o_orderkey % 7)", t="{orders}"), orders=orders)
+
+
+def _service_ranks(spark, sf_dir) -> DataFrame:
+    kept = evalrank.service_rank(_lists(spark, sf_dir))
+    return kept.groupBy("case_id").agg(F.min_by(F.when(F.col("service") == "svc3", F.col("rank")), F.when(F.col("service") == "svc3", F.col("pos"))).alias("rank"))
+
+
+@query(_RUNS.format(l=_L, src="l") + " SELECT case_id, pos, sum(step) OVER (PARTITION BY case_id ORDER BY pos)::INT AS rank FROM r")
+def dense_rank_runs(spark, sf_dir):
+    return evalrank.dense_rank_runs(_lists(spark, sf_dir)).select("case_id", F.col("pos").cast("bigint").alias("pos"), "rank")
+
+
+@query(_FIRST + " SELECT case_id, service, rank FROM q")
+def service_dedup_rank(spark, sf_dir):
+    return evalrank.service_rank(_lists(spark, sf_dir)).select("case_id", "service", "rank")
+
+
+@query(f"""{_L}, m AS (SELECT *, CASE WHEN one_part AND is_resource THEN 0 WHEN coalesce(score = lag(score) OVER w AND depth = lag(depth) OVER w, false) THEN 0 ELSE 1 END AS mv FROM l WINDOW w AS (PARTITION BY case_id ORDER BY pos)),
+    c AS (SELECT *, 1 + coalesce(sum(mv) OVER (PARTITION BY case_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rank FROM m)
+    SELECT case_id, arg_min(rank, pos)::INT AS rank FROM c WHERE matches AND (is_resource OR NOT one_part) GROUP BY case_id""")
+def historical_rank(spark, sf_dir):
+    return evalrank.historical_rank(_lists(spark, sf_dir))
+
+
+@query(_FIRST + " SELECT count(*) AS cases, round(100.0 * count_if(rank <= 1) / count(*), 6)::DOUBLE AS ac_at_1, round(100.0 * count_if(rank <= 3) / count(*), 6)::DOUBLE AS ac_at_3, round(100.0 * count_if(rank <= 5) / count(*), 6)::DOUBLE AS ac_at_5, round(avg(coalesce(1.0::DOUBLE / rank, 0)), 6) AS mrr, count(rank) AS localized, count_if(rank IS NULL)::BIGINT AS unlocalized FROM ranks")
+def ac_at_k_mrr(spark, sf_dir):
+    found = evalrank.accuracy(_service_ranks(spark, sf_dir))
+    return found.withColumns({c: F.round(F.col(c).cast("double"), 6) for c in ("ac_at_1", "ac_at_3", "ac_at_5", "mrr")})
+
+
+@query(f"{_L}, n AS (SELECT case_id, count(*) AS n FROM l GROUP BY case_id), s AS (SELECT c_custkey AS case_id, coalesce(n, 0) AS n FROM customer LEFT JOIN n ON c_custkey = case_id), o AS (SELECT n, row_number() OVER (ORDER BY n) - 1 AS i, count(*) OVER () AS t FROM s) SELECT min(n) AS min_size, max(n) FILTER (WHERE i = t // 2) AS median_size, max(n) AS max_size FROM o")
+def candidate_sizes(spark, sf_dir):
+    cases = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("case_id"))
+    return evalrank.candidate_sizes(_lists(spark, sf_dir), cases)
+
+
+@query(_FIRST + ", fc AS (SELECT *, CASE WHEN case_id % 3 = 0 THEN 'code-defect' ELSE 'resource' END AS fault_class FROM ranks) SELECT fault_class, count(*) AS cases, count_if(rank = 1)::BIGINT AS hits_at_1 FROM fc GROUP BY fault_class")
+def fault_class_breakdown(spark, sf_dir):
+    return evalrank.by_fault_class(_service_ranks(spark, sf_dir).withColumn("fault_class", F.when(F.col("case_id") % 3 == 0, "code-defect").otherwise("resource")))
+
+
+@query(_FIRST + ", o AS (SELECT case_id, CASE WHEN case_id % 4 = 0 THEN NULL ELSE (rank + case_id % 3)::INT END AS rank FROM ranks) SELECT count_if(coalesce(a.rank <= 2, false) AND NOT coalesce(o.rank <= 2, false))::BIGINT AS b, count_if(NOT coalesce(a.rank <= 2, false) AND coalesce(o.rank <= 2, false))::BIGINT AS c FROM ranks a JOIN o USING (case_id)")
+def mcnemar(spark, sf_dir):
+    ranks = _service_ranks(spark, sf_dir)
+    other = ranks.select("case_id", F.when(F.col("case_id") % 4 == 0, None).otherwise(F.col("rank") + F.col("case_id") % 3).cast("int").alias("rank"))
+    return evalrank.mcnemar(evalrank.paired(ranks, other, ["case_id"]), 2)
+
+
+@query(None)
+def bootstrap_ci(spark, sf_dir):
+    """Confidence interval of the mean rank difference over the first 56 cases (the size of the paired study)."""
+    ranks = [1 / r["rank"] if r["rank"] else 0.0 for r in _service_ranks(spark, sf_dir).orderBy("case_id").limit(56).collect()]
+    return spark.createDataFrame([evalrank.bootstrap_ci(ranks, 2000)], "low double, high double")
+
+
+# ---- gates -----------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT o_orderkey AS key, 'right' AS missing_in FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber > 1) UNION ALL SELECT DISTINCT l_orderkey, 'left' FROM lineitem WHERE l_linenumber > 1 AND l_orderkey NOT IN (SELECT o_orderkey FROM orders)")
+def bijection_check(spark, sf_dir):
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("key"))
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").filter("l_linenumber > 1").select(F.col("l_orderkey").alias("key"))
+    return gates.bijection(orders, items, ["key"])
+
+
+@query(f"{tv()}, a AS (SELECT kind, outcome FROM tv WHERE phase = 'normal'), b AS (SELECT kind, outcome FROM tv WHERE phase = 'abnormal') SELECT *, 'left' AS only_in FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'right' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)")
+def multiset_isolation(spark, sf_dir):
+    events = trace_view(spark, sf_dir)
+    left, right = (events.filter(F.col("phase") == p).select("kind", "outcome", "value") for p in ("normal", "abnormal"))
+    return gates.multiset_difference(left, right, ("value",))
+
+
+@query(f"{tv()}, c AS (SELECT count(*) AS n, count_if(kind = 'CommandExecuted') AS k FROM tv) SELECT 'commands' AS problem, n AS expected, k AS found FROM c WHERE n <> k UNION ALL SELECT 'absent', NULL, k FROM c")
+def conservation_check(spark, sf_dir):
+    events = trace_view(spark, sf_dir)
+    kinds = events.groupBy(F.col("kind").alias("name")).agg(F.count("*").alias("value"))
+    counters = kinds.unionByName(events.agg(F.count("*").alias("value")).withColumn("name", F.lit("all")))
+    names = ["ScreenOpened", "CommandExecuted", "FieldChanged", "ExceptionThrown", "NavigationOccurred", "ValidationFailed", "AsyncOperationCompleted"]
+    return gates.conservation(counters, {"all kinds": ("all", [(1, n) for n in names]), "commands": ("CommandExecuted", [(1, "all")]), "absent": ("CommandExecuted", [(1, "no such counter")])})
+
+
+@query("SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 1")
+def duplicate_keys(spark, sf_dir):
+    return gates.duplicate_keys(spark.read.parquet(f"{sf_dir}/events.parquet"), ["user_id", "event_type"])
+
+
+@query("""WITH i AS (SELECT DISTINCT l_orderkey AS session_id, l_linenumber AS seq FROM lineitem), src AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_partkey % 11 <> 0)
+    SELECT session_id, seq, CASE WHEN session_id % 7 = 0 THEN 'no event' WHEN seq % 4 = 0 THEN 'no provenance' ELSE 'no source row' END AS reason FROM i LEFT JOIN src ON l_orderkey = session_id AND l_linenumber = seq
+    WHERE session_id % 7 = 0 OR seq % 4 = 0 OR l_orderkey IS NULL""")
+def provenance_walk(spark, sf_dir):
+    item = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_orderkey").alias("session_id"), F.col("l_linenumber").alias("seq"), F.concat(F.lit("f"), (F.col("l_orderkey") % 5).cast("string")).alias("file"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row"), "l_partkey")
+    return gates.provenance_walk(item, item.filter("session_id % 7 <> 0"), item.filter("seq % 4 <> 0").drop("l_partkey").distinct(), item.filter("l_partkey % 11 <> 0"))
+
+
+@query("SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NULL THEN 'missing' ELSE 'unexpected' END AS status FROM (SELECT DISTINCT p_partkey AS k FROM part) a FULL JOIN (SELECT DISTINCT l_partkey + 3 AS k FROM lineitem) b ON a.k = b.k WHERE a.k IS NULL OR b.k IS NULL")
+def manifest_difference(spark, sf_dir):
+    parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("k"))
+    return gates.manifest_difference(parts, spark.read.parquet(f"{sf_dir}/lineitem.parquet").select((F.col("l_partkey") + 3).alias("k")), "k")
+
+
+# ---- sources ---------------------------------------------------------------------------------------------------------
+
+
+@query(f"{tv()} SELECT session_id, seq, kind, command_id, screen_id, outcome FROM tv WHERE kind = 'CommandExecuted'")
+def parquet_archive_roundtrip(spark, sf_dir):
+    from .sources.archive import read_archive, write_archive
+    from .sources.scratch import scratch
+
+    path = scratch(spark, "archive")
+    write_archive(trace_view(spark, sf_dir), path)
+    return read_archive(spark, path).filter("kind = 'CommandExecuted'").select("session_id", "seq", "kind", "command_id", "screen_id", "outcome")
+
+
+@query(f"{tv()} SELECT session_id AS correlation, seq, kind, command_id, screen_id, outcome, domain_entity_id FROM tv")
+def jsonl_roundtrip(spark, sf_dir):
+    from .sources.jsonl import read_events, write_events
+    from .sources.scratch import scratch
+
+    path, events = scratch(spark, "jsonl"), trace_view(spark, sf_dir)
+    # Names are no UUIDs, so that they travel as messages and are read back from there.
+    full = events.withColumn("params", F.lit(None).cast("string")).withColumn("correlation_id", F.lit(None).cast("string")).withColumn("reason", F.when(F.col("kind") == "ValidationFailed", "r"))
+    write_events(full.withColumn("domain_entity_id", F.concat_ws("\t", "session_id", "domain_entity_id")).withColumn("session_id", X.uuid5(NAMESPACE, F.col("session_id"))), path)
+    back, _ = read_events(spark, path)
+    parts = F.split("domain_entity_id", "\t")
+    return back.select(parts[0].alias("correlation"), "seq", "kind", "command_id", "screen_id", "outcome", F.get(parts, F.lit(1)).alias("domain_entity_id"))
