@@ -3,8 +3,8 @@ connected components by alternating large-star and small-star.
 
 How large groups stay cheap: texts with equal shingle sets count as one class; each band bucket first links its
 members to its smallest id only (a star); after those links are confirmed and closed into components, only buckets that
-still span several components compare their members, in blocks of bounded size, and only across components. No link
-between different texts is lost, and no group ever emits all its pairs.
+still span several components compare their members, in blocks of bounded size and only across components, and report
+only links that join components. No link between different texts is lost, and no group ever emits all its pairs.
 
 Edge cases: a null or empty text, or one of white space, has no shingles and is linked with nothing; a text of fewer
 words than ``width`` is one shingle; repeated rows of one id are one node and come back once each; a null id is returned
@@ -28,7 +28,7 @@ LINK = (75, 100)
 #: Share of equal minima from which a pair is confirmed on full sets: five standard deviations under the threshold.
 SIGNATURE_AT_LEAST = 0.55
 #: Members of a bucket that one task compares with as many others.
-BLOCK = 256
+BLOCK = 1024
 
 
 def _parameters(count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,7 +94,7 @@ def signatures(docs: DataFrame, width: int = WIDTH, count: int = BANDS * ROWS_PE
 
 
 def _bands(classes: DataFrame, bands: int, rows_per_band: int) -> DataFrame:
-    """(band, node): band identifies a band and its minima."""
+    """(slot, band, node): band identifies the minima of band number slot."""
 
     def run(batches):
         for batch in batches:
@@ -105,9 +105,10 @@ def _bands(classes: DataFrame, bands: int, rows_per_band: int) -> DataFrame:
             for r in range(rows_per_band):
                 key = mix(key + sig[:, :, r].astype(np.uint64) + np.uint64(1))
             node = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), bands)
-            yield pa.record_batch([pa.array(key.ravel().view(np.int64)), pa.array(node)], names=["band", "node"])
+            slot = np.tile(np.arange(bands, dtype=np.int16), batch.num_rows)
+            yield pa.record_batch([pa.array(slot), pa.array(key.ravel().view(np.int64)), pa.array(node)], names=["slot", "band", "node"])
 
-    return classes.select("node", "signature").mapInArrow(run, "band long, node long")
+    return classes.select("node", "signature").mapInArrow(run, "slot short, band long, node long")
 
 
 def _agreeing(pairs: DataFrame, at_least: float) -> DataFrame:
@@ -128,26 +129,29 @@ def _within_size(n_a: str, n_b: str, link: tuple[int, int]):
     return (F.least(n_a, n_b) * link[1] >= F.greatest(n_a, n_b) * link[0])
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, link: tuple[int, int]) -> DataFrame:
-    """Pairs (a, b) whose full shingle sets are near enough; only the texts in pairs are shingled again."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(node, shingles) of the texts whose id is in ids (column doc_id). Repeated rows of an id stay rows, so that either of its texts can link."""
     schema = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
 
     def shingled(batches):
         yield from _chunks(((key, shingle_set(words, width).tobytes()) for key, words in _each(batches)), schema, 200)
 
-    # Repeated rows of an id stay rows here, so that either of its texts can link.
-    sets = only_ids(docs, ids, "doc_id").mapInArrow(shingled, "node long, shingles binary")
+    return only_ids(docs, ids, "doc_id").mapInArrow(shingled, "node long, shingles binary")
+
+
+def _near(x: np.ndarray, y: np.ndarray, link: tuple[int, int]) -> bool:
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return link[1] * common >= link[0] * (len(x) + len(y) - common)
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, link: tuple[int, int]) -> DataFrame:
+    """Pairs (a, b) whose full shingle sets are near enough; only the texts in pairs are shingled again."""
+    sets = _sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), width)
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
 
     def run(batches):
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(link[1] * common >= link[0] * (len(x) + len(y) - common))
-            keep = pa.array(keep, pa.bool_())
+            keep = pa.array([_near(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), link) for x, y in zip(batch.column(2), batch.column(3))], pa.bool_())
             yield pa.record_batch([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
     return both.mapInArrow(run, "a long, b long").distinct()
@@ -179,30 +183,73 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
 
-def _across(bands: DataFrame, crowded: DataFrame, classes: DataFrame, labels: DataFrame, at_least: float, link: tuple[int, int], bands_n: int, rows_per_band: int, block: int) -> DataFrame:
-    """Candidate pairs (a, b) of different components in buckets that span several; compared in blocks."""
-    labelled = bands.join(crowded.select("band", "members"), "band").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("band")
-    rows = labelled.join(open_, "band", "left_semi").join(classes.select("node", "n_shingles", "signature"), "node")
-    blocks = F.ceil(F.col("members") / F.lit(block))
-    own = F.pmod(F.xxhash64("node"), blocks)
-    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "n_shingles", "signature")
-
-    def compare(t: pa.Table) -> pa.Table:
-        node, comp, n, own = (t.column(c).to_numpy() for c in ("node", "component", "n_shingles", "own"))
-        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        sig = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint32).reshape(len(node), -1)
-        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
-        found_a, found_b = [], []
+class _Group:
+    """The members of one bucket block pair, and which pairs of them are worth a full comparison."""
+
+    def __init__(self, t: pa.Table, bands: int, link: tuple[int, int], at_least: float):
+        self.node, self.component, self.own = (t.column(c).to_numpy() for c in ("node", "component", "own"))
+        self.n, self.slot, self.i, self.j = t.column("n_shingles").to_numpy(), *(t.column(c)[0].as_py() for c in ("slot", "i", "j"))
+        self.signature = np.frombuffer(b"".join(t.column("signature").to_pylist()), np.uint32).reshape(t.num_rows, bands, -1)
+        self.link, self.at_least = link, at_least
+
+    def partners(self):
+        """(member, other members, agreement): other components, near in size and signature, first met in this band."""
+        left, right = np.flatnonzero(self.own == self.i), np.flatnonzero(self.own == self.j)
         for x in left:
-            y = right[(comp[right] != comp[x]) & (np.minimum(n[right], n[x]) * link[1] >= np.maximum(n[right], n[x]) * link[0])]
-            y = y[(node[y] > node[x]) | (i != j)]
-            y = y[(sig[y] == sig[x]).mean(axis=1) >= at_least]
-            found_a.append(np.minimum(node[x], node[y]))
-            found_b.append(np.maximum(node[x], node[y]))
-        return pa.table({"a": np.concatenate(found_a) if found_a else np.zeros(0, np.int64), "b": np.concatenate(found_b) if found_b else np.zeros(0, np.int64)})
+            y = right[(self.component[right] != self.component[x]) & (np.minimum(self.n[right], self.n[x]) * self.link[1] >= np.maximum(self.n[right], self.n[x]) * self.link[0])]
+            if self.i == self.j:
+                y = y[self.node[y] > self.node[x]]
+            equal = self.signature[y] == self.signature[x]
+            share = equal.mean(axis=(1, 2))
+            y, share, equal = (v[share >= self.at_least] for v in (y, share, equal))
+            first = equal[:, : self.slot].all(axis=2).any(axis=1) if self.slot else np.zeros(len(y), bool)
+            if (~first).any():
+                yield x, y[~first], share[~first]
+
+
+def _across(bands: DataFrame, crowded: DataFrame, classes: DataFrame, labels: DataFrame, docs: DataFrame, width: int, at_least: float, link: tuple[int, int], bands_n: int, block: int) -> DataFrame:
+    """Confirmed links (a, b) between different components, from buckets that span several.
+
+    Members are compared in blocks, first by signature; those with a likely partner fetch their full sets and are compared
+    again. A task reports only links that join what it has not joined yet, so fewer than its members.
+    """
+    labelled = bands.join(crowded.select("slot", "band", "members"), ["slot", "band"]).join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    open_ = labelled.groupBy("slot", "band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("slot", "band")
+    rows = labelled.join(open_, ["slot", "band"], "left_semi").join(classes.select("node", "n_shingles", "signature"), "node")
+    blocks = F.ceil(F.col("members") / F.lit(block))
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    dealt = dealt.select("slot", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "n_shingles", "signature")
+    key = ["slot", "band", "i", "j"]
+
+    def likely(t: pa.Table) -> pa.Table:
+        group, some = _Group(t, bands_n, link, at_least), np.zeros(t.num_rows, bool)
+        for x, y, _ in group.partners():
+            some[x] = some[y] = True
+        return t.filter(pa.array(some))
+
+    kinds = "slot short, band long, i long, j long, own long, node long, component long, n_shingles long, signature binary"
+    found = staged(dealt.groupBy(*key).applyInArrow(likely, kinds), "likely")
+    sets = _sets(docs, found.select(F.col("node").alias("doc_id")).distinct(), width).groupBy("node").agg(F.collect_set("shingles").alias("sets"))  # a set for each text of an id
+
+    def confirm(t: pa.Table) -> pa.Table:
+        group, root = _Group(t, bands_n, link, at_least), {}
+        texts = [[np.frombuffer(x, np.uint64) for x in own] for own in t.column("sets").to_pylist()]
+
+        def top(c: int) -> int:
+            while root.setdefault(c, c) != c:
+                root[c] = c = root[root[c]] if root[c] in root else root[c]
+            return c
+
+        tries = sorted(((-s, x, v) for x, y, share in group.partners() for v, s in zip(y.tolist(), share.tolist())), key=lambda z: z[0])
+        out = []
+        for _, x, y in tries:
+            a, b = top(group.component[x]), top(group.component[y])
+            if a != b and any(_near(p, q, link) for p in texts[x] for q in texts[y]):
+                root[max(a, b)] = min(a, b)
+                out.append((min(group.node[x], group.node[y]), max(group.node[x], group.node[y])))
+        return pa.table({"a": np.array([p for p, _ in out], np.int64), "b": np.array([q for _, q in out], np.int64)})
 
-    return dealt.groupBy("band", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+    return found.join(sets, "node").groupBy(*key).applyInArrow(confirm, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, bands: int = BANDS, rows_per_band: int = ROWS_PER_BAND, link: tuple[int, int] = LINK, at_least: float = SIGNATURE_AT_LEAST, block: int = BLOCK) -> DataFrame:
@@ -212,18 +259,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = signed.filter("doc_id is not null and n_shingles > 0")
     classes = staged(known.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")), "classes")
     banded = _bands(classes, bands, rows_per_band)
-    buckets = banded.groupBy("band").agg(F.min("node").alias("center"), F.count("*").alias("members")).filter("members > 1")
+    buckets = banded.groupBy("slot", "band").agg(F.min("node").alias("center"), F.count("*").alias("members")).filter("members > 1")
     crowded = staged(buckets, "buckets")
-    spokes = banded.join(crowded, "band").filter("node != center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
+    spokes = banded.join(crowded, ["slot", "band"]).filter("node != center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
     one, two = (classes.select(F.col("node").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("signature").alias(f"sig_{k}")) for k in ("a", "b"))
     sized = spokes.join(one, "a").join(two, "b").filter(_within_size("n_a", "n_b", link)).select("a", "b", "sig_a", "sig_b")
     first = staged(_confirmed(staged(_agreeing(sized, at_least), "pairs"), docs, width, link), "confirmed")
     # Different texts of one repeated id are one node: their classes are linked through it.
     repeated = known.join(classes.select("set_hi", "set_lo", "node"), ["set_hi", "set_lo"]).filter("doc_id != node").select(F.col("node").alias("a"), F.col("doc_id").alias("b")).distinct()
     labels = connected_components(first)
-    rest = staged(_across(banded, crowded, classes, labels, at_least, link, bands, rows_per_band, block), "pairs")
-    if not rest.isEmpty():
-        first = first.union(_confirmed(rest, docs, width, link))
+    rest = staged(_across(banded, crowded, classes, labels, docs, width, at_least, link, bands, block), "rest")
+    first = first.union(rest)
     final = connected_components(first.union(repeated))
     return (
         signed.select("doc_id", "n_shingles").join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
