@@ -31,7 +31,7 @@ from .common import mix, slices, split_words, staged, table, text_buffers
 ORDER, MASS = 2, 64.0  # the mass that does best on held-out texts of the smaller test tables
 FOLDS, HELD_OUT = 5, 1
 END = np.uint64(0x9D5C0FB1A3C4E26D)  # the hash of the end token
-_LEVEL = 0xA24BAED4963EE407
+_LEVEL, _ABOVE = 0xA24BAED4963EE407, np.uint64(2**64 - 4)
 
 
 def tokens_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -47,11 +47,12 @@ def tokens_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def ngrams(tokens: np.ndarray, at: np.ndarray, order: int) -> list[np.ndarray]:
-    """Hashes of the 1- to order-grams that end at each token; 0 where the row has too few tokens before."""
-    out, place = [mix(tokens)], np.arange(len(tokens)) - np.repeat(at[:-1], np.diff(at))
+    """Hashes of the 1- to order-grams that end at each token, their length less one in the low two bits; 0 where the row
+    has too few tokens before."""
+    out, place = [mix(tokens) & _ABOVE], np.arange(len(tokens)) - np.repeat(at[:-1], np.diff(at))
     for n in range(2, order + 1):
         gram = np.zeros_like(tokens)
-        gram[1:] = mix(out[-1][:-1] * np.uint64(0x100000001B3) + tokens[1:] + np.uint64(_LEVEL * n % 2**64))
+        gram[1:] = mix(out[-1][:-1] * np.uint64(0x100000001B3) + tokens[1:] + np.uint64(_LEVEL * n % 2**64)) & _ABOVE | np.uint64(n - 1)
         gram[place < n - 1] = 0
         out.append(gram)
     return out
@@ -91,41 +92,33 @@ def _unpack(packed) -> np.ndarray:
 
 
 def _asked(blocks: DataFrame, ranges: int, order: int) -> DataFrame:
-    """(range, block, level, hashes, counts): the distinct n-grams of a block by range, with its training counts."""
+    """(range, block, hashes, counts): the distinct n-grams of a block by hash range, with its training counts."""
 
     def ask(t: pa.Table) -> pa.Table:
         block, learns = t.column("block")[0].as_py(), t.column("learns").to_numpy().astype(bool)
         _, _, levels, learnt = _block_tokens(t.column("text"), learns, order)
-        rows: list[tuple] = []
-        for level, grams in enumerate(levels, 1):
-            known = grams != 0
-            hashes, counts = _sorted_counts(grams[known], learnt[known])
-            cuts = np.searchsorted(hashes, [np.uint64(r * (2**64 // ranges)) for r in range(1, ranges)])
-            for r, (h, c) in enumerate(zip(np.split(hashes, cuts), np.split(counts, cuts))):
-                if len(h):
-                    rows.append((r, block, level, _pack(h), c.astype("<u4").tobytes()))
-        return pa.table(list(zip(*rows)) and [pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names) if rows else pa.table([pa.array([], k) for k in kinds], names=names)
+        hashes, counts = _sorted_counts(np.concatenate([g[g != 0] for g in levels]), np.concatenate([learnt[g != 0] for g in levels]))
+        cuts = np.searchsorted(hashes, np.array([r * (2**64 // ranges) for r in range(1, ranges)], np.uint64))
+        parts = [(r, h, c) for r, (h, c) in enumerate(zip(np.split(hashes, cuts), np.split(counts, cuts))) if len(h)]
+        return pa.table({"range": pa.array([r for r, _, _ in parts], pa.int32()), "block": pa.array([block] * len(parts), pa.int32()), "hashes": pa.array([_pack(h) for _, h, _ in parts], pa.binary()), "counts": pa.array([c.astype("<u4").tobytes() for _, _, c in parts], pa.binary())})
 
-    kinds, names = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()], ["range", "block", "level", "hashes", "counts"]
-    return blocks.groupBy("block").applyInArrow(ask, "range int, block int, level int, hashes binary, counts binary")
+    return blocks.groupBy("block").applyInArrow(ask, "range int, block int, hashes binary, counts binary")
 
 
 def _answered(asked: DataFrame) -> DataFrame:
-    """(block, level, range, counts, tokens, types): corpus counts in the order asked; totals of the range's 1-grams once."""
+    """(block, range, counts, tokens, types): corpus counts in the order asked; totals of the range's 1-grams once."""
 
     def answer(t: pa.Table) -> pa.Table:
-        level = t.column("level")[0].as_py()
         hashes = [_unpack(x.as_buffer()) for x in t.column("hashes")]
-        every = np.concatenate(hashes)
-        mine = np.concatenate([np.frombuffer(x.as_buffer(), "<u4") for x in t.column("counts")]).astype(np.int64)
-        seen, back = np.unique(every, return_inverse=True)
+        mine = np.concatenate([np.frombuffer(x.as_buffer(), "<u4") for x in t.column("counts")])
+        seen, back = np.unique(np.concatenate(hashes), return_inverse=True)
         total = np.bincount(back, weights=mine, minlength=len(seen)).astype(np.int64)
-        cuts = np.cumsum([len(h) for h in hashes])[:-1]
-        n = t.num_rows
-        tokens, types = ([int(x) if level == 1 else 0] + [0] * (n - 1) for x in (total.sum(), (total > 0).sum()))
-        return pa.table({"block": t.column("block"), "level": t.column("level"), "range": t.column("range"), "counts": pa.array([x.astype("<u4").tobytes() for x in np.split(total[back], cuts)], pa.binary()), "tokens": pa.array(tokens, pa.int64()), "types": pa.array(types, pa.int64())})
+        words = total[(seen & ~_ABOVE) == 0]
+        rest = [0] * (t.num_rows - 1)
+        answers = [x.astype("<u4").tobytes() for x in np.split(total[back], np.cumsum([len(h) for h in hashes])[:-1])]
+        return pa.table({"block": t.column("block"), "range": t.column("range"), "counts": pa.array(answers, pa.binary()), "tokens": pa.array([int(words.sum()), *rest], pa.int64()), "types": pa.array([int((words > 0).sum()), *rest], pa.int64())})
 
-    return asked.groupBy("range", "level").applyInArrow(answer, "block int, level int, range int, counts binary, tokens long, types long")
+    return asked.groupBy("range").applyInArrow(answer, "block int, range int, counts binary, tokens long, types long")
 
 
 class Automaton:
@@ -135,10 +128,8 @@ class Automaton:
     ``fail_to`` and ``fail_weight``: the failure arc of each state.
     """
 
-    def __init__(self, tokens: np.ndarray, levels: list[np.ndarray], counts: list[tuple[np.ndarray, np.ndarray]], total: int, types: int, mass: float):
-        order = len(levels)
-        seen = [h[np.searchsorted(h, g)] == g if len(h) else np.zeros(len(g), bool) for g, (h, _) in zip(levels, counts)]
-        count = [np.where(s, c[np.minimum(np.searchsorted(h, g), len(h) - 1)] if len(h) else 0, 0) for g, s, (h, c) in zip(levels, seen, counts)]
+    def __init__(self, levels: list[np.ndarray], count: list[np.ndarray], total: int, types: int, mass: float):
+        order, tokens = len(levels), levels[0]
         self.words, self.word_of = np.unique(levels[0], return_inverse=True)
         p = (count[0] + 0.5) / (total + 0.5 * (types + 1))
         # A state for each seen history of 1 to order - 1 words that the block has.
@@ -198,7 +189,7 @@ class Automaton:
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, mass: float = MASS, folds: int = FOLDS, held_out: int = HELD_OUT, blocks: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs."""
     spark = docs.sparkSession
-    ranges = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = blocks or 2 * ranges
     text_id = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
     dealt = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), (F.crc32(text_id.cast("binary")) % folds == held_out).alias("held_out"))
@@ -210,16 +201,14 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def score(texts: pa.Table, answer: pa.Table) -> pa.Table:
         _, at, levels, _ = _block_tokens(texts.column("text"), np.zeros(texts.num_rows, bool), order)
-        found = {(k, r): c for k, r, c in zip(answer.column("level").to_pylist(), answer.column("range").to_pylist(), answer.column("counts"))}
-        counts = []
-        for level, grams in enumerate(levels, 1):
-            hashes = np.unique(grams[grams != 0])
-            c = [np.frombuffer(found[k].as_buffer(), "<u4") for k in sorted(x for x in found if x[0] == level)]
-            counts.append((hashes, np.concatenate(c).astype(np.int64) if c else np.zeros(0, np.int64)))
         rows = np.diff(at)
         if len(levels[0]):
-            known = counts[0][1][np.searchsorted(counts[0][0], levels[0])]
-            automaton = Automaton(levels[0], levels, counts, tokens_n, types_n, mass)
+            hashes = np.unique(np.concatenate([g[g != 0] for g in levels]))
+            by_range = np.argsort(answer.column("range").to_numpy())
+            found = np.concatenate([np.frombuffer(answer.column("counts")[int(k)].as_buffer(), "<u4") for k in by_range]).astype(np.int64)
+            counts = [np.where(g != 0, found[np.minimum(np.searchsorted(hashes, g), len(hashes) - 1)], 0) for g in levels]
+            known = counts[0]
+            automaton = Automaton(levels, counts, tokens_n, types_n, mass)
             scores = automaton.traverse(automaton.word_of, at)
             base = np.add.reduceat(np.log10((known + 0.5) / (tokens_n + 0.5 * (types_n + 1))), at[:-1])
             n_known = np.add.reduceat((known > 0).astype(np.int64), at[:-1])
