@@ -8,23 +8,24 @@ from __future__ import annotations
 import math
 import random
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-ALONG = Window.partitionBy("case_id").orderBy("pos")
+def along() -> WindowSpec:
+    return Window.partitionBy("case_id").orderBy("pos")
 
 
 def _changes(*keys: str) -> Column:
     """1 where any key differs from the row before, null-safe, and on the first row."""
     same = F.lit(True)
     for k in keys:
-        same = same & F.col(k).eqNullSafe(F.lag(k).over(ALONG))
-    return F.when((F.row_number().over(ALONG) == 1) | ~same, 1).otherwise(0)
+        same = same & F.col(k).eqNullSafe(F.lag(k).over(along()))
+    return F.when((F.row_number().over(along()) == 1) | ~same, 1).otherwise(0)
 
 
 def dense_rank_runs(lists: DataFrame, *keys: str) -> DataFrame:
     """Adds rank: one more whenever a key changes along the list (an unsorted list can change back)."""
-    return lists.withColumn("_step", _changes(*(keys or ("score", "depth")))).withColumn("rank", F.sum("_step").over(ALONG).cast("int")).drop("_step")
+    return lists.withColumn("_step", _changes(*(keys or ("score", "depth")))).withColumn("rank", F.sum("_step").over(along()).cast("int")).drop("_step")
 
 
 def service_rank(lists: DataFrame, *keys: str) -> DataFrame:
@@ -40,10 +41,10 @@ def historical_rank(lists: DataFrame) -> DataFrame:
     lists also has matches, is_resource and one_part (whether the truth has one part). The counter starts at 1 and moves on
     at each earlier row that is not tied with the row before it; with one-part truths, resource rows never move it.
     """
-    tied = (F.col("score") == F.lag("score").over(ALONG)) & (F.col("depth") == F.lag("depth").over(ALONG))
+    tied = (F.col("score") == F.lag("score").over(along())) & (F.col("depth") == F.lag("depth").over(along()))
     moves = F.when(F.col("one_part") & F.col("is_resource"), 0).when(F.coalesce(tied, F.lit(False)), 0).otherwise(1)
     counted = lists.withColumn("_moves", moves)
-    before = ALONG.rowsBetween(Window.unboundedPreceding, -1)
+    before = along().rowsBetween(Window.unboundedPreceding, -1)
     counted = counted.withColumn("rank", 1 + F.coalesce(F.sum("_moves").over(before), F.lit(0)))
     hit = F.col("matches") & (F.col("is_resource") | ~F.col("one_part"))
     return counted.filter(hit).groupBy("case_id").agg(F.min_by("rank", "pos").cast("int").alias("rank"))

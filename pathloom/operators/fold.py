@@ -5,27 +5,33 @@ All windows share one partitioning (session_id) and order (_ord, the source orde
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..config import FoldConfig
 from ..functions.abstraction import abstract_args
 from ..functions.scalar import ms_between
 
-SESSION = Window.partitionBy("session_id").orderBy("_ord")
-BEFORE = SESSION.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 UNKNOWN = "<unknown>"
 
 
+def in_session() -> WindowSpec:
+    return Window.partitionBy("session_id").orderBy("_ord")
+
+
+def so_far() -> WindowSpec:
+    return in_session().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
 def with_screen(events: DataFrame) -> DataFrame:
     """Adds screen: the last one opened or navigated to, in source order."""
     shown = F.when(F.col("kind") == "ScreenOpened", F.col("screen_id")).when(F.col("kind") == "NavigationOccurred", F.col("nav_to"))
-    return events.withColumn("screen", F.coalesce(F.last(shown, ignorenulls=True).over(BEFORE), F.lit(UNKNOWN)))
+    return events.withColumn("screen", F.coalesce(F.last(shown, ignorenulls=True).over(so_far()), F.lit(UNKNOWN)))
 
 
 def with_pauses(events: DataFrame, config: FoldConfig) -> DataFrame:
     """Adds is_pause: more than the idle gap since the event before, of whatever kind."""
-    gap = ms_between(F.col("ts"), F.lag("ts").over(SESSION))
+    gap = ms_between(F.col("ts"), F.lag("ts").over(in_session()))
     return events.withColumn("is_pause", F.coalesce(gap > config.idle_gap_ms, F.lit(False)))
 
 
@@ -36,8 +42,8 @@ def commands(events: DataFrame, config: FoldConfig, nested: bool = True) -> Data
     matter (then it equals what it was collapsed into), so that one lag over the commands decides.
     """
     found = with_screen(with_pauses(events, config)).filter("kind = 'CommandExecuted'").withColumn("abstract_args", abstract_args(F.col("args"), config, nested))
-    gap = ms_between(F.col("ts"), F.lag("ts").over(SESSION))
-    same = F.lag(action()).over(SESSION) == action()
+    gap = ms_between(F.col("ts"), F.lag("ts").over(in_session()))
+    same = F.lag(action()).over(in_session()) == action()
     return found.withColumn("is_burst", F.coalesce(same & (gap >= 0) & (gap < config.burst_gap_ms), F.lit(False)))
 
 
@@ -48,7 +54,7 @@ def action() -> Column:
 def scenarios(events: DataFrame, config: FoldConfig, nested: bool = True) -> DataFrame:
     """(session_id, action_idx, screen, command_id, abstract_args, _ord, seq, ts): the actions that are kept."""
     kept = commands(events, config, nested).filter(~F.col("is_burst"))
-    return kept.withColumn("action_idx", F.row_number().over(SESSION).cast("bigint") - 1).select("session_id", "action_idx", "screen", "command_id", "abstract_args", "_ord", "seq", "ts")
+    return kept.withColumn("action_idx", F.row_number().over(in_session()).cast("bigint") - 1).select("session_id", "action_idx", "screen", "command_id", "abstract_args", "_ord", "seq", "ts")
 
 
 def fold_report(events: DataFrame, config: FoldConfig, nested: bool = True) -> DataFrame:
@@ -76,7 +82,7 @@ def refold_report(actions: DataFrame, config: FoldConfig, nested: bool = True) -
 
 def action_sources(events: DataFrame, config: FoldConfig, nested: bool = True) -> DataFrame:
     """(session_id, action_idx, action columns, seqs, first_seq): the events that went into each action."""
-    runs = commands(events, config, nested).withColumn("action_idx", F.sum((~F.col("is_burst")).cast("bigint")).over(BEFORE) - 1)
+    runs = commands(events, config, nested).withColumn("action_idx", F.sum((~F.col("is_burst")).cast("bigint")).over(so_far()) - 1)
     grouped = runs.groupBy("session_id", "action_idx", "screen", "command_id", "abstract_args").agg(F.array_sort(F.collect_list(F.struct("_ord", "seq"))).alias("s"))
     return grouped.select("session_id", "action_idx", "screen", "command_id", "abstract_args", F.transform("s", lambda x: x["seq"]).alias("seqs"), F.col("s")[0]["seq"].alias("first_seq"))
 
@@ -99,4 +105,4 @@ def keep_commands(events: DataFrame, prefixes: list[str]) -> DataFrame:
     keep = F.lit(False)
     for p in prefixes:
         keep = keep | F.coalesce(F.col("command_id").startswith(p), F.lit(False))
-    return events.filter(keep).withColumn("seq", F.row_number().over(SESSION).cast("bigint") - 1)
+    return events.filter(keep).withColumn("seq", F.row_number().over(in_session()).cast("bigint") - 1)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..config import HeuristicsConfig
 
-ORDER = Window.partitionBy("session_id").orderBy("action_idx")
+def in_scenario() -> WindowSpec:
+    return Window.partitionBy("session_id").orderBy("action_idx")
 
 
 def label(screen: str = "screen", command: str = "command_id", args: str = "abstract_args") -> Column:
@@ -26,7 +27,7 @@ def nodes(acts: DataFrame) -> DataFrame:
 
 def pairs(acts: DataFrame) -> DataFrame:
     """(session_id, action_idx, _ord, src, dst): neighbours within a scenario."""
-    return acts.select("session_id", "action_idx", "_ord", F.col("action").alias("src"), F.lead("action").over(ORDER).alias("dst")).filter("dst is not null")
+    return acts.select("session_id", "action_idx", "_ord", F.col("action").alias("src"), F.lead("action").over(in_scenario()).alias("dst")).filter("dst is not null")
 
 
 def edges(acts: DataFrame) -> DataFrame:

@@ -24,10 +24,10 @@ def variants(acts: DataFrame) -> DataFrame:
 
 def directly_follows(acts: DataFrame, activities: list[str] | None = None, min_count: int = 1) -> DataFrame:
     """(src, dst, n) of commands that follow each other once others than the activities are taken out."""
-    from .graph import ORDER
+    from .graph import in_scenario
 
     kept = acts if activities is None else acts.filter(F.col("command_id").isin(activities))
-    followed = kept.select(F.col("command_id").alias("src"), F.lead("command_id").over(ORDER).alias("dst")).filter("dst is not null")
+    followed = kept.select(F.col("command_id").alias("src"), F.lead("command_id").over(in_scenario()).alias("dst")).filter("dst is not null")
     return followed.groupBy("src", "dst").agg(F.count("*").alias("n")).filter(F.col("n") >= min_count)
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import ms_between
-from .fold import SESSION
+from .fold import in_session
 
 SEVERITIES = ("Warning", "Error", "Critical")
 
@@ -31,7 +31,7 @@ def _violations(found: DataFrame, rule: str, severity: str, message: Column, evi
 
 
 def _next(column: str) -> Column:
-    return F.lead(column).over(SESSION)
+    return F.lead(column).over(in_session())
 
 
 @dataclass(frozen=True)
@@ -87,7 +87,7 @@ class ValidationsPassBeforeSubmit:
 
     def violations(self, events: DataFrame) -> DataFrame:
         resets = F.col("kind").isin("CommandExecuted", "NavigationOccurred").cast("bigint")
-        before = SESSION.rowsBetween(Window.unboundedPreceding, -1)
+        before = in_session().rowsBetween(Window.unboundedPreceding, -1)
         grouped = events.select("session_id", "_ord", "seq", "kind", "command_id", F.coalesce(F.sum(resets).over(before), F.lit(0)).alias("stretch"))
         stretch = Window.partitionBy("session_id", "stretch").orderBy("_ord").rowsBetween(Window.unboundedPreceding, -1)
         pending = grouped.withColumn("pending", F.collect_list(F.when(F.col("kind") == "ValidationFailed", F.col("seq"))).over(stretch))
@@ -152,7 +152,7 @@ class WithinWindow:
     window_ms: int
 
     def violations(self, events: DataFrame) -> DataFrame:
-        first = F.first("ts").over(SESSION.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        first = F.first("ts").over(in_session().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
         age = ms_between(F.col("ts"), first)
         return self.rule.violations(events.withColumn("_age", age).filter(F.col("_age").between(0, self.window_ms)).drop("_age"))
 

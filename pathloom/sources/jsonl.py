@@ -65,19 +65,34 @@ def too_deep(line: Column) -> Column:
     return F.coalesce(depth(F.when(brackets > DEEPEST, line)) > DEEPEST, F.lit(False))
 
 
-def _get(field: str, kind: str) -> Column:
-    return F.try_variant_get("v", f"$.{field}", kind)
+def _fields() -> dict[str, str]:
+    """Every field of the log by name, with its type; policies are taken apart."""
+    out = {"schema_version": COUNT, "seq": COUNT, "session_id": TEXT, "ts": TEXT, "correlation_id": TEXT, "domain_entity_id": TEXT, "kind": TEXT, "detail.message": TEXT}
+    for fields in KINDS.values():
+        for name, _, t, _ in fields:
+            if t == POLICY:
+                out |= {f"{name}.policy": TEXT, f"{name}.value": ANY, **{f"{name}.{x}": TEXT for x in ("display", "bucket", "hash", "algo")}}
+            else:
+                out[name] = TEXT if t == "outcome" else t
+    return out
+
+
+def _json_type(v: Column) -> Column:
+    """text, whole, other, or null if the field is absent or null."""
+    t = F.schema_of_variant(v)
+    return F.when(t == "STRING", "text").when(t == "BIGINT", "whole").when(t != "VOID", "other")
+
 
+def _x(field: str) -> Column:
+    return F.col("x").getField(field.replace(".", "_"))
 
-def _type(field: str) -> Column:
-    """The JSON type of a field: text, whole, other, or null if absent or null."""
-    t = F.schema_of_variant(_get(field, "variant"))
-    return F.when(t == "STRING", "text").when(t == "BIGINT", "whole").when((t != "VOID") & t.isNotNull(), F.when(t.startswith("OBJECT"), "object").otherwise("other"))
+
+def _t(field: str) -> Column:
+    return F.col("t").getField(field.replace(".", "_"))
 
 
 def _text_bad(field: str, required: bool) -> Column:
-    t = _type(field)
-    return F.when(t.isNull(), F.lit(required)).otherwise(t != "text")
+    return F.when(_t(field).isNull(), F.lit(required)).otherwise(_t(field) != "text")
 
 
 def _field_bad(name: str, kind: str, required: bool) -> Column:
@@ -86,76 +101,69 @@ def _field_bad(name: str, kind: str, required: bool) -> Column:
     if kind == TEXT:
         return _text_bad(name, required)
     if kind == COUNT:
-        return ~F.coalesce((_type(name) == "whole") & (_get(name, "bigint") >= 0), F.lit(False))
+        return ~F.coalesce((_t(name) == "whole") & (_x(name) >= 0), F.lit(False))
     if kind == "outcome":
-        label = _get(name, "string")
-        return ~F.coalesce((_type(name) == "text") & label.isin(*OUTCOMES), F.lit(False)) | F.coalesce((label == "failure") & (F.coalesce(_type("detail.message"), F.lit("none")) != "text"), F.lit(False))
-    bad = ~F.coalesce(_get(f"{name}.policy", "string").isin(*POLICIES), F.lit(False))
-    for policy, part in POLICIES.items():
-        if part and policy != "raw":
-            bad = bad | F.coalesce((_get(f"{name}.policy", "string") == policy) & (F.coalesce(_type(f"{name}.{part}"), F.lit("none")) != "text"), F.lit(False))
-    return bad
+        return ~F.coalesce((_t(name) == "text") & _x(name).isin(*OUTCOMES), F.lit(False)) | F.coalesce((_x(name) == "failure") & (F.coalesce(_t("detail.message"), F.lit("none")) != "text"), F.lit(False))
+    policy = _x(f"{name}.policy")
+    lacks = F.lit(False)
+    for label, part in POLICIES.items():
+        if part and label != "raw":
+            lacks = lacks | ((policy == label) & (F.coalesce(_t(f"{name}.{part}"), F.lit("none")) != "text"))
+    return ~F.coalesce(policy.isin(*POLICIES), F.lit(False)) | F.coalesce(lacks, F.lit(False))
 
 
 def _value(name: str, kind: str) -> Column:
-    if kind in (TEXT, "outcome"):
-        return _get(name, "string")
-    if kind == COUNT:
-        return _get(name, "bigint")
-    if kind == ANY:
-        return F.to_json(_get(name, "variant"))
-    parts = [_get(f"{name}.policy", "string").alias("policy"), F.to_json(_get(f"{name}.value", "variant")).alias("value"), *(_get(f"{name}.{p}", "string").alias(p) for p in ("display", "bucket", "hash", "algo"))]
-    return F.struct(*parts)
+    if kind == POLICY:
+        return F.struct(*(_x(f"{name}.{p}").alias(p) for p in ("policy", "value", "display", "bucket", "hash", "algo")))
+    return _x(name)
 
 
 def hyphenated(u: Column) -> Column:
     h = F.lower(F.replace(u, F.lit("-"), F.lit("")))
-    return F.concat_ws("-", *(F.substring(h, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))))
+    return F.when(u.isNotNull(), F.concat_ws("-", *(F.substring(h, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))))
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
     """Adds to lines (value and any others): all event columns and error_class, null on good lines."""
     text = F.regexp_replace("value", r"\r\z", "")
     df = lines.withColumn("raw", text).filter(F.trim("raw") != "").withColumn("v", F.try_parse_json("raw"))
-    version = _get("schema_version", "bigint")
-    whole = F.coalesce(_type("schema_version") == "whole", F.lit(False))
-    keys = F.json_object_keys("raw")
+    # Fields are taken out once, as two structs: values (x) and JSON types (t).
+    parts = {n: F.try_variant_get("v", f"$.{n}", "variant") for n in _fields()}
+    kinds = {TEXT: "string", COUNT: "bigint"}
+    values = [(F.to_json(v) if t == ANY else F.try_variant_get("v", f"$.{n}", kinds[t])).alias(n.replace(".", "_")) for (n, t), v in zip(_fields().items(), parts.values())]
+    df = df.withColumns({"x": F.struct(*values), "t": F.struct(*(_json_type(v).alias(n.replace(".", "_")) for n, v in parts.items()))})
+    version, whole = _x("schema_version"), F.coalesce(_t("schema_version") == "whole", F.lit(False))
     later = F.lit(False)
     for since, names in LATER_FIELDS.items():
         for n in names:
-            later = later | (F.coalesce(F.array_contains(keys, n), F.lit(False)) & (version < since))
-    kind = _get("kind", "string")
+            later = later | (F.coalesce(F.array_contains(F.json_object_keys("raw"), n), F.lit(False)) & (version < since))
     shape = F.lit(True)
     for k, fields in KINDS.items():
         bad = F.lit(False)
         for name, _, t, required in fields:
             bad = bad | _field_bad(name, t, required)
-        shape = F.when(kind == k, bad).otherwise(shape)
-    seq_ok = F.coalesce((_type("seq") == "whole") & (_get("seq", "bigint") >= 0), F.lit(False))
-    session, correlation, ts = _get("session_id", "string"), _get("correlation_id", "string"), _get("ts", "string")
-    common = ~seq_ok | ~F.coalesce(session.rlike(UUID), F.lit(False)) | ~F.coalesce(ts.rlike(RFC3339), F.lit(False)) | F.coalesce(~correlation.rlike(UUID), F.lit(False)) | _text_bad("domain_entity_id", False)
+        shape = F.when(_x("kind") == k, bad).otherwise(shape)
+    common = ~F.coalesce((_t("seq") == "whole") & (_x("seq") >= 0), F.lit(False)) | ~F.coalesce((_t("session_id") == "text") & _x("session_id").rlike(UUID), F.lit(False)) | ~F.coalesce((_t("ts") == "text") & _x("ts").rlike(RFC3339), F.lit(False))
+    common = common | F.coalesce((_t("correlation_id") != "text") | ~_x("correlation_id").rlike(UUID), F.lit(False)) | _text_bad("domain_entity_id", False)
     broken = F.col("v").isNull() | too_deep(F.col("raw"))
-    not_object = F.coalesce(~F.schema_of_variant("v").startswith("OBJECT"), F.lit(True))
+    not_object = ~F.coalesce(F.schema_of_variant("v").startswith("OBJECT"), F.lit(False))
+    moment = F.try_to_timestamp(F.regexp_replace(F.upper(_x("ts")), " ", "T"))
     wrong = (
         F.when(~F.is_valid_utf8(F.col("raw")), "Io").when(broken, "Parse").when(not_object | ~whole | (version < 0), "InvalidShape")
-        .when(~version.between(1, CURRENT), "UnsupportedSchemaVersion").when(later | common | shape, "InvalidShape")
+        .when(~version.between(1, CURRENT), "UnsupportedSchemaVersion").when(later | common | shape | moment.isNull(), "InvalidShape")
     )
-    df = df.withColumn("error_class", wrong).withColumn("v", F.when(F.col("error_class").isNull(), F.col("v")))
-    moment = F.try_to_timestamp(F.regexp_replace(F.upper(ts), " ", "T"))
-    fraction = F.rpad(F.substring(F.regexp_extract(ts, r"\.([0-9]+)", 1), 1, 9), 9, "0")
+    df = df.withColumn("error_class", wrong)
+    fraction = F.rpad(F.substring(F.regexp_extract(_x("ts"), r"\.([0-9]+)", 1), 1, 9), 9, "0")
     columns = {
-        "schema_version": F.lit(CURRENT), "session_id": hyphenated(session), "seq": _get("seq", "bigint"), "ts": moment,
-        "ts_nanos": F.unix_seconds(moment) * 1_000_000_000 + fraction.cast("bigint"), "correlation_id": hyphenated(correlation), "domain_entity_id": _get("domain_entity_id", "string"), "kind": kind,
+        "schema_version": F.lit(CURRENT), "session_id": hyphenated(_x("session_id")), "seq": _x("seq"), "ts": moment,
+        "ts_nanos": F.unix_seconds(moment) * 1_000_000_000 + fraction.cast("bigint"), "correlation_id": hyphenated(_x("correlation_id")), "domain_entity_id": _x("domain_entity_id"), "kind": _x("kind"),
     }
     for k, fields in KINDS.items():
         for name, column, t, _ in fields:
-            value = F.when(kind == k, _value(name, t))
+            value = F.when(_x("kind") == k, _value(name, t))
             columns[column] = F.coalesce(columns[column], value) if column in columns else value
-    columns["detail"] = F.when(F.col("outcome") == "failure", F.struct(_get("detail.message", "string").alias("message")))
-    detail = columns.pop("detail")
-    df = df.withColumns(columns).withColumn("detail", detail)
-    # A time that looks right may still name no moment.
-    return df.withColumn("error_class", F.when(F.col("error_class").isNull() & F.col("ts").isNull(), "InvalidShape").otherwise(F.col("error_class"))).drop("v")
+    columns["detail"] = F.when(_x("kind").isin("CommandExecuted", "AsyncOperationCompleted") & (_x("outcome") == "failure"), F.struct(_x("detail.message").alias("message")))
+    return df.withColumns(columns).drop("v", "x", "t")
 
 
 def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
