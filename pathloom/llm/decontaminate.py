@@ -35,9 +35,10 @@ def raw_tokens(text: Column) -> Column:
 
 
 def template(token: Column) -> Column:
-    """Tokens that begin with a digit are numbers; with one capital A-Z, names; all capitals are lower-cased."""
+    """Tokens that begin with a digit are numbers, those with one capital A-Z before a small letter names; the rest is lower-cased."""
+    second = F.substring(token, 2, 1)
     capital = (token >= "A") & (token < "[")
-    return F.when(token < ":", "<num>").when(capital, F.when(F.substring(token, 2, 1) >= "a", "<name>").otherwise(F.lower(token))).when(token.isin(UNITS), "<unit>").otherwise(token)
+    return F.when(token < ":", "<num>").when(capital, F.when(second != F.upper(second), "<name>").otherwise(F.lower(token))).when(token >= "\u0080", F.lower(token)).when(token.isin(UNITS), "<unit>").otherwise(token)
 
 
 def _prepared(rows: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:

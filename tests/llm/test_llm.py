@@ -243,11 +243,12 @@ def test_decontamination(spark):
     mixed = "Bob gave 5 apples to Eve and Bob kept 5 apples for the rest of the week before giving them all away again"
     inconsistent = mixed.replace("kept 5", "kept 8").replace("Bob gave", "Jim gave")
     filler = prose(random.Random(9), 40)
-    docs = {1: f"{filler} {item} {filler}", 2: f"{filler}\n{changed}.", 3: inconsistent, 4: filler, 5: None, 6: "", 7: " ".join(item.split()[:5]), 8: f"{mixed} {mixed}"}
+    shout = "Éai éonleeau pour an dé éonque aivi ai, éenait anvitre èenre éèque pour eauréon"
+    docs = {1: f"{filler} {item} {filler}", 2: f"{filler}\n{changed}.", 3: inconsistent, 4: filler, 5: None, 6: "", 7: " ".join(item.split()[:5]), 8: f"{mixed} {mixed}", 9: f"{filler} {shout.upper()}!!"}
     df = spark.createDataFrame([(k, t, 1, "x") for k, t in docs.items()] + [(1, docs[1], 1, "x"), (None, item, 1, "x")], "doc_id long, text string, item_id int, raw string")
-    bench = spark.createDataFrame([(10, item, "q"), (11, mixed, "q"), (12, "too short", "q"), (13, None, "q"), (14, item, "q")], "item_id long, text string, doc_id string")
+    bench = spark.createDataFrame([(10, item, "q"), (11, mixed, "q"), (12, "too short", "q"), (13, None, "q"), (14, item, "q"), (15, shout, "q")], "item_id long, text string, doc_id string")
     got = {(r["doc_id"], r["item_id"]): r["verbatim"] for r in decontaminate.contaminated(df, bench).collect()}
-    assert got == {(1, 10): True, (1, 14): True, (2, 10): False, (2, 14): False, (8, 11): True}
+    assert got == {(1, 10): True, (1, 14): True, (2, 10): False, (2, 14): False, (8, 11): True, (9, 15): True}
     assert decontaminate.contaminated(df.limit(0), bench).count() == 0 and decontaminate.contaminated(df, bench.limit(0)).count() == 0
 
 
