@@ -127,7 +127,8 @@ def ingest(spark, a) -> int:
 
 
 def slice_(spark, a) -> int:
-    for r in summary.slice_by(_store(spark, a.db), a.dimension, a.value).select(jsonl.envelope(_store(spark, a.db)).alias("line")).toLocalIterator():
+    store = _store(spark, a.db)
+    for r in summary.slice_by(store, a.dimension, a.value).select(jsonl.envelope(store).alias("line")).toLocalIterator():
         print(r["line"])
     return OK
 
