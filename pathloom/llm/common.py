@@ -120,10 +120,8 @@ def split_words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> Wo
     before[offsets[:-1][full]] = False
     after[offsets[1:][full] - 1] = False
     start, end = np.flatnonzero(word & ~before), np.flatnonzero(word & ~after) + 1
-    inside = np.arange(len(data)) - np.repeat(start, np.diff(np.append(start, len(data))))[: len(data) - start[0]] if start[0] == 0 else None
-    if inside is None:
-        inside = np.zeros(len(data), np.int64)
-        inside[start[0] :] = np.arange(start[0], len(data)) - np.repeat(start, np.diff(np.append(start, len(data))))
+    inside = np.zeros(len(data), np.int64)  # place of a byte after its word's first
+    inside[start[0] :] = np.arange(start[0], len(data)) - np.repeat(start, np.diff(np.append(start, len(data))))
     longest = int((end - start).max())
     powers = np.cumprod(np.full(longest, _STEP, np.uint64))
     np.minimum(inside, longest - 1, out=inside)
