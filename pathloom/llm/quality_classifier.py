@@ -49,6 +49,12 @@ def measures(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.stack([n, _row_sums(_SYMBOL[data], offsets) / per_word, _row_sums(_UPPER[data], offsets) / per_byte, _row_sums(data == ord("|"), offsets) / per_word, top / per_word, sizes / per_word, _row_sums(data == ord("!"), offsets) / per_word, _row_sums(_LETTER[data], offsets) / per_byte, distinct / per_word, echo / per_word], axis=1)
 
 
+def sample_measures(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The same for many rows, a slice at a time, which bounds the memory."""
+    parts = [measures(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]) for lo, hi in slices(offsets, 1 << 20)]
+    return np.concatenate(parts) if parts else np.zeros((0, MEASURES))
+
+
 def votes(m: np.ndarray) -> np.ndarray:
     """The labellers' votes, one row per text."""
     n, symbols, upper, bars, top, _, bangs, letters, distinct, echo = m.T
@@ -112,19 +118,34 @@ def raw_scores(weights: np.ndarray, data: np.ndarray, offsets: np.ndarray, m: np
     return _row_sums(weights[trigram_keys(data)], offsets) / np.sqrt(length) + weights[binned(m)].sum(axis=1) + weights[-1]
 
 
+def counted_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, bucket, count) of the trigrams of each row."""
+    rows, keys, counts = [], [], []
+    for lo, hi in slices(offsets, 1 << 20):
+        base = offsets[lo]
+        code = trigram_keys(data[base : offsets[hi]])
+        code += np.repeat(np.arange(hi - lo), np.diff(offsets[lo : hi + 1])) * BUCKETS
+        found, n = np.unique(code, return_counts=True)
+        rows.append((lo + found // BUCKETS).astype(np.int32))
+        keys.append((found % BUCKETS).astype(np.int32))
+        counts.append(n.astype(np.float32))
+    return tuple(np.concatenate(x) if x else np.zeros(0, np.int32) for x in (rows, keys, counts))
+
+
 def fit(texts: pa.Array, labels: np.ndarray, rounds: int = 30, rate: float = 0.5) -> np.ndarray:
-    """Logistic regression on posterior labels by full-batch AdaGrad."""
+    """Logistic regression on posterior labels by full-batch AdaGrad, over the counts of each text's buckets."""
     data, offsets = text_buffers(texts)
     rows, size = len(labels), BUCKETS + 16 * MEASURES + 1
     weights, grown = np.zeros(size), np.full(size, 1e-6)
     if rows == 0:
         return weights
-    m = measures(data, offsets)
-    keys, owner, dense = trigram_keys(data), np.repeat(np.arange(rows), np.diff(offsets)), binned(m)
-    scale = 1 / np.sqrt(np.maximum(np.diff(offsets), 1))
+    owner, keys, value = counted_keys(data, offsets)
+    value = value / np.sqrt(np.maximum(np.diff(offsets), 1)).astype(np.float32)[owner]
+    dense = binned(sample_measures(data, offsets))
     for _ in range(rounds):
-        error = 1 / (1 + np.exp(-raw_scores(weights, data, offsets, m))) - labels
-        grad = np.bincount(keys, weights=(error * scale)[owner], minlength=size)
+        score = np.bincount(owner, weights=weights[keys] * value, minlength=rows) + weights[dense].sum(axis=1) + weights[-1]
+        error = 1 / (1 + np.exp(-score)) - labels
+        grad = np.bincount(keys, weights=error[owner] * value, minlength=size)
         np.add.at(grad, dense.ravel(), np.repeat(error, dense.shape[1]))
         grad[-1] = error.sum()
         grad = grad / rows + 1e-5 * weights
@@ -157,7 +178,7 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tr
     sample = docs.join(F.broadcast(drawn.select("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")).orderBy("doc_id").toArrow()
     texts = sample.column("text").combine_chunks()
     data, offsets = text_buffers(texts)
-    labels = posteriors(votes(measures(data, offsets)), prior, rates) if len(texts) else np.zeros(0)
+    labels = posteriors(votes(sample_measures(data, offsets)), prior, rates) if len(texts) else np.zeros(0)
     shared = docs.sparkSession.sparkContext.broadcast((fit(texts, labels), prior, rates))
 
     def score(batches):
