@@ -20,6 +20,7 @@ import json
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from struct import pack
 from typing import NamedTuple
 
 import numpy as np
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Words remembered by a worker; when full, all are forgotten.
+#: Words, and pieces of words, that a worker remembers; when full, all are forgotten.
 REMEMBERED = 400_000
 
 
@@ -81,8 +82,10 @@ def compile_automaton(vocab: dict[str, int], merges: list[tuple[str, str]], suff
         if a == b:
             columns[c, at] &= ~bit  # of three equal symbols the first two merge
     lines, label = np.unique(columns.view(f"V{columns.shape[1]}").ravel(), return_inverse=True)
-    bits = np.unpackbits(lines.view(np.uint8).reshape(len(lines), -1), axis=1, bitorder="little")[:, : len(inner)]
-    rows, state_of = np.unique(np.packbits(bits.T, axis=1), axis=0, return_inverse=True)
+    del columns
+    lines = lines.view(np.uint8).reshape(len(lines), -1)
+    turned = [np.packbits(np.unpackbits(lines[:, at : at + 64], axis=1, bitorder="little").T, axis=1) for at in range(0, lines.shape[1], 64)]
+    rows, state_of = np.unique(np.concatenate(turned)[: len(inner)], axis=0, return_inverse=True)
     state = np.full(size, -1, np.int32)
     state[inner] = state_of.ravel()
     return Automaton(vocab, state, label.astype(np.int32), rows, suffix, max(map(len, vocab)))
@@ -103,6 +106,7 @@ class Encoder:
         self.state, self.label = automaton.state.tolist(), automaton.label.tolist()
         self.rows = [x.tobytes() for x in automaton.allowed]
         self.words: dict[str, tuple[int, bytes, bytes]] = {}
+        self.pieces: dict[str, list[int]] = {}
 
     def word(self, symbols: str) -> list[int]:
         """The path that spells the symbols: after[i] is the token that ends at i, which began at came[i]."""
@@ -125,18 +129,39 @@ class Encoder:
             i = came[i]
         return path[::-1]
 
+    def piece(self, text: str) -> list[int]:
+        """The ids of one piece of the splitting pattern."""
+        found = self.pieces.get(text)
+        if found is None:
+            found = self.word(text if text.isascii() and text.isprintable() else text.encode().decode("latin-1").translate(self.bytes))
+            if len(self.pieces) >= REMEMBERED:
+                self.pieces.clear()
+            self.pieces[text] = found
+        return found
+
     def chunk(self, text: str) -> tuple[int, bytes, bytes]:
         """Count, ids and decoded bytes of a text without white space."""
         found = self.words.get(text)
         if found is None:
-            lowered = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-            ids = [t for piece in self.pattern.findall(lowered) for t in self.word(piece.encode().decode("latin-1").translate(self.bytes))]
-            found = len(ids), np.array(ids, "<u4").tobytes(), " ".join(self.tokens[i] for i in ids).encode()
+            lowered = text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+            if lowered.isalpha():  # letters only are one piece
+                ids = self.piece(lowered)
+            else:
+                ids = [t for x in self.pattern.findall(lowered) for t in self.piece(x)]
+            tokens = self.tokens
+            found = len(ids), pack(f"<{len(ids)}I", *ids), " ".join([tokens[i] for i in ids]).encode()
             if len(self.words) >= REMEMBERED:
                 self.words.clear()
             self.words[text] = found
         return found
 
+    def plain_ids(self, text: str) -> bytes:
+        """The ids of a text whose special tokens, if any, are plain text."""
+        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
+            return self.encode(text, special=False)[1]
+        known, chunk = self.words.get, self.chunk
+        return b"".join([(known(p) or chunk(p))[1] for p in text.split()])
+
     def encode(self, text: str, special: bool = True) -> tuple[int, bytes, bytes]:
         """Count, ids as little-endian unsigned 32-bit integers, and decoded bytes of a text."""
         count, ids, decoded = 0, [], []
