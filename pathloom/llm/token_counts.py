@@ -38,14 +38,15 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, separator: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, (system, root) = encoder_of(shared), filesystem(folder)
         system.create_dir(root, recursive=True)
-        name, ordinal, end = f"tokens-{uuid.uuid4().hex}.bin", 0, np.array([separator], "<u2").tobytes()
+        name, ordinal, end = f"tokens-{uuid.uuid4().hex}.bin", 0, np.array([separator], "<u4").tobytes()
         out = None
         for batch in batches:
             if out is None and batch.num_rows:
                 out = system.open_output_stream(f"{root}/{name}")
-            for text in batch.column(1).to_pylist():
-                ids = np.frombuffer(encoder.encode(text or "", special=False)[1], "<u4")
-                out.write(ids.astype("<u2").tobytes() + end)
+            for at in range(0, batch.num_rows, 500):
+                texts = batch.column(1).slice(at, 500).to_pylist()
+                ids = np.frombuffer(b"".join([encoder.plain_ids(text or "") + end for text in texts]), "<u4")
+                out.write(ids.astype("<u2").tobytes())
             yield pa.record_batch([pa.array([name] * batch.num_rows, pa.string()), pa.array(np.arange(ordinal, ordinal + batch.num_rows)), batch.column(0)], names=["file", "ordinal", "doc_id"])
             ordinal += batch.num_rows
         if out is not None:
