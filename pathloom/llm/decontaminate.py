@@ -3,10 +3,12 @@
 Numbers, capitalised names and units become typed placeholders; windows of ``width`` template tokens are hashed and
 joined with those of the benchmark; a run of matches along one diagonal is kept only if its slots are consistent, that
 is, each value of the item is always the same value in the document. So questions whose numbers and names were changed
-are found as well. A document and an item are reported when the item's windows found in it are ``share`` of all or more.
+are found as well. The same is done with case-folded tokens, where names are literal, so that a passage in capitals, in
+lower case or in Title Case is found too. A document and an item are reported when the places found by either form are
+``share`` or more of all the item's comparable windows, or of those that the template form can compare.
 
-Windows with fewer literal tokens than half say too little and are not compared. The benchmark's windows are broadcast
-while they are few (BROADCAST_WINDOWS rows), else the join shuffles.
+Windows with fewer literal tokens than half say too little and are not compared in that form. The benchmark's windows are
+broadcast while they are few (BROADCAST_WINDOWS rows), else the join shuffles.
 
 Edge cases: null and empty texts have no tokens and match nothing; items shorter than ``width`` tokens are not searched
 for; rows that repeat an id are one document; rows with a null id are left out; other columns are ignored; an empty table
@@ -15,6 +17,9 @@ gives no rows; repeated items are reported under each id.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,13 +46,26 @@ def template(token: Column) -> Column:
     return F.when(token < ":", "<num>").when(capital, F.when(second != F.upper(second), "<name>").otherwise(F.lower(token))).when(token >= "\u0080", F.lower(token)).when(token.isin(UNITS), "<unit>").otherwise(token)
 
 
+def caseless(token: Column) -> Column:
+    """Capitals, so that letters without a single capital (as a sharp s) are equal too."""
+    return F.upper(token)
+
+
+def folded(token: Column) -> Column:
+    """Numbers and units as in the template, in any case; all else is literal whatever its case, names as well."""
+    return F.when(token < ":", "<num>").when(F.lower(token).isin(UNITS), "<unit>").otherwise(caseless(token))
+
+
+FORMS = {"template": template, "folded": folded}
+
+
 def _prepared(rows: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
     return rows.select(F.col(id_col).cast("long").alias(name), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).filter(F.col(name).isNotNull()).select(name, raw_tokens(F.col("text")).alias("raw"))
 
 
-def window_hashes(rows: DataFrame, width: int) -> DataFrame:
-    """Adds windows: the hash of each run of ``width`` template tokens of raw, in order."""
-    rows = rows.withColumn("run", F.transform("raw", lambda t: F.xxhash64(template(t))))
+def window_hashes(rows: DataFrame, width: int, typed: Callable[[Column], Column] = template) -> DataFrame:
+    """Adds windows: the hash of each run of ``width`` typed tokens of raw, in order."""
+    rows = rows.withColumn("run", F.transform("raw", lambda t: F.xxhash64(typed(t))))
     done, n = 1, F.size("raw")
     # (Those who explode the windows take the outer form: the filter that Spark infers for the other would be evaluated
     # below these projections, where it repeats every pass.)
@@ -59,27 +77,48 @@ def window_hashes(rows: DataFrame, width: int) -> DataFrame:
     return rows.withColumn("windows", F.slice("run", F.lit(1), F.greatest(n - (width - 1), F.lit(0)))).drop("run")
 
 
+def _item_windows(items: DataFrame, width: int, form: str) -> DataFrame:
+    """item_id, item_at, hash and form of the windows with literals enough."""
+    typed = FORMS[form]
+    rows = window_hashes(items, width, typed).select("item_id", F.posexplode("windows").alias("item_at", "hash"), F.transform("raw", lambda t: typed(t).startswith("<").cast("int")).alias("slot"))
+    slots = F.aggregate(F.slice("slot", F.col("item_at") + 1, F.lit(width)), F.lit(0), lambda a, b: a + b)
+    return rows.filter(slots * 2 <= width).select("item_id", "item_at", "hash", F.lit(form).alias("form")).distinct()
+
+
+def _slots(typed: Callable[[Column], Column], value: Callable[[Column], Column]) -> Column:
+    """The distinct (x, y) values in the slots that x and y share."""
+    both = F.zip_with("x", "y", lambda x, y: F.when(typed(x).startswith("<") & (typed(x) == typed(y)), F.struct(value(x).alias("x"), value(y).alias("y"))))
+    return F.array_distinct(F.filter(both, lambda s: s.isNotNull()))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = WIDTH, share: tuple[int, int] = SHARE) -> DataFrame:
-    """doc_id, item_id, n_windows (of the item's, found), item_windows (of the item's, comparable), verbatim (all slots equal)."""
+    """doc_id, item_id, n_windows (of the item's, found), item_windows (of the item's, comparable), verbatim (all slots equal but for case)."""
     items = _prepared(benchmark, item_col, item_text, "item_id")
-    kept = window_hashes(items, width).select("item_id", "raw", "windows", F.transform("raw", lambda t: template(t).startswith("<").cast("int")).alias("slot"))
-    kept = kept.select("item_id", "raw", F.posexplode("windows").alias("item_at", "hash"), "slot").filter(F.aggregate(F.slice("slot", F.col("item_at") + 1, F.lit(width)), F.lit(0), lambda a, b: a + b) * 2 <= width)
-    kept = staged(kept.select("item_id", "item_at", "hash").distinct(), "item-windows")
+    kept = staged(reduce(DataFrame.unionByName, [_item_windows(items, width, form) for form in FORMS]), "item-windows")
     few = kept.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
-    sides = F.broadcast(kept) if few else kept
     told = _prepared(docs, id_col, text_col, "doc_id")
-    hits = window_hashes(told, width).select("doc_id", F.posexplode_outer("windows").alias("at", "hash")).join(sides, "hash").select("doc_id", "item_id", "item_at", (F.col("at") - F.col("item_at")).alias("shift"))
-    runs = staged(hits.distinct().groupBy("doc_id", "item_id", "shift").agg(F.min("item_at").alias("first"), F.max("item_at").alias("last"), F.sort_array(F.collect_set("item_at")).alias("places")), "template-runs")
+
+    def sides(form: str) -> DataFrame:
+        rows = kept.filter(F.col("form") == form)
+        return F.broadcast(rows) if few else rows
+
+    hits = [window_hashes(told, width, typed).select("doc_id", F.posexplode_outer("windows").alias("at", "hash")).join(sides(form), "hash").select("doc_id", "item_id", "form", "item_at", (F.col("at") - F.col("item_at")).alias("shift")) for form, typed in FORMS.items()]
+    hits = reduce(DataFrame.unionByName, hits)
+    runs = staged(hits.distinct().groupBy("doc_id", "item_id", "form", "shift").agg(F.min("item_at").alias("first"), F.max("item_at").alias("last"), F.sort_array(F.collect_set("item_at")).alias("places")), "template-runs")
     # Slots of each run: values of the item beside those of the document. An id that repeats with several texts has several rows.
     texts = only_ids(told, runs.select("doc_id").distinct(), "doc_id").select("doc_id", F.col("raw").alias("doc_raw"))
     both = runs.join(texts, "doc_id").join(items.withColumnRenamed("raw", "item_raw"), "item_id")
     span = F.col("last") - F.col("first") + width
-    both = both.filter(F.col("first") + F.col("shift") + span <= F.size("doc_raw")).select("doc_id", "item_id", "places", F.slice("item_raw", F.col("first") + 1, span).alias("x"), F.slice("doc_raw", F.col("first") + F.col("shift") + 1, span).alias("y"))
-    both = both.withColumn("slots", F.array_distinct(F.filter(F.zip_with("x", "y", lambda x, y: F.when(template(x).startswith("<") & (template(x) == template(y)), F.struct(x.alias("x"), y.alias("y")))), lambda s: s.isNotNull())))
+    both = both.filter(F.col("first") + F.col("shift") + span <= F.size("doc_raw")).select("doc_id", "item_id", "form", "places", F.slice("item_raw", F.col("first") + 1, span).alias("x"), F.slice("doc_raw", F.col("first") + F.col("shift") + 1, span).alias("y"))
+    both = both.withColumn("slots", F.when(F.col("form") == "folded", _slots(folded, caseless)).otherwise(_slots(template, lambda t: t)))
     both = both.filter(F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["x"]))))
-    found = both.groupBy("doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("places")))).cast("long").alias("n_windows"), F.bool_and(F.forall("slots", lambda s: s["x"] == s["y"])).alias("verbatim"))
-    sizes = kept.groupBy("item_id").agg(F.countDistinct("item_at").alias("item_windows"))
-    return found.join(sizes, "item_id").filter(F.col("n_windows") * share[1] >= F.col("item_windows") * share[0]).select("doc_id", "item_id", "n_windows", "item_windows", "verbatim")
+    both = both.select("doc_id", "item_id", "places", F.forall("slots", lambda s: caseless(s["x"]) == caseless(s["y"])).alias("verbatim"))
+    found = both.groupBy("doc_id", "item_id").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.bool_and("verbatim").alias("verbatim"))
+    sizes = kept.groupBy("item_id").agg(F.countDistinct("item_at").alias("item_windows"), F.collect_set(F.when(F.col("form") == "template", F.col("item_at"))).alias("plain"))
+    found = found.join(sizes, "item_id").withColumn("n_windows", F.size("places").cast("long"))
+    of_all = F.col("n_windows") * share[1] >= F.col("item_windows") * share[0]
+    of_plain = (F.size("plain") > 0) & (F.size(F.array_intersect("places", "plain")) * share[1] >= F.size("plain") * share[0])
+    return found.filter(of_all | of_plain).select("doc_id", "item_id", "n_windows", "item_windows", "verbatim")
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

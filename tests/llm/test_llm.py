@@ -252,6 +252,16 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(df.limit(0), bench).count() == 0 and decontaminate.contaminated(df, bench.limit(0)).count() == 0
 
 
+def test_decontamination_in_any_case(spark):
+    item = "Anna Berg met Tom Klein in Oslo. Then Eva Stein left Rome for Bern. Max Weiß saw Paris, and Ida Holm ran 5 km with Jan Vogel"
+    filler = prose(random.Random(11), 40)
+    forms = {1: item, 2: item.upper(), 3: item.lower(), 4: item.title(), 5: item.upper().replace(" 5 KM", " 8 KM")}
+    df = spark.createDataFrame([(k, f"{filler} {t} {filler}") for k, t in forms.items()] + [(6, filler)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_windows"] == r["item_windows"], r["verbatim"]) for r in decontaminate.contaminated(df, bench).collect()}
+    assert got == {k: (True, True) for k in (1, 2, 3, 4)} | {5: (True, False)}
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
