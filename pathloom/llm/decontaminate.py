@@ -7,11 +7,13 @@ are found as well. The same is done with case-folded tokens, where names are lit
 lower case or in Title Case is found too. A document and an item are reported when the places found by either form are
 ``share`` or more of all the item's comparable windows, or of those that the template form can compare.
 
-Windows with fewer literal tokens than half say too little and are not compared in that form. The benchmark's windows are
-broadcast while they are few (BROADCAST_WINDOWS rows), else the join shuffles.
+Windows with fewer literal tokens than half say too little for a form; those that the case-folded form leaves out (mostly
+numbers and units) are compared token by token but for case, and items shorter than ``width`` tokens as a whole, so that
+every item with a token is searched for. The benchmark's windows are broadcast while they are few (BROADCAST_WINDOWS
+rows), else the join shuffles.
 
-Edge cases: null and empty texts have no tokens and match nothing; items shorter than ``width`` tokens are not searched
-for; rows that repeat an id are one document; rows with a null id are left out; other columns are ignored; an empty table
+Edge cases: null and empty texts have no tokens and match nothing; an item of one or two words is
+found wherever these stand; rows that repeat an id are one document; rows with a null id are left out; other columns are ignored; an empty table
 gives no rows; repeated items are reported under each id.
 """
 
@@ -78,11 +80,24 @@ def window_hashes(rows: DataFrame, width: int, typed: Callable[[Column], Column]
 
 
 def _item_windows(items: DataFrame, width: int, form: str) -> DataFrame:
-    """item_id, item_at, hash and form of the windows with literals enough."""
-    typed = FORMS[form]
-    rows = window_hashes(items, width, typed).select("item_id", F.posexplode("windows").alias("item_at", "hash"), F.transform("raw", lambda t: typed(t).startswith("<").cast("int")).alias("slot"))
-    slots = F.aggregate(F.slice("slot", F.col("item_at") + 1, F.lit(width)), F.lit(0), lambda a, b: a + b)
-    return rows.filter(slots * 2 <= width).select("item_id", "item_at", "hash", F.lit(form).alias("form")).distinct()
+    """item_id, item_at, hash, form and size of the windows with literals enough."""
+    rows = _with_slots(items, width, FORMS[form], FORMS[form])
+    return rows.filter(F.col("slots") * 2 <= width).select("item_id", "item_at", "hash", F.lit(form).alias("form"), F.lit(width).alias("size")).distinct()
+
+
+def _exact_windows(items: DataFrame, width: int) -> DataFrame:
+    """The same of the windows that have too few literals even when folded, and of whole items that are shorter."""
+    found = _with_slots(items, width, caseless, folded).filter(F.col("slots") * 2 > width).select("item_id", "item_at", "hash", F.lit(width).alias("size"))
+    for size in range(1, width):
+        short = window_hashes(items.filter(F.size("raw") == size), size, caseless)
+        found = found.unionByName(short.select("item_id", F.posexplode("windows").alias("item_at", "hash"), F.lit(size).alias("size")))
+    return found.select("item_id", "item_at", "hash", F.lit("exact").alias("form"), "size").distinct()
+
+
+def _with_slots(items: DataFrame, width: int, typed: Callable[[Column], Column], slotted: Callable[[Column], Column]) -> DataFrame:
+    """item_id, item_at and hash of the windows of typed tokens, and how many of their tokens are slots."""
+    rows = window_hashes(items, width, typed).select("item_id", F.posexplode("windows").alias("item_at", "hash"), F.transform("raw", lambda t: slotted(t).startswith("<").cast("int")).alias("slot"))
+    return rows.withColumn("slots", F.aggregate(F.slice("slot", F.col("item_at") + 1, F.lit(width)), F.lit(0), lambda a, b: a + b))
 
 
 def _slots(typed: Callable[[Column], Column], value: Callable[[Column], Column]) -> Column:
@@ -94,12 +109,12 @@ def _slots(typed: Callable[[Column], Column], value: Callable[[Column], Column])
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = WIDTH, share: tuple[int, int] = SHARE) -> DataFrame:
     """doc_id, item_id, n_windows (of the item's, found), item_windows (of the item's, comparable), verbatim (all slots equal but for case)."""
     items = _prepared(benchmark, item_col, item_text, "item_id")
-    kept = staged(reduce(DataFrame.unionByName, [_item_windows(items, width, form) for form in FORMS]), "item-windows")
+    kept = staged(reduce(DataFrame.unionByName, [*(_item_windows(items, width, form) for form in FORMS), _exact_windows(items, width)]), "item-windows")
     few = kept.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
     told = _prepared(docs, id_col, text_col, "doc_id")
 
-    def sides(form: str) -> DataFrame:
-        rows = kept.filter(F.col("form") == form)
+    def sides(form: str, size: int = width) -> DataFrame:
+        rows = kept.filter((F.col("form") == form) & (F.col("size") == size))
         return F.broadcast(rows) if few else rows
 
     hits = [window_hashes(told, width, typed).select("doc_id", F.posexplode_outer("windows").alias("at", "hash")).join(sides(form), "hash").select("doc_id", "item_id", "form", "item_at", (F.col("at") - F.col("item_at")).alias("shift")) for form, typed in FORMS.items()]
@@ -113,6 +128,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     both = both.withColumn("slots", F.when(F.col("form") == "folded", _slots(folded, caseless)).otherwise(_slots(template, lambda t: t)))
     both = both.filter(F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["x"]))))
     both = both.select("doc_id", "item_id", "places", F.forall("slots", lambda s: caseless(s["x"]) == caseless(s["y"])).alias("verbatim"))
+    # Exact windows have no slots to compare, so that their places alone tell. (At most width sizes.)
+    for row in kept.filter("form = 'exact'").select("size").distinct().collect():
+        exact = window_hashes(told, row["size"], caseless).select("doc_id", F.explode_outer(F.array_distinct("windows")).alias("hash")).join(sides("exact", row["size"]), "hash")
+        both = both.unionByName(exact.groupBy("doc_id", "item_id").agg(F.collect_set("item_at").alias("places")).withColumn("verbatim", F.lit(True)))
     found = both.groupBy("doc_id", "item_id").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.bool_and("verbatim").alias("verbatim"))
     sizes = kept.groupBy("item_id").agg(F.countDistinct("item_at").alias("item_windows"), F.collect_set(F.when(F.col("form") == "template", F.col("item_at"))).alias("plain"))
     found = found.join(sizes, "item_id").withColumn("n_windows", F.size("places").cast("long"))

@@ -262,6 +262,17 @@ def test_decontamination_in_any_case(spark):
     assert got == {k: (True, True) for k in (1, 2, 3, 4)} | {5: (True, False)}
 
 
+def test_decontamination_of_numbers_and_short_items(spark):
+    sums, short, mixed = "12 + 45 = 57, 8 x 4 = 32, 7 x 6 = 42, 91 - 30 = 61", "Quid pro quo, Anna?", "1 2 3 4 5 6 7 8 9 10 km"
+    filler = prose(random.Random(12), 40)
+    docs = {1: f"{filler} {sums} {filler}", 2: sums.replace("4", "5"), 3: f"{filler} {short.upper()} {filler}", 4: f"{filler} quid pro Anna", 5: f"{filler} {mixed.upper()}", 6: filler, 7: "8 9 10 km", 8: None}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, sums), (2, short), (3, mixed), (4, ""), (5, None)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["n_windows"], r["item_windows"], r["verbatim"]) for r in decontaminate.contaminated(df, bench).collect()}
+    assert got.keys() == {(1, 1), (3, 2), (5, 3)}
+    assert all(n == of and same for n, of, same in got.values()) and got[3, 2] == (1, 1, True)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
