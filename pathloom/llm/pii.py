@@ -2,8 +2,9 @@
 
 The model is trained in numpy from labelled spans that a seeded generator writes (prose of invented words with mails,
 addresses, card and phone numbers in many shapes, and look-alikes without a label), so it is the same in every session.
-Windows of WINDOW characters at every STRIDE are decoded; windows without a digit or an at-sign are not, since a span
-without either is never accepted. A document's spans from all its windows are reconciled at once: the best-scoring set of
+Windows of WINDOW characters at every STRIDE are decoded; windows without a digit, an at-sign or a bracketed "at" are not,
+since a span without any of these is never accepted. Where a tagged run meets a window's edge, a window twice as wide is
+decoded until it holds the run whole; long candidates have a window of their own. A document's spans from all its windows are reconciled at once: the best-scoring set of
 spans that do not overlap, after the fixed patterns' spans, which always stay. Added spans must be sure (mean marginal of
 SURE or more) and well-formed.
 
@@ -19,6 +20,7 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +41,9 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]+")
-TRIGGER = re.compile(r"[0-9@]")
+TRIGGER = re.compile(r"[0-9@]|[\[(]at[\])]")
+AT = re.compile(r"[\[(]at[\])]")
+NUMBERS = re.compile(r"[0-9][\x20().0-9/-]*+")
 
 
 def luhn(digits: str) -> bool:
@@ -305,34 +309,99 @@ def reconcile(spans: list[tuple[int, int, int, float]], fixed: list[tuple[int, i
     return chosen[-1]
 
 
+def _long(text: str) -> Iterator[tuple[int, int]]:
+    """(start, end) of what may be one span and is too long to lie whole in a window at every STRIDE."""
+    free = 0
+    for m in AT.finditer(text):
+        start, end = m.start(), m.end()
+        start -= text[start - 1 : start] == " "
+        while start > free and text[start - 1] in LOCAL:
+            start -= 1
+        end += text[end : end + 1] == " "
+        while end < len(text) and text[end] in LOCAL:
+            end += 1
+        free = m.end()
+        if end - start > WINDOW - STRIDE:
+            yield start, end
+    for m in NUMBERS.finditer(text):
+        if m.end() - m.start() > WINDOW - STRIDE and 10 <= len(NOT_DIGIT.sub("", m[0])):
+            yield m.start(), m.end()
+
+
+def _wide(start: int, end: int, length: int) -> tuple[int, int]:
+    """A window around start and end: its start, and its width as a multiple of WINDOW."""
+    start, end = max(0, start), min(end, length)
+    return start, -(-(end - start) // WINDOW) * WINDOW
+
+
+def _merged(windows: set[tuple[int, int, int]]) -> Iterator[tuple[int, int, int]]:
+    """(owner, start, end) of windows, those of one owner that overlap as one."""
+    last = None
+    for i, s, e in sorted(windows):
+        if last and last[0] == i and s < last[2]:
+            last = (i, last[1], max(e, last[2]))
+        else:
+            if last:
+                yield last
+            last = (i, s, e)
+    if last:
+        yield last
+
+
+def _cut(path: np.ndarray, start: int, length: int, fixed: list[tuple[int, int, int]]) -> tuple[bool, bool]:
+    """Whether tagged runs go on beyond the window's left and right edge; what touches a fixed span is not added anyway."""
+    out, n = np.flatnonzero(path == 0), len(path)
+    first, last = (int(out[0]), int(out[-1]) + 1) if len(out) else (n, 0)
+
+    def free(s: int, e: int) -> bool:
+        return s < e and not any(a < start + e and start + s < b for a, _, b in fixed)
+
+    return start > 0 and free(0, first), start + n < length and free(last, n)
+
+
 def find(texts: list[str], model: dict[str, np.ndarray]) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
     """(fixed spans, added spans) of each text; windows of all texts are decoded together."""
-    fixed, windows, owner = [], [], []
+    fixed, codes, todo = [], [], []
     for i, text in enumerate(texts):
         if not TRIGGER.search(text):
             fixed.append([])
+            codes.append(None)
             continue
         fixed.append(base_spans(text))
         symbols = coded(text)
+        codes.append(symbols)
         hot = np.flatnonzero(((symbols >= 48) & (symbols <= 57)) | (symbols == 64))
+        hot = np.concatenate([hot, np.array([k for m in AT.finditer(text) for k in range(m.start(), m.end())], np.int64)])
         for k in np.unique(np.concatenate([hot // STRIDE, hot // STRIDE - 1])).tolist():
             if k >= 0 or k == -1 and len(text) < STRIDE:
-                start = max(k, 0) * STRIDE
-                part = symbols[start : start + WINDOW]
-                windows.append(np.concatenate([part, np.full(WINDOW - len(part), 32, np.int16)]))
-                owner.append((i, start, len(text)))
+                todo.append((i, max(k, 0) * STRIDE, WINDOW))
+        todo += [(i, *_wide(s - STRIDE, e + STRIDE, len(text))) for s, e in _long(text)]
     found: list[list] = [[] for _ in texts]
-    for at in range(0, len(windows), 2048):
-        x = np.stack(windows[at : at + 2048]).astype(np.int64)
-        emit = emissions(model, x)
-        path, p = viterbi(emit, model["moves"]), marginals(emit, model["moves"])
-        sure = np.take_along_axis(p, path[:, :, None].astype(np.int64), 2)[:, :, 0]
-        for w in np.flatnonzero(path.any(axis=1)).tolist():
-            i, start, length = owner[at + w]
-            for s, k, e, score in _spans_of(path[w], sure[w]):
-                cut = (s == 0 and start > 0) or (e == WINDOW and start + WINDOW < length)
-                if not cut and score >= SURE and start + e <= length and well_formed(k, texts[i][start + s : start + e]):
-                    found[i].append((start + s, k, start + e, score))
+    while todo:
+        wider: set[tuple[int, int, int]] = set()
+        todo.sort(key=lambda w: w[2])
+        for width, group in groupby(todo, key=lambda w: w[2]):
+            group, most = list(group), max(1, 2048 * WINDOW // width)
+            for at in range(0, len(group), most):
+                part = group[at : at + most]
+                x = np.full((len(part), width), 32, np.int64)
+                for row, (i, start, _) in zip(x, part):
+                    piece = codes[i][start : start + width]
+                    row[: len(piece)] = piece
+                emit = emissions(model, x)
+                path, p = viterbi(emit, model["moves"]), marginals(emit, model["moves"])
+                sure = np.take_along_axis(p, path[:, :, None].astype(np.int64), 2)[:, :, 0]
+                for w in np.flatnonzero(path.any(axis=1)).tolist():
+                    i, start, _ = part[w]
+                    length = len(texts[i])
+                    for s, k, e, score in _spans_of(path[w], sure[w]):
+                        cut = (s == 0 and start > 0) or (e == width and start + width < length)
+                        if not cut and score >= SURE and start + e <= length and well_formed(k, texts[i][start + s : start + e]):
+                            found[i].append((start + s, k, start + e, score))
+                    left, right = _cut(path[w], start, length, fixed[i])
+                    if left or right:
+                        wider.add((i, start - width * left, start + width + width * right))
+        todo = [(i, *_wide(s, e, len(texts[i]))) for i, s, e in _merged(wider)]
     return [(f, reconcile(s, f) if s else []) for f, s in zip(fixed, found)]
 
 

@@ -162,6 +162,14 @@ def test_personal_data(spark):
     assert pii.mask("call +1 (132) 555-1352 now", [(5, 3, 22)]) == "call <phone> now"
 
 
+def test_obfuscated_addresses_anywhere():
+    model, pad = pii.trained(), "the reason was as it is of the road and on in her or he at end " * 4
+    assert pii.find(["write to jane.doe [at] mail.example.com now"], model) == [([], [(9, 0, 39)])]
+    long = "onerestandoruntienhaedat.ndaterreenor [at] mail3.host.org"
+    texts = [f"{pad[:k]} {long} {pad}" for k in range(100, 164)]
+    assert pii.find(texts, model) == [([], [(k + 1, 0, k + 1 + len(long))]) for k in range(100, 164)]
+
+
 def test_personal_data_model():
     x, y = pii.labelled(300, 99)
     path = pii.viterbi(pii.emissions(pii.trained(), x.astype(np.int64)), pii.trained()["moves"])
