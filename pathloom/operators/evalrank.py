@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -98,3 +99,18 @@ def bootstrap_ci(differences: list[float], resamples: int = 10_000, seed: int =
     rng, n = random.Random(seed), len(differences)
     means = sorted(sum(differences[rng.randrange(n)] for _ in range(n)) / n for _ in range(resamples))
     return means[int(0.025 * resamples)], means[int(0.975 * resamples) - 1]
+
+
+def bootstrap_ci_of(pairs: DataFrame, resamples: int = 10_000, seed: int = 20260820) -> tuple[float | None, float | None]:
+    """The same interval over the paired reciprocal-rank differences of all rows of (left_rank, right_rank); a null rank counts 0.
+
+    Only the distinct pairs of ranks and their counts reach the driver: a resample of n cases is a multinomial draw from them.
+    """
+    counted = pairs.groupBy("left_rank", "right_rank").agg(F.count("*").alias("n")).orderBy("left_rank", "right_rank").collect()
+    if not counted:
+        return None, None
+    value = np.array([(1 / r["left_rank"] if r["left_rank"] else 0.0) - (1 / r["right_rank"] if r["right_rank"] else 0.0) for r in counted])
+    n = np.array([r["n"] for r in counted])
+    rng = np.random.Generator(np.random.PCG64(seed))
+    means = np.sort(np.concatenate([rng.multinomial(n.sum(), n / n.sum(), min(500, resamples - at)) @ value for at in range(0, resamples, 500)]) / n.sum())
+    return float(means[int(0.025 * resamples)]), float(means[int(0.975 * resamples) - 1])

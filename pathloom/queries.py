@@ -595,18 +595,21 @@ def fault_class_breakdown(spark, sf_dir):
     return evalrank.by_fault_class(_service_ranks(spark, sf_dir).withColumn("fault_class", F.when(F.col("case_id") % 3 == 0, "code-defect").otherwise("resource")))
 
 
-@query(_FIRST + ", o AS (SELECT case_id, CASE WHEN case_id % 4 = 0 THEN NULL ELSE (rank + case_id % 3)::INT END AS rank FROM ranks) SELECT count_if(coalesce(a.rank <= 2, false) AND NOT coalesce(o.rank <= 2, false))::BIGINT AS b, count_if(NOT coalesce(a.rank <= 2, false) AND coalesce(o.rank <= 2, false))::BIGINT AS c FROM ranks a JOIN o USING (case_id)")
-def mcnemar(spark, sf_dir):
+def _rank_pairs(spark, sf_dir) -> DataFrame:
     ranks = _service_ranks(spark, sf_dir)
     other = ranks.select("case_id", F.when(F.col("case_id") % 4 == 0, None).otherwise(F.col("rank") + F.col("case_id") % 3).cast("int").alias("rank"))
-    return evalrank.mcnemar(evalrank.paired(ranks, other, ["case_id"]), 2)
+    return evalrank.paired(ranks, other, ["case_id"])
+
+
+@query(_FIRST + ", o AS (SELECT case_id, CASE WHEN case_id % 4 = 0 THEN NULL ELSE (rank + case_id % 3)::INT END AS rank FROM ranks) SELECT count_if(coalesce(a.rank <= 2, false) AND NOT coalesce(o.rank <= 2, false))::BIGINT AS b, count_if(NOT coalesce(a.rank <= 2, false) AND coalesce(o.rank <= 2, false))::BIGINT AS c FROM ranks a JOIN o USING (case_id)")
+def mcnemar(spark, sf_dir):
+    return evalrank.mcnemar(_rank_pairs(spark, sf_dir), 2)
 
 
 @query(None)
 def bootstrap_ci(spark, sf_dir):
-    """Confidence interval of the mean rank difference over the first 56 cases (the size of the paired study)."""
-    ranks = [1 / r["rank"] if r["rank"] else 0.0 for r in _service_ranks(spark, sf_dir).orderBy("case_id").limit(56).collect()]
-    return spark.createDataFrame([evalrank.bootstrap_ci(ranks, 2000)], "low double, high double")
+    """Confidence interval of the mean difference in reciprocal rank over all paired cases (those of mcnemar)."""
+    return spark.createDataFrame([evalrank.bootstrap_ci_of(_rank_pairs(spark, sf_dir))], "low double, high double")
 
 
 # ---- gates -----------------------------------------------------------------------------------------------------------

@@ -170,3 +170,13 @@ def test_rank_semantics(spark):
     same = spark.createDataFrame([("a", 1), ("a", 2)], "k string, rank int")
     with pytest.raises(Exception, match="key comes twice"):
         evalrank.paired(same, same, ["k"]).collect()
+
+
+def test_bootstrap_takes_all_pairs(spark):
+    # The first 56 pairs are equal; only those after them differ.
+    pairs = spark.createDataFrame([(1, 1)] * 56 + [(1, 2)] * 300 + [(None, 4)] * 44, "left_rank int, right_rank int")
+    differences = [0.0] * 56 + [0.5] * 300 + [-0.25] * 44
+    low, high = evalrank.bootstrap_ci_of(pairs)
+    assert low < sum(differences) / 400 < high
+    assert (low, high) == pytest.approx(evalrank.bootstrap_ci(differences, 2000), abs=0.005)
+    assert evalrank.bootstrap_ci_of(pairs.limit(0)) == (None, None)
