@@ -343,6 +343,28 @@ def rare_failing(spark, sf_dir):
     return _joined(found).select("pattern", "support", F.round("fraction", 6).alias("fraction"), F.round("error_rate", 6).alias("error_rate"))
 
 
+# frequent_patterns_len3, top_workflows and rare_failing are cut so that their SQL twins stay cheap; these mine with the report's settings, for which self-joins in
+# SQL are too slow (the tests compare them with a brute-force miner).
+
+
+@query(None)
+def frequent_patterns_full(spark, sf_dir):
+    return _joined(patterns.frequent_patterns(acts(spark, sf_dir), 5, ReportConfig.max_length))
+
+
+@query(None)
+def top_workflows_full(spark, sf_dir):
+    found = patterns.frequent_patterns(acts(spark, sf_dir), 5, ReportConfig.max_length)
+    return _joined(patterns.top_workflows(found, ReportConfig.top_n))
+
+
+@query(None)
+def rare_failing_full(spark, sf_dir):
+    a = acts(spark, sf_dir)
+    found = patterns.rare_failing(a, patterns.frequent_patterns(a, 2, ReportConfig.max_length), summary.error_sessions(trace_view(spark, sf_dir)), ReportConfig())
+    return _joined(found).select("pattern", "support", F.round("fraction", 6).alias("fraction"), F.round("error_rate", 6).alias("error_rate"))
+
+
 @query(f"{folded(WIDE)}, p AS (SELECT command_id AS src, lead(command_id) OVER (PARTITION BY session_id ORDER BY action_idx) AS dst FROM act WHERE command_id LIKE 'click%' OR command_id LIKE 'purchase%') SELECT src, dst, count(*) AS n FROM p WHERE dst IS NOT NULL GROUP BY ALL HAVING count(*) >= 2")
 def directly_follows(spark, sf_dir):
     names = [f"{e}.{c}" for e in ("click", "purchase") for c in ("Save", "Open", "Submit")]

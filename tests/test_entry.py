@@ -30,6 +30,31 @@ def test_query_matches_sql(spark, name):
     assert rows(df.columns, df.collect()) == rows([d[0] for d in cursor.description], cursor.fetchall())
 
 
+def test_patterns_of_all_lengths(spark):
+    """Against a miner that lists every subsequence of every session."""
+    from collections import Counter
+    from itertools import combinations
+
+    from pathloom.operators import patterns, summary
+    from pathloom.sources.events_view import trace_view
+
+    sf = "/root/testdata/sf0.01"
+    sequences = {r["session_id"]: r["actions"] for r in patterns._sequences(core.acts(spark, sf)).collect()}
+    bad = {r["session_id"] for r in summary.error_sessions(trace_view(spark, sf)).collect()}
+    support, failing = Counter(), Counter()
+    for session, actions in sequences.items():
+        for p in {c for n in range(1, min(len(actions), 10) + 1) for c in combinations(actions, n)}:
+            support[p] += 1
+            failing[p] += session in bad
+    often = {" > ".join(p): n for p, n in support.items() if n >= 5}
+    assert {r["pattern"]: r["support"] for r in core.QUERIES["frequent_patterns_full"](spark, sf).collect()} == often
+    top = sorted(((-n, len(p), p) for p, n in support.items() if n >= 5))[:20]
+    assert [(r["pattern"], r["support"]) for r in core.QUERIES["top_workflows_full"](spark, sf).collect()] == [(" > ".join(p), -n) for n, _, p in top]
+    rare = {" > ".join(p): n for p, n in support.items() if n >= 2 and n / len(sequences) <= 0.01 and failing[p] / n >= 0.05}
+    assert {r["pattern"]: r["support"] for r in core.QUERIES["rare_failing_full"](spark, sf).collect()} == rare
+    assert any(p.count(" > ") >= 2 for p in rare)
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
