@@ -4,13 +4,19 @@
 after another to the automaton that loops on single symbols. After the gadget of merge (a, b) -> c, state a no longer has
 an arc b, every state with an arc a has an arc c, and c leads to where b led. Since every arc with one label leads to one
 state, states and labels are both tokens and the transition table is a bit matrix, which is then minimised: states with
-equal rows and labels with equal columns share one. A word's encoding is the only path through the automaton that spells
-it; it is found from left to right, with one live state after every symbol, so the time is linear in the word's length.
-Decoding emits the labels of the arcs.
+equal rows and labels with equal columns share one.
 
-Edge cases: null is the empty text, which has no tokens and decodes to the empty text; repeated rows come back as often;
-other columns are ignored; special tokens written out in a text become their ids, as the library does by default, or
-plain text with ``special=False``.
+A pre-split word is read from left to right, one table-driven transition a symbol: a trie of the tokens' spellings with
+failure arcs knows the longest token that ends at the symbol, each token knows the next shorter one that ends it, and
+the first of them that the tokenization automaton lets follow is the live state there. So after every symbol there is one
+live state, and the time is linear in the word's length. Decoding emits the labels of the arcs.
+
+Texts are worked on in slices of bytes; the distinct pieces of a slice are encoded once, all of them a symbol at a time, and
+their ids gathered, so that the memory of a task is that of a slice and of the tables.
+
+Edge cases: null and empty texts have no tokens and decode to the empty text; null ids stay null; repeated rows come
+back as often; a very long text is a slice of its own; an empty table gives no rows; other columns are ignored; special
+tokens written out in a text become their ids, as the library does by default, or plain text with ``special=False``.
 """
 
 from __future__ import annotations
@@ -20,19 +26,27 @@ import json
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
-from struct import pack
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import IS_SPACE, LOWER, slices, table, text_buffers, word_bounds
 
-#: Words, and pieces of words, that a worker remembers; when full, all are forgotten.
-REMEMBERED = 400_000
+#: Bytes of text that are encoded at a time.
+SLICE_BYTES = 4 << 20
+#: Bytes from which a piece is encoded on its own and not together with the others.
+LONG = 128
+#: The symbol of a word's last byte is the byte and this.
+LAST = 256
+#: Bytes of words that the splitting pattern must be asked about, and the classes of all other bytes.
+_ODD = (np.arange(256) >= 128) | (np.arange(256) == ord("'"))
+_DIGIT = 2
+_CLASS = np.where((LOWER >= 97) & (LOWER <= 122), 1, np.where((LOWER >= 48) & (LOWER <= 57), _DIGIT, 3)).astype(np.uint8)
 
 
 def byte_symbols() -> list[str]:
@@ -43,25 +57,86 @@ def byte_symbols() -> list[str]:
 
 
 class Automaton(NamedTuple):
-    """vocab: ids of tokens; state: row of a token that can be followed, or -1; label: column of a token; allowed: rows by columns."""
+    """The tokenization automaton, and the spellings of its tokens as a trie with failure arcs.
+
+    labels: the text of each id. state: row of a token that can be followed, or -1. column: that of a token. allowed: the
+    bits of rows by columns, ``stride`` bytes a row. arc_keys, arc_to: a hash table of (node << 9 | symbol) to node. fail:
+    the failure arc of a node. longest: the longest token that ends at a node. shorter: the next shorter token that ends a
+    token, or -1; size: its symbols.
+    """
 
-    vocab: dict[str, int]
+    labels: list[str]
     state: np.ndarray
-    label: np.ndarray
+    column: np.ndarray
     allowed: np.ndarray
-    suffix: str
-    longest: int
-
-
-def compile_automaton(vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str) -> Automaton:
-    """The automaton of all correct token sequences. A token that ends a word (with the suffix) is never followed."""
+    stride: int
+    arc_keys: np.ndarray
+    arc_to: np.ndarray
+    fail: np.ndarray
+    longest: np.ndarray
+    shorter: np.ndarray
+    size: np.ndarray
+
+    def step(self, node: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The nodes that the symbols lead to; failure arcs are taken until a node has the symbol's arc (the root has all)."""
+        to = np.full(len(node), -1, np.int32)
+        left = np.arange(len(node))
+        while len(left):
+            found = self._arc(node[left].astype(np.int64) << 9 | symbol[left])
+            to[left] = found
+            left = left[found < 0]
+            node[left] = self.fail[node[left]]
+        return to
+
+    def _arc(self, keys: np.ndarray) -> np.ndarray:
+        mask = len(self.arc_keys) - 1
+        place = _slot(keys, mask)
+        found = self.arc_keys[place]
+        to = np.where(found == keys, self.arc_to[place], -1)
+        left = np.flatnonzero((found != keys) & (found >= 0))
+        while len(left):  # another key's place: look at the next
+            place[left] = (place[left] + 1) & mask
+            found = self.arc_keys[place[left]]
+            to[left] = np.where(found == keys[left], self.arc_to[place[left]], -1)
+            left = left[(found != keys[left]) & (found >= 0)]
+        return to
+
+    def follows(self, before: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """Whether a token may follow another."""
+        c = self.column[token]
+        return (self.allowed[self.state[before].astype(np.int64) * self.stride + (c >> 3)] >> (7 - (c & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def _slot(keys: np.ndarray, mask: int) -> np.ndarray:
+    return (keys * 0x9E3779B1 >> 15) & mask
+
+
+def _hash_table(arcs: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Open addressing; less than a quarter of the places is taken."""
+    mask = (1 << (4 * len(arcs)).bit_length()) - 1
+    keys, to = np.full(mask + 1, -1, np.int64), np.full(mask + 1, -1, np.int32)
+    left, value = np.fromiter(arcs, np.int64, len(arcs)), np.fromiter(arcs.values(), np.int32, len(arcs))
+    place = _slot(left, mask)
+    while len(left):
+        free = keys[place] < 0
+        keys[place[free]] = left[free]  # of several for one place the last is in
+        won = keys[place] == left
+        to[place[won]] = value[won]
+        left, value, place = left[~won], value[~won], (place[~won] + 1) & mask
+    return keys, to
+
+
+def _token_table(vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(state of each token, column of each token, rows by columns of bits, which tokens are ever made), by merge gadgets."""
     size = max(vocab.values()) + 1
     made = {a + b for a, b in merges}
-    inner = sorted(i for t, i in vocab.items() if not t.endswith(suffix))
+    inner = sorted(i for t, i in vocab.items() if not t.endswith(suffix))  # a token that ends a word is never followed
     row = np.full(size, -1)
     row[inner] = np.arange(len(inner))
     columns = np.zeros((size, (len(inner) + 7) // 8), np.uint8)  # a bit for each state, a line for each label
     base = [i for t, i in vocab.items() if t not in made]
+    live = np.zeros(size, bool)
+    live[base] = True
     start = np.zeros(columns.shape[1] * 8, np.uint8)
     start[[row[i] for i in base if row[i] >= 0]] = 1
     columns[base] = np.packbits(start, bitorder="little")
@@ -71,6 +146,7 @@ def compile_automaton(vocab: dict[str, int], merges: list[tuple[str, str]], suff
         at, bit = row[a] >> 3, np.uint8(1 << (row[a] & 7))
         if not columns[b, at] & bit:
             continue  # a and b never meet: the gadget changes nothing
+        live[c] = True
         columns[c] = columns[a]
         top = max(top, c + 1)
         if row[c] >= 0:
@@ -86,9 +162,55 @@ def compile_automaton(vocab: dict[str, int], merges: list[tuple[str, str]], suff
     lines = lines.view(np.uint8).reshape(len(lines), -1)
     turned = [np.packbits(np.unpackbits(lines[:, at : at + 64], axis=1, bitorder="little").T, axis=1) for at in range(0, lines.shape[1], 64)]
     rows, state_of = np.unique(np.concatenate(turned)[: len(inner)], axis=0, return_inverse=True)
-    state = np.full(size, -1, np.int32)
+    state = np.full(size, -1)
     state[inner] = state_of.ravel()
-    return Automaton(vocab, state, label.astype(np.int32), rows, suffix, max(map(len, vocab)))
+    return state, label, rows, live
+
+
+def _spellings(vocab: dict[str, int], live: np.ndarray, suffix: str):
+    """(arc_keys, arc_to, fail, longest, shorter, size): the trie of the live tokens' symbols, with failure arcs."""
+    byte_of = {s: b for b, s in enumerate(byte_symbols())}
+    arcs: dict[int, int] = {}
+    below: list[list[tuple[int, int]]] = [[]]  # (symbol, node) of each node's arcs
+    ends, size, node_of = [-1], [0] * len(live), {}
+    for token, i in vocab.items():
+        if not live[i]:
+            continue
+        whole = token.endswith(suffix)
+        symbols = [byte_of[c] for c in (token.removesuffix(suffix) if whole else token)]
+        symbols[-1] += LAST * whole
+        node = 0
+        for c in symbols:
+            to = arcs.get(node << 9 | c)
+            if to is None:
+                to = arcs[node << 9 | c] = len(below)
+                below[node].append((c, to))
+                below.append([])
+                ends.append(-1)
+            node = to
+        ends[node], size[i], node_of[i] = i, len(symbols), node
+    fail, longest, queue = [0] * len(below), [-1] * len(below), [0]
+    for node in queue:  # by depth, so that a failure arc's target is done
+        longest[node] = ends[node] if ends[node] >= 0 else longest[fail[node]]
+        for c, to in below[node]:
+            at = fail[node]
+            while node and at and at << 9 | c not in arcs:
+                at = fail[at]
+            fail[to] = arcs.get(at << 9 | c, 0) if node else 0
+            queue.append(to)
+    shorter = [-1] * len(live)
+    for i, node in node_of.items():
+        shorter[i] = longest[fail[node]]
+    return (*_hash_table(arcs), *(np.array(x, np.int32) for x in (fail, longest, shorter, size)))
+
+
+def compile_automaton(vocab: dict[str, int], merges: list[tuple[str, str]], suffix: str) -> Automaton:
+    """The automaton of all correct token sequences, with the table that spells words along it."""
+    state, column, rows, live = _token_table(vocab, merges, suffix)
+    labels = [""] * len(live)
+    for token, i in vocab.items():
+        labels[i] = token
+    return Automaton(labels, state.astype(np.int32), column.ravel().astype(np.int32), rows.ravel(), rows.shape[1], *_spellings(vocab, live, suffix))
 
 
 class Encoder:
@@ -96,93 +218,167 @@ class Encoder:
 
     def __init__(self, spec: dict, automaton: Automaton):
         self.automaton = automaton
-        self.tokens = {i: t for t, i in automaton.vocab.items()}
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"] if x["special"]}
-        self.tokens |= {i: t for t, i in self.special.items()}
+        labels = automaton.labels + [""] * (max(self.special.values(), default=0) + 1 - len(automaton.labels))
+        for content, i in self.special.items():
+            labels[i] = content
+        self.labels = pa.array([x + " " for x in labels], pa.large_string())
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
-        self.bytes = str.maketrans({chr(b): s for b, s in enumerate(byte_symbols())})
-        # Plain lists are faster to index one by one than arrays.
-        self.state, self.label = automaton.state.tolist(), automaton.label.tolist()
-        self.rows = [x.tobytes() for x in automaton.allowed]
-        self.words: dict[str, tuple[int, bytes, bytes]] = {}
-        self.pieces: dict[str, list[int]] = {}
-
-    def word(self, symbols: str) -> list[int]:
-        """The path that spells the symbols: after[i] is the token that ends at i, which began at came[i]."""
-        vocab, longest, state, label, rows = self.automaton.vocab.get, self.automaton.longest, self.state, self.label, self.rows
-        n = len(symbols)
-        after, came = [-1] * (n + 1), [0] * (n + 1)
-        for i in range(1, n + 1):
-            first = max(0, i - longest)
-            part = symbols[first:i] + (self.automaton.suffix if i == n else "")
-            for j in range(first, i):
-                t = vocab(part[j - first :])
-                if t is not None:
-                    c = label[t]
-                    if j == 0 or rows[state[after[j]]][c >> 3] >> (7 - (c & 7)) & 1:
-                        after[i], came[i] = t, j
-                        break
-        path, i = [], n
-        while i:
+
+    def word(self, piece: bytes) -> list[int]:
+        """The path that spells the bytes of one piece: after[i] is the token that ends at byte i."""
+        automaton, last, after = self.automaton, len(piece) - 1, []
+        node, size = np.zeros(1, np.int32), automaton.size
+        for i, symbol in enumerate(piece):
+            node = automaton.step(node, np.array([symbol + LAST * (i == last)]))
+            token = int(automaton.longest[node[0]])
+            while size[token] <= i and not automaton.follows(np.array([after[i - size[token]]]), np.array([token]))[0]:
+                token = int(automaton.shorter[token])
+            after.append(token)
+        path, i = [], last
+        while i >= 0:
             path.append(after[i])
-            i = came[i]
+            i -= int(size[after[i]])
         return path[::-1]
 
-    def piece(self, text: str) -> list[int]:
-        """The ids of one piece of the splitting pattern."""
-        found = self.pieces.get(text)
-        if found is None:
-            found = self.word(text if text.isascii() and text.isprintable() else text.encode().decode("latin-1").translate(self.bytes))
-            if len(self.pieces) >= REMEMBERED:
-                self.pieces.clear()
-            self.pieces[text] = found
-        return found
-
-    def chunk(self, text: str) -> tuple[int, bytes, bytes]:
-        """Count, ids and decoded bytes of a text without white space."""
-        found = self.words.get(text)
-        if found is None:
-            lowered = text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-            if lowered.isalpha():  # letters only are one piece
-                ids = self.piece(lowered)
+    def pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, where each piece's begin, with the last end): the paths of many pieces, all of them a symbol at a time."""
+        automaton, length = self.automaton, np.diff(offsets)
+        after, ends = np.zeros(len(data), np.int32), np.zeros(len(data), bool)
+        order = np.argsort(-length, kind="stable")
+        order = order[np.searchsorted(-length[order], -LONG) :]
+        start, left = offsets[:-1][order], length[order]
+        node = np.zeros(len(order), np.int32)
+        for i in range(int(left[0]) if len(left) else 0):
+            n = int(np.searchsorted(-left, -i))  # pieces of more than i bytes come first
+            at = start[:n]
+            symbol = data[at + i] + LAST * (left[:n] == i + 1)
+            node = automaton.step(node[:n], symbol)
+            token = automaton.longest[node]
+            todo = np.flatnonzero(automaton.size[token] <= i)
+            while len(todo):
+                t = token[todo]
+                fits = automaton.follows(after[at[todo] + i - automaton.size[t]], t)
+                todo, t = todo[~fits], automaton.shorter[t[~fits]]
+                token[todo] = t
+                todo = todo[automaton.size[t] <= i]
+            after[at + i] = token
+        place = offsets[1:][order] - 1
+        while len(place):
+            ends[place] = True
+            back = place - automaton.size[after[place]]
+            inside = back >= start
+            place, start = back[inside], start[inside]
+        for k in np.flatnonzero(length >= LONG).tolist():
+            at = int(offsets[k])
+            for token in self.word(data[at : offsets[k + 1]].tobytes()):
+                at += int(automaton.size[token])
+                after[at - 1], ends[at - 1] = token, True
+        return after[ends].astype("<u4"), np.concatenate([[0], np.cumsum(ends)])[offsets]
+
+    def split(self, raw: bytes) -> list[bytes]:
+        """The pieces of a text without ASCII white space."""
+        text = unicodedata.normalize("NFC", raw.decode()).replace("Σ", "σ").lower()
+        return [text.encode()] if text.isalpha() else [x.encode() for x in self.pattern.findall(text)]  # letters only are one piece
+
+    def plain(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, where each row's begin, with the last end) of rows of UTF-8 bytes, special tokens being plain text.
+
+        ASCII words without an apostrophe fall into runs of letters, single digits and runs of all else; the splitting
+        pattern is asked about the distinct other words only.
+        """
+        start, end, row_at = word_bounds(data, offsets)
+        if len(start) == 0:
+            return np.zeros(0, "<u4"), np.zeros(len(offsets), np.int64)
+        inside = ~IS_SPACE[data]
+        letters, size, first = data[inside], end - start, np.cumsum(end - start) - (end - start)  # the words end to end
+        odd = np.repeat(np.logical_or.reduceat(_ODD[letters], first), size)
+        letters = np.where(odd, letters, LOWER[letters])
+        kind = _CLASS[letters]
+        begins = np.concatenate([[True], kind[1:] != kind[:-1]]) | (kind == _DIGIT)
+        begins[odd] = False
+        begins[first] = True
+        begin = np.flatnonzero(begins)
+        found = _binary(letters, np.append(begin, len(letters))).dictionary_encode()
+        bytes_of, cuts = _bytes(found.dictionary)
+        plain = ~np.logical_or.reduceat(_ODD[bytes_of], cuts[:-1])
+        parts = [self.split(w) for w in found.dictionary.filter(pa.array(~plain)).to_pylist()]
+        count = np.ones(len(plain), np.int64)
+        count[~plain] = [len(p) for p in parts]
+        pieces = pa.concat_arrays([found.dictionary.filter(pa.array(plain)), pa.array([x for p in parts for x in p], pa.large_binary())]).dictionary_encode()
+        number, whole = pieces.indices.to_numpy(), np.repeat(plain, count)
+        spelled = np.empty(len(number), np.int64)
+        spelled[whole], spelled[~whole] = number[: plain.sum()], number[plain.sum() :]
+        which, at = gathered(spelled, np.concatenate([[0], np.cumsum(count)]), found.indices.to_numpy())
+        ids, id_of = gathered(*self.pieces(*_bytes(pieces.dictionary)), which)
+        rows = np.concatenate([np.searchsorted(begin, first), [len(begin)]])[row_at]
+        return ids, id_of[at][rows]
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray, special: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """The same; special tokens written out in a text become their ids if asked."""
+        odd = []
+        if special and self.special and b"<|" in (whole := data.tobytes()):
+            odd = [i for i in range(len(offsets) - 1) if self.split_special.search(whole[offsets[i] : offsets[i + 1]].decode())]
+        ids, starts, done = [], [np.zeros(1, np.int64)], 0
+        for lo, hi in _runs(odd, len(offsets) - 1):
+            base = offsets[lo]
+            if lo in odd:
+                part = self._with_special(data[base : offsets[hi]].tobytes().decode())
+                at = np.array([0, len(part)])
             else:
-                ids = [t for x in self.pattern.findall(lowered) for t in self.piece(x)]
-            tokens = self.tokens
-            found = len(ids), pack(f"<{len(ids)}I", *ids), " ".join([tokens[i] for i in ids]).encode()
-            if len(self.words) >= REMEMBERED:
-                self.words.clear()
-            self.words[text] = found
-        return found
-
-    def plain_ids(self, text: str) -> bytes:
-        """The ids of a text whose special tokens, if any, are plain text."""
-        if any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            return self.encode(text, special=False)[1]
-        known, chunk = self.words.get, self.chunk
-        return b"".join([(known(p) or chunk(p))[1] for p in text.split()])
-
-    def encode(self, text: str, special: bool = True) -> tuple[int, bytes, bytes]:
-        """Count, ids as little-endian unsigned 32-bit integers, and decoded bytes of a text."""
-        count, ids, decoded = 0, [], []
-        parts = self.split_special.split(text) if special and "<|" in text else [text]
-        for part in parts:
-            if special and part in self.special:
-                chunks = [(1, np.array([self.special[part]], "<u4").tobytes(), part.encode())]
+                part, at = self.plain(data[base : offsets[hi]], offsets[lo : hi + 1] - base)
+            ids.append(part)
+            starts.append(at[1:] + done)
+            done += len(part)
+        return np.concatenate(ids) if ids else np.zeros(0, "<u4"), np.concatenate(starts)
+
+    def _with_special(self, text: str) -> np.ndarray:
+        parts = []
+        for part in self.split_special.split(text):
+            if part in self.special:
+                parts.append(np.array([self.special[part]], "<u4"))
             else:
-                if any(c in part for c in "\x1c\x1d\x1e\x1f"):  # white space for str.split only
-                    pieces = regex.split(r"[^\S\x1c-\x1f]+", part)
-                else:
-                    pieces = part.split()
-                known = self.words
-                chunks = [known.get(p) or self.chunk(p) for p in pieces if p]
-            count += sum(c[0] for c in chunks)
-            ids += [c[1] for c in chunks]
-            decoded += [c[2] for c in chunks if c[0]]
-        return count, b"".join(ids), b" ".join(decoded)
+                raw = np.frombuffer(part.encode(), np.uint8)
+                parts.append(self.plain(raw, np.array([0, len(raw)]))[0])
+        return np.concatenate(parts)
+
+    def decode(self, ids: np.ndarray, at: np.ndarray) -> pa.Array:
+        """The text of each row of ids: its arcs' labels, with a space between them."""
+        labels = self.labels.take(pa.array(ids))
+        _, offsets, data = labels.buffers()
+        ends = np.frombuffer(offsets, np.int64)[: len(ids) + 1][at]
+        rows = pa.Array.from_buffers(pa.large_string(), len(at) - 1, [None, pa.py_buffer(ends), data or pa.py_buffer(b"")])
+        return pc.utf8_rtrim(rows, " ")  # no label has a space of its own
 
-    def decode(self, ids: bytes) -> str:
-        return " ".join(self.tokens[i] for i in np.frombuffer(ids, "<u4").tolist())
+
+def _binary(data: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    return pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(data)])
+
+
+def _bytes(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a large binary array without nulls or an offset, and where each value begins, with the last end."""
+    _, cuts, data = values.buffers()
+    return np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8), np.frombuffer(cuts, np.int64)[: len(values) + 1]
+
+
+def gathered(values: np.ndarray, at: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs values[at[k]:at[k + 1]] for each k of which, end to end, and where each begins, with the last end."""
+    count = np.diff(at)[which]
+    starts = np.concatenate([[0], np.cumsum(count)])
+    return values[np.repeat(at[which] - starts[:-1], count) + np.arange(starts[-1])], starts
+
+
+def _runs(odd: list[int], rows: int) -> Iterator[tuple[int, int]]:
+    """Ranges that cover the rows in order, with each odd row in a range of its own."""
+    at = 0
+    for i in odd:
+        if at < i:
+            yield at, i
+        yield i, i + 1
+        at = i + 1
+    if at < rows:
+        yield at, rows
 
 
 @lru_cache(maxsize=2)
@@ -218,25 +414,35 @@ class Shared:
         return spec, Automaton(*automaton)
 
 
+def encoded_slices(batches: Iterator[pa.RecordBatch], encoder: Encoder, special: bool) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """(rows, ids, where each row's ids begin) of slices of batches whose second column is the text."""
+    for batch in batches:
+        data, offsets = text_buffers(batch.column(1))
+        for lo, hi in slices(offsets, SLICE_BYTES):
+            base = offsets[lo]
+            yield batch.slice(lo, hi - lo), *encoder.encode(data[base : offsets[hi]], offsets[lo : hi + 1] - base, special)
+
+
 def encode_texts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", special: bool = True, with_texts: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids (binary, little-endian unsigned 32-bit), decoded (string); without texts: their SHA-256 instead."""
     shared = Shared(docs.sparkSession, tokenizer)
-    kinds = ("ids binary, decoded string", pa.binary(), pa.string()) if with_texts else ("ids_sha256 string, decoded_sha256 string", pa.string(), pa.string())
+    names, kinds = ("ids", "decoded"), ("binary", "string")
+    if not with_texts:
+        names, kinds = ("ids_sha256", "decoded_sha256"), ("string", "string")
+
+    def digests(values: pa.Array) -> pa.Array:
+        return pa.array([hashlib.sha256(x.as_buffer()).hexdigest() for x in values], pa.string())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(shared)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                out = [encoder.encode(x or "", special) for x in part.column(1).to_pylist()]
-                ids, decoded = [x[1] for x in out], [x[2] for x in out]
-                if with_texts:
-                    decoded = [x.decode() for x in decoded]
-                else:
-                    ids, decoded = ([hashlib.sha256(x).hexdigest() for x in xs] for xs in (ids, decoded))
-                yield pa.record_batch([part.column(0), pa.array([x[0] for x in out], pa.int64()), pa.array(ids, kinds[1]), pa.array(decoded, kinds[2])], names=["doc_id", "n_tokens", *(k.split()[0] for k in kinds[0].split(", "))])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id long, n_tokens long, {kinds[0]}")
+        for rows, ids, at in encoded_slices(batches, encoder, special):
+            raw = _binary(ids, at * 4)
+            texts = encoder.decode(ids, at)
+            out = (raw.cast(pa.binary()), texts.cast(pa.string())) if with_texts else (digests(raw), digests(texts))
+            yield pa.record_batch([rows.column(0), pa.array(np.diff(at)), *out], names=["doc_id", "n_tokens", *names])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, f"doc_id long, n_tokens long, {names[0]} {kinds[0]}, {names[1]} {kinds[1]}")
 
 
 def default_tokenizer() -> str:

@@ -28,9 +28,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where unset (tests) a fresh one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or on a local master without one a fresh folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         local = tempfile.mkdtemp(prefix="pathloom-")
         atexit.register(shutil.rmtree, local, ignore_errors=True)
         found = f"file://{local}"
@@ -49,19 +51,27 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few(ids: DataFrame, most: int = BROADCAST_IDS) -> bool:
+    """Whether ids has at most so many rows; no more than one beyond them are counted."""
+    return ids.limit(most + 1).count() <= most
+
+
+def without_ids(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is not in ids (one distinct column of that name, staged): see only_ids."""
+    return rows.join(F.broadcast(ids) if few(ids) else ids, key, "left_anti").select(rows.columns)
+
+
 def only_ids(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """The rows whose key is in ids (one distinct column of that name): broadcast while the ids are few, else by shuffle."""
-    if len(ids.limit(BROADCAST_IDS + 1).agg(F.count("*").alias("n")).filter(F.col("n") <= BROADCAST_IDS).head(1)):
-        ids = F.broadcast(ids)
-    return rows.join(ids, key, "left_semi")
+    return rows.join(F.broadcast(ids) if few(ids) else ids, key, "left_semi")
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string column and the offsets of its rows; nulls are empty."""
+    column = column.cast(pa.large_string())  # before the chunks are joined, which may exceed 2 GiB
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     if column.null_count:
         column = column.fill_null("")
-    column = column.cast(pa.large_string())
     if len(column) == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     _, offsets, data = column.buffers()
@@ -107,12 +117,12 @@ class Words(NamedTuple):
     row_at: np.ndarray
 
 
-def split_words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> Words:
-    """Words of consecutive rows and a 64-bit hash of each word's bytes (A-Z lower-cased first if asked)."""
+def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, row_at) of the words of consecutive rows: see Words."""
     word = ~IS_SPACE[data]
     if not word.any():
         none = np.zeros(0, np.int64)
-        return Words(none.astype(np.uint64), none, none, np.zeros(len(offsets), np.int64))
+        return none, none, np.zeros(len(offsets), np.int64)
     before, after = np.empty_like(word), np.empty_like(word)
     before[0], before[1:] = False, word[:-1]
     after[-1], after[:-1] = False, word[1:]
@@ -120,6 +130,14 @@ def split_words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> Wo
     before[offsets[:-1][full]] = False
     after[offsets[1:][full] - 1] = False
     start, end = np.flatnonzero(word & ~before), np.flatnonzero(word & ~after) + 1
+    return start, end, np.searchsorted(start, offsets)
+
+
+def split_words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> Words:
+    """Words of consecutive rows and a 64-bit hash of each word's bytes (A-Z lower-cased first if asked)."""
+    start, end, row_at = word_bounds(data, offsets)
+    if len(start) == 0:
+        return Words(np.zeros(0, np.uint64), start, end, row_at)
     inside = np.zeros(len(data), np.int64)  # place of a byte after its word's first
     inside[start[0] :] = np.arange(start[0], len(data)) - np.repeat(start, np.diff(np.append(start, len(data))))
     longest = int((end - start).max())
@@ -127,7 +145,7 @@ def split_words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> Wo
     np.minimum(inside, longest - 1, out=inside)
     value = (_HASH_LOWER if lower else _HASH_EXACT)[data]
     value *= powers[inside]
-    return Words(mix(np.add.reduceat(value, start)), start, end, np.searchsorted(start, offsets))
+    return Words(mix(np.add.reduceat(value, start)), start, end, row_at)
 
 
 def window_hashes(words: np.ndarray, width: int) -> np.ndarray:

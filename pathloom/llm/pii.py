@@ -3,14 +3,15 @@
 The model is trained in numpy from labelled spans that a seeded generator writes (prose of invented words with mails,
 addresses, card and phone numbers in many shapes, and look-alikes without a label), so it is the same in every session.
 Windows of WINDOW characters at every STRIDE are decoded; windows without a digit, an at-sign or a bracketed "at" are not,
-since a span without any of these is never accepted. Where a tagged run meets a window's edge, a window twice as wide is
+since ``well_formed`` accepts no span without any of these. Where a tagged run meets a window's edge, a window twice as wide is
 decoded until it holds the run whole; long candidates have a window of their own. A document's spans from all its windows are reconciled at once: the best-scoring set of
 spans that do not overlap, after the fixed patterns' spans, which always stay. Added spans must be sure (mean marginal of
 SURE or more) and well-formed.
 
 Edge cases: null is the empty text, without spans; repeated rows come back as often; null ids stay null; other columns
-are ignored; an empty table gives no rows; equal starts are ordered by kind as listed in KINDS. All scans are linear in
-the text's length.
+are ignored; an empty table gives no rows; equal starts are ordered by kind as listed in KINDS; very long texts are worked
+on whole, in time that grows with their length and with sorting their spans, and texts of together about a megabyte at a
+time.
 """
 
 from __future__ import annotations
@@ -20,14 +21,15 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import groupby
+from itertools import accumulate, groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import table
+from .common import slices, table, text_buffers
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE, HIDDEN, SURE = 64, 32, 16, 0.9
@@ -290,23 +292,42 @@ def well_formed(kind: int, piece: str) -> bool:
     return False  # an address that the pattern drops is none
 
 
+class Taken:
+    """Fixed spans by start, with the greatest end so far: one search tells whether any of them is touched."""
+
+    def __init__(self, fixed: list[tuple[int, int, int]]):
+        self.starts = [s for s, _, _ in fixed]
+        self.reach = list(accumulate((e for _, _, e in fixed), max))
+
+    def touches(self, start: int, end: int) -> bool:
+        i = bisect_left(self.starts, end)
+        return i > 0 and self.reach[i - 1] > start
+
+
 def reconcile(spans: list[tuple[int, int, int, float]], fixed: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """The heaviest set of spans without overlaps that touches no fixed span (weight: score by length)."""
-    best: dict[tuple[int, int, int], float] = {}
+    """The heaviest set of spans without overlaps that touches no fixed span (weight: score by length).
+
+    Time is that of sorting, memory that of the spans: each span keeps one arrow back to the best set that it joins.
+    """
+    taken, best = Taken(fixed), {}
     for s, k, e, p in spans:
-        if not any(a < e and s < b for a, _, b in fixed):
+        if not taken.touches(s, e):
             best[s, k, e] = max(best.get((s, k, e), 0), p * (e - s))
     items = sorted(best.items(), key=lambda x: (x[0][2], x[0]))
-    ends, weight, chosen = [x[0][2] for x in items], [0.0], [[]]
+    ends, weight, back = [x[0][2] for x in items], [0.0], []
     for i, ((s, k, e), w) in enumerate(items):
         before = bisect_left(ends, s + 1, 0, i)
-        if weight[before] + w > weight[-1]:
-            weight.append(weight[before] + w)
-            chosen.append([*chosen[before], (s, k, e)])
+        better = weight[before] + w > weight[-1]
+        weight.append(weight[before] + w if better else weight[-1])
+        back.append(before if better else -1)
+    out, i = [], len(items)
+    while i:
+        if back[i - 1] >= 0:
+            out.append(items[i - 1][0])
+            i = back[i - 1]
         else:
-            weight.append(weight[-1])
-            chosen.append(chosen[-1])
-    return chosen[-1]
+            i -= 1
+    return out[::-1]
 
 
 def _long(text: str) -> Iterator[tuple[int, int]]:
@@ -348,13 +369,13 @@ def _merged(windows: set[tuple[int, int, int]]) -> Iterator[tuple[int, int, int]
         yield last
 
 
-def _cut(path: np.ndarray, start: int, length: int, fixed: list[tuple[int, int, int]]) -> tuple[bool, bool]:
+def _cut(path: np.ndarray, start: int, length: int, taken: Taken) -> tuple[bool, bool]:
     """Whether tagged runs go on beyond the window's left and right edge; what touches a fixed span is not added anyway."""
     out, n = np.flatnonzero(path == 0), len(path)
     first, last = (int(out[0]), int(out[-1]) + 1) if len(out) else (n, 0)
 
     def free(s: int, e: int) -> bool:
-        return s < e and not any(a < start + e and start + s < b for a, _, b in fixed)
+        return s < e and not taken.touches(start + s, start + e)
 
     return start > 0 and free(0, first), start + n < length and free(last, n)
 
@@ -376,7 +397,7 @@ def find(texts: list[str], model: dict[str, np.ndarray]) -> list[tuple[list[tupl
             if k >= 0 or k == -1 and len(text) < STRIDE:
                 todo.append((i, max(k, 0) * STRIDE, WINDOW))
         todo += [(i, *_wide(s - STRIDE, e + STRIDE, len(text))) for s, e in _long(text)]
-    found: list[list] = [[] for _ in texts]
+    found, taken = [[] for _ in texts], [Taken(f) for f in fixed]
     while todo:
         wider: set[tuple[int, int, int]] = set()
         todo.sort(key=lambda w: w[2])
@@ -398,7 +419,7 @@ def find(texts: list[str], model: dict[str, np.ndarray]) -> list[tuple[list[tupl
                         cut = (s == 0 and start > 0) or (e == width and start + width < length)
                         if not cut and score >= SURE and start + e <= length and well_formed(k, texts[i][start + s : start + e]):
                             found[i].append((start + s, k, start + e, score))
-                    left, right = _cut(path[w], start, length, fixed[i])
+                    left, right = _cut(path[w], start, length, taken[i])
                     if left or right:
                         wider.add((i, start - width * left, start + width + width * right))
         todo = [(i, *_wide(s, e, len(texts[i]))) for i, s, e in _merged(wider)]
@@ -412,17 +433,19 @@ def _joined(spans) -> str:
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", redacted: bool = False, carry: list[str] | None = None) -> DataFrame:
     """doc_id, a count of fixed spans for each kind, base and spans as kind:start:end.
 
-    With redacted: also the text as it was (original) and with its spans replaced (redacted), and the columns in carry.
+    With redacted: also the text as it was (original) and with its spans replaced (redacted), and the columns in carry as
+    struct ``carried``.
     """
     model = docs.sparkSession.sparkContext.broadcast(trained())
-    carry = [c for c in carry or [] if c != id_col] if redacted else []
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.struct(*carry).alias("carried") if carry else F.lit(None).cast("int").alias("carried"))
+    carry = carry or []
+    carried = F.struct(*(F.col(f"`{c}`") for c in carry)) if carry else F.lit(None).cast("int")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), carried.alias("carried"))
     names = ["doc_id", "carried", *(f"n_{k}" for k in KINDS), "base", "spans", *["original", "redacted"] * redacted]
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for lo, hi in slices(text_buffers(batch.column(1))[1], 1 << 20):
+                part = batch.slice(lo, hi - lo)
                 texts = [x or "" for x in part.column(1).to_pylist()]
                 out = find(texts, model.value)
                 columns = [part.column(0), part.column(2), *(pa.array([sum(s[1] == k for s in f) for f, _ in out], pa.int64()) for k in range(len(KINDS))), pa.array([_joined(f) for f, _ in out], pa.string()), pa.array([_joined(f + a) for f, a in out], pa.string())]
@@ -430,9 +453,9 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     columns += [part.column(1), pa.array([mask(t, f + a) for t, (f, a) in zip(texts, out)], pa.string())]
                 yield pa.record_batch(columns, names=names)
 
-    kinds = {"doc_id": "long", "carried": rows.schema["carried"].dataType.simpleString(), **{f"n_{k}": "long" for k in KINDS}}
-    found = rows.mapInArrow(run, ", ".join(f"{n} {kinds.get(n, 'string')}" for n in names))
-    return found.select("*", *(F.col(f"carried.{c}").alias(c) for c in carry)).drop("carried")
+    kinds = {"doc_id": LongType(), "carried": rows.schema["carried"].dataType, **{f"n_{k}": LongType() for k in KINDS}}
+    found = rows.mapInArrow(run, StructType([StructField(n, kinds.get(n, StringType())) for n in names]))
+    return found if carry else found.drop("carried")
 
 
 def mask(text: str, spans: list[tuple[int, int, int]]) -> str:

@@ -7,8 +7,9 @@ good documents and each labeller's accuracy (its vote rates on good and on bad o
 counts is fitted to the posteriors of at most TRAIN_ROWS documents, those with the smallest hash of their id, on the
 driver; it scores every document, also those on which all labellers abstain.
 
-Edge cases: a null or empty text has no words and is scored like any other; repeated
-rows come back as often; null ids stay null and are not trained on; other columns are ignored; an empty table gives no rows.
+Edge cases: a null or empty text has no words and is scored like any other; repeated rows come back as often; null ids stay
+null and are not trained on; of several texts of one id the greatest is trained on; very long texts are measured and scored
+whole; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import LOWER, slices, split_words, staged, table, text_buffers
 
@@ -155,21 +157,26 @@ def fit(texts: pa.Array, labels: np.ndarray, rounds: int = 30, rate: float = 0.5
 
 
 def _parts(batches: Iterator[pa.RecordBatch]):
+    """(rows, bytes, offsets) of slices of batches whose second column is the text."""
     for batch in batches:
         data, offsets = text_buffers(batch.column(1))
         for lo, hi in slices(offsets):
             base = offsets[lo]
-            yield batch.column(0).slice(lo, hi - lo), data[base : offsets[hi]], offsets[lo : hi + 1] - base
+            yield batch.slice(lo, hi - lo), data[base : offsets[hi]], offsets[lo : hi + 1] - base
 
 
-def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS, keep_at: float = KEEP_AT) -> DataFrame:
-    """doc_id, p_label (posterior of the labellers alone), p_good (of the scorer) and kept (p_good >= keep_at)."""
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS, keep_at: float = KEEP_AT, carry: list[str] | None = None) -> DataFrame:
+    """doc_id, p_label (posterior of the labellers alone), p_good (of the scorer) and kept (p_good >= keep_at).
+
+    With carry: also the text, and struct ``carried`` of these columns, so that a verdict stays with its row and is not
+    joined back by an id.
+    """
+    whole, docs = docs, docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     names = [f"v_{x}" for x in LABELLERS]
 
     def vote(batches):
-        for ids, data, offsets in _parts(batches):
-            yield pa.record_batch([ids, *(pa.array(c) for c in votes(measures(data, offsets)).T)], names=["doc_id", *names])
+        for rows, data, offsets in _parts(batches):
+            yield pa.record_batch([rows.column(0), *(pa.array(c) for c in votes(measures(data, offsets)).T)], names=["doc_id", *names])
 
     voted = staged(docs.mapInArrow(vote, "doc_id long, " + ", ".join(f"{x} byte" for x in names)), "votes")
     counted = voted.groupBy(*names).agg(F.count("*").alias("n")).toPandas()  # at most 3 ** len(LABELLERS) rows
@@ -183,13 +190,19 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tr
 
     def score(batches):
         weights, prior, rates = shared.value
-        for ids, data, offsets in _parts(batches):
+        for rows, data, offsets in _parts(batches):
             m = measures(data, offsets)
             p = 1 / (1 + np.exp(-raw_scores(weights, data, offsets, m)))
             label = posteriors(votes(m), prior, rates)
-            yield pa.record_batch([ids, pa.array(label), pa.array(p), pa.array(p >= keep_at)], names=["doc_id", "p_label", "p_good", "kept"])
-
-    return docs.mapInArrow(score, "doc_id long, p_label double, p_good double, kept boolean")
+            more = {"text": rows.column(1), "carried": rows.column(2)} if carry else {}
+            yield pa.record_batch({"doc_id": rows.column(0), "p_label": pa.array(label), "p_good": pa.array(p), "kept": pa.array(p >= keep_at), **more})
+
+    kinds = StructType().add("doc_id", "long").add("p_label", "double").add("p_good", "double").add("kept", "boolean")
+    if not carry:
+        return docs.mapInArrow(score, kinds)
+    carried = F.struct(*(F.col(f"`{c}`") for c in carry))
+    told = whole.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), carried.alias("carried"))
+    return told.mapInArrow(score, kinds.add("text", "string").add("carried", told.schema["carried"].dataType))
 
 
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

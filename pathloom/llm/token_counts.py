@@ -8,7 +8,8 @@ cuts meet under one ordinal.
 
 Edge cases: null and empty texts are documents of no tokens; a separator written out in a text is encoded as plain text;
 repeated rows are counted each; null ids stay null; other columns are ignored; an empty table or file gives no rows; a file
-without a last separator ends with an unfinished document, which counts as one if it has tokens.
+without a last separator ends with an unfinished document, which counts as one if it has tokens; a very long document
+spans blocks; a tokenizer with ids beyond 16 bits raises.
 """
 
 from __future__ import annotations
@@ -21,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import Shared, default_tokenizer, encoder_of
+from .bpe import Shared, default_tokenizer, encoded_slices, encoder_of
 from .common import fresh_path, staged, table
 from .storage import filesystem
 
-SEPARATOR, BLOCK_TOKENS = 49407, 4 << 20
+SEPARATOR, BLOCK_TOKENS, BLOCKS_A_TASK, TOP_ID = 49407, 4 << 20, 4, 65535
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, separator: int = SEPARATOR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -38,15 +39,14 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, separator: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, (system, root) = encoder_of(shared), filesystem(folder)
         system.create_dir(root, recursive=True)
-        name, ordinal, end = f"tokens-{uuid.uuid4().hex}.bin", 0, np.array([separator], "<u4").tobytes()
-        out = None
+        name, ordinal, out = f"tokens-{uuid.uuid4().hex}.bin", 0, None
+        if max(len(encoder.labels) - 1, separator) > TOP_ID:
+            raise ValueError(f"ids beyond {TOP_ID} do not fit into a token file")
         for batch in batches:
             if out is None and batch.num_rows:
                 out = system.open_output_stream(f"{root}/{name}")
-            for at in range(0, batch.num_rows, 500):
-                texts = batch.column(1).slice(at, 500).to_pylist()
-                ids = np.frombuffer(b"".join([encoder.plain_ids(text or "") + end for text in texts]), "<u4")
-                out.write(ids.astype("<u2").tobytes())
+            for _, ids, at in encoded_slices([batch], encoder, special=False):
+                out.write(np.insert(ids, at[1:], separator).astype("<u2").tobytes())
             yield pa.record_batch([pa.array([name] * batch.num_rows, pa.string()), pa.array(np.arange(ordinal, ordinal + batch.num_rows)), batch.column(0)], names=["file", "ordinal", "doc_id"])
             ordinal += batch.num_rows
         if out is not None:
@@ -57,7 +57,10 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, separator: i
 
 
 def plan_blocks(spark: SparkSession, folder: str, files: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """(file, block, first, tokens): blocks of the files (column file), planned from their sizes on the executors."""
+    """(file, block, first, tokens): blocks of the files (column file), planned from their sizes on the executors.
+
+    The plan is staged and dealt out by block, so that however few the files, every BLOCKS_A_TASK blocks are a task.
+    """
 
     def run(batches):
         system, root = filesystem(folder)
@@ -69,7 +72,8 @@ def plan_blocks(spark: SparkSession, folder: str, files: DataFrame, block_tokens
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)] if rows else [pa.array([], t) for t in kinds], names=["file", "block", "first", "tokens"])
 
     kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64()]
-    return files.select("file").distinct().mapInArrow(run, "file string, block long, first long, tokens long")
+    planned = staged(files.select("file").distinct().mapInArrow(run, "file string, block long, first long, tokens long"), "token-blocks")
+    return planned.repartition(max(1, -(-planned.count() // BLOCKS_A_TASK)), "file", "block")
 
 
 def scan_blocks(blocks: DataFrame, folder: str, separator: int = SEPARATOR) -> DataFrame:
@@ -97,13 +101,13 @@ def document_lengths(scanned: DataFrame) -> DataFrame:
     return whole.filter("ended = 1 or n_tokens > 0").select("file", "ordinal", "n_tokens")
 
 
-def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS, folder: str | None = None) -> DataFrame:
+def token_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS, folder: str | None = None, separator: int = SEPARATOR) -> DataFrame:
     """doc_id and n_tokens of every row of docs, counted in the token files written for them."""
     spark = docs.sparkSession
     folder = folder or fresh_path(spark, "tokens")
-    named = write_token_files(docs, folder, tokenizer, id_col=id_col, text_col=text_col)
+    named = write_token_files(docs, folder, tokenizer, separator, id_col=id_col, text_col=text_col)
     blocks = plan_blocks(spark, folder, named, block_tokens)
-    counted = document_lengths(staged(scan_blocks(blocks, folder), "blocks"))
+    counted = document_lengths(staged(scan_blocks(blocks, folder, separator), "blocks"))
     return named.join(counted, ["file", "ordinal"], "left").select("doc_id", "n_tokens")
 
 
