@@ -17,6 +17,7 @@ from .config import FoldConfig, ReportConfig
 from .operators import align, fold, graph, patterns, process_tree, rules, summary
 from .plans.diagnostic import diagnostic_bundle
 from .sources import archive, jsonl
+from .sources.scratch import collected, scratch
 
 OK, USAGE, DATA, MISSING, IO = 0, 64, 65, 66, 74
 
@@ -30,11 +31,9 @@ class Stop(Exception):
 def _log(spark: SparkSession, path: str) -> DataFrame:
     """The events of a log ('-': standard input), which must be whole."""
     if path == "-":
-        from .sources.scratch import scratch
-
-        path = scratch(spark, "stdin").removeprefix("file://")
-        Path(path).parent.mkdir(parents=True, exist_ok=True)
-        Path(path).write_bytes(sys.stdin.buffer.read())
+        path = scratch(spark, "stdin")
+        lines = sys.stdin.buffer.read().decode("utf-8", "surrogateescape").split("\n")
+        spark.createDataFrame([(x.encode("utf-8", "surrogateescape"),) for x in lines], "value binary").coalesce(1).select(F.col("value").cast("string")).write.text(path)
     elif "://" not in path and not Path(path).exists():
         raise Stop(MISSING, f"no such file: {path}")
     events, errors = jsonl.read_events(spark, path)
@@ -91,7 +90,8 @@ def graph_(spark, a) -> int:
         nodes, p80 = [{"action": n, "first_seen": i, "visit_count": 1} for i, n in enumerate(names)], 1
     else:
         table = graph.edges(acts)
-        nodes, edges, p80 = graph.nodes(acts).collect(), table.collect(), graph.p80_frequency(table).head()["p80"]
+        nodes, edges = (collected(t, graph.MOST_DRAWN, f"{what} to draw") for t, what in ((graph.nodes(acts), "nodes"), (table, "edges")))
+        p80 = graph.p80_frequency(table).head()["p80"]
     print(graph.to_mermaid(nodes, edges, p80) if a.format == "mermaid" else graph.to_dot(nodes, edges), end="")
     return OK
 
@@ -112,10 +112,17 @@ def report(spark, a) -> int:
 
 
 def oracle(spark, a) -> int:
-    events, engine = _log(spark, a.file), rules.Engine()
+    events, engine = _log(spark, a.file), rules.Engine((*rules.BUILTIN, rules.DEMO) if a.rules == "demo" else rules.BUILTIN)
     if a.html:
-        Path(a.html).write_text(rules.render_html(engine, events))
-    print(rules.render_text(engine, events), end="")
+        with open(a.html, "w", encoding="utf-8") as out:
+            out.writelines(line + "\n" for line in rules.html_lines(engine, events))
+    if a.output == "json":
+        for i, r in enumerate(rules.json_lines(engine, events).toLocalIterator()):
+            print(("," if i else "[") + r["value"], end="")
+        print("]" if not events.isEmpty() else "[]")
+    else:
+        for line in rules.text_lines(engine, events):
+            print(line)
     return rules.exit_code(engine.results(events))
 
 
@@ -171,7 +178,7 @@ def parser() -> argparse.ArgumentParser:
     verb("normalize", normalize, file, (["--report"], {"action": "store_true"}))
     verb("graph", graph_, file, (["--format"], {"choices": ["mermaid", "dot", "process-tree"], "default": "mermaid"}), (["--miner"], {"choices": ["heuristics", "inductive"], "default": "heuristics"}))
     verb("report", report, (["what"], {"choices": ["workflows", "similar"]}), file, output, (["--session"], {}), (["--top"], {"type": int, "default": 20}))
-    verb("oracle", oracle, file, (["--html"], {}))
+    verb("oracle", oracle, file, output, (["--html"], {}), (["--rules"], {"choices": ["builtin", "demo"], "default": "builtin"}))
     verb("ingest", ingest, file, (["--db"], {"required": True}))
     verb("slice", slice_, (["db"], {}), (["dimension"], {"choices": ["session", "command", "screen", "outcome", "entity"]}), (["value"], {}))
     verb("align", align_, (["db"], {}), (["a"], {}), (["b"], {}))

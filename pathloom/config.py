@@ -33,11 +33,11 @@ class ReportConfig:
     top_n: int = 20
     rare_support: float = 0.01
     error_rate: float = 0.05
-    dead_floor: float = 0.001
+    dead_floor: float = 0.01
+    #: With a support of 1 the patterns of a session double with each of its actions; raise it for long sessions.
     min_support: int = 1
-    max_length: int = 10
-    #: Longest session for which a support of 1 is mined; its patterns double with each action.
-    longest_for_support_1: int = 16
+    #: None: patterns of any length.
+    max_length: int | None = None
 
 
 @dataclass(frozen=True)

@@ -7,6 +7,8 @@ pair of sessions a row, so that Spark deals the pairs out.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -15,44 +17,73 @@ from pyspark.sql import functions as F
 from ..functions.scalar import event_label
 
 SAME_KIND, OTHER, GAP = 0.4, 1.0, 0.6
-TOLERANCE = 16 * np.finfo(float).eps
 RESULT = "struct<cost:double,matches:int,ops:int,a_len:int,b_len:int,script:string>"
 
 
-def substitution(a: str, b: str, overrides: dict[tuple[str, str], float]) -> float:
-    if overrides and (cost := overrides.get((a, b), overrides.get((b, a)))) is not None:
-        return cost
-    return 0.0 if a == b else SAME_KIND if a.split(":", 1)[0] == b.split(":", 1)[0] else OTHER
+#: Costs in fifths, so that those without overrides are whole numbers and ties are exact.
+UNIT = 5
 
 
 def align_labels(a: list[str], b: list[str], overrides: dict[tuple[str, str], float] | None = None) -> tuple[float, str]:
     """(cost, script): least cost and, from left to right, M(atch), S(ubstitute), D(elete), I(nsert) of a best alignment.
 
-    Among best ways back, the diagonal comes first, then deletion, then insertion.
+    Among best ways back, the diagonal comes first, then deletion, then insertion. Rows are vectors; of n rows every
+    root of n-th is kept and those between are made again on the way back, so that two sessions of n and m events take
+    memory of about m times the root of n.
     """
     n, m = len(a), len(b)
-    known: dict[tuple[str, str], float] = {}
-    cost = np.array([[known.setdefault((x, y), substitution(x, y, overrides or {})) for y in b] for x in a]).reshape(n, m)
-    best = np.zeros((n + 1, m + 1))
-    best[1:, 0], best[0, 1:] = np.cumsum(np.full(n, GAP)), np.cumsum(np.full(m, GAP))
-    for i in range(1, n + 1):
-        above = np.minimum(best[i - 1, :-1] + cost[i - 1], best[i - 1, 1:] + GAP)
-        left = best[i, 0]
-        for j in range(1, m + 1):
-            left = min(above[j - 1], left + GAP)
-            best[i, j] = left
-    script, i, j = [], n, m
+    labels, back = np.unique(np.array([*a, *b], object).astype(str), return_inverse=True) if n + m else (np.zeros(0, str), np.zeros(0, np.int64))
+    _, kinds = np.unique([x.split(":", 1)[0] for x in labels.tolist()], return_inverse=True) if n + m else (None, np.zeros(0, np.int64))
+    rows, columns = back[:n], back[n:]
+    gap, other, same = round(GAP * UNIT), round(OTHER * UNIT), round(SAME_KIND * UNIT)
+    kind = np.int64 if not overrides else np.float64
+    near = 0 if not overrides else 1e-9 * (n + m + 1)
+
+    def costs(i: int) -> np.ndarray:
+        out = np.where(columns == rows[i], 0, np.where(kinds[columns] == kinds[rows[i]], same, other)).astype(kind)
+        both = [((y, x), cost) for (x, y), cost in (overrides or {}).items()] + list((overrides or {}).items())
+        for (one, two), cost in both:  # those that are given this way round come last and win
+            if one == a[i]:
+                out[labels[columns] == two] = cost * UNIT
+        return out
+
+    steps = gap * np.arange(m + 1, dtype=kind)
+
+    def after(i: int, row: np.ndarray) -> np.ndarray:
+        """Row i + 1 from row i: the way from the left is a running minimum once the gaps are taken off."""
+        best = row + gap
+        best[1:] = np.minimum(best[1:], row[:-1] + costs(i))
+        return np.minimum.accumulate(best - steps) + steps
+
+    every = max(1, math.isqrt(n))
+    kept, row = [steps], steps
+    for i in range(n):
+        row = after(i, row)
+        if (i + 1) % every == 0:
+            kept.append(row)
+    script, j, total = [], m, float(row[m]) / UNIT
+    i, low, block = n, n + 1, []
     while i or j:
-        if i and j and abs(best[i, j] - best[i - 1, j - 1] - cost[i - 1, j - 1]) < TOLERANCE:
+        if i and i - 1 < low:
+            low = (i - 1) // every * every
+            block = [kept[low // every]]
+            for k in range(low, i):
+                block.append(after(k, block[-1]))
+        here = block[i - low] if i else steps
+        cost = costs(i - 1) if i and j else None
+        while j and i and abs(here[j] - block[i - 1 - low][j - 1] - cost[j - 1]) > near and abs(here[j] - block[i - 1 - low][j] - gap) > near:
+            j -= 1
+            script.append("I")
+        if i and j and abs(here[j] - block[i - 1 - low][j - 1] - cost[j - 1]) <= near:
+            script.append("M" if cost[j - 1] == 0 else "S")
             i, j = i - 1, j - 1
-            script.append("M" if cost[i, j] == 0 else "S")
-        elif i and (not j or abs(best[i, j] - best[i - 1, j] - GAP) < TOLERANCE):
+        elif i:
             i -= 1
             script.append("D")
         else:
-            j -= 1
-            script.append("I")
-    return float(best[n, m]), "".join(reversed(script))
+            script.append("I" * j)
+            j = 0
+    return total, "".join(reversed(script))
 
 
 def session_labels(events: DataFrame) -> DataFrame:
@@ -96,7 +127,3 @@ def nearest(events: DataFrame, probe: str, top_n: int, overrides: dict[tuple[str
     others = labels.filter(F.col("session_id") != probe).withColumnRenamed("labels", "b").withColumn("a", mine.scalar()).filter("a is not null")
     scored = aligned(others, overrides).join(order, "session_id")
     return scored.orderBy(F.desc("similarity"), "session_ord").limit(top_n).select("session_id", "cost", "match_rate", "similarity")
-
-
-def rank_within(scored: DataFrame, by: str, key: str) -> DataFrame:
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("similarity"), key)))

@@ -51,6 +51,54 @@ def historical_rank(lists: DataFrame) -> DataFrame:
     return counted.filter(hit).groupBy("case_id").agg(F.min_by("rank", "pos").cast("int").alias("rank"))
 
 
+def action_text(lists: DataFrame, command: str, templates: DataFrame, out: str) -> DataFrame:
+    """Adds out: what an action says. A log's is the template of its number (empty without one), an alert's its metric, else
+    the command itself. templates: (cluster_id string, template)."""
+    kind = F.regexp_extract(command, r"(?s)^(log|alert):(.*)", 1)
+    rest = F.regexp_extract(command, r"(?s)^(log|alert):(.*)", 2)
+    told = templates.select(F.col("cluster_id").cast("string").alias("_cluster"), F.col("template").alias("_template"))
+    joined = lists.join(told, (kind == "log") & (rest == F.col("_cluster")), "left")
+    text = F.when(kind == "log", F.coalesce("_template", F.lit(""))).when(kind == "alert", rest).otherwise(F.col(command))
+    return joined.withColumn(out, text).drop("_cluster", "_template")
+
+
+def matches_truth(parts: str = "parts", injected: str = "inject_pod") -> Column:
+    """Whether a candidate (pod, resource, src_text, dst_text) is the truth: of one part, a resource that holds it; of two,
+    actions whose texts hold them; on the injected pod either way. Truths of other sizes match nothing."""
+    there = F.coalesce(F.contains("pod", F.col(injected)), F.lit(False))
+    one = F.coalesce(F.contains("resource", F.get(parts, F.lit(0))), F.lit(False))
+    two = F.coalesce(F.contains("src_text", F.get(parts, F.lit(0))) & F.contains("dst_text", F.get(parts, F.lit(1))), F.lit(False))
+    return F.when(F.size(parts) == 1, one & there).when(F.size(parts) == 2, two & there).otherwise(False)
+
+
+def evaluated(lists: DataFrame, *keys: str) -> DataFrame:
+    """(case_id, n_candidates, rank_inner, rank_service_raw, rank_service_dedup, rank_historical) of every case with candidates.
+
+    lists: (case_id, pos, score, depth, pod, service, resource, src_text, dst_text, parts, inject_pod, inject_service).
+    """
+    told = lists.withColumn("matches", matches_truth())
+    ranked = dense_rank_runs(told, *keys)
+    served = F.col("service") == F.col("inject_service")
+
+    def first(hit: Column) -> Column:
+        return F.min_by(F.when(hit, F.col("rank")), F.when(hit, F.col("pos")))
+
+    raw = ranked.groupBy("case_id").agg(F.count("*").alias("n_candidates"), first(F.col("matches")).alias("rank_inner"), first(served).alias("rank_service_raw"))
+    dedup = service_rank(told, *keys).groupBy("case_id").agg(first(served).alias("rank_service_dedup"))
+    counted = historical_rank(told.withColumn("one_part", F.size("parts") == 1).withColumn("is_resource", F.col("resource").isNotNull()))
+    return raw.join(dedup, "case_id", "left").join(counted.withColumnRenamed("rank", "rank_historical"), "case_id", "left")
+
+
+def paired_statistics(pairs: DataFrame, k: int = 1, resamples: int = 10_000, seed: int = 20260820) -> dict[str, float | int | None]:
+    """All of one comparison: cases, discordant counts within k and their exact p-value, the mean difference of reciprocal
+    ranks and its interval. Only counts reach the driver."""
+    row = mcnemar(pairs, k).head()
+    gain = F.coalesce(1 / F.col("left_rank"), F.lit(0.0)) - F.coalesce(1 / F.col("right_rank"), F.lit(0.0))
+    mean = pairs.agg(F.count("*").alias("n"), F.avg(gain).alias("mean")).head()
+    low, high = bootstrap_ci_of(pairs, resamples, seed)
+    return {"cases": mean["n"], "b": row["b"], "c": row["c"], "p": mcnemar_p(row["b"], row["c"]), "mean_difference": mean["mean"], "low": low, "high": high}
+
+
 def accuracy(ranks: DataFrame, ks: tuple[int, ...] = (1, 3, 5)) -> DataFrame:
     """One row over (case_id, rank): cases, AC@k in percent, mean reciprocal rank, localized and not. Null rank: not localized."""
     hits = [(100.0 * F.count_if(F.col("rank") <= k) / F.count("*")).alias(f"ac_at_{k}") for k in ks]

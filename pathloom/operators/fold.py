@@ -5,6 +5,8 @@ All windows share one partitioning (session_id) and order (_ord, the source orde
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -87,9 +89,10 @@ def action_sources(events: DataFrame, config: FoldConfig, nested: bool = True) -
     return grouped.select("session_id", "action_idx", "screen", "command_id", "abstract_args", F.transform("s", lambda x: x["seq"]).alias("seqs"), F.col("s")[0]["seq"].alias("first_seq"))
 
 
-def session_order(events: DataFrame) -> DataFrame:
-    """Adds session_ord: where the session first appears in the source."""
-    return events.withColumn("session_ord", F.min("_ord").over(Window.partitionBy("session_id")))
+def union_windows(windows: list[DataFrame]) -> DataFrame:
+    """The events of several windows as one source, each with its window number, in the order of the windows."""
+    numbered = (w.withColumn("window", F.lit(i)).withColumn("_ord", F.struct(F.lit(i).alias("window"), F.col("_ord").alias("at"))) for i, w in enumerate(windows))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), numbered)
 
 
 def scenario_lines(events: DataFrame, config: FoldConfig, nested: bool = True) -> DataFrame:

@@ -7,12 +7,28 @@ from pyspark.sql import functions as F
 
 from ..config import HeuristicsConfig
 
+#: Nodes, and edges, of a graph that is drawn or walked on the driver; more raise.
+MOST_DRAWN = 200_000
+
+
 def in_scenario() -> WindowSpec:
     return Window.partitionBy("session_id").orderBy("action_idx")
 
 
 def label(screen: str = "screen", command: str = "command_id", args: str = "abstract_args") -> Column:
-    return F.concat_ws("|", screen, command, args)
+    """One text for an action, equal for equal actions only: its three parts between bars, in which a bar is %7C, a
+    percent sign %25 and null %0."""
+
+    def part(c: str) -> Column:
+        escaped = F.replace(F.replace(F.col(c), F.lit("%"), F.lit("%25")), F.lit("|"), F.lit("%7C"))
+        return F.coalesce(escaped, F.lit("%0"))
+
+    return F.concat(part(screen), F.lit("|"), part(command), F.lit("|"), part(args))
+
+
+def parts_of(action: str) -> list[str]:
+    """Screen, command and arguments of an action's text; null is empty."""
+    return [{"%0": ""}.get(x, x.replace("%7C", "|").replace("%25", "%")) for x in action.split("|")]
 
 
 def labelled(actions: DataFrame) -> DataFrame:
@@ -123,4 +139,4 @@ def _ordered(edge_rows: list, ids: dict[str, int]) -> list:
 
 
 def _quoted(s: str) -> str:
-    return s.replace("\\", "\\\\").replace('"', "'")
+    return "|".join(parts_of(s)).replace("\\", "\\\\").replace('"', "'")

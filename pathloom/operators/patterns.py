@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.ml.fpm import PrefixSpan
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import ReportConfig
-from .graph import dead_commands, nodes
+from ..sources.scratch import staged
+from .graph import dead_commands, nodes, parts_of
 
 
 def _sequences(acts: DataFrame) -> DataFrame:
@@ -15,21 +17,34 @@ def _sequences(acts: DataFrame) -> DataFrame:
     return acts.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("action_idx", "action"))).alias("s")).select("session_id", F.transform("s", lambda x: x["action"]).alias("actions"))
 
 
-def frequent_patterns(acts: DataFrame, min_support: int, max_length: int = 10, longest_for_support_1: int = 16) -> DataFrame:
-    """(pattern array<string>, support): action sequences, with gaps, that at least min_support scenarios contain."""
-    sequences = _sequences(acts)
-    sizes = sequences.agg(F.count("*").alias("n"), F.max(F.size("actions")).alias("longest")).head()
-    if min_support < 1 or not sizes["n"]:
-        return acts.sparkSession.createDataFrame([], "pattern array<string>, support bigint")
-    if min_support == 1 and min(sizes["longest"], max_length) > longest_for_support_1:
-        raise ValueError(f"support 1 over sessions of {sizes['longest']} actions has too many patterns; raise min_support or lower max_length")
-    items = sequences.select(F.transform("actions", lambda a: F.array(a)).alias("sequence"))
-    found = PrefixSpan(minSupport=(min_support - 0.5) / sizes["n"], maxPatternLength=max_length).findFrequentSequentialPatterns(items)
-    return found.select(F.flatten("sequence").alias("pattern"), F.col("freq").alias("support"))
+def frequent_patterns(acts: DataFrame, min_support: int, max_length: int | None = None) -> DataFrame:
+    """(pattern array<string>, support): action sequences, with gaps, that at least min_support scenarios contain.
+
+    Patterns grow by an action a round: each is known in a session by the earliest place where it ends, from which a join
+    with the session's later actions, of those that are frequent themselves, makes the longer ones. Rounds are staged and
+    end when no pattern is frequent, so that nothing but their number is on the driver.
+    """
+    spark = acts.sparkSession
+    if min_support < 1:
+        return spark.createDataFrame([], "pattern array<string>, support bigint")
+    base = staged(acts.select("session_id", "action_idx", "action"), "actions")
+    grown, found = base.select("session_id", F.col("action_idx").alias("at"), F.array("action").alias("pattern")), []
+    while max_length is None or len(found) < max_length:
+        ends = staged(grown.groupBy("session_id", "pattern").agg(F.min("at").alias("at")), "pattern-ends")
+        support = staged(ends.groupBy("pattern").agg(F.count("*").alias("support")).filter(F.col("support") >= min_support), "patterns")
+        if not support.head(1):
+            break
+        live = ends.join(support.select("pattern"), "pattern", "left_semi")
+        if not found:
+            base = base.join(support.select(F.col("pattern")[0].alias("action")), "action", "left_semi")
+        found.append(support)
+        longer = live.join(base, "session_id").filter("action_idx > at")
+        grown = longer.select("session_id", F.col("action_idx").alias("at"), F.concat("pattern", F.array("action")).alias("pattern"))
+    return reduce(DataFrame.unionByName, found, spark.createDataFrame([], "pattern array<string>, support bigint"))
 
 
 def short_patterns(acts: DataFrame, min_support: int, max_length: int = 3) -> DataFrame:
-    """The same for patterns of up to three actions, by position joins within sessions; no driver state at all."""
+    """The same for patterns of a few actions in one plan, without staged rounds."""
     base = acts.select("session_id", "action_idx", "action")
     grown, out = base.select("session_id", F.col("action_idx").alias("at"), F.array("action").alias("pattern")), []
     for length in range(1, max_length + 1):
@@ -70,7 +85,8 @@ def rare_failing(acts: DataFrame, patterns: DataFrame, failing: DataFrame, confi
 
 
 def workflow_report(acts: DataFrame, failing: DataFrame, config: ReportConfig = ReportConfig()) -> dict[str, DataFrame]:
-    patterns = frequent_patterns(acts, config.min_support, config.max_length, config.longest_for_support_1)
+    acts = staged(acts, "acts")
+    patterns = frequent_patterns(acts, config.min_support, config.max_length)
     return {"top_workflows": top_workflows(patterns, config.top_n), "rare_failing": rare_failing(acts, patterns, failing, config), "dead_features": dead_commands(nodes(acts), config.dead_floor).orderBy("visits", "command_id")}
 
 
@@ -78,8 +94,7 @@ def render_report(report: dict[str, DataFrame], total_visits: int) -> str:
     """The report as text; an action is written as screen:command."""
 
     def name(action: str) -> str:
-        screen, command, _ = action.split("|", 2)
-        return f"{screen}:{command}"
+        return ":".join(parts_of(action)[:2])
 
     def listed(title: str, lines: list[str]) -> list[str]:
         return [f"=== {title} ===", *(lines or ["  (none)"])]

@@ -57,9 +57,16 @@ def attributed(scores: DataFrame, acts: DataFrame, pods: DataFrame) -> DataFrame
     return placed.select("src", "dst", "score", "depth", "session_id", "pod", "first_at")
 
 
+def first_alarms(alarms: DataFrame) -> DataFrame:
+    """(pod, resource): the first alarm of each pod, by the column position where there is one, else by resource."""
+    order = "position" if "position" in alarms.columns else "resource"
+    return alarms.groupBy("pod").agg(F.min_by("resource", F.struct(order, "resource")).alias("resource"))
+
+
 def alarm_dedup(candidates: DataFrame, alarms: DataFrame) -> DataFrame:
-    """Of a pod's alarmed candidates only the first of those at the pod's greatest depth stays. alarms: (pod, resource)."""
-    marked = candidates.join(alarms, "pod", "left")
+    """Of a pod's alarmed candidates only the first of those at the pod's greatest depth stays, with the pod's first alarm
+    as its resource. alarms: (pod, resource) and, where a pod has several, position."""
+    marked = candidates.join(first_alarms(alarms), "pod", "left")
     pod = Window.partitionBy("pod").orderBy(F.desc("depth"), "first_at", "src", "dst")
     return marked.withColumn("place", F.row_number().over(pod)).filter(F.col("resource").isNull() | (F.col("place") == 1)).drop("place")
 
@@ -80,12 +87,29 @@ def root_causes(normal: DataFrame, abnormal: DataFrame, pods: DataFrame, alarms:
     return ranked(found, edge_table is not None)
 
 
-def latency_p90(spans: DataFrame, fallback: float = 10.0) -> DataFrame:
-    """(pod, n_samples, p90): interpolated percentile of (parent end - child end) in ms over calls from other pods.
+def latency_pairs(spans: DataFrame) -> DataFrame:
+    """(pod, child_row, parent_row, ms): calls from other pods and (parent end - child end) in milliseconds.
+
+    spans: (row, span_id, parent_id, pod, end_ns). A span id given twice is the later row.
+    """
+    last = F.max_by(F.struct("pod", "end_ns", "row"), "row").alias("p")
+    parents = spans.groupBy("span_id").agg(last).select(F.col("span_id").alias("parent_id"), F.col("p.pod").alias("parent_pod"), F.col("p.end_ns").alias("parent_end"), F.col("p.row").alias("parent_row"))
+    calls = spans.join(parents, "parent_id").filter("parent_pod <> pod")
+    return calls.select("pod", F.col("row").alias("child_row"), "parent_row", ((F.col("parent_end") - F.col("end_ns")) / 1_000_000).alias("ms"))
 
-    spans: (row, span_id, parent_id, pod, end_ns). A span id given twice is the later row; two samples or fewer give the
-    fallback.
+
+def pod_latency(spans: DataFrame, thresholds: DataFrame, pods: DataFrame, fallback: float = 10.0) -> DataFrame:
+    """(pod, n_samples, p90, source) of every pod: from its calls; without a span of its own from its service's threshold.
+
+    thresholds: (service, value); pods: (pod, service). source: trace-derived-p90 or fallback-threshold.
     """
-    parents = spans.groupBy("span_id").agg(F.max_by(F.struct("pod", "end_ns"), "row").alias("p")).select(F.col("span_id").alias("parent_id"), F.col("p.pod").alias("parent_pod"), F.col("p.end_ns").alias("parent_end"))
-    gaps = spans.join(parents, "parent_id").filter("parent_pod <> pod").withColumn("ms", (F.col("parent_end") - F.col("end_ns")) / 1_000_000)
+    seen = spans.select("pod").distinct().withColumn("seen", F.lit(True))
+    joined = pods.join(seen, "pod", "left").join(latency_p90(spans, fallback), "pod", "left").join(thresholds, "service", "left")
+    own = F.col("seen").isNotNull()
+    return joined.select("pod", F.coalesce("n_samples", F.lit(0)).alias("n_samples"), F.when(own, F.coalesce("p90", F.lit(fallback))).otherwise(F.col("value")).alias("p90"), F.when(own, "trace-derived-p90").otherwise("fallback-threshold").alias("source"))
+
+
+def latency_p90(spans: DataFrame, fallback: float = 10.0) -> DataFrame:
+    """(pod, n_samples, p90): interpolated percentile of the latency_pairs; two samples or fewer give the fallback."""
+    gaps = latency_pairs(spans)
     return gaps.groupBy("pod").agg(F.count("*").alias("n_samples"), F.when(F.count("*") > 2, F.percentile("ms", F.lit(0.9))).otherwise(fallback).alias("p90"))

@@ -6,12 +6,12 @@ session in source order; none of them leaves the JVM.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Protocol
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import ms_between
@@ -89,10 +89,12 @@ class ValidationsPassBeforeSubmit:
         resets = F.col("kind").isin("CommandExecuted", "NavigationOccurred").cast("bigint")
         before = in_session().rowsBetween(Window.unboundedPreceding, -1)
         grouped = events.select("session_id", "_ord", "seq", "kind", "command_id", F.coalesce(F.sum(resets).over(before), F.lit(0)).alias("stretch"))
-        stretch = Window.partitionBy("session_id", "stretch").orderBy("_ord").rowsBetween(Window.unboundedPreceding, -1)
-        pending = grouped.withColumn("pending", F.collect_list(F.when(F.col("kind") == "ValidationFailed", F.col("seq"))).over(stretch))
         submits = reduce(lambda a, b: a | b, (F.col("command_id").endswith(s) for s in self.suffixes), F.lit(False))
-        found = pending.filter((F.col("kind") == "CommandExecuted") & submits & (F.size("pending") > 0))
+        # A stretch ends with the command or navigation that resets it, so that its failures all come before.
+        failure = F.when(F.col("kind") == "ValidationFailed", F.struct("_ord", "seq"))
+        submit = F.max(F.when((F.col("kind") == "CommandExecuted") & submits, F.struct("command_id", "seq")))
+        stretches = grouped.groupBy("session_id", "stretch").agg(F.array_sort(F.collect_list(failure)).alias("failures"), submit.alias("submit"))
+        found = stretches.filter(F.col("submit").isNotNull() & (F.size("failures") > 0)).select("session_id", "submit.command_id", "submit.seq", F.transform("failures", lambda f: f["seq"]).alias("pending"))
         message = F.concat(F.lit("Submit command '"), "command_id", F.lit("' fired with "), F.size("pending").cast("string"), F.lit(" outstanding validation failure(s)"))
         return _violations(found, self.name, "Error", message, F.concat(F.col("pending"), F.array("seq")))
 
@@ -184,6 +186,9 @@ class Engine:
 
 BUILTIN: tuple[Rule, ...] = (NoUnhandledException(), NoErrorModalAfterCommand(), CommandMustSucceed(), ScreenMustNavigateForward(), ValidationsPassBeforeSubmit())
 
+#: The example rule of diagnostic bundles.
+DEMO = SuccessThenException("Graph47.Recalculate", "Negative", "Graph47.ResultMustBeNonNegative", " — off-by-one in quantity truncation when total > 1 000")
+
 
 def exit_code(results: DataFrame) -> int:
     """2 with a critical violation, 1 with another, 0 without."""
@@ -191,34 +196,52 @@ def exit_code(results: DataFrame) -> int:
     return 2 if row["critical"] else 0 if row["passed"] in (True, None) else 1
 
 
+def report_rows(engine: Engine, events: DataFrame) -> DataFrame:
+    """(session_ord, session_id, position, rule, found): what each rule found in each session, in source and rule order."""
+    names = F.array(*(F.lit(r.name) for r in engine.rules))
+    sessions = events.groupBy("session_id").agg(F.min("_ord").alias("session_ord"))
+    grid = sessions.select("session_ord", "session_id", F.posexplode(names).alias("position", "rule"))
+    listed = F.array_sort(F.collect_list(F.struct("evidence", "severity", "message", F.col("inner_rule").alias("reported_by"))))
+    found = engine.violations(events).groupBy("session_id", "rule").agg(listed.alias("found"))
+    none = F.array().cast(found.schema["found"].dataType)
+    return grid.join(found, ["session_id", "rule"], "left").withColumn("found", F.coalesce("found", none)).orderBy("session_ord", "position")
+
+
+def text_lines(engine: Engine, events: DataFrame) -> Iterator[str]:
+    """A line for each session and rule, with the violations under it; rows come to the driver a partition at a time."""
+    told = engine.sessions(events).agg(F.count("*").alias("n"), F.count_if(~F.col("all_passed")).alias("failed")).head()
+    yield f"sessions: {told['n']}  passed: {told['n'] - told['failed']}  failed: {told['failed']}"
+    for r in report_rows(engine, events).toLocalIterator():
+        yield f"  [{'FAIL' if r['found'] else 'PASS'}] session={r['session_id']} rule={r['rule']}"
+        yield from (f"       {v['severity']}: {v['message']}" for v in r["found"])
+
+
 def render_text(engine: Engine, events: DataFrame) -> str:
-    """A line for each session and rule in source and rule order, with the violations under it."""
-    sessions = [r["session_id"] for r in events.groupBy("session_id").agg(F.min("_ord").alias("o")).orderBy("o").collect()]
-    listed: dict[tuple[str, str], list] = {}
-    for v in engine.violations(events).collect():
-        listed.setdefault((v["session_id"], v["rule"]), []).append(v)
-    failed = {s for s, _ in listed}
-    lines = [f"sessions: {len(sessions)}  passed: {len(sessions) - len(failed)}  failed: {len(failed)}"]
-    for s in sessions:
-        for rule in engine.rules:
-            found = sorted(listed.get((s, rule.name), []), key=lambda v: v["evidence"])
-            lines.append(f"  [{'FAIL' if found else 'PASS'}] session={s} rule={rule.name}")
-            lines += [f"       {v['severity']}: {v['message']}" for v in found]
-    return "\n".join(lines) + "\n"
+    return "\n".join(text_lines(engine, events)) + "\n"
 
 
-def render_html(engine: Engine, events: DataFrame, title: str = "Rule report") -> str:
-    """One table of sessions and rules; texts are escaped."""
+def json_lines(engine: Engine, events: DataFrame) -> DataFrame:
+    """(value): one JSON text for each session: its id, and its rules with what they found."""
+    rules = F.array_sort(F.collect_list(F.struct("position", "rule", F.col("found").alias("violations"))))
+    listed = report_rows(engine, events).groupBy("session_ord", "session_id").agg(rules.alias("results")).orderBy("session_ord")
+    results = F.transform("results", lambda r: F.struct(r["rule"].alias("rule"), (F.size(r["violations"]) == 0).alias("passed"), r["violations"].alias("violations")))
+    return listed.select(F.to_json(F.struct("session_id", results.alias("results"))).alias("value"))
+
+
+def html_lines(engine: Engine, events: DataFrame, title: str = "Rule report") -> Iterator[str]:
+    """One table of sessions and rules; texts are escaped. Rows come to the driver a partition at a time."""
     import html
 
-    results = engine.results(events).orderBy("session_id", "rule").collect()
-    listed: dict[tuple[str, str], list[str]] = {}
-    for v in engine.violations(events).collect():
-        seqs = ", ".join(map(str, v["evidence"]))
-        listed.setdefault((v["session_id"], v["rule"]), []).append(f"[{v['severity']}] {html.escape(v['message'])} (seq {seqs})")
-    rows = "".join(f"<tr><td>{html.escape(r['session_id'])}</td><td>{html.escape(r['rule'])}</td><td class=\"{'pass' if r['passed'] else 'fail'}\">{'PASS' if r['passed'] else 'FAIL'}</td><td>{'<br>'.join(listed.get((r['session_id'], r['rule']), []))}</td></tr>\n" for r in results)
-    return f"<!DOCTYPE html>\n<html lang=\"en\"><head><meta charset=\"utf-8\"><title>{html.escape(title)}</title></head><body>\n<h1>{html.escape(title)}</h1>\n<table><thead><tr><th>Session</th><th>Rule</th><th>Result</th><th>Violations</th></tr></thead><tbody>\n{rows}</tbody></table></body></html>\n"
+    name = html.escape(title)
+    yield f"<!DOCTYPE html>\n<html lang=\"en\"><head><meta charset=\"utf-8\"><title>{name}</title></head><body>\n<h1>{name}</h1>"
+    yield "<table><thead><tr><th>Session</th><th>Rule</th><th>Result</th><th>Violations</th></tr></thead><tbody>"
+    for r in report_rows(engine, events).toLocalIterator():
+        listed = [f"[{v['severity']}] {html.escape(v['message'])} (seq {', '.join(map(str, v['evidence']))})" for v in r["found"]]
+        verdict = "FAIL" if listed else "PASS"
+        cells = (html.escape(r["session_id"]), html.escape(r["rule"]))
+        yield f"<tr><td>{cells[0]}</td><td>{cells[1]}</td><td class=\"{verdict.lower()}\">{verdict}</td><td>{'<br>'.join(listed)}</td></tr>"
+    yield "</tbody></table></body></html>"
 
 
-def empty_violations(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], "session_id string, rule string, severity string, message string, evidence array<bigint>")
+def render_html(engine: Engine, events: DataFrame, title: str = "Rule report") -> str:
+    return "\n".join(html_lines(engine, events, title)) + "\n"

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.rules import Engine
+from ..operators.rules import BUILTIN, DEMO, Engine
 from ..sources.jsonl import envelope
 
 
-def diagnostic_bundle(events: DataFrame, session_id: str, engine: Engine = Engine()) -> DataFrame:
+def diagnostic_bundle(events: DataFrame, session_id: str, engine: Engine = Engine((*BUILTIN, DEMO))) -> DataFrame:
     """(session_id, n_events, events as JSON lines in source order, results, violations). Without the session: LookupError."""
     mine = events.filter(F.col("session_id") == session_id)
     if mine.isEmpty():

@@ -18,6 +18,7 @@ from .functions import scalar as X
 from .functions.abstraction import abstract_args
 from .operators import align, evalrank, fold, gates, graph, patterns, process_tree, rca, rules, summary
 from .sources.events_view import duckdb_view, trace_view
+from .sources.scratch import collected, staged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -136,6 +137,19 @@ def ingest_last_write_wins(spark, sf_dir):
     return summary.last_write_wins(events.unionByName(again))
 
 
+@query(f"{tv()}, b AS (SELECT session_id, seq // 2 AS seq, arg_max(kind, _ord) AS kind FROM tv WHERE seq % 3 <> 0 GROUP BY ALL) SELECT coalesce(b.session_id, tv.session_id) AS session_id, coalesce(b.seq, tv.seq) AS seq, coalesce(b.kind, tv.kind) AS kind FROM tv FULL JOIN b ON tv.session_id = b.session_id AND tv.seq = b.seq")
+def ingest_twice(spark, sf_dir):
+    """Two ingests into one archive: of an event that both have, the newer version is read."""
+    from .sources.archive import read_archive, write_archive
+    from .sources.scratch import scratch
+
+    events, path = trace_view(spark, sf_dir), scratch(spark, "archive")
+    write_archive(events, path)
+    again = events.filter("seq % 3 <> 0").withColumn("seq", F.call_function("div", F.col("seq"), F.lit(2)))
+    write_archive(summary.last_write_wins(again), path)
+    return read_archive(spark, path).select("session_id", "seq", "kind")
+
+
 @query(f"{tv()} SELECT session_id, seq, kind AS idx_kind, coalesce(command_id, operation_id) AS idx_command_id, screen_id AS idx_screen_id, outcome AS idx_outcome FROM tv")
 def index_columns(spark, sf_dir):
     return trace_view(spark, sf_dir).select("session_id", "seq", *(c.alias(n) for n, c in X.index_columns().items()))
@@ -293,18 +307,34 @@ def dead_commands(spark, sf_dir):
 
 @query(None)
 def most_frequent_path(spark, sf_dir):
-    path = graph.most_frequent_path(nodes(spark, sf_dir).collect(), edge_table(spark, sf_dir).collect())
+    n, e = collected(nodes(spark, sf_dir), graph.MOST_DRAWN, "nodes"), collected(edge_table(spark, sf_dir), graph.MOST_DRAWN, "edges")
+    path = graph.most_frequent_path(n, e)
     return spark.createDataFrame(list(enumerate(path)), "step int, action string")
 
 
 @query(None)
 def graph_exports(spark, sf_dir):
-    n, e = nodes(spark, sf_dir).collect(), edge_table(spark, sf_dir)
+    n, e = collected(nodes(spark, sf_dir), graph.MOST_DRAWN, "nodes"), edge_table(spark, sf_dir)
     p80 = graph.p80_frequency(e).head()["p80"]
-    e = e.collect()
+    e = collected(e, graph.MOST_DRAWN, "edges")
     return spark.createDataFrame([("mermaid", graph.to_mermaid(n, e, p80)), ("dot", graph.to_dot(n, e))], "format string, text string")
 
 
+_BARRED = "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'a|b' ELSE 'a' END AS screen, CASE WHEN event_id % 2 = 0 THEN 'c' ELSE 'b|c' END AS command_id, CASE event_id % 3 WHEN 0 THEN '100%' WHEN 1 THEN NULL ELSE '%0' END AS abstract_args FROM {t}"
+
+
+def _barred_part(c: str) -> str:
+    return f"coalesce(replace(replace({c}, '%', '%25'), '|', '%7C'), '%0')"
+
+
+@query(f"SELECT action, screen, command_id, abstract_args, count(*) AS n FROM (SELECT *, {_barred_part('screen')} || '|' || {_barred_part('command_id')} || '|' || {_barred_part('abstract_args')} AS action FROM ({_BARRED.format(t='events')})) GROUP BY ALL")
+def action_keys(spark, sf_dir):
+    """Names with bars and percent signs: different actions have different texts."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    named = spark.sql(_BARRED.format(t="{events}"), events=events).withColumn("action", graph.label())
+    return named.groupBy("action", "screen", "command_id", "abstract_args").agg(F.count("*").alias("n"))
+
+
 # ---- patterns and process trees --------------------------------------------------------------------------------------
 
 _PATTERNS = """, p1 AS (SELECT action AS pattern, count(DISTINCT session_id) AS support FROM act GROUP BY 1),
@@ -338,7 +368,7 @@ def top_workflows(spark, sf_dir):
           UNION ALL SELECT a.action || ' > ' || b.action, count(DISTINCT a.session_id) FROM act a SEMI JOIN bad USING (session_id) JOIN act b ON a.session_id = b.session_id AND a.action_idx < b.action_idx GROUP BY 1)
     SELECT pattern, support, round(support::DOUBLE / t, 6) AS fraction, round(failing::DOUBLE / support, 6) AS error_rate FROM pat JOIN f USING (pattern), tot WHERE n <= 2 AND support >= 2 AND support::DOUBLE / t <= 0.01 AND failing::DOUBLE / support >= 0.05""")
 def rare_failing(spark, sf_dir):
-    a = acts(spark, sf_dir)
+    a = staged(acts(spark, sf_dir), "acts")
     found = patterns.rare_failing(a, patterns.frequent_patterns(a, 2, max_length=2), summary.error_sessions(trace_view(spark, sf_dir)), ReportConfig())
     return _joined(found).select("pattern", "support", F.round("fraction", 6).alias("fraction"), F.round("error_rate", 6).alias("error_rate"))
 
@@ -360,7 +390,7 @@ def top_workflows_full(spark, sf_dir):
 
 @query(None)
 def rare_failing_full(spark, sf_dir):
-    a = acts(spark, sf_dir)
+    a = staged(acts(spark, sf_dir), "acts")
     found = patterns.rare_failing(a, patterns.frequent_patterns(a, 2, ReportConfig.max_length), summary.error_sessions(trace_view(spark, sf_dir)), ReportConfig())
     return _joined(found).select("pattern", "support", F.round("fraction", 6).alias("fraction"), F.round("error_rate", 6).alias("error_rate"))
 
@@ -547,6 +577,14 @@ def rca_candidates(spark, sf_dir):
     return found.select("src", "dst", F.round("score", 6).alias("score"), "depth", "pod", F.col("pos").cast("bigint").alias("pos"))
 
 
+@query(f"{_SCORED} SELECT src, dst, pod, CASE WHEN alarmed THEN 'CpuUsageRate(%)' END AS resource FROM ded WHERE NOT alarmed OR place = 1")
+def rca_first_alarms(spark, sf_dir):
+    """Pods with two alarms each: a candidate stays one row and takes its pod's first."""
+    normal, abnormal, pods = _phases(spark, sf_dir)
+    alarms = _alarms(spark).select("pod", F.explode(F.array(F.struct(F.lit(1).alias("position"), F.lit("AlarmedLater").alias("resource")), F.struct(F.lit(0).alias("position"), F.col("resource")))).alias("a")).select("pod", "a.*")
+    return rca.root_causes(normal, abnormal, pods, alarms, RCA).select("src", "dst", "pod", "resource")
+
+
 @query(f"{_SCORED}, gp AS (SELECT src, dst, count(*) AS f FROM rp0 WHERE dst IS NOT NULL AND phase = 'normal' GROUP BY ALL), ge AS (SELECT a.src, a.dst, CASE WHEN a.src = a.dst THEN 1 - a.f::DOUBLE / (a.f + 1) ELSE (1 - (a.f - coalesce(b.f, 0))::DOUBLE / (a.f + coalesce(b.f, 0) + 1)) / 2 END AS anomaly FROM gp a LEFT JOIN gp b ON a.src = b.dst AND a.dst = b.src) SELECT src, dst, pod, row_number() OVER (ORDER BY score DESC, anomaly DESC, depth DESC, first_at, src, dst) AS pos FROM fin JOIN ge USING (src, dst)")
 def rca_candidates_graph(spark, sf_dir):
     normal, abnormal, pods = _phases(spark, sf_dir)
@@ -600,6 +638,23 @@ def historical_rank(spark, sf_dir):
     return evalrank.historical_rank(_lists(spark, sf_dir))
 
 
+_TRUTH = "SELECT *, concat(service, '-', CAST(pos % 3 AS {s}), '-x') AS pod, CASE WHEN is_resource THEN concat('CpuUsage', CAST(pos % 2 AS {s})) END AS resource, concat('op', CAST(pos % 4 AS {s})) AS src_text, concat('op', CAST(pos % 5 AS {s})) AS dst_text, 'svc3-1-x' AS inject_pod, 'svc3' AS inject_service FROM {t}"
+
+
+@query(f"""{_L}, tr AS ({_TRUTH.format(s='VARCHAR', t='l')}), mt AS (SELECT *, CASE WHEN one_part THEN coalesce(contains(resource, 'CpuUsage1'), false) ELSE contains(src_text, 'op1') AND contains(dst_text, 'op') END AND contains(pod, inject_pod) AS hit FROM tr),
+    st AS (SELECT *, CASE WHEN row_number() OVER w = 1 OR score IS DISTINCT FROM lag(score) OVER w OR depth IS DISTINCT FROM lag(depth) OVER w THEN 1 ELSE 0 END AS step, CASE WHEN one_part AND is_resource THEN 0 WHEN coalesce(score = lag(score) OVER w AND depth = lag(depth) OVER w, false) THEN 0 ELSE 1 END AS mv FROM mt WINDOW w AS (PARTITION BY case_id ORDER BY pos)),
+    rk AS (SELECT *, sum(step) OVER (PARTITION BY case_id ORDER BY pos)::INT AS rank, (1 + coalesce(sum(mv) OVER (PARTITION BY case_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::INT AS counter FROM st),
+    dd AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY case_id, service ORDER BY pos) AS k FROM mt) WHERE k = 1),
+    d2 AS (SELECT *, CASE WHEN row_number() OVER w = 1 OR score IS DISTINCT FROM lag(score) OVER w OR depth IS DISTINCT FROM lag(depth) OVER w THEN 1 ELSE 0 END AS step FROM dd WINDOW w AS (PARTITION BY case_id ORDER BY pos)),
+    d3 AS (SELECT case_id, service, sum(step) OVER (PARTITION BY case_id ORDER BY pos)::INT AS rank FROM d2)
+    SELECT case_id, count(*) AS n_candidates, arg_min(rank, pos) FILTER (WHERE hit) AS rank_inner, arg_min(rank, pos) FILTER (WHERE service = 'svc3') AS rank_service_raw, (SELECT rank FROM d3 WHERE d3.case_id = rk.case_id AND service = 'svc3') AS rank_service_dedup, arg_min(counter, pos) FILTER (WHERE hit AND (is_resource OR NOT one_part)) AS rank_historical FROM rk GROUP BY case_id""")
+def evaluated_cases(spark, sf_dir):
+    """Inner, raw, deduplicated and historical ranks of the truth; truths of one part name a resource, those of two actions."""
+    lists = spark.sql(_TRUTH.format(s="STRING", t="{lists}"), lists=_lists(spark, sf_dir))
+    parts = F.when(F.col("one_part"), F.array(F.lit("CpuUsage1"))).otherwise(F.array(F.lit("op1"), F.lit("op")))
+    return evalrank.evaluated(lists.withColumn("parts", parts).drop("matches", "is_resource", "one_part"))
+
+
 @query(_FIRST + " SELECT count(*) AS cases, round(100.0 * count_if(rank <= 1) / count(*), 6)::DOUBLE AS ac_at_1, round(100.0 * count_if(rank <= 3) / count(*), 6)::DOUBLE AS ac_at_3, round(100.0 * count_if(rank <= 5) / count(*), 6)::DOUBLE AS ac_at_5, round(avg(coalesce(1.0::DOUBLE / rank, 0)), 6) AS mrr, count(rank) AS localized, count_if(rank IS NULL)::BIGINT AS unlocalized FROM ranks")
 def ac_at_k_mrr(spark, sf_dir):
     found = evalrank.accuracy(_service_ranks(spark, sf_dir))

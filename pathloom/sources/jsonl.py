@@ -226,16 +226,6 @@ def upcast(events: DataFrame, version: int, steps: dict[int, Callable[[DataFrame
 UPCASTERS: dict[int, Callable[[DataFrame], DataFrame]] = {1: lambda df: df.withColumn("domain_entity_id", F.lit(None).cast("string")).withColumn("schema_version", F.lit(2))}
 
 
-def ingest(spark: SparkSession, log: str, store: str) -> int:
-    """Reads a log strictly and appends its events, last write winning, to a Parquet archive; returns their number."""
-    from ..operators.summary import last_write_wins
-    from .archive import read_archive, write_archive
-
-    events, _ = read_events(spark, log, strict=True)
-    write_archive(last_write_wins(events), store)
-    return read_archive(spark, store).count()
-
-
 def version() -> dict[str, str | int]:
     return {"pathloom": "0.1.0", "schema": CURRENT}
 

@@ -49,6 +49,18 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
     return lines.select("row", *fields, F.when(F.size(parts) == 8, F.replace(body, F.lit('""'), F.lit('"'))).alias("Log"), repaired.alias("repaired"))
 
 
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """(file, row, time, pod, metric_type, value) of metric files: one column a metric, one file a pod (its name, before
+    _metric.csv). What is no number is no metric."""
+    wide = spark.read.csv(path, header=True, quote='"', escape='"')
+    names = [c for c in wide.columns if c not in ("Time", "TimeStamp", "PodName")]
+    file = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1)
+    numbered = _numbered(wide.withColumn("file", file).withColumn("pod", F.regexp_replace(file, r"_metric\.csv.*$", "")))
+    metrics = F.explode(F.array(*(F.struct(F.lit(c).alias("metric_type"), F.expr(f"try_cast(`{c}` AS DOUBLE)").alias("value")) for c in names)))
+    long = numbered.select("file", "row", F.col("Time").alias("time"), "pod", metrics.alias("m"))
+    return long.select("file", "row", "time", "pod", "m.metric_type", "m.value").filter("value is not null")
+
+
 def read_selectors(spark: SparkSession, path: str) -> DataFrame:
     return _numbered(spark.read.text(path)).select(F.trim("value").alias("trace_id"), "row").filter("trace_id <> ''")
 

@@ -1,7 +1,10 @@
 """Queries against their SQL twins on the smallest tables, and the command line."""
 
+import io
+import json
 import math
 import os
+import sys
 
 import duckdb
 import pytest
@@ -12,7 +15,7 @@ from pathloom import queries as core
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
-SOME = ["corpus_summary", "edge_anomaly", "fold_report", "rule_validations", "rule_results", "rare_failing", "similar_sessions", "historical_rank", "conservation_check", "p90_threshold", "canonical_actions", "diagnostic_counts"]
+SOME = ["corpus_summary", "edge_anomaly", "fold_report", "rule_validations", "rule_results", "rare_failing", "similar_sessions", "historical_rank", "conservation_check", "p90_threshold", "canonical_actions", "diagnostic_counts", "action_keys", "ingest_twice", "rca_first_alarms", "evaluated_cases"]
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
 
 
@@ -43,7 +46,7 @@ def test_patterns_of_all_lengths(spark):
     bad = {r["session_id"] for r in summary.error_sessions(trace_view(spark, sf)).collect()}
     support, failing = Counter(), Counter()
     for session, actions in sequences.items():
-        for p in {c for n in range(1, min(len(actions), 10) + 1) for c in combinations(actions, n)}:
+        for p in {c for n in range(1, len(actions) + 1) for c in combinations(actions, n)}:
             support[p] += 1
             failing[p] += session in bad
     often = {" > ".join(p): n for p, n in support.items() if n >= 5}
@@ -69,11 +72,22 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["normalize", path, "--report"], spark) == 0
     assert "fold report: input_events=5 output_actions=2 collapsed_bursts=0 dropped_noise=3 session_pauses=0" in capsys.readouterr().out
     assert cli.main(["oracle", path], spark) == 2
+    capsys.readouterr()
+    assert cli.main(["oracle", path, "--output", "json", "--rules", "demo"], spark) == 2
+    told = json.loads(capsys.readouterr().out)
+    assert len(told) == 2 and len(told[0]["results"]) == 6
+    assert cli.main(["report", "workflows", path], spark) == 0
+    assert "=== Top workflows ===" in capsys.readouterr().out
+    with open(path, "rb") as f, pytest.MonkeyPatch.context() as m:
+        m.setattr(sys, "stdin", io.TextIOWrapper(f))
+        assert cli.main(["analyze", "-", "--output", "json"], spark) == 0
+    assert '"events":5' in capsys.readouterr().out
     assert cli.main(["analyze", str(tmp_path / "none")], spark) == 66
     assert cli.main(["analyze", log(tmp_path, [event(0), "{torn"], "torn.jsonl")], spark) == 65
     assert cli.main(["graph", path, "--format", "process-tree"], spark) == 64
     assert cli.main(["nonsense"], spark) == 64
     assert cli.main(["ingest", path, "--db", str(tmp_path / "db")], spark) == 0
+    assert cli.main(["ingest", path, "--db", str(tmp_path / "db")], spark) == 0
     capsys.readouterr()
     assert cli.main(["slice", str(tmp_path / "db"), "command", "Doc.Save"], spark) == 0
     assert len(capsys.readouterr().out.splitlines()) == 1

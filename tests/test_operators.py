@@ -108,8 +108,58 @@ def test_patterns_match_brute_force(spark):
     for df in (patterns.frequent_patterns(acts, 3, 3), patterns.short_patterns(acts, 3, 3)):
         assert {tuple(r["pattern"]): r["support"] for r in df.collect()} == want
     assert patterns.frequent_patterns(acts, 0).count() == 0
-    with pytest.raises(ValueError):
-        patterns.frequent_patterns(sequences(spark, [["a"] * 30]), 1, 30)
+    # No cap: a pattern of 17 actions, and a report with the default settings over it.
+    long = sequences(spark, [list("abcdefghijklmnopq")] * 2 + [["z"]])
+    only = patterns.frequent_patterns(sequences(spark, [["a"] * 17] * 2), 2)
+    assert {len(r["pattern"]): r["support"] for r in only.collect()} == {n: 2 for n in range(1, 18)}
+    assert patterns.frequent_patterns(long.filter("action_idx < 12"), 2).count() == 2**12 - 1
+
+
+def test_action_keys_are_unique(spark):
+    rows = [("a|b", "c", "{}"), ("a", "b|c", "{}"), ("a", "b", "c|{}"), ("100%", "x", None), ("100%25", "x", "%0"), ("a%7Cb", "c", "{}"), ("a", "b", None)]
+    keys = [r[0] for r in spark.createDataFrame(rows, "screen string, command_id string, abstract_args string").select(graph.label()).collect()]
+    assert len(set(keys)) == len(rows)
+    assert [tuple(graph.parts_of(k)) for k in keys] == [tuple(x or "" for x in r) for r in rows]
+
+
+def test_archive_keeps_the_newest(spark, tmp_path):
+    from pathloom.sources import archive
+
+    day = lambda d: f"timestamp'2024-01-0{d} 10:00:00'"
+    path = f"file://{tmp_path}/store"
+    first = spark.sql(f"SELECT * FROM VALUES ('s', 1L, {day(2)}, 'old'), ('s', 2L, {day(3)}, 'old'), ('t', 1L, {day(2)}, 'old') AS t(session_id, seq, ts, kind)")
+    later = spark.sql(f"SELECT * FROM VALUES ('s', 2L, {day(3)}, 'new'), ('s', 0L, {day(1)}, 'new') AS t(session_id, seq, ts, kind)")
+    archive.write_archive(first, path)
+    archive.write_archive(first, path)
+    archive.write_archive(later, path)
+    want = [("s", 0, "new", "2024-01-01"), ("s", 1, "old", "2024-01-01"), ("s", 2, "new", "2024-01-01"), ("t", 1, "old", "2024-01-02")]
+    archive.compacted(spark, path, f"{path}-2")
+    for place in (path, f"{path}-2"):
+        assert [(r["session_id"], r["seq"], r["kind"], str(r["dt"])) for r in archive.read_archive(spark, place).orderBy("session_id", "seq").collect()] == want
+    assert len(archive.ingests(spark, path)) == 3 and len(archive.ingests(spark, f"{path}-2")) == 1
+
+
+def test_union_of_windows(spark):
+    one = spark.createDataFrame([("s", 5), ("s", 9)], "session_id string, _ord bigint")
+    both = fold.union_windows([one, one]).orderBy("_ord").collect()
+    assert [(r["window"], r["_ord"]["at"]) for r in both] == [(0, 5), (0, 9), (1, 5), (1, 9)]
+
+
+def test_pod_latency_and_texts(spark):
+    from pathloom.operators import rca
+
+    spans = spark.createDataFrame([(0, "p", "", "a-1-x", 10_000_000), (1, "c", "p", "b-1-x", 4_000_000), (2, "d", "p", "b-1-x", 2_000_000), (3, "e", "p", "b-1-x", 0)], "row bigint, span_id string, parent_id string, pod string, end_ns bigint")
+    assert sorted(tuple(r) for r in rca.latency_pairs(spans).collect()) == [("b-1-x", 1, 0, 6.0), ("b-1-x", 2, 0, 8.0), ("b-1-x", 3, 0, 10.0)]
+    pods, limits = spark.createDataFrame([("a-1-x", "a"), ("b-1-x", "b"), ("c-1-x", "c")], "pod string, service string"), spark.createDataFrame([("c", 7.5)], "service string, value double")
+    got = {r["pod"]: (r["n_samples"], r["p90"], r["source"]) for r in rca.pod_latency(spans, limits, pods).collect()}
+    assert got == {"a-1-x": (0, 10.0, "trace-derived-p90"), "b-1-x": (3, pytest.approx(9.6), "trace-derived-p90"), "c-1-x": (0, 7.5, "fallback-threshold")}
+    lists = spark.createDataFrame([("log:7",), ("log:8",), ("alert:Cpu",), ("span:a b",)], "src string")
+    templates = spark.createDataFrame([(7, "user <*> failed")], "cluster_id int, template string")
+    told = {r["src"]: r["t"] for r in evalrank.action_text(lists, "src", templates, "t").collect()}
+    assert told == {"log:7": "user <*> failed", "log:8": "", "alert:Cpu": "Cpu", "span:a b": "span:a b"}
+    pairs = spark.createDataFrame([(1, 2), (2, 1), (1, None), (3, 3)], "left_rank int, right_rank int")
+    told = evalrank.paired_statistics(pairs)
+    assert (told["cases"], told["b"], told["c"], told["p"]) == (4, 2, 1, 1.0) and told["low"] <= told["mean_difference"] <= told["high"]
 
 
 @pytest.mark.parametrize("rows,shown", [([["A"]], "A"), ([["A", "B", "C"]] * 2, "→(A, B, C)"), ([["A"], ["B"]], "×(A, B)"), ([["A", "B", "A", "B"]], "↺(A, B)"), ([["A", "B", "C", "A", "D"], ["B", "A"]], None)])
@@ -144,6 +194,48 @@ def test_rules(spark, tmp_path):
     text = rules.render_text(engine, events)
     assert text.startswith("sessions: 2  passed: 1  failed: 1\n  [FAIL] session=") and "       Critical: Unhandled exception: BadNegative: m" in text
     assert "BadNegative" in rules.render_html(engine, events)
+    told = [json.loads(r["value"]) for r in rules.json_lines(engine, events).collect()]
+    assert [t["session_id"] for t in told] == [S1, S2] and [r["rule"] for r in told[0]["results"]] == [r.name for r in engine.rules]
+    assert told[0]["results"][0]["violations"][0]["evidence"] == [8] and all(r["passed"] for r in told[1]["results"])
+
+
+def plain_alignment(a, b, overrides):
+    """The whole table in fractions, and the same order of ways back."""
+    from fractions import Fraction as Q
+
+    def cost(x, y):
+        if overrides and (c := overrides.get((x, y), overrides.get((y, x)))) is not None:
+            return Q(str(c))
+        return Q(0) if x == y else Q(2, 5) if x.split(":")[0] == y.split(":")[0] else Q(1)
+
+    gap = Q(3, 5)
+    t = [[gap * (i + j) for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            t[i + 1][j + 1] = min(t[i][j] + cost(x, y), t[i][j + 1] + gap, t[i + 1][j] + gap)
+    i, j, out = len(a), len(b), ""
+    while i or j:
+        if i and j and t[i][j] == t[i - 1][j - 1] + cost(a[i - 1], b[j - 1]):
+            out, i, j = ("M" if cost(a[i - 1], b[j - 1]) == 0 else "S") + out, i - 1, j - 1
+        elif i and t[i][j] == t[i - 1][j] + gap:
+            out, i = "D" + out, i - 1
+        else:
+            out, j = "I" + out, j - 1
+    return float(t[-1][-1]), out
+
+
+def test_alignment_matches_the_whole_table():
+    rng = random.Random(3)
+    labels = ["a:1", "a:2", "b:1", "b:2", "c"]
+    for _ in range(300):
+        a, b = ([rng.choice(labels) for _ in range(rng.randint(0, 14))] for _ in range(2))
+        overrides = {(rng.choice(labels), rng.choice(labels)): rng.choice([0.0, 0.1, 0.7, 1.3]) for _ in range(rng.choice([0, 0, 3]))}
+        cost, script = align.align_labels(a, b, overrides)
+        want = plain_alignment(a, b, overrides)
+        assert cost == pytest.approx(want[0]) and script == want[1], (a, b, overrides)
+    a = [f"k:{i % 97}" for i in range(3000)]
+    cost, script = align.align_labels(a, a[::-1])
+    assert len(script) >= 3000 and cost == pytest.approx(0.4 * script.count("S") + 0.6 * (script.count("I") + script.count("D")))
 
 
 def test_alignment_and_nearest(spark, tmp_path):
