@@ -35,10 +35,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import IS_SPACE, LOWER, slices, table, text_buffers, word_bounds
+from .common import IS_SPACE, LOWER, bounded_batches, slices, table, text_buffers, word_bounds
 
-#: Bytes of text that are encoded at a time.
-SLICE_BYTES = 4 << 20
 #: Bytes from which a piece is encoded on its own and not together with the others.
 LONG = 128
 #: The symbol of a word's last byte is the byte and this.
@@ -406,6 +404,7 @@ class Shared:
     """A broadcast with an id that stays the same when it is pickled; its size is that of the vocabulary file."""
 
     def __init__(self, spark: SparkSession, path: str):
+        bounded_batches(spark)
         self.id, self.broadcast = hash(path), spark.sparkContext.broadcast(compiled(path))
 
     @property
@@ -418,7 +417,7 @@ def encoded_slices(batches: Iterator[pa.RecordBatch], encoder: Encoder, special:
     """(rows, ids, where each row's ids begin) of slices of batches whose second column is the text."""
     for batch in batches:
         data, offsets = text_buffers(batch.column(1))
-        for lo, hi in slices(offsets, SLICE_BYTES):
+        for lo, hi in slices(offsets):
             base = offsets[lo]
             yield batch.slice(lo, hi - lo), *encoder.encode(data[base : offsets[hi]], offsets[lo : hi + 1] - base, special)
 
@@ -440,6 +439,8 @@ def encode_texts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
             texts = encoder.decode(ids, at)
             out = (raw.cast(pa.binary()), texts.cast(pa.string())) if with_texts else (digests(raw), digests(texts))
             yield pa.record_batch([rows.column(0), pa.array(np.diff(at)), *out], names=["doc_id", "n_tokens", *names])
+            del rows, ids, at, raw, texts, out
+        pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, f"doc_id long, n_tokens long, {names[0]} {kinds[0]}, {names[1]} {kinds[1]}")

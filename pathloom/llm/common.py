@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 #: ids (8 bytes each) up to which a set of ids is broadcast; beyond it the same join shuffles.
 BROADCAST_IDS = 200_000
+#: Bytes of text that a Python worker works on at a time, and bytes of an Arrow batch that it is sent.
+SLICE_BYTES, BATCH_BYTES = 1 << 20, 4 << 20
 #: Characters that end a word, as a Java and Python character class.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -40,6 +42,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Have Spark send texts to Python in batches of BATCH_BYTES and not of so many rows, which may all be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -80,7 +87,7 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[at[0] : at[-1]], at - at[0]
 
 
-def slices(offsets: np.ndarray, limit: int = 4 << 20):
+def slices(offsets: np.ndarray, limit: int = SLICE_BYTES):
     """Row ranges of about ``limit`` bytes each; a longer row makes a range of its own."""
     row, last = 0, len(offsets) - 1
     while row < last:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, only_ids, slices, split_words, staged, table, text_buffers, window_hashes
+from .common import bounded_batches, mix, only_ids, slices, split_words, staged, table, text_buffers, window_hashes
 
 WIDTH, BANDS, ROWS_PER_BAND = 5, 40, 3
 #: A link needs intersection / union of at least this, as a fraction of integers.
@@ -134,7 +134,7 @@ def _sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     schema = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
 
     def shingled(batches):
-        yield from _chunks(((key, shingle_set(words, width).tobytes()) for key, words in _each(batches)), schema, 200)
+        yield from _chunks(((key, shingle_set(words, width).tobytes()) for key, words in _each(batches)), schema, 50)
 
     return only_ids(docs, ids, "doc_id").mapInArrow(shingled, "node long, shingles binary")
 
@@ -254,6 +254,7 @@ def _across(bands: DataFrame, crowded: DataFrame, classes: DataFrame, labels: Da
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, bands: int = BANDS, rows_per_band: int = ROWS_PER_BAND, link: tuple[int, int] = LINK, at_least: float = SIGNATURE_AT_LEAST, block: int = BLOCK) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept."""
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = staged(signatures(docs, width, bands * rows_per_band), "signatures")
     known = signed.filter("doc_id is not null and n_shingles > 0")

@@ -1,24 +1,26 @@
 """Language-model scoring with a weighted backoff automaton over smoothed n-grams.
 
-Model: P(w | h) = (c(h w) + MASS * P(w | shorter h)) / (c(h) + MASS), down to P(w) = (c(w) + 1/2) / (N + (V + 1) / 2), which
-is a proper distribution at every order. As an automaton, each seen history is a state; a seen continuation is an arc
-whose weight holds the whole sum, and every other word takes the failure arc, of weight MASS / (c(h) + MASS), to the
-state of the shorter history. A text is traversed once from left to right; the state is carried along and the log
-probabilities are summed.
-
-On a cluster: the documents are dealt to blocks by a hash of their id. Each block asks for its own n-grams (sorted 64-bit
-hashes with its training counts, packed by hash range); each range adds up what all blocks have and answers every block
-with the corpus counts of just the n-grams that it asked for; each block then builds the small automaton that its texts
-can reach and scores them. The model is never in one place, nothing is broadcast but two totals, and what moves is one
-entry for each distinct n-gram of a block. Blocks and ranges follow spark.sql.shuffle.partitions.
+Model: P(w | h) = (c(h w) + m P(w | shorter h)) / (c(h) + m), where m is the MASS of h's length, down to
+P(w) = (c(w) + 1/2) / (N + (V + 1) / 2), which is a proper distribution at every order. As an automaton, each seen history
+is a state; a seen continuation is an arc whose weight holds the whole sum, and every other word takes the failure arc, of
+weight m / (c(h) + m), to the state of the shorter history. A text is traversed once from left to right; the state is
+carried along and the log probabilities are summed.
+
+On a cluster: the texts are written once to the shared folder, in blocks of about BLOCK_BYTES, and are never shuffled. Each
+block asks for its own n-grams (sorted 64-bit hashes with its training counts, packed by hash range); each range adds up
+what all blocks have and answers every block with the corpus counts of just the n-grams that it asked for; each block then
+builds the small automaton that its texts can reach and scores them. The model is never in one place, nothing is broadcast
+but two totals, and what moves is one entry for each distinct n-gram of a block. Blocks and ranges grow with the bytes of
+text, so that a task's memory does not; there is a packet for each block and range.
 
 Edge cases: null and empty texts have one token, the end; rows with a null id are scored and learnt from as id ''; repeated
-rows count as often as they come; other columns are ignored; an empty table gives no rows. Equal hashes of different n-grams
-(2^-64 a pair) would share a count.
+rows count as often as they come; a text longer than a block is a block of its own; other columns are ignored; an empty
+table gives no rows. Equal hashes of different n-grams (2^-64 a pair) would share a count.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,10 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, slices, split_words, staged, table, text_buffers
+from .common import bounded_batches, fresh_path, mix, slices, split_words, staged, table, text_buffers
+from .storage import filesystem
 
-ORDER, MASS = 2, 64.0  # the mass that does best on held-out texts of the smaller test tables
+#: Histories of one word, and of two: the masses that do best on held-out texts of the smaller test tables.
+ORDER, MASS = 3, (64.0, 4.0)
 FOLDS, HELD_OUT = 5, 1
+#: Bytes of text of a block, and text for which there is one range of hashes.
+BLOCK_BYTES, RANGE_BYTES = 8 << 20, 8 << 20
 END = np.uint64(0x9D5C0FB1A3C4E26D)  # the hash of the end token
 _LEVEL, _ABOVE = 0xA24BAED4963EE407, np.uint64(2**64 - 4)
 
@@ -91,18 +97,84 @@ def _unpack(packed) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(">u8").ravel().astype(np.uint64), dtype=np.uint64)
 
 
-def _asked(blocks: DataFrame, ranges: int, order: int) -> DataFrame:
+def _pack_counts(counts: np.ndarray) -> bytes:
+    """Counts as bytes; those of 255 or more follow as (place, count)."""
+    large = np.flatnonzero(counts >= 255)
+    rest = np.stack([large, counts[large]], axis=1).astype("<u8")
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + rest.tobytes() + np.array([len(large)], "<u8").tobytes()
+
+
+def _unpack_counts(packed) -> np.ndarray:
+    whole = np.frombuffer(packed, np.uint8)
+    n = int(whole[-8:].view("<u8")[0])
+    rest = len(whole) - 8 - 16 * n
+    counts = whole[:rest].astype(np.int64)
+    place, large = np.frombuffer(whole[rest:-8].tobytes(), "<u8").reshape(n, 2).astype(np.int64).T
+    counts[place] = large
+    return counts
+
+
+def write_blocks(docs: DataFrame, folder: str, block_bytes: int) -> DataFrame:
+    """(block, file, at, size, bytes), staged: where the rows (doc_id, text, held_out) of each block are in the folder.
+
+    A task that is run again writes a file of another name; only blocks named in the result exist.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = filesystem(folder)
+        system.create_dir(root, recursive=True)
+        name, out, held, size, at = f"texts-{uuid.uuid4().hex}", None, [], 0, 0
+
+        def closed() -> pa.RecordBatch:
+            nonlocal at
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                for part in held:
+                    writer.write_batch(part)
+            packed = sink.getvalue()
+            out.write(packed)
+            at += packed.size
+            return pa.record_batch([pa.array([x]) for x in (f"{name}:{at}", name, at - packed.size, packed.size, size)], names=["block", "file", "at", "size", "bytes"])
+
+        for batch in batches:
+            _, offsets = text_buffers(batch.column(1))
+            for lo, hi in slices(offsets):
+                if out is None:
+                    out = system.open_output_stream(f"{root}/{name}", compression=None)
+                held.append(batch.slice(lo, hi - lo))
+                size += int(offsets[hi] - offsets[lo])
+                if size >= block_bytes:
+                    yield closed()
+                    held, size = [], 0
+        if held:
+            yield closed()
+        if out is not None:
+            out.close()
+
+    return staged(docs.mapInArrow(run, "block string, file string, at long, size long, bytes long"), "text-blocks")
+
+
+def read_block(folder: str, file: str, at: int, size: int) -> pa.Table:
+    system, root = filesystem(folder)
+    with system.open_input_file(f"{root}/{file}") as source:
+        return pa.ipc.open_stream(source.read_at(size, at)).read_all()
+
+
+def _asked(blocks: DataFrame, folder: str, ranges: int, order: int) -> DataFrame:
     """(range, block, hashes, counts): the distinct n-grams of a block by hash range, with its training counts."""
+    cuts = np.array([r * (2**64 // ranges) for r in range(1, ranges)], np.uint64)
 
-    def ask(t: pa.Table) -> pa.Table:
-        block, learns = t.column("block")[0].as_py(), t.column("learns").to_numpy().astype(bool)
-        _, _, levels, learnt = _block_tokens(t.column("text"), learns, order)
-        hashes, counts = _sorted_counts(np.concatenate([g[g != 0] for g in levels]), np.concatenate([learnt[g != 0] for g in levels]))
-        cuts = np.searchsorted(hashes, np.array([r * (2**64 // ranges) for r in range(1, ranges)], np.uint64))
-        parts = [(r, h, c) for r, (h, c) in enumerate(zip(np.split(hashes, cuts), np.split(counts, cuts))) if len(h)]
-        return pa.table({"range": pa.array([r for r, _, _ in parts], pa.int32()), "block": pa.array([block] * len(parts), pa.int32()), "hashes": pa.array([_pack(h) for _, h, _ in parts], pa.binary()), "counts": pa.array([c.astype("<u4").tobytes() for _, _, c in parts], pa.binary())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                t = read_block(folder, row["file"], row["at"], row["size"])
+                _, _, levels, learnt = _block_tokens(t.column("text"), ~t.column("held_out").to_numpy().astype(bool), order)
+                hashes, counts = _sorted_counts(np.concatenate([g[g != 0] for g in levels]), np.concatenate([learnt[g != 0] for g in levels]))
+                at = [0, *np.searchsorted(hashes, cuts).tolist(), len(hashes)]
+                parts = [(r, row["block"], _pack(hashes[i:j]), _pack_counts(counts[i:j])) for r, (i, j) in enumerate(zip(at, at[1:])) if i < j]
+                yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*parts), (pa.int32(), pa.string(), pa.binary(), pa.binary()))], names=["range", "block", "hashes", "counts"])
 
-    return blocks.groupBy("block").applyInArrow(ask, "range int, block int, hashes binary, counts binary")
+    return blocks.select("block", "file", "at", "size").mapInArrow(run, "range int, block string, hashes binary, counts binary")
 
 
 def _answered(asked: DataFrame) -> DataFrame:
@@ -110,15 +182,21 @@ def _answered(asked: DataFrame) -> DataFrame:
 
     def answer(t: pa.Table) -> pa.Table:
         hashes = [_unpack(x.as_buffer()) for x in t.column("hashes")]
-        mine = np.concatenate([np.frombuffer(x.as_buffer(), "<u4") for x in t.column("counts")])
-        seen, back = np.unique(np.concatenate(hashes), return_inverse=True)
-        total = np.bincount(back, weights=mine, minlength=len(seen)).astype(np.int64)
-        words = total[(seen & ~_ABOVE) == 0]
+        cuts, every = np.cumsum([len(h) for h in hashes])[:-1], np.concatenate(hashes)
+        del hashes
+        order = np.argsort(every, kind="stable")
+        every = every[order]
+        first = np.concatenate([[True], every[1:] != every[:-1]])
+        mine = np.concatenate([_unpack_counts(x.as_buffer()) for x in t.column("counts")])
+        total = np.add.reduceat(mine[order], np.flatnonzero(first))
+        words = total[(every[first] & ~_ABOVE) == 0]
+        back = np.empty(len(order), np.int64)
+        back[order] = total[np.cumsum(first) - 1]
         rest = [0] * (t.num_rows - 1)
-        answers = [x.astype("<u4").tobytes() for x in np.split(total[back], np.cumsum([len(h) for h in hashes])[:-1])]
+        answers = [_pack_counts(x) for x in np.split(back, cuts)]
         return pa.table({"block": t.column("block"), "range": t.column("range"), "counts": pa.array(answers, pa.binary()), "tokens": pa.array([int(words.sum()), *rest], pa.int64()), "types": pa.array([int((words > 0).sum()), *rest], pa.int64())})
 
-    return asked.groupBy("range").applyInArrow(answer, "block int, range int, counts binary, tokens long, types long")
+    return asked.groupBy("range").applyInArrow(answer, "block string, range int, counts binary, tokens long, types long")
 
 
 class Automaton:
@@ -128,7 +206,7 @@ class Automaton:
     ``fail_to`` and ``fail_weight``: the failure arc of each state.
     """
 
-    def __init__(self, levels: list[np.ndarray], count: list[np.ndarray], total: int, types: int, mass: float):
+    def __init__(self, levels: list[np.ndarray], count: list[np.ndarray], total: int, types: int, mass: tuple[float, ...]):
         order, tokens = len(levels), levels[0]
         self.words, self.word_of = np.unique(levels[0], return_inverse=True)
         p = (count[0] + 0.5) / (total + 0.5 * (types + 1))
@@ -142,7 +220,7 @@ class Automaton:
             ids[live] = first + back
             place = np.flatnonzero(live)[one]
             self.fail_to.append(state_ids[k][place])
-            self.fail_weight.append(np.log10(mass / (count[k][place] + mass)))
+            self.fail_weight.append(np.log10(mass[k] / (count[k][place] + mass[k])))
             state_ids.append(ids)
             first += len(uniq)
         self.fail_to, self.fail_weight = np.concatenate(self.fail_to), np.concatenate(self.fail_weight)
@@ -150,7 +228,7 @@ class Automaton:
         for k in range(1, order):
             history, hits = np.zeros(len(tokens), np.int64), np.zeros(len(tokens))
             history[1:], hits[1:] = state_ids[k][:-1], count[k - 1][:-1]
-            p = np.where(history > 0, (count[k] + mass * p) / (hits + mass), p)
+            p = np.where(history > 0, (count[k] + mass[k - 1] * p) / (hits + mass[k - 1]), p)
             arc = (history > 0) & (count[k] > 0)
             keys.append(history[arc] * len(self.words) + self.word_of[arc])
             weights.append(np.log10(p[arc]))
@@ -186,37 +264,38 @@ class Automaton:
         return out
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, mass: float = MASS, folds: int = FOLDS, held_out: int = HELD_OUT, blocks: int | None = None) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs."""
-    spark = docs.sparkSession
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n = blocks or 2 * ranges
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, mass: tuple[float, ...] = MASS, folds: int = FOLDS, held_out: int = HELD_OUT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs. mass: one for each history length."""
+    spark, folder = docs.sparkSession, fresh_path(docs.sparkSession, "texts")
+    bounded_batches(spark)
     text_id = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    dealt = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), (F.crc32(text_id.cast("binary")) % folds == held_out).alias("held_out"))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
-    answers = staged(_answered(_asked(dealt.select("block", "text", (~F.col("held_out")).alias("learns")), ranges, order)), "ngram-counts")
+    told = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), (F.crc32(text_id.cast("binary")) % folds == held_out).alias("held_out"))
+    blocks = write_blocks(told, folder, block_bytes)
+    size = blocks.agg(F.count("*").alias("blocks"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).head()
+    tasks, ranges = max(1, size["blocks"]), 1 + size["bytes"] // RANGE_BYTES
+    dealt = blocks.repartition(tasks, "block")
+    answers = staged(_answered(_asked(dealt, folder, ranges, order)), "ngram-counts")
     total = answers.agg(F.sum("tokens").alias("tokens"), F.sum("types").alias("types")).head()
     tokens_n, types_n = total["tokens"] or 0, total["types"] or 0
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
-    def score(texts: pa.Table, answer: pa.Table) -> pa.Table:
+    def score(block: pa.Table, answer: pa.Table) -> pa.Table:
+        texts = read_block(folder, *(block.column(c)[0].as_py() for c in ("file", "at", "size")))
         _, at, levels, _ = _block_tokens(texts.column("text"), np.zeros(texts.num_rows, bool), order)
-        rows = np.diff(at)
-        if len(levels[0]):
-            hashes = np.unique(np.concatenate([g[g != 0] for g in levels]))
-            by_range = np.argsort(answer.column("range").to_numpy())
-            found = np.concatenate([np.frombuffer(answer.column("counts")[int(k)].as_buffer(), "<u4") for k in by_range]).astype(np.int64)
-            counts = [np.where(g != 0, found[np.minimum(np.searchsorted(hashes, g), len(hashes) - 1)], 0) for g in levels]
-            known = counts[0]
-            automaton = Automaton(levels, counts, tokens_n, types_n, mass)
-            scores = automaton.traverse(automaton.word_of, at)
-            base = np.add.reduceat(np.log10((known + 0.5) / (tokens_n + 0.5 * (types_n + 1))), at[:-1])
-            n_known = np.add.reduceat((known > 0).astype(np.int64), at[:-1])
-        else:
-            scores = base = n_known = np.zeros(0)
-        return pa.table({"doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), "n_tokens": rows.astype(np.int64), "n_known": n_known.astype(np.int64), "train_tokens": np.full(len(rows), tokens_n, np.int64), "base_score": base, "score": scores})
-
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, schema)
+        hashes = np.unique(np.concatenate([g[g != 0] for g in levels]))
+        by_range = np.argsort(answer.column("range").to_numpy())
+        found = np.concatenate([_unpack_counts(answer.column("counts")[int(k)].as_buffer()) for k in by_range])
+        counts = [np.where(g != 0, found[np.minimum(np.searchsorted(hashes, g), len(hashes) - 1)], 0) for g in levels]
+        del hashes, found
+        known = counts[0]
+        base = np.add.reduceat(np.log10((known + 0.5) / (tokens_n + 0.5 * (types_n + 1))), at[:-1])
+        n_known = np.add.reduceat((known > 0).astype(np.int64), at[:-1])
+        automaton = Automaton(levels, counts, tokens_n, types_n, mass)
+        del levels, counts, known
+        scores, n = automaton.traverse(automaton.word_of, at), texts.num_rows
+        return pa.table({"doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), "n_tokens": np.diff(at).astype(np.int64), "n_known": n_known, "train_tokens": np.full(n, tokens_n, np.int64), "base_score": base, "score": scores})
+
+    return dealt.groupBy("block").cogroup(answers.repartition(tasks, "block").groupBy("block")).applyInArrow(score, schema)
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import slices, table, text_buffers
+from .common import bounded_batches, slices, table, text_buffers
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE, HIDDEN, SURE = 64, 32, 16, 0.9
@@ -436,6 +436,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     With redacted: also the text as it was (original) and with its spans replaced (redacted), and the columns in carry as
     struct ``carried``.
     """
+    bounded_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(trained())
     carry = carry or []
     carried = F.struct(*(F.col(f"`{c}`") for c in carry)) if carry else F.lit(None).cast("int")
@@ -444,7 +445,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     def run(batches):
         for batch in batches:
-            for lo, hi in slices(text_buffers(batch.column(1))[1], 1 << 20):
+            for lo, hi in slices(text_buffers(batch.column(1))[1]):
                 part = batch.slice(lo, hi - lo)
                 texts = [x or "" for x in part.column(1).to_pylist()]
                 out = find(texts, model.value)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import LOWER, slices, split_words, staged, table, text_buffers
+from .common import LOWER, bounded_batches, slices, split_words, staged, table, text_buffers
 
 BUCKETS, TRAIN_ROWS, KEEP_AT, MEASURES = 1 << 15, 4000, 0.5, 10
 LABELLERS = ("symbols", "letters", "bars", "top_word", "upper", "bangs", "echo", "varied")
@@ -53,7 +53,7 @@ def measures(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 def sample_measures(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """The same for many rows, a slice at a time, which bounds the memory."""
-    parts = [measures(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]) for lo, hi in slices(offsets, 1 << 20)]
+    parts = [measures(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]) for lo, hi in slices(offsets)]
     return np.concatenate(parts) if parts else np.zeros((0, MEASURES))
 
 
@@ -123,7 +123,7 @@ def raw_scores(weights: np.ndarray, data: np.ndarray, offsets: np.ndarray, m: np
 def counted_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, bucket, count) of the trigrams of each row."""
     rows, keys, counts = [], [], []
-    for lo, hi in slices(offsets, 1 << 20):
+    for lo, hi in slices(offsets):
         base = offsets[lo]
         code = trigram_keys(data[base : offsets[hi]])
         code += np.repeat(np.arange(hi - lo), np.diff(offsets[lo : hi + 1])) * BUCKETS
@@ -171,6 +171,7 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tr
     With carry: also the text, and struct ``carried`` of these columns, so that a verdict stays with its row and is not
     joined back by an id.
     """
+    bounded_batches(docs.sparkSession)
     whole, docs = docs, docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     names = [f"v_{x}" for x in LABELLERS]
 

@@ -79,6 +79,7 @@ def language_model(rows, order, mass, folds=5, held=1):
     def p(history, w):
         if not history:
             return (grams[(w,)] + 0.5) / (total + 0.5 * (types + 1))
-        return (grams[(*history, w)] + mass * p(history[1:], w)) / (grams[tuple(history)] + mass)
+        m = mass[len(history) - 1]
+        return (grams[(*history, w)] + m * p(history[1:], w)) / (grams[tuple(history)] + m)
 
     return {k: (out[k], len(w), sum(grams[(x,)] > 0 for x in w), total, sum(math.log10(p([], x)) for x in w), sum(math.log10(p(w[max(0, i - order + 1) : i], x)) for i, x in enumerate(w))) for k, w in docs.items()}

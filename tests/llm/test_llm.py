@@ -68,8 +68,8 @@ def test_components(spark):
 @pytest.mark.parametrize("order", [1, 2, 3])
 def test_language_model(spark, order):
     rows = corpus()
-    got = {r[0]: tuple(r)[1:] for r in ngram_lm.score_texts(frame(spark, rows), order=order, mass=4.0).collect()}
-    want = brute.language_model(rows, order, 4.0)
+    got = {r[0]: tuple(r)[1:] for r in ngram_lm.score_texts(frame(spark, rows), order=order, mass=(4.0, 2.0), block_bytes=500).collect()}
+    want = brute.language_model(rows, order, (4.0, 2.0))
     assert got.keys() == want.keys()
     for k, w in want.items():
         assert got[k][:4] == w[:4]
@@ -77,6 +77,16 @@ def test_language_model(spark, order):
     assert ngram_lm.score_texts(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_packed_counts_and_repeated_rows(spark):
+    counts = np.array([0, 1, 254, 255, 256, 2**40, 3])
+    assert ngram_lm._unpack_counts(ngram_lm._pack_counts(counts)).tolist() == counts.tolist()
+    assert ngram_lm._unpack_counts(ngram_lm._pack_counts(counts[:0])).tolist() == []
+    rows = [(4, "one two one two")] * 300 + [(None, "one"), (9, None)]
+    got = [tuple(r) for r in ngram_lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(got) == 302 and {r[0] for r in got} == {4, 9, None} and len({r[5:] for r in got if r[0] == 4}) == 1
+    assert all(r[2] == 5 for r in got if r[0] == 4) and all(r[6] > r[5] for r in got if r[0] == 4)
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     return bpe.default_tokenizer()
