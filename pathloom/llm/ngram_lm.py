@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,9 @@ ORDER, MASS = 3, (64.0, 4.0)
 FOLDS, HELD_OUT = 5, 1
 #: Bytes of text of a block, and text for which there is one range of hashes.
 BLOCK_BYTES, RANGE_BYTES = 8 << 20, 8 << 20
+#: Tokens of a text that are read one after another; see Automaton.traverse.
+PIECE = 128
+CODEC = pa.Codec("zstd", 3)
 END = np.uint64(0x9D5C0FB1A3C4E26D)  # the hash of the end token
 _LEVEL, _ABOVE = 0xA24BAED4963EE407, np.uint64(2**64 - 4)
 
@@ -64,12 +68,28 @@ def ngrams(tokens: np.ndarray, at: np.ndarray, order: int) -> list[np.ndarray]:
     return out
 
 
-def _sorted_counts(grams: np.ndarray, learnt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashes and how often each comes in learnt places."""
-    order = np.argsort(grams)
-    grams, learnt = grams[order], learnt[order]
-    first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])) if len(grams) else np.zeros(0, np.int64)
-    return grams[first], np.add.reduceat(learnt.astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
+class Distinct(NamedTuple):
+    """The distinct n-grams of a block: sorted hashes, a place where each ends, and by order the number of the n-gram that
+    ends at each token (-1: none)."""
+
+    hashes: np.ndarray
+    at: np.ndarray
+    ids: list[np.ndarray]
+
+
+def distinct(levels: list[np.ndarray]) -> Distinct:
+    whole = [np.flatnonzero(g) for g in levels]
+    every, place = np.concatenate([g[w] for g, w in zip(levels, whole)]), np.concatenate(whole)
+    order = np.argsort(every)
+    every = every[order]
+    first = np.concatenate([[True], every[1:] != every[:-1]]) if len(every) else np.zeros(0, bool)
+    number, cuts = np.empty(len(order), np.int32), np.cumsum([len(w) for w in whole])[:-1]
+    number[order] = np.cumsum(first, dtype=np.int32) - 1
+    ids = []
+    for g, w, n in zip(levels, whole, np.split(number, cuts)):
+        ids.append(np.full(len(g), -1, np.int32))
+        ids[-1][w] = n
+    return Distinct(every[first], place[order[first]], ids)
 
 
 def _block_tokens(column, learns: np.ndarray, order: int):
@@ -89,11 +109,11 @@ def _block_tokens(column, learns: np.ndarray, order: int):
 def _pack(hashes: np.ndarray) -> bytes:
     """Sorted hashes by byte planes of their differences: the planes of high bytes are zeros and compress away."""
     steps = np.diff(hashes, prepend=np.uint64(0)).astype(">u8")
-    return steps.view(np.uint8).reshape(-1, 8).T.tobytes()
+    return CODEC.compress(steps.view(np.uint8).reshape(-1, 8).T.tobytes(), asbytes=True)
 
 
-def _unpack(packed) -> np.ndarray:
-    planes = np.frombuffer(packed, np.uint8).reshape(8, -1)
+def _unpack(packed, size: int) -> np.ndarray:
+    planes = np.frombuffer(CODEC.decompress(packed, 8 * size), np.uint8).reshape(8, -1)
     return np.cumsum(np.ascontiguousarray(planes.T).view(">u8").ravel().astype(np.uint64), dtype=np.uint64)
 
 
@@ -101,15 +121,15 @@ def _pack_counts(counts: np.ndarray) -> bytes:
     """Counts as bytes; those of 255 or more follow as (place, count)."""
     large = np.flatnonzero(counts >= 255)
     rest = np.stack([large, counts[large]], axis=1).astype("<u8")
-    return np.minimum(counts, 255).astype(np.uint8).tobytes() + rest.tobytes() + np.array([len(large)], "<u8").tobytes()
+    size = np.array([len(counts), len(large)], "<u8")
+    return size.tobytes() + CODEC.compress(np.minimum(counts, 255).astype(np.uint8).tobytes() + rest.tobytes(), asbytes=True)
 
 
 def _unpack_counts(packed) -> np.ndarray:
-    whole = np.frombuffer(packed, np.uint8)
-    n = int(whole[-8:].view("<u8")[0])
-    rest = len(whole) - 8 - 16 * n
-    counts = whole[:rest].astype(np.int64)
-    place, large = np.frombuffer(whole[rest:-8].tobytes(), "<u8").reshape(n, 2).astype(np.int64).T
+    size, n = np.frombuffer(packed, "<u8", 2).astype(int)
+    whole = np.frombuffer(CODEC.decompress(pa.py_buffer(packed)[16:], int(size + 16 * n)), np.uint8)
+    counts = whole[:size].astype(np.int64)
+    place, large = np.frombuffer(whole[size:].tobytes(), "<u8").reshape(n, 2).astype(np.int64).T
     counts[place] = large
     return counts
 
@@ -169,7 +189,8 @@ def _asked(blocks: DataFrame, folder: str, ranges: int, order: int) -> DataFrame
             for row in batch.to_pylist():
                 t = read_block(folder, row["file"], row["at"], row["size"])
                 _, _, levels, learnt = _block_tokens(t.column("text"), ~t.column("held_out").to_numpy().astype(bool), order)
-                hashes, counts = _sorted_counts(np.concatenate([g[g != 0] for g in levels]), np.concatenate([learnt[g != 0] for g in levels]))
+                hashes, _, ids = distinct(levels)
+                counts = sum((np.bincount(i[(i >= 0) & learnt], minlength=len(hashes)) for i in ids), np.zeros(len(hashes), np.int64))
                 at = [0, *np.searchsorted(hashes, cuts).tolist(), len(hashes)]
                 parts = [(r, row["block"], _pack(hashes[i:j]), _pack_counts(counts[i:j])) for r, (i, j) in enumerate(zip(at, at[1:])) if i < j]
                 yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*parts), (pa.int32(), pa.string(), pa.binary(), pa.binary()))], names=["range", "block", "hashes", "counts"])
@@ -181,14 +202,12 @@ def _answered(asked: DataFrame) -> DataFrame:
     """(block, range, counts, tokens, types): corpus counts in the order asked; totals of the range's 1-grams once."""
 
     def answer(t: pa.Table) -> pa.Table:
-        hashes = [_unpack(x.as_buffer()) for x in t.column("hashes")]
-        cuts, every = np.cumsum([len(h) for h in hashes])[:-1], np.concatenate(hashes)
-        del hashes
-        order = np.argsort(every, kind="stable")
+        mine = [_unpack_counts(x.as_buffer()) for x in t.column("counts")]
+        cuts, every = np.cumsum([len(c) for c in mine])[:-1], np.concatenate([_unpack(x.as_buffer(), len(c)) for x, c in zip(t.column("hashes"), mine)])
+        order = np.argsort(every)
         every = every[order]
         first = np.concatenate([[True], every[1:] != every[:-1]])
-        mine = np.concatenate([_unpack_counts(x.as_buffer()) for x in t.column("counts")])
-        total = np.add.reduceat(mine[order], np.flatnonzero(first))
+        total = np.add.reduceat(np.concatenate(mine)[order], np.flatnonzero(first))
         words = total[(every[first] & ~_ABOVE) == 0]
         back = np.empty(len(order), np.int64)
         back[order] = total[np.cumsum(first) - 1]
@@ -202,53 +221,65 @@ def _answered(asked: DataFrame) -> DataFrame:
 class Automaton:
     """The states and arcs that a block's texts can reach. State 0 is the empty history; its arcs are the block's words.
 
-    ``words``: word ids by sorted hash. ``arcs``: sorted keys state * words + word, with log10 weight and next state.
-    ``fail_to`` and ``fail_weight``: the failure arc of each state.
+    ``words``: how many there are. ``keys``: sorted, state * words + word of each arc, with its ``weight`` (log10) and the
+    ``next`` state. ``fail_to`` and ``fail_weight``: the failure arc of each state. ``token``: the word number of each token.
     """
 
-    def __init__(self, levels: list[np.ndarray], count: list[np.ndarray], total: int, types: int, mass: tuple[float, ...]):
-        order, tokens = len(levels), levels[0]
-        self.words, self.word_of = np.unique(levels[0], return_inverse=True)
-        p = (count[0] + 0.5) / (total + 0.5 * (types + 1))
-        # A state for each seen history of 1 to order - 1 words that the block has.
-        state_ids: list[np.ndarray] = [np.zeros(len(tokens), np.int64)]
-        self.fail_to, self.fail_weight, first = [np.zeros(1, np.int64)], [np.zeros(1)], 1
-        for k in range(order - 1):
-            live = (levels[k] != 0) & (count[k] > 0)
-            uniq, one, back = np.unique(levels[k][live], return_index=True, return_inverse=True)
-            ids = np.zeros(len(tokens), np.int64)
-            ids[live] = first + back
-            place = np.flatnonzero(live)[one]
-            self.fail_to.append(state_ids[k][place])
-            self.fail_weight.append(np.log10(mass[k] / (count[k][place] + mass[k])))
-            state_ids.append(ids)
-            first += len(uniq)
+    def __init__(self, grams: Distinct, count: np.ndarray, total: int, types: int, mass: tuple[float, ...]):
+        at, ids, order = grams.at, grams.ids, len(grams.ids)
+        by_order = [np.flatnonzero((grams.hashes & ~_ABOVE) == k) for k in range(order)]
+        word = np.zeros(len(at), np.int64)
+        self.words = len(by_order[0])
+        word[by_order[0]] = np.arange(self.words)
+        self.token = word[ids[0]]
+        # A state for each seen history of 1 to order - 1 words that the block has; it fails to the history without its first.
+        state = np.zeros(len(at), np.int64)
+        self.fail_to, self.fail_weight, states = [np.zeros(1, np.int64)], [np.zeros(1)], 1
+        p = np.zeros(len(at))
+        p[by_order[0]] = (count[by_order[0]] + 0.5) / (total + 0.5 * (types + 1))
+        keys, weights, nexts = [word[by_order[0]]], [np.log10(p[by_order[0]])], []
+        for k, grams_k in enumerate(by_order):
+            seen = grams_k[count[grams_k] > 0]
+            suffix = ids[k - 1][at[seen]] if k else None  # the n-gram without its first word
+            if k < order - 1:
+                state[seen] = np.arange(states, states + len(seen))
+                states += len(seen)
+                self.fail_to.append(state[suffix] if k else np.zeros(len(seen), np.int64))
+                self.fail_weight.append(np.log10(mass[k] / (count[seen] + mass[k])))
+            if k:
+                history = ids[k - 1][at[seen] - 1]
+                p[seen] = (count[seen] + mass[k - 1] * p[suffix]) / (count[history] + mass[k - 1])
+                keys.append(state[history] * self.words + self.token[at[seen]])
+                weights.append(np.log10(p[seen]))
+            ends = by_order[0] if k == 0 else seen
+            nexts.append(state[ends] if k < order - 1 or k == 0 else state[suffix])  # the longest history that ends with the word
         self.fail_to, self.fail_weight = np.concatenate(self.fail_to), np.concatenate(self.fail_weight)
-        keys, weights, nexts = [self.word_of], [np.log10(p)], [state_ids[min(1, order - 1)]]
-        for k in range(1, order):
-            history, hits = np.zeros(len(tokens), np.int64), np.zeros(len(tokens))
-            history[1:], hits[1:] = state_ids[k][:-1], count[k - 1][:-1]
-            p = np.where(history > 0, (count[k] + mass[k - 1] * p) / (hits + mass[k - 1]), p)
-            arc = (history > 0) & (count[k] > 0)
-            keys.append(history[arc] * len(self.words) + self.word_of[arc])
-            weights.append(np.log10(p[arc]))
-            nexts.append(state_ids[min(k + 1, order - 1)][arc])  # the longest history that ends with the word
-        keys, weights, nexts = np.concatenate(keys), np.concatenate(weights), np.concatenate(nexts)
-        self.keys, one = np.unique(keys, return_index=True)
-        self.weight, self.next = weights[one], nexts[one]
-
-    def traverse(self, words: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Log10 probability of each row's words. All rows step together; row i's words are words[at[i]:at[i + 1]]."""
-        length = np.diff(at)
-        order = np.argsort(-length, kind="stable")
-        start, left = at[:-1][order], length[order]
+        keys = np.concatenate(keys)
+        by_key = np.argsort(keys)
+        self.keys, self.weight, self.next = keys[by_key], np.concatenate(weights)[by_key], np.concatenate(nexts)[by_key]
+        self.order = order
+
+    def traverse(self, at: np.ndarray, piece: int = PIECE) -> np.ndarray:
+        """Log10 probability of each row's tokens; row i's are at[i]:at[i + 1].
+
+        Long rows are read in pieces of so many tokens, all pieces a token at a time. A piece starts order - 1 tokens early
+        in the empty history, without counting: these lead to the state in which its first token finds the whole row's reading.
+        """
+        size = np.diff(at)
+        parts = -(-size // piece)
+        row = np.repeat(np.arange(len(size)), parts)
+        skipped = piece * (np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts))
+        early = np.minimum(skipped, self.order - 1)
+        start, left = at[:-1][row] + skipped - early, np.minimum(size[row] - skipped, piece) + early
+        order = np.argsort(-left, kind="stable")
+        start, left, early = start[order], left[order], early[order]
         state, score = np.zeros(len(order), np.int64), np.zeros(len(order))
         for t in range(int(left[0]) if len(left) else 0):
-            n = int(np.searchsorted(-left, -t, side="left"))  # rows longer than t come first
-            word, s, gained = words[start[:n] + t], state[:n].copy(), np.zeros(n)
+            n = int(np.searchsorted(-left, -t, side="left"))  # pieces longer than t come first
+            word, s, gained = self.token[start[:n] + t], state[:n].copy(), np.zeros(n)
             todo = np.arange(n)
             while len(todo):
-                key = s[todo] * len(self.words) + word[todo]
+                key = s[todo] * self.words + word[todo]
                 place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
                 hit = self.keys[place] == key
                 done, went = todo[hit], todo[~hit]
@@ -258,10 +289,8 @@ class Automaton:
                 s[went] = self.fail_to[s[went]]
                 todo = went
             state[:n] = s
-            score[:n] += gained
-        out = np.empty(len(order))
-        out[order] = score
-        return out
+            score[:n] += gained * (early[:n] <= t)
+        return np.bincount(row[order], score, len(size))
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, mass: tuple[float, ...] = MASS, folds: int = FOLDS, held_out: int = HELD_OUT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -282,18 +311,16 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def score(block: pa.Table, answer: pa.Table) -> pa.Table:
         texts = read_block(folder, *(block.column(c)[0].as_py() for c in ("file", "at", "size")))
         _, at, levels, _ = _block_tokens(texts.column("text"), np.zeros(texts.num_rows, bool), order)
-        hashes = np.unique(np.concatenate([g[g != 0] for g in levels]))
+        grams = distinct(levels)
+        del levels
         by_range = np.argsort(answer.column("range").to_numpy())
-        found = np.concatenate([_unpack_counts(answer.column("counts")[int(k)].as_buffer()) for k in by_range])
-        counts = [np.where(g != 0, found[np.minimum(np.searchsorted(hashes, g), len(hashes) - 1)], 0) for g in levels]
-        del hashes, found
-        known = counts[0]
+        count = np.concatenate([_unpack_counts(answer.column("counts")[int(k)].as_buffer()) for k in by_range])
+        known = count[grams.ids[0]]
         base = np.add.reduceat(np.log10((known + 0.5) / (tokens_n + 0.5 * (types_n + 1))), at[:-1])
         n_known = np.add.reduceat((known > 0).astype(np.int64), at[:-1])
-        automaton = Automaton(levels, counts, tokens_n, types_n, mass)
-        del levels, counts, known
-        scores, n = automaton.traverse(automaton.word_of, at), texts.num_rows
-        return pa.table({"doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), "n_tokens": np.diff(at).astype(np.int64), "n_known": n_known, "train_tokens": np.full(n, tokens_n, np.int64), "base_score": base, "score": scores})
+        automaton, n = Automaton(grams, count, tokens_n, types_n, mass), texts.num_rows
+        del grams, count, known
+        return pa.table({"doc_id": texts.column("doc_id"), "held_out": texts.column("held_out"), "n_tokens": np.diff(at).astype(np.int64), "n_known": n_known, "train_tokens": np.full(n, tokens_n, np.int64), "base_score": base, "score": automaton.traverse(at)})
 
     return dealt.groupBy("block").cogroup(answers.repartition(tasks, "block").groupBy("block")).applyInArrow(score, schema)
 
