@@ -53,9 +53,18 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write the rows once to the shared folder and read them back."""
-    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
+    return staged_at(df, fresh_path(df.sparkSession, name))
+
+
+def staged_at(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a staged table that nothing reads any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def few(ids: DataFrame, most: int = BROADCAST_IDS) -> bool:

@@ -4,7 +4,11 @@ connected components by alternating large-star and small-star.
 How large groups stay cheap: texts with equal shingle sets count as one class; each band bucket first links its
 members to its smallest id only (a star); after those links are confirmed and closed into components, only buckets that
 still span several components compare their members, in blocks of bounded size and only across components, and report
-only links that join components. No link between different texts is lost, and no group ever emits all its pairs.
+only links that join components. Buckets of more than MOST members are banded again first, on AGAIN_ROWS more minima in
+each of AGAIN bands, starred and closed again, up to TURNS times; so the rows that are shuffled grow in proportion to the
+members. No group ever emits all its pairs. A pair at the threshold shares no band with a probability of 4e-10, none of the
+later bands of a turn with 7e-9, and has signatures under the bound with 3e-7; all other links are found. Unlike texts that
+share most of their shingles, just short of the threshold, still cost a comparison for each pair of a block.
 
 Edge cases: a null or empty text, or one of white space, has no shingles and is linked with nothing; a text of fewer
 words than ``width`` is one shingle; repeated rows of one id are one node and come back once each; a null id is returned
@@ -20,15 +24,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, mix, only_ids, slices, split_words, staged, table, text_buffers, window_hashes
+from .common import bounded_batches, fresh_path, mix, only_ids, removed, slices, split_words, staged, staged_at, table, text_buffers, window_hashes
 
 WIDTH, BANDS, ROWS_PER_BAND = 5, 40, 3
 #: A link needs intersection / union of at least this, as a fraction of integers.
 LINK = (75, 100)
 #: Share of equal minima from which a pair is confirmed on full sets: five standard deviations under the threshold.
 SIGNATURE_AT_LEAST = 0.55
-#: Members of a bucket that one task compares with as many others.
-BLOCK = 1024
+#: Members of a bucket that one task compares with as many others, and of a bucket that is banded again.
+BLOCK, MOST = 1024, 16 * 1024
+#: Bands, and minima of each, by which large buckets are banded again, and how often that is done.
+AGAIN, AGAIN_ROWS, TURNS = 240, 9, 3
 
 
 def _parameters(count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,6 +117,32 @@ def _bands(classes: DataFrame, bands: int, rows_per_band: int) -> DataFrame:
     return classes.select("node", "signature").mapInArrow(run, "slot short, band long, node long")
 
 
+def _banded_again(members: DataFrame, classes: DataFrame, turn: int, bands: int = AGAIN, rows: int = AGAIN_ROWS) -> DataFrame:
+    """(slot, band, node): ``bands`` rows for each member (band, node), by its old band and ``rows`` of its minima, drawn anew
+    for each band and turn. slot is 0."""
+
+    def run(batches):
+        rng, chosen = np.random.Generator(np.random.PCG64(1000 + turn)), None
+        for whole in batches:
+            for batch in (whole.slice(at, 500) for at in range(0, whole.num_rows, 500)):
+                sig = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(batch.num_rows, -1)
+                if chosen is None:
+                    chosen = np.stack([rng.permutation(sig.shape[1])[:rows] for _ in range(bands)])
+                old = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+                key = mix(old[:, None] + np.uint64(turn) + np.arange(1, bands + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15))
+                for r in range(chosen.shape[1]):
+                    key = mix(key + sig[:, chosen[:, r]].astype(np.uint64) + np.uint64(1))
+                node = np.repeat(batch.column(1).to_numpy(zero_copy_only=False), bands)
+                yield pa.record_batch([pa.array(np.zeros(len(node), np.int16)), pa.array(key.ravel().view(np.int64)), pa.array(node)], names=["slot", "band", "node"])
+
+    return members.join(classes.select("node", "signature"), "node").select("band", "node", "signature").mapInArrow(run, "slot short, band long, node long")
+
+
+def _buckets(bands: DataFrame) -> DataFrame:
+    """(slot, band, center, members) of the buckets of several members, staged."""
+    return staged(bands.groupBy("slot", "band").agg(F.min("node").alias("center"), F.count("*").alias("members")).filter("members > 1"), "buckets")
+
+
 def _agreeing(pairs: DataFrame, at_least: float) -> DataFrame:
     """Pairs (a, b, sig_a, sig_b) whose signatures agree in enough places."""
 
@@ -157,22 +189,37 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, link: tuple[int, i
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
+def _stars(bands: DataFrame, buckets: DataFrame, classes: DataFrame, docs: DataFrame, width: int, at_least: float, link: tuple[int, int], labels: DataFrame | None = None) -> DataFrame:
+    """Confirmed links (a, b) of buckets' members to their smallest; with labels (node, component) only between components."""
+    spokes = bands.join(buckets.select("slot", "band", "center"), ["slot", "band"]).filter("node != center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
+    if labels is not None:
+        for end in ("a", "b"):
+            spokes = spokes.join(labels.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}")), end, "left")
+        spokes = spokes.filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+    one, two = (classes.select(F.col("node").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("signature").alias(f"sig_{k}")) for k in ("a", "b"))
+    sized = spokes.join(one, "a").join(two, "b").filter(_within_size("n_a", "n_b", link)).select("a", "b", "sig_a", "sig_b")
+    return staged(_confirmed(staged(_agreeing(sized, at_least), "pairs"), docs, width, link), "confirmed")
+
+
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) of every node of edges (a, b): component is the smallest node that can be reached.
 
     Alternates large-star (every larger neighbour of u is hung on u's smallest neighbour) and small-star (u and its
-    smaller neighbours are hung on the smallest of them) until the edges stay as they are; each round is staged.
+    smaller neighbours are hung on the smallest of them) until the edges stay as they are; each round is staged, and the
+    one before it removed.
     """
-    links = staged(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "links")
+    spark, folder = edges.sparkSession, fresh_path(edges.sparkSession, "links")
+    links = staged_at(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), f"{folder}/0")
     state = None
-    for _ in range(most_rounds):
+    for turn in range(1, most_rounds + 1):
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(least, "u")
         small = hung.select("u", F.col("m").alias("v")).union(hung.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        links = staged(small, "links")
+        links = staged_at(small, f"{folder}/{turn}")
+        removed(spark, f"{folder}/{turn - 1}")
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
         if now == state:
             break
@@ -207,15 +254,20 @@ class _Group:
                 yield x, y[~first], share[~first]
 
 
+def _opened(bands: DataFrame, crowded: DataFrame, labels: DataFrame) -> DataFrame:
+    """(slot, band, node, members, component) of the members of those crowded buckets that span several components."""
+    labelled = bands.join(crowded.select("slot", "band", "members"), ["slot", "band"]).join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    open_ = labelled.groupBy("slot", "band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("slot", "band")
+    return labelled.join(open_, ["slot", "band"], "left_semi")
+
+
 def _across(bands: DataFrame, crowded: DataFrame, classes: DataFrame, labels: DataFrame, docs: DataFrame, width: int, at_least: float, link: tuple[int, int], bands_n: int, block: int) -> DataFrame:
     """Confirmed links (a, b) between different components, from buckets that span several.
 
     Members are compared in blocks, first by signature; those with a likely partner fetch their full sets and are compared
     again. A task reports only links that join what it has not joined yet, so fewer than its members.
     """
-    labelled = bands.join(crowded.select("slot", "band", "members"), ["slot", "band"]).join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = labelled.groupBy("slot", "band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo != hi").select("slot", "band")
-    rows = labelled.join(open_, ["slot", "band"], "left_semi").join(classes.select("node", "n_shingles", "signature"), "node")
+    rows = _opened(bands, crowded, labels).join(classes.select("node", "n_shingles", "signature"), "node")
     blocks = F.ceil(F.col("members") / F.lit(block))
     dealt = rows.withColumn("own", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     dealt = dealt.select("slot", "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "n_shingles", "signature")
@@ -252,26 +304,32 @@ def _across(bands: DataFrame, crowded: DataFrame, classes: DataFrame, labels: Da
     return found.join(sets, "node").groupBy(*key).applyInArrow(confirm, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, bands: int = BANDS, rows_per_band: int = ROWS_PER_BAND, link: tuple[int, int] = LINK, at_least: float = SIGNATURE_AT_LEAST, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, bands: int = BANDS, rows_per_band: int = ROWS_PER_BAND, link: tuple[int, int] = LINK, at_least: float = SIGNATURE_AT_LEAST, block: int = BLOCK, most: int = MOST, turns: int = TURNS) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept."""
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = staged(signatures(docs, width, bands * rows_per_band), "signatures")
     known = signed.filter("doc_id is not null and n_shingles > 0")
     classes = staged(known.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")), "classes")
-    banded = _bands(classes, bands, rows_per_band)
-    buckets = banded.groupBy("slot", "band").agg(F.min("node").alias("center"), F.count("*").alias("members")).filter("members > 1")
-    crowded = staged(buckets, "buckets")
-    spokes = banded.join(crowded, ["slot", "band"]).filter("node != center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
-    one, two = (classes.select(F.col("node").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("signature").alias(f"sig_{k}")) for k in ("a", "b"))
-    sized = spokes.join(one, "a").join(two, "b").filter(_within_size("n_a", "n_b", link)).select("a", "b", "sig_a", "sig_b")
-    first = staged(_confirmed(staged(_agreeing(sized, at_least), "pairs"), docs, width, link), "confirmed")
+    members = _bands(classes, bands, rows_per_band)
+    buckets = _buckets(members)
+    links = _stars(members, buckets, classes, docs, width, at_least, link)
+    labels = connected_components(links)
+    for turn in range(1, turns + 2):
+        hot = buckets.filter(F.col("members") > most)
+        done = turn > turns or not hot.head(1)
+        small = buckets if done else buckets.filter(F.col("members") <= most)
+        links = links.union(staged(_across(members, small, classes, labels, docs, width, at_least, link, bands, block), "rest"))
+        if done:
+            break
+        old = F.lit(0).cast("long") if turn == 1 else F.col("band")
+        members = staged(_banded_again(_opened(members, hot, labels).select(old.alias("band"), "node").distinct(), classes, turn), "bands-again")
+        buckets = _buckets(members)
+        links = links.union(_stars(members, buckets, classes, docs, width, at_least, link, labels))
+        labels = connected_components(links)
     # Different texts of one repeated id are one node: their classes are linked through it.
     repeated = known.join(classes.select("set_hi", "set_lo", "node"), ["set_hi", "set_lo"]).filter("doc_id != node").select(F.col("node").alias("a"), F.col("doc_id").alias("b")).distinct()
-    labels = connected_components(first)
-    rest = staged(_across(banded, crowded, classes, labels, docs, width, at_least, link, bands, block), "rest")
-    first = first.union(rest)
-    final = connected_components(first.union(repeated))
+    final = connected_components(links.union(repeated))
     return (
         signed.select("doc_id", "n_shingles").join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
         .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

@@ -37,7 +37,8 @@ def frame(spark, rows):
 
 def test_near_dedup(spark):
     rows = corpus()
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(frame(spark, rows), block=2).collect()}
+    rows += [(100 + i, " ".join([*prose(random.Random(50), 40).split(), *prose(random.Random(60 + i // 3), 30).split(), f"end{i}"])) for i in range(18)]  # one long passage in all
+    forms = [{r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(frame(spark, rows), block=2, most=most).collect()} for most in (near_dedup.MOST, 3)]
     sets = {}
     for k, t in rows:
         w = brute.words(t, True)
@@ -48,7 +49,24 @@ def test_near_dedup(spark):
             for b in sets:
                 if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
                     top[a] = top[b] = min(top[a], top[b])
-    assert got == {k: (len(s), top[k], top[k] == k) for k, s in sets.items()}
+    for got in forms:
+        assert got == {k: (len(s), top[k], top[k] == k) for k, s in sets.items()}
+
+
+def test_a_bucket_of_unlike_members_stays_linear(spark):
+    rng, n = np.random.default_rng(1), 20_000
+    signatures = rng.integers(0, 2**32, (n, 120), dtype=np.uint32)
+    signatures[:, :3] = 7  # all in one bucket
+    signatures[1] = signatures[0]
+    classes = spark.createDataFrame([(i, 50, signatures[i].tobytes()) for i in range(n)], "node long, n_shingles long, signature binary").repartition(8)
+    bands = near_dedup._bands(classes, near_dedup.BANDS, near_dedup.ROWS_PER_BAND)
+    buckets = near_dedup._buckets(bands)
+    assert buckets.filter(f"members > {near_dedup.MOST}").count() == 1
+    opened = near_dedup._opened(bands, buckets.filter(f"members > {near_dedup.MOST}"), spark.createDataFrame([], "node long, component long"))
+    again = near_dedup._banded_again(opened.select(F.lit(0).cast("long").alias("band"), "node"), classes, 1)
+    found = near_dedup._buckets(again)
+    assert again.count() == near_dedup.AGAIN * n and found.agg(F.max("members")).head()[0] <= 3
+    assert found.filter("center = 0 and members = 2").count() >= near_dedup.AGAIN - 1
 
 
 def test_near_dedup_repeats_and_null_ids(spark):
