@@ -3,24 +3,30 @@
 ``spark.read.format("pathloom-warc").load(folder)`` plans the folder's files into partitions of about ``partitionBytes``;
 equality and IN filters on record_type and on header columns are taken over (with spark.sql.python.filterPushdown.enabled)
 and tested on the headers, which are parsed first: the block of a record that fails is skipped undecoded, and so is every
-payload unless option ``payload`` is true. Files are ``.warc`` or ``.warc.gz`` (a gzip member for each record). Writing goes
-through the same source: a file for each task, taken into the folder's manifest when the job commits, so that tasks
-that are run again or fail leave nothing that is read.
+payload unless option ``payload`` is true. Files are ``.warc`` or ``.warc.gz`` (a gzip member for each record). Gzip members
+written here tell their length in an extra field "sl" (compressed and plain length, 4 bytes each), so that a reader inflates
+no more than the headers and seeks to the next member; a foreign member without that field is inflated to find its end, and
+in plain files the block is sought past. Writing goes
+through the same source: a file or more for each task, taken into the folder's manifest when the job commits, so that tasks
+that are run again or fail leave nothing that is read. Files are rolled at the size of a reading task.
 
 Edge cases: a null payload is the empty one; rows with a null key are written without a key and read back with null;
-repeated rows are written each; other columns are ignored; an empty folder gives no rows; a record cut off by the end of
-its file raises.
+repeated rows are written each; other columns are ignored; an empty table or folder gives no rows; a very long payload is a
+record like any other, and without option ``payload`` it is not held; a record cut off by the end of
+its file raises; an HTTP block without Content-Length has what follows its headers as its payload, one without a blank line
+is all headers.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import io
 import json
+import struct
 import sys
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,7 +43,9 @@ from .storage import filesystem
 SCHEMA = "record_id string, record_type string, target_uri string, warc_date string, page_id bigint, payload_bytes bigint, payload_digest string, refers_to string, payload binary"
 #: Columns that come from headers, by name.
 HEADERS = {"record_id": "warc-record-id", "record_type": "warc-type", "target_uri": "warc-target-uri", "warc_date": "warc-date", "page_id": "x-page-id", "payload_digest": "warc-payload-digest", "refers_to": "warc-refers-to"}
-PARTITION_BYTES, ROLL_BYTES = 64 << 20, 256 << 20
+PARTITION_BYTES, ROLL_BYTES = 64 << 20, 64 << 20
+#: Bytes that are inflated, and that are read to be inflated, at a time.
+INFLATED, DEFLATED = 4096, 2048
 MANIFEST = "_manifest"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -63,6 +71,108 @@ def record(page_id, url: str | None, date: str, payload: bytes, payload_digest:
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def member(data: bytes, level: int = 4) -> bytes:
+    """data as a gzip member that tells its length, where four bytes hold it."""
+    packer = zlib.compressobj(level, zlib.DEFLATED, -15)
+    body = packer.compress(data) + packer.flush()
+    size = len(body) + 32
+    told = max(size, len(data)) < 2**32
+    extra = struct.pack("<H2sHII", 12, b"sl", 8, size, len(data)) if told else b""
+    return struct.pack("<4BIBB", 0x1F, 0x8B, 8, 4 * told, 0, 0, 255) + extra + body + struct.pack("<II", zlib.crc32(data), len(data) % 2**32)
+
+
+def told_length(start: bytes) -> int | None:
+    """The compressed length that a gzip member's first bytes tell, if they do."""
+    if len(start) < 12 or not start[3] & 4:
+        return None
+    at, end = 12, 12 + int.from_bytes(start[10:12], "little")
+    while at + 4 <= min(end, len(start)):
+        name, size = start[at : at + 2], int.from_bytes(start[at + 2 : at + 4], "little")
+        if name == b"sl" and size >= 4 and at + 8 <= len(start):
+            return int.from_bytes(start[at + 4 : at + 8], "little")
+        at += 4 + size
+    return None
+
+
+class Plain:
+    """A plain archive file. ``inflated`` counts nothing; see Members."""
+
+    inflated = 0
+
+    def __init__(self, raw):
+        self.source, self.end = io.BufferedReader(raw, 1 << 20), raw.size()
+        self.readline, self.read = self.source.readline, self.source.read
+
+    def skip(self, size: int) -> None:
+        if self.source.tell() + size > self.end:
+            raise ValueError("a record is cut off by the end of its file")
+        self.source.seek(size, 1)
+
+
+class Members:
+    """A file of gzip members, inflated as far as it is read. ``inflated`` counts the bytes made."""
+
+    def __init__(self, raw):
+        self.source, self.end = io.BufferedReader(raw, 1 << 20), raw.size()
+        self.start = self.inflated = 0
+        self.packer, self.length, self.held, self.at = None, None, b"", 0
+
+    def _more(self) -> bool:
+        """Inflate some more, of the next member after the end of one; False at the end of the file."""
+        while True:
+            if self.packer is None or self.packer.eof:
+                if self.packer is not None:
+                    self.start = self.source.tell() - len(self.packer.unused_data)
+                if self.start >= self.end:
+                    return False
+                self.source.seek(self.start)
+                first = self.source.read(DEFLATED)
+                self.packer, self.length = zlib.decompressobj(31), told_length(first)
+                piece = self.packer.decompress(first, INFLATED)
+            else:
+                data = self.packer.unconsumed_tail or self.source.read(DEFLATED)
+                piece = self.packer.decompress(data, INFLATED)
+                if not data and not piece and not self.packer.eof:
+                    raise ValueError("a record is cut off by the end of its file")
+            if piece:
+                self.inflated += len(piece)
+                self.held, self.at = self.held[self.at :] + piece, 0
+                return True
+
+    def readline(self, most: int = -1) -> bytes:
+        seen = self.at
+        while (end := self.held.find(b"\n", seen)) < 0 and (most < 0 or len(self.held) - self.at < most):
+            seen = len(self.held) - self.at
+            if not self._more():
+                break
+        end = end + 1 if end >= 0 else len(self.held)
+        end = min(end, self.at + most) if most >= 0 else end
+        out, self.at = self.held[self.at : end], end
+        return out
+
+    def read(self, size: int) -> bytes:
+        parts = []
+        while size > 0 and (self.at < len(self.held) or self._more()):
+            parts.append(self.held[self.at : self.at + size])
+            self.at += len(parts[-1])
+            size -= len(parts[-1])
+        return b"".join(parts)
+
+    def skip(self, size: int) -> None:
+        """Pass over the rest of a record: to the next member, if this one tells its length, as it holds one record."""
+        if self.length is not None and size > len(self.held) - self.at:
+            self.start += self.length
+            if self.start > self.end:
+                raise ValueError("a record is cut off by the end of its file")
+            self.packer, self.held, self.at = None, b"", 0
+            return
+        while size > 0:
+            got = len(self.read(min(size, 1 << 20)))
+            if not got:
+                raise ValueError("a record is cut off by the end of its file")
+            size -= got
+
+
 def headers_of(stream) -> dict[str, str] | None:
     """The next record's headers with lower-case names, or None at the end of the stream."""
     line = stream.readline()
@@ -149,7 +259,7 @@ class WarcReader(DataSourceReader):
         with_payload = str(self.options.get("payload", "false")).lower() == "true" and "payload" in self.columns
         for path in partition.paths if partition else ():
             with system.open_input_file(path) as raw:
-                source = io.BufferedReader(gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else raw, 1 << 20)
+                source = Members(raw) if path.endswith(".gz") else Plain(raw)
                 while (head := headers_of(source)) is not None:
                     row = {c: head.get(h) for c, h in HEADERS.items()}
                     row["page_id"] = int(row["page_id"]) if row["page_id"] else None
@@ -157,15 +267,17 @@ class WarcReader(DataSourceReader):
                     row["refers_to"] = head.get("x-refers-to-page-id", row["refers_to"])
                     left = int(head["content-length"])
                     if any(row[c] not in v for c, v in self.wanted.items()):
-                        _skip(source, left)
+                        source.skip(left)
                         continue
                     if head.get("content-type", "").startswith("application/http"):
-                        while (line := source.readline()) not in (b"\r\n", b"\n", b""):
+                        while left > 0 and (line := source.readline(left)):
                             left -= len(line)
                             name, _, value = line.partition(b":")
+                            if line in (b"\r\n", b"\n"):
+                                break
                             if name.lower() == b"content-length":
                                 row["payload_bytes"] = int(value)
-                        left -= len(line)
+                        row.setdefault("payload_bytes", left)
                     else:
                         row["payload_bytes"] = left
                     if with_payload and row["record_type"] != "revisit":
@@ -173,18 +285,10 @@ class WarcReader(DataSourceReader):
                         if len(row["payload"]) < left:
                             raise ValueError(f"{path}: a record is cut off")
                     else:
-                        _skip(source, left)
+                        source.skip(left)
                     yield tuple(row.get(c) for c in self.columns)
 
 
-def _skip(source, size: int) -> None:
-    while size > 0:
-        got = len(source.read(min(size, 1 << 20)))
-        if not got:
-            raise ValueError("a record is cut off by the end of its file")
-        size -= got
-
-
 class WarcWriter(DataSourceWriter):
     """Rows of (page_id, url, payload string or binary, digest, first): see ``record``."""
 
@@ -202,9 +306,9 @@ class WarcWriter(DataSourceWriter):
                 files.append(f"pages-{uuid.uuid4().hex}.warc.gz")
                 out, size = system.open_output_stream(f"{root}/{files[-1]}", compression=None), 0
             payload = row.payload.encode() if isinstance(row.payload, str) else bytes(row.payload or b"")
-            member = gzip.compress(record(row.page_id, row.url, date, payload, digest(payload), row.first), 4, mtime=0)
-            out.write(member)
-            size += len(member)
+            packed = member(record(row.page_id, row.url, date, payload, digest(payload), row.first))
+            out.write(packed)
+            size += len(packed)
         if out is not None:
             out.close()
         return Written(tuple(files))

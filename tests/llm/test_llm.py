@@ -198,6 +198,42 @@ def test_warc(spark, tmp_path):
     (tmp_path / "cut" / "x.warc").write_bytes(whole[:-6])
     with pytest.raises(Exception, match="cut off"):
         spark.read.format("pathloom-warc").load(f"file://{tmp_path}/cut").collect()
+    warc.write_archives(df.limit(0), f"{folder}-none")
+    assert spark.read.format("pathloom-warc").load(f"{folder}-none").count() == 0
+
+
+def test_warc_skips_what_it_does_not_want(tmp_path):
+    import gzip
+
+    from pyarrow import fs
+
+    pages = [random.Random(i).randbytes(300_000).hex().encode() for i in range(6)]
+    records = [warc.record(i, "u", "d", p, warc.digest(p), 0 if i == 5 else i) for i, p in enumerate(pages)]
+    head = b"WARC/1.1\r\nWARC-Type: response\r\nX-Page-Id: 9\r\nContent-Type: application/http\r\n"
+    records.append(head + b"Content-Length: 22\r\n\r\nHTTP/1.1 200 OK\r\n\r\nabc\r\n\r\n")  # no length of its own
+    records.append(head + b"Content-Length: 17\r\n\r\nHTTP/1.1 200 OK\r\n\r\n\r\n")  # no blank line
+    files = {"told": b"".join(map(warc.member, records)), "foreign": b"".join(map(gzip.compress, records)), "plain": b"".join(records), "one": gzip.compress(b"".join(records))}
+    for name, data in files.items():
+        assert name == "plain" or gzip.decompress(data) == b"".join(records)
+        path = f"{tmp_path}/{name}.warc{'' if name == 'plain' else '.gz'}"
+        with open(path, "wb") as out:
+            out.write(data)
+        for payload in (False, True):
+            reader = warc.WarcReader({"path": str(tmp_path), "payload": str(payload)}, type("Schema", (), {"names": ["page_id", "record_type", "payload_bytes", "payload"]}))
+            rows = list(reader.read(warc.Files((path,))))
+            assert [r[:3] for r in rows] == [*((i, "revisit" if i == 5 else "response", 600_000) for i in range(6)), (9, "response", 3), (9, "response", 0)]
+            assert [r[3] for r in rows] == ([*pages[:5], None, b"abc", b""] if payload else [None] * 8)
+            reader.wanted = {"record_type": {"revisit"}}
+            assert [r[0] for r in reader.read(warc.Files((path,)))] == [5]
+    with fs.LocalFileSystem().open_input_file(f"{tmp_path}/told.warc.gz") as raw:
+        source = warc.Members(raw)
+        while (found := warc.headers_of(source)) is not None:
+            source.skip(int(found["content-length"]))
+        assert source.inflated <= 2 * warc.INFLATED * len(records)
+    with open(f"{tmp_path}/cut.warc.gz", "wb") as out:
+        out.write(files["told"][: len(files["told"]) // 2])
+    with pytest.raises(ValueError, match="cut off"):
+        list(warc.WarcReader({"path": str(tmp_path)}, type("Schema", (), {"names": ["page_id"]})).read(warc.Files((f"{tmp_path}/cut.warc.gz",))))
 
 
 def test_personal_data(spark):
