@@ -35,6 +35,8 @@ SIGNATURE_AT_LEAST = 0.55
 BLOCK, MOST = 1024, 16 * 1024
 #: Bands, and minima of each, by which large buckets are banded again, and how often that is done.
 AGAIN, AGAIN_ROWS, TURNS = 240, 9, 3
+#: Links of a node from which it is a hub, and the most hubs that there can be in one round.
+HUB, HUBS = 200, 20_000
 
 
 def _parameters(count: int) -> tuple[np.ndarray, np.ndarray]:
@@ -201,7 +203,20 @@ def _stars(bands: DataFrame, buckets: DataFrame, classes: DataFrame, docs: DataF
     return staged(_confirmed(staged(_agreeing(sized, at_least), "pairs"), docs, width, link), "confirmed")
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def _with_least(rows: DataFrame, edges: int, hub: int) -> DataFrame:
+    """rows (u, v), each with m, the least v of its u.
+
+    A node with many rows would bring them all to one task: nodes with more than ``hub`` rows, and more than one in HUBS of
+    all, of which there are at most HUBS, are joined by broadcast and keep their rows where they are.
+    """
+    least = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    busy = F.col("n") > max(hub, edges // HUBS)
+    few_, rest = least.filter(busy).select("u", "m"), least.filter(~busy).select("u", "m")
+    told = rows.join(F.broadcast(few_.withColumnRenamed("m", "hub_m")), "u", "left")
+    return told.filter("hub_m is not null").select("u", "v", F.col("hub_m").alias("m")).union(told.filter("hub_m is null").select("u", "v").join(rest, "u"))
+
+
+def connected_components(edges: DataFrame, most_rounds: int = 60, hub: int = HUB) -> DataFrame:
     """(node, component) of every node of edges (a, b): component is the smallest node that can be reached.
 
     Alternates large-star (every larger neighbour of u is hung on u's smallest neighbour) and small-star (u and its
@@ -210,20 +225,18 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     spark, folder = edges.sparkSession, fresh_path(edges.sparkSession, "links")
     links = staged_at(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), f"{folder}/0")
-    state = None
+    state, n = None, links.count()
     for turn in range(1, most_rounds + 1):
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        hung = large.join(least, "u")
+        large = _with_least(both, 2 * n, hub).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
+        hung = _with_least(large, n, hub)
         small = hung.select("u", F.col("m").alias("v")).union(hung.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
         links = staged_at(small, f"{folder}/{turn}")
         removed(spark, f"{folder}/{turn - 1}")
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
         if now == state:
             break
-        state = now
+        state, n = now, now[0]
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     roots = links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
