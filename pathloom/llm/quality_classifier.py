@@ -102,11 +102,14 @@ def estimate(v: np.ndarray, counts: np.ndarray, rounds: int = 50) -> tuple[float
     return prior, rates
 
 
-def trigram_keys(data: np.ndarray) -> np.ndarray:
-    """A bucket for each byte: that of the trigram that begins there (digits and other letters fold)."""
+def trigram_keys(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """A bucket for each byte: that of the trigram that begins there (digits and other letters fold), zeros after a row's end."""
     folded = np.where(data >= 128, np.uint8(128), np.where((data >= 48) & (data <= 57), np.uint8(48), data)).astype(np.uint32)
-    padded = np.concatenate([folded, np.zeros(2, np.uint32)])
-    return ((padded[:-2] * np.uint32(0x9E3779B1) + padded[1:-1] * np.uint32(0x85EBCA77) + padded[2:] * np.uint32(0xC2B2AE3D)) >> np.uint32(16)).astype(np.int64) & (BUCKETS - 1)
+    second, third = np.zeros_like(folded), np.zeros_like(folded)
+    second[:-1], third[:-2] = folded[1:], folded[2:]
+    ends = offsets[1:][np.diff(offsets) > 0]
+    second[ends - 1] = third[ends - 1] = third[np.maximum(ends - 2, 0)] = 0
+    return ((folded * np.uint32(0x9E3779B1) + second * np.uint32(0x85EBCA77) + third * np.uint32(0xC2B2AE3D)) >> np.uint32(16)).astype(np.int64) & (BUCKETS - 1)
 
 
 def binned(m: np.ndarray) -> np.ndarray:
@@ -117,7 +120,7 @@ def binned(m: np.ndarray) -> np.ndarray:
 
 def raw_scores(weights: np.ndarray, data: np.ndarray, offsets: np.ndarray, m: np.ndarray) -> np.ndarray:
     length = np.maximum(np.diff(offsets), 1)
-    return _row_sums(weights[trigram_keys(data)], offsets) / np.sqrt(length) + weights[binned(m)].sum(axis=1) + weights[-1]
+    return _row_sums(weights[trigram_keys(data, offsets)], offsets) / np.sqrt(length) + weights[binned(m)].sum(axis=1) + weights[-1]
 
 
 def counted_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -125,7 +128,7 @@ def counted_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     rows, keys, counts = [], [], []
     for lo, hi in slices(offsets):
         base = offsets[lo]
-        code = trigram_keys(data[base : offsets[hi]])
+        code = trigram_keys(data[base : offsets[hi]], offsets[lo : hi + 1] - base)
         code += np.repeat(np.arange(hi - lo), np.diff(offsets[lo : hi + 1])) * BUCKETS
         found, n = np.unique(code, return_counts=True)
         rows.append((lo + found // BUCKETS).astype(np.int32))

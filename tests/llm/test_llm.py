@@ -81,6 +81,10 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 101), (103, 101), (7, 7)]
     got = dict(near_dedup.connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {i: 1 for i in range(1, 41)} | {100: 100, 101: 100, 103: 100}
+    star = [(500, i) for i in range(501, 900)] + [(i, i + 400) for i in range(501, 600)] + [(2, 900)]
+    for hub in (3, near_dedup.HUB):
+        got = dict(near_dedup.connected_components(spark.createDataFrame(star, "a long, b long"), hub=hub).collect())
+        assert got == {i: 500 for i in range(500, 900)} | {i: 500 for i in range(901, 1000)} | {2: 2, 900: 2}
 
 
 @pytest.mark.parametrize("order", [1, 2, 3])
@@ -330,6 +334,11 @@ def test_quality_rules(spark):
         assert tuple(got[k])[1:7] == brute.quality(t), t
         assert got[k]["kept"] == (not got[k]["base_failed"] and got[k]["p_quality"] >= 0.5)
     assert quality_rules.quality_rules(frame(spark, rows).limit(0)).count() == 0
+    rows += junk_corpus()
+    got = quality_rules.quality_rules(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")).collect()
+    want = brute.majority_of_rules([brute.quality_votes(t) for _, t in rows])
+    assert {r["doc_id"]: r["p_quality"] for r in got} == pytest.approx(dict(enumerate(want)), abs=1e-6)
+    assert any(p > 0.9 for p in want) and any(p < 0.1 for p in want)
 
 
 def junk_corpus():
@@ -341,14 +350,47 @@ def junk_corpus():
 
 
 def test_quality_classifier(spark):
-    rows = junk_corpus() + [(900, None), (901, "")]
-    got = {r["doc_id"]: r["kept"] for r in quality_classifier.classify(frame(spark, rows)).collect()}
+    rows = junk_corpus() + [(900, None), (901, ""), (902, "Ünï ###"), (903, prose(random.Random(14), 3000))]
+    told = quality_classifier.classify(frame(spark, rows)).collect()
+    got = {r["doc_id"]: r["kept"] for r in told}
     assert len(got) == len(rows)
+    want = brute.majority_of_rules([brute.label_votes(t) for _, t in rows])
+    assert {r["doc_id"]: r["p_label"] for r in told} == pytest.approx({k: p for (k, _), p in zip(rows, want)}, abs=1e-6)
+    again = quality_classifier.classify(spark.createDataFrame([*rows[:200], *rows[:5], (None, rows[0][1])], "doc_id long, text string")).collect()
+    assert len(again) == 206 and sum(r["doc_id"] is None for r in again) == 1 and len({(r["doc_id"], round(r["p_good"], 9)) for r in again}) == 201
     assert sum(got[i] for i in range(160)) == 160
     assert sum(got[i] for i in range(200, 600) if i in got) <= 2
     assert quality_classifier.classify(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_scorer_sums_its_buckets():
+    rng = np.random.default_rng(5)
+    texts = ["abc d1é", "", "x", "Zebra zebra!!", "yz", prose(random.Random(15), 50)]
+    weights = rng.normal(size=quality_classifier.BUCKETS + 16 * quality_classifier.MEASURES + 1)
+    raw = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    m = quality_classifier.measures(data, offsets)
+    got = quality_classifier.raw_scores(weights, data, offsets, m)
+    for i, t in enumerate(raw):
+        fold = [128 if b >= 128 else 48 if 48 <= b <= 57 else b for b in t] + [0, 0]
+        keys = [((fold[j] * 0x9E3779B1 + fold[j + 1] * 0x85EBCA77 + fold[j + 2] * 0xC2B2AE3D) % 2**32 >> 16) % quality_classifier.BUCKETS for j in range(len(t))]
+        dense = [quality_classifier.BUCKETS + 16 * k + int(min(15, math.log2(x + 1) if k == 0 else x if k == 5 else 15 * min(x, 1))) for k, x in enumerate(m[i])]
+        assert got[i] == pytest.approx(sum(weights[k] for k in keys) / math.sqrt(max(1, len(t))) + sum(weights[k] for k in dense) + weights[-1])
+
+
+def test_fit_lowers_the_loss():
+    import pyarrow as pa
+
+    texts = [t for _, t in junk_corpus()]
+    labels = np.array([1.0] * 160 + [0.0] * 40)
+    data, offsets = (lambda raw: (np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])))([t.encode() for t in texts])
+    losses = []
+    for rounds in (0, 5, 30):
+        score = quality_classifier.raw_scores(quality_classifier.fit(pa.array(texts), labels, rounds), data, offsets, quality_classifier.measures(data, offsets))
+        losses.append(float(np.mean(np.log1p(np.exp(-score * (2 * labels - 1))))))
+    assert losses[0] == pytest.approx(math.log(2)) and losses[2] < losses[1] < 0.5 and losses[2] < 0.1
+
+
 def test_label_model_recovers_accuracies():
     rng = np.random.default_rng(3)
     truth = rng.random(4000) < 0.8
@@ -367,7 +409,12 @@ def test_secrets(spark):
     for k, t in rows:
         counts, joined, _ = brute.secrets(t)
         assert [got[k]["n_assign"], got[k]["n_access"], got[k]["n_hex"]] == counts and got[k]["base"] == joined
-        assert set(filter(None, joined.split(","))) <= set(got[k]["spans"].split(","))
+        assert got[k]["spans"] == brute.linked_secrets(t)
+    bits += ["account=bob77 ", "client_id: ab12cd ", "https://db.example.com/x ", "aB3" * 13 + "x ", " far " * 30, " "]
+    rows = [(i, "".join(rng.choices(bits, k=rng.randint(0, 30)))) for i in range(400)]
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.secret_spans(frame(spark, rows)).collect()}
+    assert got == {k: brute.linked_secrets(t) for k, t in rows}
+    assert secret_scan.secret_spans(frame(spark, rows).limit(0)).count() == 0
 
 
 def test_weak_parts_need_complements(spark):
@@ -403,6 +450,22 @@ def test_decontamination_in_any_case(spark):
     assert got == {k: (True, True) for k in (1, 2, 3, 4)} | {5: (True, False)}
 
 
+def test_decontamination_matches_brute_force(spark):
+    rng, letters = random.Random(21), "Anna Tom Oslo Eva drove 12 km in 3 hours and 45 kg of the old 7 long way to a Bern with 9 miles left".split()
+    items = [(i, " ".join(rng.choice([*letters, *WORDS]) for _ in range(rng.choice([1, 2, 5, 8, 12, 20, 30])))) for i in range(14)] + [(20, "1 2 3 4 5 6 7 8 9 10 11 12"), (21, None)]
+    docs = []
+    for i in range(90):
+        words = (rng.choice(items)[1] or "").split()
+        words = [rng.choice(letters) if rng.random() < rng.choice([0, 0, 0.1, 0.3]) else str(rng.randint(1, 99)) if w.isdigit() and rng.random() < 0.3 else w for w in words]
+        lo, hi = sorted(rng.choices(range(len(words) + 1), k=2)) if rng.random() < 0.3 else (0, len(words))
+        text = " ".join(rng.choice([str, str.upper, str.lower, str.title])(w) for w in words[lo:hi]) if rng.random() < 0.3 else rng.choice([str, str.upper, str])(" ".join(words[lo:hi]))
+        docs.append((i, f"{prose(rng, 6)} {text}, {prose(rng, 6)} {text if rng.random() < 0.2 else ''}"))
+    want = brute.leaked(docs, items)
+    found = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]): (r["n_windows"], r["item_windows"], r["verbatim"]) for r in found.collect()} == want
+    assert len(want) > 50 and any(not v for *_, v in want.values())
+
+
 def test_decontamination_of_numbers_and_short_items(spark):
     sums, short, mixed = "12 + 45 = 57, 8 x 4 = 32, 7 x 6 = 42, 91 - 30 = 61", "Quid pro quo, Anna?", "1 2 3 4 5 6 7 8 9 10 km"
     filler = prose(random.Random(12), 40)
