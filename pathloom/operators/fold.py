@@ -108,4 +108,16 @@ def keep_commands(events: DataFrame, prefixes: list[str]) -> DataFrame:
     keep = F.lit(False)
     for p in prefixes:
         keep = keep | F.coalesce(F.col("command_id").startswith(p), F.lit(False))
-    return events.filter(keep).withColumn("seq", F.row_number().over(in_session()).cast("bigint") - 1)
+    return _renumbered(events.filter(keep))
+
+
+def drop_commands(events: DataFrame, prefixes: list[str]) -> DataFrame:
+    """Events whose command begins with none of the prefixes, renumbered within their session; those without one stay."""
+    drop = F.lit(False)
+    for p in prefixes:
+        drop = drop | F.coalesce(F.col("command_id").startswith(p), F.lit(False))
+    return _renumbered(events.filter(~drop))
+
+
+def _renumbered(events: DataFrame) -> DataFrame:
+    return events.withColumn("seq", F.row_number().over(in_session()).cast("bigint") - 1)

@@ -56,6 +56,15 @@ def provenance_walk(candidates: DataFrame, events: DataFrame, provenance: DataFr
     return walked.withColumn("reason", reason).filter("reason is not null").select(*keys, "reason")
 
 
+def order_stability(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, first_pos, second_pos): candidates that two runs put at different places; null where a run lacks one.
+
+    first and second are ranked lists with a column pos, in which the keys name a candidate once.
+    """
+    a, b = (df.select(*keys, F.col("pos").alias(name)) for df, name in ((first, "first_pos"), (second, "second_pos")))
+    return a.join(b, keys, "full").filter(~F.col("first_pos").eqNullSafe(F.col("second_pos")))
+
+
 def manifest_difference(expected: DataFrame, found: DataFrame, key: str) -> DataFrame:
     """(key, status): missing or unexpected."""
     a, b = expected.select(key).distinct().withColumn("x", F.lit(True)), found.select(key).distinct().withColumn("y", F.lit(True))

@@ -10,7 +10,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .config import FoldConfig, HeuristicsConfig, ReportConfig, ScoreConfig
@@ -715,6 +715,19 @@ def conservation_check(spark, sf_dir):
     return gates.conservation(counters, {"all kinds": ("all", [(1, n) for n in names]), "commands": ("CommandExecuted", [(1, "all")]), "absent": ("CommandExecuted", [(1, "no such counter")])})
 
 
+@query("""WITH a AS (SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS first_pos FROM orders),
+    b AS (SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS second_pos FROM orders)
+    SELECT o_orderkey, first_pos, second_pos FROM a FULL JOIN b USING (o_orderkey) WHERE first_pos IS DISTINCT FROM second_pos""")
+def order_stability(spark, sf_dir):
+    """Each customer's orders ranked by price and by day: the orders whose place differs."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+
+    def ranked(*by):
+        return orders.select("o_orderkey", F.row_number().over(Window.partitionBy("o_custkey").orderBy(*by, "o_orderkey")).cast("bigint").alias("pos"))
+
+    return gates.order_stability(ranked(F.desc("o_totalprice")), ranked("o_orderdate"), ["o_orderkey"])
+
+
 @query("SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 1")
 def duplicate_keys(spark, sf_dir):
     return gates.duplicate_keys(spark.read.parquet(f"{sf_dir}/events.parquet"), ["user_id", "event_type"])

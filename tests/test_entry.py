@@ -15,7 +15,7 @@ from pathloom import queries as core
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
-SOME = ["corpus_summary", "edge_anomaly", "fold_report", "rule_validations", "rule_results", "rare_failing", "similar_sessions", "historical_rank", "conservation_check", "p90_threshold", "canonical_actions", "diagnostic_counts", "action_keys", "ingest_twice", "rca_first_alarms", "evaluated_cases"]
+SOME = ["corpus_summary", "edge_anomaly", "fold_report", "rule_validations", "rule_results", "rare_failing", "similar_sessions", "historical_rank", "conservation_check", "p90_threshold", "canonical_actions", "diagnostic_counts", "action_keys", "ingest_twice", "rca_first_alarms", "evaluated_cases", "order_stability"]
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the test tables")
 
 

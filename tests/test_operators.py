@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pathloom.config import FoldConfig, ReportConfig
 from pathloom.functions import scalar as X
 from pathloom.functions.abstraction import abstract_args, abstract_value, compact, label_in
-from pathloom.operators import align, evalrank, fold, graph, patterns, process_tree, rules, summary
+from pathloom.operators import align, evalrank, fold, gates, graph, patterns, process_tree, rules, summary
+from pathloom.plans import ablation
 from pathloom.sources.jsonl import read_events
 
 CONFIG = FoldConfig()
@@ -264,6 +265,39 @@ def test_rank_semantics(spark):
         evalrank.paired(same, same, ["k"]).collect()
 
 
+def telemetry(spark, first, sessions, commands):
+    rows = [(f"s{first + s}", s * 10 + i, (first + s) * 10 + i, 1_000_000 * (s * 10 + i), c) for s in range(sessions) for i, c in enumerate(commands)]
+    events = spark.createDataFrame(rows, "session_id string, seq long, _ord long, at long, command_id string")
+    none = F.lit(None).cast("string")
+    return events.withColumns({"kind": F.lit("CommandExecuted"), "ts": F.timestamp_micros("at"), "screen_id": none, "nav_to": none, "args": F.lit("{}")}).drop("at")
+
+
+def test_ablations(spark):
+    normal = telemetry(spark, 0, 8, ["span:a", "log:1", "span:b", "alert:cpu"])
+    abnormal = telemetry(spark, 100, 2, ["span:a", "span:b"])
+    pods = normal.select("_ord", F.lit("pod-1").alias("pod"))
+    alarms = spark.createDataFrame([], "pod string, resource string")
+    found = ablation.ablations(normal, abnormal, pods, alarms).orderBy("variant", "pos").collect()
+    told = [(r["variant"], *(graph.parts_of(r[c])[1] for c in ("src", "dst")), r["score"]) for r in found]
+    assert told == [
+        ("no-alerts", "span:a", "log:1", 1.0),
+        ("no-logs", "span:b", "alert:cpu", 1.0), ("no-logs", "span:a", "span:b", 0.8),
+        ("no-spans", "log:1", "alert:cpu", 1.0),
+    ]
+
+
+def test_drop_commands_renumbers(spark):
+    kept = fold.drop_commands(telemetry(spark, 0, 1, ["log:1", "span:a", "log:2", "span:b"]), ["log:"]).orderBy("_ord").collect()
+    assert [(r["seq"], r["command_id"]) for r in kept] == [(0, "span:a"), (1, "span:b")]
+
+
+def test_order_stability(spark):
+    first = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "src string, pos int")
+    second = spark.createDataFrame([("a", 1), ("c", 2), ("d", 3)], "src string, pos int")
+    assert gates.order_stability(first, first, ["src"]).count() == 0
+    assert {tuple(r) for r in gates.order_stability(first, second, ["src"]).collect()} == {("b", 2, None), ("c", 3, 2), ("d", None, 3)}
+
+
 def test_bootstrap_takes_all_pairs(spark):
     # The first 56 pairs are equal; only those after them differ.
     pairs = spark.createDataFrame([(1, 1)] * 56 + [(1, 2)] * 300 + [(None, 4)] * 44, "left_rank int, right_rank int")
