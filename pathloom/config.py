@@ -24,8 +24,10 @@ class HeuristicsConfig:
 @dataclass(frozen=True)
 class InductiveConfig:
     min_count: int = 1
-    #: Variants that the driver may hold; beyond this the miner refuses.
-    max_variants: int = 100_000
+    #: Distinct commands, and pairs of them that follow each other, which the driver may hold of one level of the tree;
+    #: beyond this the miner refuses.
+    max_commands: int = 100_000
+    max_edges: int = 4_000_000
 
 
 @dataclass(frozen=True)
@@ -34,7 +36,9 @@ class ReportConfig:
     rare_support: float = 0.01
     error_rate: float = 0.05
     dead_floor: float = 0.01
-    #: With a support of 1 the patterns of a session double with each of its actions; raise it for long sessions.
+    #: Rare failing patterns that are listed, the worst first; None lists all, of which there can be two to the power of
+    #: a session's actions.
+    rare_n: int | None = 1000
     min_support: int = 1
     #: None: patterns of any length.
     max_length: int | None = None

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import ReportConfig
@@ -12,9 +12,15 @@ from ..sources.scratch import staged
 from .graph import dead_commands, nodes, parts_of
 
 
-def _sequences(acts: DataFrame) -> DataFrame:
+def sequences(acts: DataFrame) -> DataFrame:
     """(session_id, actions) in order."""
-    return acts.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("action_idx", "action"))).alias("s")).select("session_id", F.transform("s", lambda x: x["action"]).alias("actions"))
+    listed = acts.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("action_idx", "action"))).alias("s"))
+    return listed.select("session_id", F.transform("s", lambda x: x["action"]).alias("actions"))
+
+
+def contains_pattern(actions: str = "actions", pattern: str = "pattern"):
+    """Whether actions holds pattern as a subsequence: the place in the pattern moves on at each match."""
+    return F.expr(f"aggregate({actions}, 0, (i, a) -> if(i < size({pattern}) and a = {pattern}[i], i + 1, i)) = size({pattern})")
 
 
 def frequent_patterns(acts: DataFrame, min_support: int, max_length: int | None = None) -> DataFrame:
@@ -60,34 +66,111 @@ def short_patterns(acts: DataFrame, min_support: int, max_length: int = 3) -> Da
     return found
 
 
-def top_workflows(patterns: DataFrame, n: int) -> DataFrame:
-    return patterns.orderBy(F.desc("support"), F.size("pattern"), "pattern").limit(n)
+PATTERN = "pattern array<string>, support bigint"
 
 
-def contains_pattern(actions: str = "actions", pattern: str = "pattern"):
-    """Whether actions holds pattern as a subsequence: the place in the pattern moves on at each match."""
-    return F.expr(f"aggregate({actions}, 0, (i, a) -> if(i < size({pattern}) and a = {pattern}[i], i + 1, i)) = size({pattern})")
+def _ends(grown: DataFrame, *more: str) -> DataFrame:
+    """The earliest end of each pattern in each session, which is where all its longer patterns go on. Staged."""
+    return staged(grown.groupBy("session_id", *more, "pattern").agg(F.min("at").alias("at")), "pattern-ends")
+
+
+def _grown(ends: DataFrame, base: DataFrame, *more: str) -> DataFrame:
+    """Each pattern made longer by one later action of its session."""
+    longer = ends.join(base.select("session_id", "action_idx", "action"), "session_id").filter("action_idx > at")
+    return longer.select("session_id", *more, F.col("action_idx").alias("at"), F.concat("pattern", F.array("action")).alias("pattern"))
 
 
-def rare_failing(acts: DataFrame, patterns: DataFrame, failing: DataFrame, config: ReportConfig) -> DataFrame:
-    """(pattern, support, fraction, error_rate) of rare patterns that sessions with an error hold often enough.
+def top_workflows(acts: DataFrame, n: int, min_support: int = 1, max_length: int | None = None) -> DataFrame:
+    """(pattern, support) of the n patterns, of any length, with the greatest support; then the shorter, then by text.
 
-    Only failing sessions are compared, on the pattern's first action, which makes the search an equi-join.
+    A longer pattern has no more support than what it goes on from and comes after it in a tie, so only patterns above the
+    n-th support found so far grow, by actions above it. These are fewer than n in every round, whatever the sessions hold;
+    rounds end when there are none. Only they reach the driver.
     """
-    sequences = _sequences(acts)
-    total = sequences.agg(F.count("*")).scalar()
-    rare = patterns.withColumn("fraction", F.col("support") / total).filter(F.col("fraction") <= config.rare_support)
-    bad = sequences.join(failing, "session_id", "left_semi")
-    starts = bad.select("session_id", "actions", F.explode(F.array_distinct("actions")).alias("first"))
-    met = rare.withColumn("first", F.col("pattern")[0]).join(starts, "first").filter(contains_pattern()).groupBy("pattern").agg(F.countDistinct("session_id").alias("failing"))
-    found = rare.join(met, "pattern").withColumn("error_rate", F.col("failing") / F.col("support"))
-    return found.filter(F.col("error_rate") >= config.error_rate).select("pattern", "support", "fraction", "error_rate").orderBy(F.desc("error_rate"), F.size("pattern"), "pattern")
+    spark = acts.sparkSession
+    base = staged(acts.select("session_id", "action_idx", "action"), "actions")
+    grown = base.select("session_id", F.col("action_idx").alias("at"), F.array("action").alias("pattern"))
+    best: list[tuple[int, int, list[str]]] = []
+    actions: dict[str, int] = {}
+    length, floor = 1, max(min_support, 1) - 1
+    while n > 0:
+        ends = _ends(grown)
+        counted = ends.groupBy("pattern").agg(F.count("*").alias("support")).filter(F.col("support") > floor)
+        fresh = [(-r["support"], length, r["pattern"]) for r in counted.orderBy(F.desc("support"), "pattern").limit(n).collect()]
+        best = sorted([*best, *fresh])[:n]
+        if len(best) == n:
+            floor = max(floor, -best[-1][0])
+        live = [p for support, _, p in fresh if -support > floor]
+        if not live or length == max_length:
+            break
+        actions = actions or {p[0]: -support for support, _, p in fresh}
+        told = F.broadcast(spark.createDataFrame([(p,) for p in live], "pattern array<string>"))
+        named = [(a,) for a, support in actions.items() if support > floor]
+        able = base.join(F.broadcast(spark.createDataFrame(named, "action string")), "action", "left_semi")
+        grown = _grown(ends.join(told, "pattern", "left_semi"), able)
+        length += 1
+    found = spark.createDataFrame([(p, -support) for support, _, p in best], PATTERN)
+    return found.orderBy(F.desc("support"), F.size("pattern"), "pattern")
+
+
+def rare_failing(acts: DataFrame, failing: DataFrame, config: ReportConfig = ReportConfig()) -> DataFrame:
+    """(pattern, support, fraction, error_rate) of rare patterns that sessions with an error hold often enough; the first
+    config.rare_n of them by error rate, length and text, or all if that is None.
+
+    Patterns grow an action a round, from those that some failing session holds. With rare_n:
+
+    * rounds end once so many patterns are known whose every session fails: what comes later is longer, and no better;
+    * patterns that hold in the same sessions and end at the same places there go on alike, so that of these only the
+      first rare_n by text grow. Sessions that repeat each other therefore do not double the patterns at each action.
+    """
+    spark, n = acts.sparkSession, config.rare_n
+    bad = failing.select("session_id").distinct().withColumn("failing", F.lit(True))
+    base = acts.select("session_id", "action_idx", "action").join(bad, "session_id", "left")
+    base = staged(base.withColumn("failing", F.coalesce("failing", F.lit(False))), "actions")
+    total = base.select("session_id").distinct().count()
+    base = base.join(base.filter("failing").select("action").distinct(), "action", "left_semi")
+    grown = base.select("session_id", "failing", F.col("action_idx").alias("at"), F.array("action").alias("pattern"))
+    best: list[tuple] = []
+    whole: list[DataFrame] = []
+    length = 1
+    place = F.xxhash64("session_id", "at")
+    while n is None or n > 0:
+        ends = _ends(grown, "failing")
+        counted = ends.groupBy("pattern").agg(
+            F.count("*").alias("support"), F.count_if("failing").alias("failed"),
+            F.sum(place.cast("decimal(38,0)")).alias("ends_sum"), F.bit_xor(F.xxhash64("at", "session_id")).alias("ends_xor"),
+        )
+        counted = staged(counted.filter((F.col("failed") > 0) & (F.col("support") >= config.min_support)), "patterns")
+        rated = counted.select("pattern", "support", (F.col("support") / F.lit(total)).alias("fraction"), (F.col("failed") / F.col("support")).alias("error_rate"))
+        rated = rated.filter((F.col("fraction") <= config.rare_support) & (F.col("error_rate") >= config.error_rate))
+        if n is None:
+            whole.append(rated)
+        else:
+            fresh = rated.orderBy(F.desc("error_rate"), "pattern").limit(n).collect()
+            best = sorted([*best, *((-r["error_rate"], length, r["pattern"], r["support"], r["fraction"]) for r in fresh)])[:n]
+            if len(best) == n and best[-1][0] == -1.0:
+                break
+        if length == config.max_length or not counted.head(1):
+            break
+        live = counted
+        if n is not None:
+            alike = Window.partitionBy("ends_sum", "ends_xor").orderBy("pattern")
+            live = counted.withColumn("place", F.row_number().over(alike)).filter(F.col("place") <= n)
+        grown = _grown(ends.join(live.select("pattern"), "pattern", "left_semi"), base, "failing")
+        length += 1
+    kind = "pattern array<string>, support bigint, fraction double, error_rate double"
+    listed = spark.createDataFrame([(p, support, fraction, -rate) for rate, _, p, support, fraction in best], kind)
+    return reduce(DataFrame.unionByName, whole, listed).orderBy(F.desc("error_rate"), F.size("pattern"), "pattern")
 
 
 def workflow_report(acts: DataFrame, failing: DataFrame, config: ReportConfig = ReportConfig()) -> dict[str, DataFrame]:
+    """The report's three tables; with the defaults patterns of any length and support count."""
     acts = staged(acts, "acts")
-    patterns = frequent_patterns(acts, config.min_support, config.max_length)
-    return {"top_workflows": top_workflows(patterns, config.top_n), "rare_failing": rare_failing(acts, patterns, failing, config), "dead_features": dead_commands(nodes(acts), config.dead_floor).orderBy("visits", "command_id")}
+    return {
+        "top_workflows": top_workflows(acts, config.top_n, config.min_support, config.max_length),
+        "rare_failing": rare_failing(acts, failing, config),
+        "dead_features": dead_commands(nodes(acts), config.dead_floor).orderBy("visits", "command_id"),
+    }
 
 
 def render_report(report: dict[str, DataFrame], total_visits: int) -> str:

@@ -1,17 +1,23 @@
 """Process trees by recursive cuts of the directly-follows graph.
 
-Spark folds scenarios into variants (a distinct command sequence and its count); the recursion runs on these, which are
-bounded by InductiveConfig.max_variants. A node is a tuple: (kind, children or names).
+The log stays in Spark: scenarios are folded into variants (a distinct command sequence and its count), staged as a row for
+each step. A level of the tree is one job: every command of a part that is still open carries the part's path, a window
+within variant and path projects each variant to its parts, and one aggregate gives every part's directly-follows pairs,
+first and last commands. Only those reach the driver, which cuts them: at most the square of the number of distinct
+commands for all parts of a level together, and refused beyond InductiveConfig.max_edges.
+
+A tree is a tuple: (kind, children or names).
 """
 
 from __future__ import annotations
 
-from collections import Counter
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import InductiveConfig
+from ..sources.scratch import collected, staged
 
 Tree = tuple
 
@@ -36,39 +42,89 @@ def edge_activities(acts: DataFrame) -> DataFrame:
     return acts.groupBy("session_id").agg(F.min_by("command_id", "action_idx").alias("first_command"), F.max_by("command_id", "action_idx").alias("last_command"))
 
 
+class Part(NamedTuple):
+    """What a cut looks at: the commands of one part of the log, its pairs, and where its projected variants start and end."""
+
+    names: frozenset[str]
+    pairs: set[tuple[str, str]]
+    starts: set[str]
+    ends: set[str]
+
+
+def steps(acts: DataFrame) -> DataFrame:
+    """(variant, idx, command, n): the steps of the variants, each variant with its number of sessions. Staged."""
+    numbered = staged(variants(acts).select(F.monotonically_increasing_id().alias("variant"), "commands", "n"), "variants")
+    return staged(numbered.select("variant", "n", F.posexplode("commands").alias("idx", "command")), "variant-steps")
+
+
+def level_parts(log: DataFrame, paths: dict[str, str], config: InductiveConfig) -> dict[str, Part]:
+    """The parts, by path, of a level in which each command of an open part has that part's path: one job for all."""
+    spark = log.sparkSession
+    told = F.broadcast(spark.createDataFrame(sorted(paths.items()), "command string, path string"))
+    projected = Window.partitionBy("variant", "path").orderBy("idx")
+    around = log.join(told, "command").select(
+        "path", "command", "n", F.lag("command").over(projected).isNull().alias("starts"), F.lead("command").over(projected).alias("follower")
+    )
+    counted = around.groupBy("path", "starts", "command", "follower").agg(F.sum("n").alias("n"))
+    names: dict[str, set[str]] = {}
+    for command, path in paths.items():
+        names.setdefault(path, set()).add(command)
+    follows: dict[str, dict[tuple[str, str], int]] = {path: {} for path in names}
+    starts: dict[str, set[str]] = {path: set() for path in names}
+    ends: dict[str, set[str]] = {path: set() for path in names}
+    for r in collected(counted, config.max_edges, "pairs of commands that follow each other"):
+        if r["starts"]:
+            starts[r["path"]].add(r["command"])
+        if r["follower"] is None:
+            ends[r["path"]].add(r["command"])
+        else:
+            of, pair = follows[r["path"]], (r["command"], r["follower"])
+            of[pair] = of.get(pair, 0) + r["n"]
+    return {
+        path: Part(frozenset(own), {pair for pair, n in follows[path].items() if n >= config.min_count}, starts[path], ends[path])
+        for path, own in names.items()
+    }
+
+
+def cut(part: Part) -> tuple[str, list[frozenset[str]]]:
+    """The kind of a part of several commands, and its children's commands; a flower has none."""
+    if len(groups := _components(part.names, part.pairs)) > 1:
+        return "choice", groups
+    if order := _line(part.names, part.pairs):
+        return "sequence", [frozenset([c]) for c in order]
+    redo = frozenset(a for a, b in part.pairs if a in part.ends and b in part.starts)
+    if redo and redo != part.names:
+        return "loop", [part.names - redo, redo]
+    return "flower", []
+
+
 def discover(acts: DataFrame, config: InductiveConfig = InductiveConfig()) -> Tree:
-    rows = variants(acts).limit(config.max_variants + 1).collect()
-    if len(rows) > config.max_variants:
-        raise ValueError(f"more than {config.max_variants} variants; filter the scenarios or raise max_variants")
-    log = Counter({tuple(r["commands"]): r["n"] for r in rows})
-    return _tree(log, frozenset(c for v in log for c in v), config.min_count)
-
-
-def _tree(log: Counter, names: frozenset[str], least: int) -> Tree:
-    if len(names) < 2:
-        return ("activity", *names) if names else ("tau",)
-    follows = Counter()
-    for v, n in log.items():
-        for pair in zip(v, v[1:]):
-            follows[pair] += n
-    pairs = {p for p, n in follows.items() if n >= least}
-
-    def below(part: frozenset[str]) -> Tree:
-        sub = Counter()
-        for v, n in log.items():
-            if short := tuple(c for c in v if c in part):
-                sub[short] += n
-        return _tree(sub, part, least)
-
-    if len(groups := _components(names, pairs)) > 1:
-        return ("choice", *map(below, groups))
-    if order := _line(names, pairs):
-        return ("sequence", *(below(frozenset([c])) for c in order))
-    starts, ends = {v[0] for v in log}, {v[-1] for v in log}
-    redo = frozenset(a for a, b in pairs if a in ends and b in starts)
-    if redo and redo != names:
-        return ("loop", below(names - redo), below(redo))
-    return ("flower", *sorted(names))
+    """The process tree of the scenarios; a log without commands is ("tau",). Every level of the tree is one job."""
+    log = steps(acts)
+    commands = [r["command"] for r in collected(log.select("command").distinct(), config.max_commands, "distinct commands")]
+    if not commands:
+        return ("tau",)
+    if len(commands) == 1:
+        return ("activity", commands[0])
+    made: dict[str, tuple[str, list]] = {}
+    paths = {c: "" for c in commands}
+    while paths:
+        below: dict[str, str] = {}
+        for path, part in level_parts(log, paths, config).items():
+            kind, children = cut(part)
+            made[path] = (kind, children or sorted(part.names))
+            for k, names in enumerate(children):
+                if len(names) > 1:
+                    below |= dict.fromkeys(names, f"{path}.{k}")
+        paths = below
+
+    def grown(path: str) -> Tree:
+        kind, children = made[path]
+        if kind == "flower":
+            return ("flower", *children)
+        return (kind, *(("activity", *names) if len(names) == 1 else grown(f"{path}.{k}") for k, names in enumerate(children)))
+
+    return grown("")
 
 
 def _components(names: frozenset[str], pairs: set[tuple[str, str]]) -> list[frozenset[str]]:
@@ -91,11 +147,14 @@ def _components(names: frozenset[str], pairs: set[tuple[str, str]]) -> list[froz
 def _line(names: frozenset[str], pairs: set[tuple[str, str]]) -> list[str] | None:
     """The names in order if each reaches all later and no earlier ones (itself does not count), else None."""
     reach = {}
+    after = {c: set() for c in names}
+    for a, b in pairs:
+        after[a].add(b)
     for c in names:
-        found, edge = set(), {b for a, b in pairs if a == c}
+        found, edge = set(), after[c]
         while edge:
             found |= edge
-            edge = {b for a, b in pairs if a in edge} - found
+            edge = set().union(*(after[b] for b in edge)) - found
         reach[c] = found - {c}
     order = sorted(names, key=lambda c: (-len(reach[c]), c))
     return order if all(reach[c] == set(order[i + 1 :]) for i, c in enumerate(order)) else None

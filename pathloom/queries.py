@@ -343,6 +343,10 @@ _PATTERNS = """, p1 AS (SELECT action AS pattern, count(DISTINCT session_id) AS
     pat AS (SELECT *, 1 AS n FROM p1 UNION ALL SELECT *, 2 FROM p2 UNION ALL SELECT *, 3 FROM p3)"""
 
 
+def _rare(found: DataFrame) -> DataFrame:
+    return _joined(found).select("pattern", "support", *(F.round(c, 6).alias(c) for c in ("fraction", "error_rate")))
+
+
 def _joined(df: DataFrame) -> DataFrame:
     return df.withColumn("pattern", F.array_join("pattern", " > "))
 
@@ -360,7 +364,7 @@ def short_patterns(spark, sf_dir):
 @query(f"{folded(WIDE)}, p AS (SELECT a.command_id AS x, a.session_id FROM act a) SELECT x AS pattern, count(DISTINCT session_id) AS support FROM p GROUP BY x ORDER BY support DESC, pattern LIMIT 5")
 def top_workflows(spark, sf_dir):
     by_command = acts(spark, sf_dir).withColumn("action", F.col("command_id"))
-    return _joined(patterns.top_workflows(patterns.frequent_patterns(by_command, 5, max_length=1), 5))
+    return _joined(patterns.top_workflows(by_command, 5, max_length=1))
 
 
 @query(f"""{folded(WIDE)}{_PATTERNS}, bad AS (SELECT DISTINCT session_id FROM tv WHERE kind = 'ExceptionThrown'), tot AS (SELECT count(DISTINCT session_id) AS t FROM act),
@@ -369,12 +373,12 @@ def top_workflows(spark, sf_dir):
     SELECT pattern, support, round(support::DOUBLE / t, 6) AS fraction, round(failing::DOUBLE / support, 6) AS error_rate FROM pat JOIN f USING (pattern), tot WHERE n <= 2 AND support >= 2 AND support::DOUBLE / t <= 0.01 AND failing::DOUBLE / support >= 0.05""")
 def rare_failing(spark, sf_dir):
     a = staged(acts(spark, sf_dir), "acts")
-    found = patterns.rare_failing(a, patterns.frequent_patterns(a, 2, max_length=2), summary.error_sessions(trace_view(spark, sf_dir)), ReportConfig())
-    return _joined(found).select("pattern", "support", F.round("fraction", 6).alias("fraction"), F.round("error_rate", 6).alias("error_rate"))
+    bounds = ReportConfig(min_support=2, max_length=2, rare_n=None)
+    return _rare(patterns.rare_failing(a, summary.error_sessions(trace_view(spark, sf_dir)), bounds))
 
 
-# frequent_patterns_len3, top_workflows and rare_failing are cut so that their SQL twins stay cheap; these mine with the report's settings, for which self-joins in
-# SQL are too slow (the tests compare them with a brute-force miner).
+# frequent_patterns_len3, top_workflows and rare_failing are cut so that their SQL twins stay cheap; these mine patterns of
+# any length, the last two as the report does at its defaults (the tests compare them with a brute-force miner).
 
 
 @query(None)
@@ -384,15 +388,28 @@ def frequent_patterns_full(spark, sf_dir):
 
 @query(None)
 def top_workflows_full(spark, sf_dir):
-    found = patterns.frequent_patterns(acts(spark, sf_dir), 5, ReportConfig.max_length)
-    return _joined(patterns.top_workflows(found, ReportConfig.top_n))
+    return _joined(patterns.top_workflows(acts(spark, sf_dir), ReportConfig.top_n))
 
 
 @query(None)
 def rare_failing_full(spark, sf_dir):
-    a = staged(acts(spark, sf_dir), "acts")
-    found = patterns.rare_failing(a, patterns.frequent_patterns(a, 2, ReportConfig.max_length), summary.error_sessions(trace_view(spark, sf_dir)), ReportConfig())
-    return _joined(found).select("pattern", "support", F.round("fraction", 6).alias("fraction"), F.round("error_rate", 6).alias("error_rate"))
+    return _rare(patterns.rare_failing(acts(spark, sf_dir), summary.error_sessions(trace_view(spark, sf_dir)), ReportConfig(min_support=2, rare_n=None)))
+
+
+@query(None)
+def rare_failing_report(spark, sf_dir):
+    return _rare(patterns.rare_failing(acts(spark, sf_dir), summary.error_sessions(trace_view(spark, sf_dir))))
+
+
+@query(f"""{folded(WIDE)}, a AS (SELECT session_id, action_idx, command_id AS c FROM act),
+    f AS (SELECT session_id, min(action_idx) AS i FROM a WHERE c = 'view.Open' GROUP BY 1),
+    g AS (SELECT a.session_id, min(a.action_idx) AS i FROM a JOIN f ON a.session_id = f.session_id AND a.action_idx > f.i WHERE c = 'click.Save' GROUP BY 1)
+    SELECT a.session_id FROM a JOIN g ON a.session_id = g.session_id AND a.action_idx > g.i WHERE c = 'view.Submit' GROUP BY 1""")
+def pattern_containment(spark, sf_dir):
+    """Sessions that hold three commands in this order, with others between them."""
+    by_command = acts(spark, sf_dir).withColumn("action", F.col("command_id"))
+    asked = F.array(*map(F.lit, ("view.Open", "click.Save", "view.Submit")))
+    return patterns.sequences(by_command).withColumn("pattern", asked).filter(patterns.contains_pattern()).select("session_id")
 
 
 @query(f"{folded(WIDE)}, p AS (SELECT command_id AS src, lead(command_id) OVER (PARTITION BY session_id ORDER BY action_idx) AS dst FROM act WHERE command_id LIKE 'click%' OR command_id LIKE 'purchase%') SELECT src, dst, count(*) AS n FROM p WHERE dst IS NOT NULL GROUP BY ALL HAVING count(*) >= 2")

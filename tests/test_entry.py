@@ -42,7 +42,7 @@ def test_patterns_of_all_lengths(spark):
     from pathloom.sources.events_view import trace_view
 
     sf = "/root/testdata/sf0.01"
-    sequences = {r["session_id"]: r["actions"] for r in patterns._sequences(core.acts(spark, sf)).collect()}
+    sequences = {r["session_id"]: r["actions"] for r in patterns.sequences(core.acts(spark, sf)).collect()}
     bad = {r["session_id"] for r in summary.error_sessions(trace_view(spark, sf)).collect()}
     support, failing = Counter(), Counter()
     for session, actions in sequences.items():
@@ -51,11 +51,14 @@ def test_patterns_of_all_lengths(spark):
             failing[p] += session in bad
     often = {" > ".join(p): n for p, n in support.items() if n >= 5}
     assert {r["pattern"]: r["support"] for r in core.QUERIES["frequent_patterns_full"](spark, sf).collect()} == often
-    top = sorted(((-n, len(p), p) for p, n in support.items() if n >= 5))[:20]
+    top = sorted((-n, len(p), p) for p, n in support.items())[:20]
     assert [(r["pattern"], r["support"]) for r in core.QUERIES["top_workflows_full"](spark, sf).collect()] == [(" > ".join(p), -n) for n, _, p in top]
     rare = {" > ".join(p): n for p, n in support.items() if n >= 2 and n / len(sequences) <= 0.01 and failing[p] / n >= 0.05}
     assert {r["pattern"]: r["support"] for r in core.QUERIES["rare_failing_full"](spark, sf).collect()} == rare
     assert any(p.count(" > ") >= 2 for p in rare)
+    worst = sorted((-failing[p] / n, len(p), p) for p, n in support.items() if n / len(sequences) <= 0.01 and failing[p] / n >= 0.05)
+    told = [(r["pattern"], r["support"]) for r in core.QUERIES["rare_failing_report"](spark, sf).collect()]
+    assert told == [(" > ".join(p), support[p]) for _, _, p in worst[:1000]]
 
 
 def test_entry(spark):

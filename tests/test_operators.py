@@ -116,6 +116,44 @@ def test_patterns_match_brute_force(spark):
     assert patterns.frequent_patterns(long.filter("action_idx < 12"), 2).count() == 2**12 - 1
 
 
+def test_report_mining_at_support_1(spark):
+    rng = random.Random(9)
+    rows = [[rng.choice("abcd") for _ in range(rng.randint(1, 6))] for _ in range(9)] + [list("abca")] * 2
+    acts, bad = sequences(spark, rows), {"1", "4", "9", "10"}
+    failing = spark.createDataFrame([(s,) for s in sorted(bad)], "session_id string")
+    support, failed = {}, {}
+    for s, row in enumerate(rows):
+        found = {()}
+        for c in row:
+            found |= {(*p, c) for p in found}
+        for p in found - {()}:
+            support[p] = support.get(p, 0) + 1
+            failed[p] = failed.get(p, 0) + (str(s) in bad)
+    top = sorted((-n, len(p), p) for p, n in support.items())
+    for n in (1, 7, 40, len(top), len(top) + 5):
+        got = [(-r["support"], len(r["pattern"]), tuple(r["pattern"])) for r in patterns.top_workflows(acts, n).collect()]
+        assert got == top[:n]
+    rare = [(-failed[p] / n, len(p), p) for p, n in support.items() if n / len(rows) <= 0.3 and failed[p] / n >= 0.5]
+    for n in (None, 3, 30):
+        got = patterns.rare_failing(acts, failing, ReportConfig(rare_support=0.3, error_rate=0.5, rare_n=n)).collect()
+        assert [(-r["error_rate"], len(r["pattern"]), tuple(r["pattern"])) for r in got] == sorted(rare)[:n]
+        assert all(r["support"] == support[tuple(r["pattern"])] for r in got)
+    assert patterns.rare_failing(acts.limit(0), failing).count() == 0 and patterns.top_workflows(acts.limit(0), 3).count() == 0
+
+
+def test_the_report_ends_on_long_sessions(spark):
+    names = [f"{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+    rng = random.Random(3)
+    rows = [names] * 4 + [rng.sample(names, 60) for _ in range(6)] + [["zz"]] * 190
+    acts = sequences(spark, rows)
+    failing = spark.createDataFrame([("0",), ("5",)], "session_id string")
+    report = patterns.workflow_report(acts, failing, ReportConfig(rare_support=0.01, rare_n=50))
+    top, rare = report["top_workflows"].collect(), report["rare_failing"].collect()
+    assert top[0]["pattern"] == ["zz"] and top[0]["support"] == 190 and len(top) == 20
+    # Rare is in at most 2 of 200 sessions; the worst are in session 5 alone or in both.
+    assert len(rare) == 50 and all(r["support"] <= 2 for r in rare) and rare[0]["error_rate"] == 1.0
+
+
 def test_action_keys_are_unique(spark):
     rows = [("a|b", "c", "{}"), ("a", "b|c", "{}"), ("a", "b", "c|{}"), ("100%", "x", None), ("100%25", "x", "%0"), ("a%7Cb", "c", "{}"), ("a", "b", None)]
     keys = [r[0] for r in spark.createDataFrame(rows, "screen string, command_id string, abstract_args string").select(graph.label()).collect()]
@@ -170,6 +208,35 @@ def test_process_trees(spark, rows, shown):
     assert process_tree.tree_edges(("sequence", ("activity", "A"), ("flower", "B", "C"))) == {("A", "B"), ("A", "C"), ("B", "B"), ("B", "C"), ("C", "B"), ("C", "C")}
 
 
+def plain_tree(log, names, least):
+    """The miner's definition over a whole log in memory."""
+    if len(names) < 2:
+        return ("activity", *names) if names else ("tau",)
+    counts = {}
+    for v in log:
+        for pair in zip(v, v[1:]):
+            counts[pair] = counts.get(pair, 0) + 1
+    part = process_tree.Part(frozenset(names), {p for p, n in counts.items() if n >= least}, {v[0] for v in log}, {v[-1] for v in log})
+    kind, children = process_tree.cut(part)
+    below = [[short for v in log if (short := [c for c in v if c in own])] for own in children]
+    return (kind, *([plain_tree(x, own, least) for x, own in zip(below, children)] or sorted(names)))
+
+
+def test_process_trees_match_a_plain_miner(spark):
+    rng = random.Random(4)
+    for least, kind in [(1, "flat"), (1, "nested"), (2, "nested"), (1, "loops"), (3, "flat")]:
+        rows = []
+        for _ in range(14):
+            a, b = rng.choice([("AB", "CD"), ("CD", "AB")]), "EF"
+            one = [*rng.choice(["PQ", "QP", "P", "RS"]), *rng.choice(["XY", "X", "Z"])]
+            rows.append({"flat": rng.choices("ABCDE", k=rng.randint(1, 5)), "nested": one, "loops": [*a[0], *b] * rng.randint(1, 3) + list(a[1])}[kind])
+        want = plain_tree(rows, {c for v in rows for c in v}, least)
+        assert process_tree.discover(sequences(spark, rows), process_tree.InductiveConfig(min_count=least)) == want
+    assert process_tree.discover(sequences(spark, [["A"]]).limit(0)) == ("tau",)
+    with pytest.raises(ValueError, match="more than 2"):
+        process_tree.discover(sequences(spark, [list("ABCA")]), process_tree.InductiveConfig(max_edges=2))
+
+
 def violations(rule, events):
     return [(r["message"], r["evidence"]) for r in rule.violations(events).orderBy("evidence").collect()]
 
