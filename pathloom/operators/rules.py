@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
-from typing import Protocol
+from typing import ClassVar, Protocol
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,11 +48,16 @@ class NoErrorModalAfterCommand:
     """The event right after a command opens a screen that is named an error or a modal."""
 
     name: str = "NoErrorModalAfterCommand"
+    severity: ClassVar[str] = "Error"
+
+    def said(self, opened: Column, seq: Column, after: Column) -> tuple[Column, Column]:
+        message = F.concat(F.lit("Error/Modal screen '"), opened, F.lit("' opened after command (seq "), seq.cast("string"), F.lit(")"))
+        return message, F.concat(F.array(seq), after)
 
     def violations(self, events: DataFrame) -> DataFrame:
         pairs = events.select("session_id", "kind", "seq", _next("kind").alias("next_kind"), _next("screen_id").alias("opened"), _next("seq").alias("next_seq"))
         found = pairs.filter((F.col("kind") == "CommandExecuted") & (F.col("next_kind") == "ScreenOpened") & (F.col("opened").contains("Error") | F.col("opened").contains("Modal")))
-        return _violations(found, self.name, "Error", F.concat(F.lit("Error/Modal screen '"), "opened", F.lit("' opened after command (seq "), F.col("seq").cast("string"), F.lit(")")), F.array("seq", "next_seq"))
+        return _violations(found, self.name, self.severity, *self.said(F.col("opened"), F.col("seq"), F.array("next_seq")))
 
 
 @dataclass(frozen=True)
@@ -70,12 +75,16 @@ class ScreenMustNavigateForward:
     """A screen is opened or navigated to that the session has been on before."""
 
     name: str = "ScreenMustNavigateForward"
+    severity: ClassVar[str] = "Warning"
+
+    def said(self, shown: Column, seq: Column, none: Column | None = None) -> tuple[Column, Column]:
+        return F.concat(F.lit("Navigation revisited screen '"), shown, F.lit("' (seq "), seq.cast("string"), F.lit(")")), F.array(seq)
 
     def violations(self, events: DataFrame) -> DataFrame:
         shown = F.when(F.col("kind") == "ScreenOpened", F.col("screen_id")).when(F.col("kind") == "NavigationOccurred", F.col("nav_to"))
         visits = events.select("session_id", "seq", "_ord", shown.alias("shown")).filter("shown is not null")
         found = visits.withColumn("visit", F.row_number().over(Window.partitionBy("session_id", "shown").orderBy("_ord"))).filter("visit > 1")
-        return _violations(found, self.name, "Warning", F.concat(F.lit("Navigation revisited screen '"), "shown", F.lit("' (seq "), F.col("seq").cast("string"), F.lit(")")), F.array("seq"))
+        return _violations(found, self.name, self.severity, *self.said(F.col("shown"), F.col("seq")))
 
 
 @dataclass(frozen=True)
@@ -84,6 +93,11 @@ class ValidationsPassBeforeSubmit:
 
     suffixes: tuple[str, ...] = (".Submit", ".Save")
     name: str = "ValidationsPassBeforeSubmit"
+    severity: ClassVar[str] = "Error"
+
+    def said(self, command: Column, seq: Column, pending: Column) -> tuple[Column, Column]:
+        message = F.concat(F.lit("Submit command '"), command, F.lit("' fired with "), F.size(pending).cast("string"), F.lit(" outstanding validation failure(s)"))
+        return message, F.concat(pending, F.array(seq))
 
     def violations(self, events: DataFrame) -> DataFrame:
         resets = F.col("kind").isin("CommandExecuted", "NavigationOccurred").cast("bigint")
@@ -95,8 +109,7 @@ class ValidationsPassBeforeSubmit:
         submit = F.max(F.when((F.col("kind") == "CommandExecuted") & submits, F.struct("command_id", "seq")))
         stretches = grouped.groupBy("session_id", "stretch").agg(F.array_sort(F.collect_list(failure)).alias("failures"), submit.alias("submit"))
         found = stretches.filter(F.col("submit").isNotNull() & (F.size("failures") > 0)).select("session_id", "submit.command_id", "submit.seq", F.transform("failures", lambda f: f["seq"]).alias("pending"))
-        message = F.concat(F.lit("Submit command '"), "command_id", F.lit("' fired with "), F.size("pending").cast("string"), F.lit(" outstanding validation failure(s)"))
-        return _violations(found, self.name, "Error", message, F.concat(F.col("pending"), F.array("seq")))
+        return _violations(found, self.name, self.severity, *self.said(F.col("command_id"), F.col("seq"), F.col("pending")))
 
 
 @dataclass(frozen=True)
@@ -107,12 +120,16 @@ class SuccessThenException:
     pattern: str
     name: str = "SuccessThenException"
     note: str = ""
+    severity: ClassVar[str] = "Error"
+
+    def said(self, thrown: Column, seq: Column, after: Column) -> tuple[Column, Column]:
+        start = F.concat(F.lit(f"{self.command} succeeded (seq "), seq.cast("string"), F.lit(") but produced "), thrown)
+        return F.concat(start, F.lit(" (seq "), after[0].cast("string"), F.lit(")" + self.note)), F.concat(F.array(seq), after)
 
     def violations(self, events: DataFrame) -> DataFrame:
         pairs = events.select("session_id", "kind", "command_id", "outcome", "seq", _next("kind").alias("next_kind"), _next("exception_type").alias("thrown"), _next("seq").alias("next_seq"))
         found = pairs.filter((F.col("kind") == "CommandExecuted") & (F.col("command_id") == self.command) & (F.col("outcome") == "success") & (F.col("next_kind") == "ExceptionThrown") & F.col("thrown").contains(self.pattern))
-        message = F.concat(F.lit(f"{self.command} succeeded (seq "), F.col("seq").cast("string"), F.lit(") but produced "), "thrown", F.lit(" (seq "), F.col("next_seq").cast("string"), F.lit(")" + self.note))
-        return _violations(found, self.name, "Error", message, F.array("seq", "next_seq"))
+        return _violations(found, self.name, self.severity, *self.said(F.col("thrown"), F.col("seq"), F.array("next_seq")))
 
 
 def _union(events: DataFrame, rules: Sequence[Rule]) -> DataFrame:
