@@ -34,6 +34,15 @@ def _next(column: str) -> Column:
     return F.lead(column).over(in_session())
 
 
+def _in_reach(earlier: Column, later: Column, window_ms: int | None) -> Column:
+    """Whether a window of that width which ends at the later time (in ms) holds the earlier one; None: any."""
+    return F.lit(True) if window_ms is None else (later - earlier).between(0, window_ms)
+
+
+def _ms() -> Column:
+    return F.unix_millis("ts")
+
+
 @dataclass(frozen=True)
 class NoUnhandledException:
     name: str = "NoUnhandledException"
@@ -55,8 +64,12 @@ class NoErrorModalAfterCommand:
         return message, F.concat(F.array(seq), after)
 
     def violations(self, events: DataFrame) -> DataFrame:
-        pairs = events.select("session_id", "kind", "seq", _next("kind").alias("next_kind"), _next("screen_id").alias("opened"), _next("seq").alias("next_seq"))
-        found = pairs.filter((F.col("kind") == "CommandExecuted") & (F.col("next_kind") == "ScreenOpened") & (F.col("opened").contains("Error") | F.col("opened").contains("Modal")))
+        return self.within(events)
+
+    def within(self, events: DataFrame, window_ms: int | None = None) -> DataFrame:
+        timed = events.withColumn("ms", _ms())
+        pairs = timed.select("session_id", "kind", "seq", _next("kind").alias("next_kind"), _next("screen_id").alias("opened"), _next("seq").alias("next_seq"), _in_reach(F.col("ms"), _next("ms"), window_ms).alias("near"))
+        found = pairs.filter((F.col("kind") == "CommandExecuted") & (F.col("next_kind") == "ScreenOpened") & (F.col("opened").contains("Error") | F.col("opened").contains("Modal")) & F.col("near"))
         return _violations(found, self.name, self.severity, *self.said(F.col("opened"), F.col("seq"), F.array("next_seq")))
 
 
@@ -81,9 +94,14 @@ class ScreenMustNavigateForward:
         return F.concat(F.lit("Navigation revisited screen '"), shown, F.lit("' (seq "), seq.cast("string"), F.lit(")")), F.array(seq)
 
     def violations(self, events: DataFrame) -> DataFrame:
+        return self.within(events)
+
+    def within(self, events: DataFrame, window_ms: int | None = None) -> DataFrame:
         shown = F.when(F.col("kind") == "ScreenOpened", F.col("screen_id")).when(F.col("kind") == "NavigationOccurred", F.col("nav_to"))
-        visits = events.select("session_id", "seq", "_ord", shown.alias("shown")).filter("shown is not null")
-        found = visits.withColumn("visit", F.row_number().over(Window.partitionBy("session_id", "shown").orderBy("_ord"))).filter("visit > 1")
+        visits = events.select("session_id", "seq", "_ord", _ms().alias("ms"), shown.alias("shown")).filter("shown is not null")
+        of_screen = Window.partitionBy("session_id", "shown")
+        reach = of_screen.orderBy("_ord") if window_ms is None else of_screen.orderBy("ms").rangeBetween(-window_ms, 0)
+        found = visits.withColumn("earliest", F.min("_ord").over(reach)).filter(F.col("earliest") < F.col("_ord"))
         return _violations(found, self.name, self.severity, *self.said(F.col("shown"), F.col("seq")))
 
 
@@ -100,15 +118,19 @@ class ValidationsPassBeforeSubmit:
         return message, F.concat(pending, F.array(seq))
 
     def violations(self, events: DataFrame) -> DataFrame:
+        return self.within(events)
+
+    def within(self, events: DataFrame, window_ms: int | None = None) -> DataFrame:
         resets = F.col("kind").isin("CommandExecuted", "NavigationOccurred").cast("bigint")
         before = in_session().rowsBetween(Window.unboundedPreceding, -1)
-        grouped = events.select("session_id", "_ord", "seq", "kind", "command_id", F.coalesce(F.sum(resets).over(before), F.lit(0)).alias("stretch"))
+        grouped = events.select("session_id", "_ord", _ms().alias("ms"), "seq", "kind", "command_id", F.coalesce(F.sum(resets).over(before), F.lit(0)).alias("stretch"))
         submits = reduce(lambda a, b: a | b, (F.col("command_id").endswith(s) for s in self.suffixes), F.lit(False))
         # A stretch ends with the command or navigation that resets it, so that its failures all come before.
-        failure = F.when(F.col("kind") == "ValidationFailed", F.struct("_ord", "seq"))
-        submit = F.max(F.when((F.col("kind") == "CommandExecuted") & submits, F.struct("command_id", "seq")))
+        failure = F.when(F.col("kind") == "ValidationFailed", F.struct("_ord", "seq", "ms"))
+        submit = F.max(F.when((F.col("kind") == "CommandExecuted") & submits, F.struct("command_id", "seq", "ms")))
         stretches = grouped.groupBy("session_id", "stretch").agg(F.array_sort(F.collect_list(failure)).alias("failures"), submit.alias("submit"))
-        found = stretches.filter(F.col("submit").isNotNull() & (F.size("failures") > 0)).select("session_id", "submit.command_id", "submit.seq", F.transform("failures", lambda f: f["seq"]).alias("pending"))
+        seen = F.filter("failures", lambda f: _in_reach(f["ms"], F.col("submit.ms"), window_ms))
+        found = stretches.filter(F.col("submit").isNotNull()).select("session_id", "submit.command_id", "submit.seq", F.transform(seen, lambda f: f["seq"]).alias("pending")).filter(F.size("pending") > 0)
         return _violations(found, self.name, self.severity, *self.said(F.col("command_id"), F.col("seq"), F.col("pending")))
 
 
@@ -127,8 +149,13 @@ class SuccessThenException:
         return F.concat(start, F.lit(" (seq "), after[0].cast("string"), F.lit(")" + self.note)), F.concat(F.array(seq), after)
 
     def violations(self, events: DataFrame) -> DataFrame:
-        pairs = events.select("session_id", "kind", "command_id", "outcome", "seq", _next("kind").alias("next_kind"), _next("exception_type").alias("thrown"), _next("seq").alias("next_seq"))
-        found = pairs.filter((F.col("kind") == "CommandExecuted") & (F.col("command_id") == self.command) & (F.col("outcome") == "success") & (F.col("next_kind") == "ExceptionThrown") & F.col("thrown").contains(self.pattern))
+        return self.within(events)
+
+    def within(self, events: DataFrame, window_ms: int | None = None) -> DataFrame:
+        timed = events.withColumn("ms", _ms())
+        pairs = timed.select("session_id", "kind", "command_id", "outcome", "seq", _next("kind").alias("next_kind"), _next("exception_type").alias("thrown"), _next("seq").alias("next_seq"), _in_reach(F.col("ms"), _next("ms"), window_ms).alias("near"))
+        good = (F.col("kind") == "CommandExecuted") & (F.col("command_id") == self.command) & (F.col("outcome") == "success")
+        found = pairs.filter(good & (F.col("next_kind") == "ExceptionThrown") & F.col("thrown").contains(self.pattern) & F.col("near"))
         return _violations(found, self.name, self.severity, *self.said(F.col("thrown"), F.col("seq"), F.array("next_seq")))
 
 
@@ -176,6 +203,31 @@ class WithinWindow:
         return self.rule.violations(events.withColumn("_age", age).filter(F.col("_age").between(0, self.window_ms)).drop("_age"))
 
 
+@dataclass(frozen=True)
+class Rolling:
+    """The rule over a rolling window: at each event it sees the session's events of the last window_ms up to that one, by
+    event time. What several windows show is told once, as the window of the event that completes it shows it.
+
+    A rule that looks back (at the event before, an earlier visit, failures still open) has a pass of its own, in which
+    what it looks at must lie within the window, so that no window is laid out by itself; rules of one event stay as they
+    are, and what And and Or hold is scheduled each. Any other rule raises.
+    """
+
+    name: str
+    rule: Rule
+    window_ms: int
+
+    def violations(self, events: DataFrame) -> DataFrame:
+        rule = self.rule
+        if isinstance(rule, (AndRule, OrRule)):
+            return type(rule)(rule.name, tuple(Rolling(r.name, r, self.window_ms) for r in rule.rules)).violations(events)
+        if isinstance(rule, (NoUnhandledException, CommandMustSucceed)):
+            return rule.violations(events)
+        if not hasattr(rule, "within"):
+            raise ValueError(f"{rule.name} has no schedule by windows")
+        return rule.within(events, self.window_ms)
+
+
 @dataclass(frozen=True)
 class Engine:
     rules: tuple[Rule, ...] = field(default_factory=lambda: BUILTIN)

@@ -465,6 +465,25 @@ RULES["rule_within_window"] = rules.WithinWindow("early", RULES["rule_unhandled"
 RULE_SQL["rule_within_window"] = f"{tv()}, f AS (SELECT *, {MS.format(a='ts', b='first_value(ts) OVER (PARTITION BY session_id ORDER BY _ord)')} AS age FROM tv) SELECT session_id, 'Critical' AS severity, 'Unhandled exception: ' || exception_type || ': ' || message AS message, seq::VARCHAR AS evidence FROM f WHERE kind = 'ExceptionThrown' AND age BETWEEN 0 AND 3600000"
 
 
+#: Three hours back from each event. Pairs, visits and failures farther apart are not seen together.
+_REACH = 3 * 3_600_000
+for _n in ("rule_error_modal", "rule_forward", "rule_validations", "rule_success_then_exception"):
+    RULES[f"{_n}_rolling"] = rules.Rolling(f"{_n}_rolling", RULES[_n], _REACH)
+_LATER = ("lead(seq) OVER o AS next_seq", "lead(seq) OVER o AS next_seq, lead(ts) OVER o AS later")
+_NEAR = f" AND {MS.format(a='later', b='ts')} BETWEEN 0 AND {_REACH}"
+RULE_SQL |= {
+    "rule_error_modal_rolling": RULE_SQL["rule_error_modal"].replace(*_LATER) + _NEAR,
+    "rule_success_then_exception_rolling": RULE_SQL["rule_success_then_exception"].replace(*_LATER) + _NEAR,
+    "rule_forward_rolling": f"""{tv()}, v AS (SELECT session_id, seq, _ord, ts, CASE kind WHEN 'ScreenOpened' THEN screen_id WHEN 'NavigationOccurred' THEN nav_to END AS shown FROM tv)
+        SELECT session_id, 'Warning' AS severity, 'Navigation revisited screen ''' || shown || ''' (seq ' || seq || ')' AS message, seq::VARCHAR AS evidence FROM v a WHERE shown IS NOT NULL
+        AND EXISTS (SELECT 1 FROM v b WHERE b.session_id = a.session_id AND b.shown = a.shown AND b._ord < a._ord AND {MS.format(a='a.ts', b='b.ts')} BETWEEN 0 AND {_REACH})""",
+    "rule_validations_rolling": f"""{tv()}, g AS (SELECT *, coalesce(sum((kind IN ('CommandExecuted', 'NavigationOccurred'))::INT) OVER (PARTITION BY session_id ORDER BY _ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stretch FROM tv),
+        f AS (SELECT c.session_id, c.command_id, c.seq, list(p.seq ORDER BY p._ord) AS pending FROM g c JOIN g p ON p.session_id = c.session_id AND p.stretch = c.stretch AND p._ord < c._ord AND p.kind = 'ValidationFailed'
+              AND {MS.format(a='c.ts', b='p.ts')} BETWEEN 0 AND {_REACH} WHERE c.kind = 'CommandExecuted' AND (c.command_id LIKE '%.Submit' OR c.command_id LIKE '%.Save') GROUP BY ALL)
+        SELECT session_id, 'Error' AS severity, 'Submit command ''' || command_id || ''' fired with ' || len(pending) || ' outstanding validation failure(s)' AS message, array_to_string(pending, ',') || ',' || seq AS evidence FROM f""",
+}
+
+
 def _rule(name: str):
     def run(spark, sf_dir):
         return RULES[name].violations(trace_view(spark, sf_dir)).select("session_id", "severity", "message", F.array_join("evidence", ",").alias("evidence"))
