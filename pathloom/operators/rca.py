@@ -47,7 +47,7 @@ def deepest(acts: DataFrame) -> DataFrame:
     before = Window.partitionBy("session_id").orderBy("action_idx").rowsBetween(Window.unboundedPreceding, -1)
     spans = F.col("command_id").startswith("span:").cast("bigint")
     placed = acts.withColumn("depth", 1 + F.coalesce(F.sum(spans).over(before), F.lit(0)))
-    best = F.max_by(F.struct("session_id", "_ord", "depth"), F.struct("depth", -F.col("_ord")))
+    best = F.min_by(F.struct("session_id", "_ord", "depth"), F.struct(-F.col("depth"), "_ord"))
     return placed.groupBy("action").agg(best.alias("b")).select("action", "b.depth", "b.session_id", "b._ord")
 
 
@@ -78,13 +78,44 @@ def ranked(candidates: DataFrame, with_anomaly: bool = False) -> DataFrame:
     return candidates.withColumn("pos", F.row_number().over(Window.partitionBy(*by, F.lit(0) if not by else by[0]).orderBy(*keys)))
 
 
-def root_causes(normal: DataFrame, abnormal: DataFrame, pods: DataFrame, alarms: DataFrame, config: ScoreConfig = ScoreConfig(), edge_table: DataFrame | None = None) -> DataFrame:
-    """The whole ranking of one case. With edge_table, edges' anomaly scores break ties of score before depth does."""
+def root_causes(normal: DataFrame, abnormal: DataFrame, pods: DataFrame, alarms: DataFrame, config: ScoreConfig = ScoreConfig()) -> DataFrame:
+    """The whole ranking of one case, from the supports of neighbouring pairs."""
     scores = root_most(differential_scores(pair_support(normal), pair_support(abnormal), config))
-    found = alarm_dedup(attributed(scores, normal, pods), alarms)
-    if edge_table is not None:
-        found = found.join(edge_table.select("src", "dst", "anomaly_score"), ["src", "dst"])
-    return ranked(found, edge_table is not None)
+    return ranked(alarm_dedup(attributed(scores, normal, pods), alarms))
+
+
+def edge_supports(normal_edges: DataFrame, abnormal_edges: DataFrame) -> DataFrame:
+    """(src, dst, n, a, anomaly_score) of the edges of the normal graph: their frequency there and in the abnormal graph (0 if
+    it lacks them), and their anomaly in the normal one. Edges of the abnormal graph alone are left out."""
+    seen = abnormal_edges.select("src", "dst", F.col("frequency").alias("a"))
+    both = normal_edges.select("src", "dst", F.col("frequency").alias("n"), "anomaly_score").join(seen, ["src", "dst"], "left")
+    return both.select("src", "dst", "n", F.coalesce("a", F.lit(0)).alias("a"), "anomaly_score")
+
+
+def edge_scores(supports: DataFrame, config: ScoreConfig = ScoreConfig()) -> DataFrame:
+    """supports with score, of the edges frequent enough in the normal graph that score enough: see differential_scores."""
+    score = F.when(F.col("a") == 0, 1.0).otherwise(F.col("n") / (F.col("n") + F.col("a")))
+    return supports.filter(F.col("n") > config.min_normal).withColumn("score", score).filter(F.col("score") >= config.keep)
+
+
+def witnessed(scores: DataFrame, normal: DataFrame) -> DataFrame:
+    """scores with first_at, the place where the normal scenarios first show the pair.
+
+    Ties are decided by that place, so a scored pair without one means that graph and scenarios are of different data:
+    the job fails instead of ranking by chance.
+    """
+    places = pair_support(normal).select("src", "dst", "first_at")
+    told = scores.join(places, ["src", "dst"], "left")
+    missing = F.raise_error(F.concat(F.lit("a scored edge is not met in the normal scenarios: "), "src", F.lit(" to "), "dst"))
+    return told.withColumn("first_at", F.when(F.col("first_at").isNull(), missing.cast(places.schema["first_at"].dataType)).otherwise(F.col("first_at")))
+
+
+def graph_root_causes(normal: DataFrame, pods: DataFrame, alarms: DataFrame, normal_edges: DataFrame, abnormal_edges: DataFrame, config: ScoreConfig = ScoreConfig()) -> DataFrame:
+    """The ranking of one case from its two graphs, which alone give supports and anomaly scores; the normal scenarios give
+    places, depths and pods. Anomaly breaks ties of score before depth does."""
+    scores = edge_scores(edge_supports(normal_edges, abnormal_edges), config)
+    placed = attributed(witnessed(root_most(scores), normal), normal, pods)
+    return ranked(alarm_dedup(placed.join(scores.select("src", "dst", "anomaly_score"), ["src", "dst"]), alarms), with_anomaly=True)
 
 
 def latency_pairs(spans: DataFrame) -> DataFrame:

@@ -573,11 +573,18 @@ _SCORED = f"""{folded(WIDE)}, ra AS (SELECT a.session_id, a.action_idx, a._ord,
     fin AS (SELECT src, dst, score, depth, pod, first_at, row_number() OVER (ORDER BY score DESC, depth DESC, first_at, src, dst) AS pos FROM ded WHERE NOT alarmed OR place = 1)"""
 
 
+def _rca_actions(events: DataFrame, *more: str) -> DataFrame:
+    """Labelled actions by screen and command; the view has no spans, clicks stand for them."""
+    a = fold.scenarios(events, WIDE, nested=False).withColumn("abstract_args", F.lit(""))
+    if more:
+        a = a.join(events.select("_ord", *more), "_ord")
+    span = F.when(F.col("command_id").startswith("click"), F.concat(F.lit("span:"), "command_id")).otherwise(F.col("command_id"))
+    return a.select("session_id", "action_idx", "_ord", *more, graph.label().alias("action"), span.alias("command_id"))
+
+
 def _phases(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     events = trace_view(spark, sf_dir)
-    a = fold.scenarios(events, WIDE, nested=False).join(events.select("_ord", "phase"), "_ord").withColumn("abstract_args", F.lit(""))
-    # The view has no spans; clicks stand for them.
-    a = a.select("session_id", "action_idx", "_ord", "phase", graph.label().alias("action"), F.when(F.col("command_id").startswith("click"), F.concat(F.lit("span:"), "command_id")).otherwise(F.col("command_id")).alias("command_id"))
+    a = _rca_actions(events, "phase")
     pods = events.select("_ord", F.concat(F.lit("pod"), (F.col("user_id") % 9).cast("string")).alias("pod"))
     return a.filter("phase = 'normal'"), a.filter("phase = 'abnormal'"), pods
 
@@ -624,10 +631,38 @@ def rca_first_alarms(spark, sf_dir):
 @query(f"{_SCORED}, gp AS (SELECT src, dst, count(*) AS f FROM rp0 WHERE dst IS NOT NULL AND phase = 'normal' GROUP BY ALL), ge AS (SELECT a.src, a.dst, CASE WHEN a.src = a.dst THEN 1 - a.f::DOUBLE / (a.f + 1) ELSE (1 - (a.f - coalesce(b.f, 0))::DOUBLE / (a.f + coalesce(b.f, 0) + 1)) / 2 END AS anomaly FROM gp a LEFT JOIN gp b ON a.src = b.dst AND a.dst = b.src) SELECT src, dst, pod, row_number() OVER (ORDER BY score DESC, anomaly DESC, depth DESC, first_at, src, dst) AS pos FROM fin JOIN ge USING (src, dst)")
 def rca_candidates_graph(spark, sf_dir):
     normal, abnormal, pods = _phases(spark, sf_dir)
-    found = rca.root_causes(normal, abnormal, pods, _alarms(spark), RCA, graph.edges(normal))
+    found = rca.graph_root_causes(normal, pods, _alarms(spark), graph.edges(normal), graph.edges(abnormal), RCA)
     return found.select("src", "dst", "pod", F.col("pos").cast("bigint").alias("pos"))
 
 
+#: The normal period as two windows, the users of even and of odd number: an event's place is its window and its place there.
+_WINDOWED = _SCORED.replace("a.session_id, a.action_idx, a._ord,", "a.session_id, a.action_idx, CASE WHEN a.phase = 'normal' THEN (a.user_id % 2) * 1000000000000 ELSE 0 END + a._ord AS _ord,")
+_WINDOWED = _WINDOWED.replace("(SELECT _ord, user_id FROM tv) e", "(SELECT (user_id % 2) * 1000000000000 + _ord AS _ord, user_id FROM tv) e")
+_ANOMALY = """, gp AS (SELECT src, dst, count(*) AS f FROM rp0 WHERE dst IS NOT NULL AND phase = 'normal' GROUP BY ALL),
+    ge AS (SELECT a.src, a.dst, CASE WHEN a.src = a.dst THEN 1 - a.f::DOUBLE / (a.f + 1) ELSE (1 - (a.f - coalesce(b.f, 0))::DOUBLE / (a.f + coalesce(b.f, 0) + 1)) / 2 END AS anomaly FROM gp a LEFT JOIN gp b ON a.src = b.dst AND a.dst = b.src)"""
+
+
+@query(f"{_WINDOWED}{_ANOMALY} SELECT src, dst, n, a, round(anomaly, 6) AS anomaly_score, round(score, 6) AS score FROM scores JOIN ge USING (src, dst)")
+def edge_scores(spark, sf_dir):
+    normal, abnormal, _ = _phases(spark, sf_dir)
+    found = rca.edge_scores(rca.edge_supports(graph.edges(normal), graph.edges(abnormal)), RCA)
+    return found.select("src", "dst", "n", "a", *(F.round(c, 6).alias(c) for c in ("anomaly_score", "score")))
+
+
+@query(f"{_WINDOWED}{_ANOMALY} SELECT src, dst, round(score, 6) AS score, round(anomaly, 6) AS anomaly_score, depth::BIGINT AS depth, pod, row_number() OVER (ORDER BY score DESC, anomaly DESC, depth DESC, first_at, src, dst) AS pos FROM fin JOIN ge USING (src, dst)")
+def rca_edge_windows(spark, sf_dir):
+    """Ranking over the graph of the union of two normal windows; the witness of a pair is its place in the first window
+    that shows it."""
+    events = trace_view(spark, sf_dir)
+    even = F.col("user_id") % 2 == 0
+    normal = events.filter("phase = 'normal'")
+    union = fold.union_windows([normal.filter(even), normal.filter(~even)])
+    pods = union.select("_ord", F.concat(F.lit("pod"), (F.col("user_id") % 9).cast("string")).alias("pod"))
+    left, right = _rca_actions(union), _rca_actions(events.filter("phase = 'abnormal'"))
+    found = rca.graph_root_causes(left, pods, _alarms(spark), graph.edges(left), graph.edges(right), RCA)
+    return found.select("src", "dst", *(F.round(c, 6).alias(c) for c in ("score", "anomaly_score")), "depth", "pod", F.col("pos").cast("bigint").alias("pos"))
+
+
 @query("""WITH s AS (SELECT l_orderkey * 10 + l_linenumber AS row, l_partkey % 500 AS span_id, l_suppkey % 500 AS parent_id, 'pod' || (l_partkey % 7) AS pod, l_orderkey * 1000003 % 100000007 AS end_ns FROM lineitem),
     p AS (SELECT span_id AS parent_id, arg_max(pod, row) AS parent_pod, arg_max(end_ns, row) AS parent_end FROM s GROUP BY span_id)
     SELECT pod, count(*) AS n_samples, round(CASE WHEN count(*) > 2 THEN quantile_cont((parent_end - end_ns) / 1000000, 0.9) ELSE 10.0 END, 4) AS p90 FROM s JOIN p USING (parent_id) WHERE parent_pod <> pod GROUP BY pod""")

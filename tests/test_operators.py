@@ -373,3 +373,20 @@ def test_bootstrap_takes_all_pairs(spark):
     assert low < sum(differences) / 400 < high
     assert (low, high) == pytest.approx(evalrank.bootstrap_ci(differences, 2000), abs=0.005)
     assert evalrank.bootstrap_ci_of(pairs.limit(0)) == (None, None)
+
+
+def test_edge_ranking_fails_closed(spark):
+    from pathloom.config import ScoreConfig
+    from pathloom.operators import rca
+
+    rows = [["span:a", "x"]] * 7 + [["span:a", "y"]] * 6
+    normal, abnormal = sequences(spark, rows), sequences(spark, [["span:a", "y"]])
+    normal, abnormal = (x.withColumn("action", F.concat(F.lit("s|"), "command_id", F.lit("|"))) for x in (normal, abnormal))
+    pods = normal.select("_ord", F.lit("p").alias("pod"))
+    alarms = spark.createDataFrame([], "pod string, resource string")
+    edges, other = graph.edges(normal), graph.edges(abnormal)
+    found = rca.graph_root_causes(normal, pods, alarms, edges, other, ScoreConfig()).orderBy("pos").collect()
+    assert [(r["dst"], r["score"], r["depth"]) for r in found] == [("s|x|", 1.0, 1), ("s|y|", 6 / 7, 1)]
+    foreign = edges.unionByName(edges.limit(1).withColumn("dst", F.lit("s|never|")))
+    with pytest.raises(Exception, match="not met in the normal scenarios: s.span:a. to s.never"):
+        rca.graph_root_causes(normal, pods, alarms, foreign, other, ScoreConfig()).collect()
