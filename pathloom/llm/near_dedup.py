@@ -18,13 +18,14 @@ with component_id null and kept true; other columns are ignored; an empty table
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, fresh_path, mix, only_ids, removed, slices, split_words, staged, staged_at, table, text_buffers, window_hashes
+from .common import bounded_batches, few, fresh_path, mix, only_ids, removed, slices, split_words, staged, staged_at, table, text_buffers, window_hashes
 
 WIDTH, BANDS, ROWS_PER_BAND = 5, 40, 3
 #: A link needs intersection / union of at least this, as a fraction of integers.
@@ -243,6 +244,20 @@ def connected_components(edges: DataFrame, most_rounds: int = 60, hub: int = HUB
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
 
+def _joined_up(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, component) after further links (a, b): only the components that links join are closed again. Staged."""
+    ends = links
+    for end in ("a", "b"):
+        ends = ends.join(labels.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}")), end, "left")
+    met = staged(ends.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).filter("a != b").distinct(), "met")
+    if not met.head(1):
+        return labels
+    moved = staged(connected_components(met), "moved")
+    to = moved.select(F.col("node").alias("component"), F.col("component").alias("to"))
+    old = labels.join(F.broadcast(to) if few(to) else to, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return staged(old.union(moved.join(labels, "node", "left_anti").select("node", "component")), "labels")
+
+
 class _Group:
     """The members of one bucket block pair, and which pairs of them are worth a full comparison."""
 
@@ -326,26 +341,30 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = staged(known.groupBy("set_hi", "set_lo").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")), "classes")
     members = _bands(classes, bands, rows_per_band)
     buckets = _buckets(members)
-    links = _stars(members, buckets, classes, docs, width, at_least, link)
-    labels = connected_components(links)
+    labels = staged(connected_components(_stars(members, buckets, classes, docs, width, at_least, link)), "labels")
+    late = []
     for turn in range(1, turns + 2):
         hot = buckets.filter(F.col("members") > most)
         done = turn > turns or not hot.head(1)
         small = buckets if done else buckets.filter(F.col("members") <= most)
-        links = links.union(staged(_across(members, small, classes, labels, docs, width, at_least, link, bands, block), "rest"))
+        late.append(staged(_across(members, small, classes, labels, docs, width, at_least, link, bands, block), "rest"))
         if done:
             break
         old = F.lit(0).cast("long") if turn == 1 else F.col("band")
         members = staged(_banded_again(_opened(members, hot, labels).select(old.alias("band"), "node").distinct(), classes, turn), "bands-again")
         buckets = _buckets(members)
-        links = links.union(_stars(members, buckets, classes, docs, width, at_least, link, labels))
-        labels = connected_components(links)
+        labels = _joined_up(labels, _stars(members, buckets, classes, docs, width, at_least, link, labels))
     # Different texts of one repeated id are one node: their classes are linked through it.
-    repeated = known.join(classes.select("set_hi", "set_lo", "node"), ["set_hi", "set_lo"]).filter("doc_id != node").select(F.col("node").alias("a"), F.col("doc_id").alias("b")).distinct()
-    final = connected_components(links.union(repeated))
+    twice = known.groupBy("doc_id").agg(F.count_distinct("set_hi", "set_lo").alias("n")).filter("n > 1").select("doc_id")
+    twice = staged(twice, "repeated")
+    if twice.head(1):
+        late.append(only_ids(known, twice, "doc_id").join(classes, ["set_hi", "set_lo"]).select(F.col("node").alias("a"), F.col("doc_id").alias("b")).filter("a != b"))
+    labels = _joined_up(labels, reduce(DataFrame.union, late))
+    # A document belongs where its class does.
+    placed = classes.select("set_hi", "set_lo", "node").join(labels, "node", "left").select("set_hi", "set_lo", F.coalesce("component", "node").alias("component"))
     return (
-        signed.select("doc_id", "n_shingles").join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+        signed.select("doc_id", "n_shingles", "set_hi", "set_lo").join(placed, ["set_hi", "set_lo"], "left")
+        .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
         .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
     )
 
