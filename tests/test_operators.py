@@ -301,6 +301,8 @@ def test_alignment_matches_the_whole_table():
         cost, script = align.align_labels(a, b, overrides)
         want = plain_alignment(a, b, overrides)
         assert cost == pytest.approx(want[0]) and script == want[1], (a, b, overrides)
+        for limit in (cost, cost + 0.5, rng.uniform(0, 6)):
+            assert align.align_labels(a, b, overrides, limit) == ((cost, script) if cost <= limit + 1e-9 else None)
     a = [f"k:{i % 97}" for i in range(3000)]
     cost, script = align.align_labels(a, a[::-1])
     assert len(script) >= 3000 and cost == pytest.approx(0.4 * script.count("S") + 0.6 * (script.count("I") + script.count("D")))
@@ -316,6 +318,7 @@ def test_alignment_and_nearest(spark, tmp_path):
     r = align.align_sessions(events, S1, S2).head()
     assert r["script"].count("M") == 1 and r["ops"] == 3
     assert [x["session_id"] for x in align.nearest(events, S1, 5).collect()] == [S2]
+    assert align.nearest(events, "none", 5).count() == 0 and align.nearest(events, S1, 0).count() == 0
     with pytest.raises(LookupError):
         align.align_sessions(events, S1, "none")
 
@@ -390,3 +393,21 @@ def test_edge_ranking_fails_closed(spark):
     foreign = edges.unionByName(edges.limit(1).withColumn("dst", F.lit("s|never|")))
     with pytest.raises(Exception, match="not met in the normal scenarios: s.span:a. to s.never"):
         rca.graph_root_causes(normal, pods, alarms, foreign, other, ScoreConfig()).collect()
+
+
+def test_nearest_search_prunes(spark):
+    from pathloom.sources.events_view import trace_view
+
+    rng = random.Random(6)
+    rows = [(f"s{s:03d}", 100 * s + i, rng.choice(["Doc.Save", "Doc.Open", "App.Quit"])) for s in range(60) for i in range(rng.randint(1, 9))]
+    events = spark.createDataFrame(rows, "session_id string, _ord bigint, command_id string").withColumn("kind", F.lit("CommandExecuted"))
+    events = events.withColumns({c: F.lit(None).cast("string") for c in ("screen_id", "field_id", "exception_type", "validator", "operation_id", "nav_from", "nav_to")})
+    for overrides in (None, {("CommandExecuted:Doc.Save", "CommandExecuted:App.Quit"): 0.1, ("CommandExecuted:Doc.Open", "CommandExecuted:Doc.Open"): 0.3}):
+        for n in (1, 5, 80):
+            want = align.nearest_by_scan(events, "s007", n, overrides).collect()
+            assert align.nearest_counted(events, "s007", n, overrides, first=1).found.collect() == want
+    real = trace_view(spark, "/root/testdata/sf0.01")
+    longest = real.groupBy("session_id").count().orderBy(F.desc("count"), "session_id").head()["session_id"]
+    got = align.nearest_counted(real, longest, 10)
+    assert got.found.collect() == align.nearest_by_scan(real, longest, 10).collect()
+    assert 10 <= got.aligned < got.sessions / 10, got
