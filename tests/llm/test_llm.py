@@ -401,6 +401,21 @@ def test_label_model_recovers_accuracies():
     assert prior == pytest.approx(0.8, abs=0.05) and rates[1] == pytest.approx([0.95, 0.9, 0.85, 0.9], abs=0.05)
 
 
+def test_a_text_of_a_hundred_thousand_spans(spark):
+    from time import time
+
+    parts = [f"username=user{i:06d} password=Abcdefgh{i:06d}" for i in range(50_000)]
+    rows = [(1, " ".join(parts)), (1, "password=Abcdefgh1 username=other"), (2, " ".join(parts[:20])), (None, "username=alone"), (None, "username=alone")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    secret_scan.secret_spans(df.filter("doc_id = 2")).collect()
+    start = time()
+    got = secret_scan.secret_spans(df).collect()
+    assert time() - start < 40
+    long = max((r["spans"] for r in got), key=len).split(",")
+    assert len(long) == 100_000 and long[:2] == ["id:0:19", "assign:20:43"] and long[-1] == f"assign:{len(rows[0][1]) - 23}:{len(rows[0][1])}"
+    assert sorted(r["spans"] for r in got if r["doc_id"] is None) == ["", ""]
+
+
 def test_secrets(spark):
     rng = random.Random(8)
     bits = ["token", "TOKEN = \"", "secret:", "password", "api_key", "apikey", "=", ":", " ", "'", '"', "AKIA", "ABCDEF0123456789", "0123456789abcdef" * 2, "abcdefgh", "é😀", "\n"]
