@@ -9,11 +9,13 @@ lower case or in Title Case is found too. A document and an item are reported wh
 
 Windows with fewer literal tokens than half say too little for a form; those that the case-folded form leaves out (mostly
 numbers and units) are compared token by token but for case, and items shorter than ``width`` tokens as a whole, so that
-every item with a token is searched for. The benchmark's windows are broadcast while they are few (BROADCAST_WINDOWS
+every item with a token is searched for. Documents meet each distinct window once, and items only through windows that few
+items have (see probes), so that a prompt that many items and many documents share makes no pairs. The benchmark's windows are broadcast while they are few (BROADCAST_WINDOWS
 rows), else the join shuffles.
 
 Edge cases: null and empty texts have no tokens and match nothing; an item of one or two words is
-found wherever these stand; rows that repeat an id are one document; rows with a null id are left out; other columns are ignored; an empty table
+found wherever these stand; a very long text is read whole; runs that overlap count each place of the item once; rows that
+repeat an id are one document; rows with a null id are left out; other columns are ignored; an empty table
 gives no rows; repeated items are reported under each id.
 """
 
@@ -22,7 +24,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import only_ids, staged, table
@@ -106,6 +108,57 @@ def _slots(typed: Callable[[Column], Column], value: Callable[[Column], Column])
     return F.array_distinct(F.filter(both, lambda s: s.isNotNull()))
 
 
+def probes(kept: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """(form, size, hash, item_id): the windows of each item of which a document must have one to reach the share.
+
+    Of an item's n places, c of which make the share, a document that has c misses at most n - c, so it has one of any
+    n - c + 1. These are chosen as the places whose windows the fewest items have: what many items share (a prompt, a
+    phrase) alone makes no pairs, unless it makes the share.
+    """
+    kinds = ["form", "size", "hash"]
+    known = kept.groupBy(*kinds).agg(F.count_distinct("item_id").alias("items"))
+    places = kept.join(known, kinds).groupBy("item_id", "item_at").agg(F.max("items").alias("items"), F.bool_or(F.col("form") == "template").alias("plain"))
+
+    def enough(*by: str) -> Column:
+        whole = Window.partitionBy("item_id", *by)
+        n = F.count("*").over(whole)
+        needed = F.ceil(n * share[0] / share[1])
+        return F.row_number().over(whole.orderBy("items", "item_at")) <= n - needed + 1
+
+    chosen = places.withColumns({"of_all": enough(), "of_plain": enough("plain") & F.col("plain")}).filter("of_all or of_plain")
+    return kept.join(chosen.select("item_id", "item_at"), ["item_id", "item_at"], "left_semi").select(*kinds, "item_id").distinct()
+
+
+def document_hits(told: DataFrame, kept: DataFrame, width: int, sides: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(doc_id, form, size, hash, at): the places of documents where a window of any item stands; at is null where only
+    presence counts. A document's row is there once for each place, however many items have the window. Staged."""
+    distinct = kept.select("form", "size", "hash").distinct()
+    found = [
+        window_hashes(told, width, typed).select("doc_id", F.posexplode_outer("windows").alias("at", "hash"))
+        .join(sides(distinct.filter(F.col("form") == form)), "hash").select("doc_id", "form", "size", "hash", "at")
+        for form, typed in FORMS.items()
+    ]
+    # One scan for all sizes of exact windows, of which there are at most ``width``.
+    sizes = sorted(r["size"] for r in distinct.filter("form = 'exact'").select("size").distinct().collect())
+    if sizes:
+        rows = told
+        for size in sizes:
+            rows = window_hashes(rows, size, caseless).withColumnRenamed("windows", f"windows_{size}")
+        exact = rows.select("doc_id", F.explode_outer(F.concat(*map(_sized, sizes))).alias("w")).select("doc_id", "w.size", "w.hash")
+        found.append(exact.join(sides(distinct.filter("form = 'exact'")), ["size", "hash"]).select("doc_id", "form", "size", "hash", F.lit(None).cast("int").alias("at")))
+    return staged(reduce(DataFrame.unionByName, found), "document-hits")
+
+
+def _sized(size: int) -> Column:
+    return F.transform(F.array_distinct(f"windows_{size}"), lambda h: F.struct(F.lit(size).alias("size"), h.alias("hash")))
+
+
+def candidates(hits: DataFrame, kept: DataFrame, share: tuple[int, int], sides: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(doc_id, item_id) of the pairs that have a probe in common. Staged."""
+    kinds = ["form", "size", "hash"]
+    return staged(hits.select("doc_id", *kinds).join(sides(probes(kept, share)), kinds).select("doc_id", "item_id").distinct(), "candidates")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", width: int = WIDTH, share: tuple[int, int] = SHARE) -> DataFrame:
     """doc_id, item_id, n_windows (of the item's, found), item_windows (of the item's, comparable), verbatim (all slots equal but for case)."""
     items = _prepared(benchmark, item_col, item_text, "item_id")
@@ -113,13 +166,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     few = kept.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS
     told = _prepared(docs, id_col, text_col, "doc_id")
 
-    def sides(form: str, size: int = width) -> DataFrame:
-        rows = kept.filter((F.col("form") == form) & (F.col("size") == size))
+    def sides(rows: DataFrame) -> DataFrame:
+        """Rows made of item windows, no more than these."""
         return F.broadcast(rows) if few else rows
 
-    hits = [window_hashes(told, width, typed).select("doc_id", F.posexplode_outer("windows").alias("at", "hash")).join(sides(form), "hash").select("doc_id", "item_id", "form", "item_at", (F.col("at") - F.col("item_at")).alias("shift")) for form, typed in FORMS.items()]
-    hits = reduce(DataFrame.unionByName, hits)
-    runs = staged(hits.distinct().groupBy("doc_id", "item_id", "form", "shift").agg(F.min("item_at").alias("first"), F.max("item_at").alias("last"), F.sort_array(F.collect_set("item_at")).alias("places")), "template-runs")
+    doc_hits = document_hits(told, kept, width, sides)
+    pairs = candidates(doc_hits, kept, share, sides).join(sides(kept), "item_id")
+    hits = staged(pairs.join(doc_hits, ["doc_id", "form", "size", "hash"]).select("doc_id", "item_id", "form", "item_at", "at").distinct(), "hits")
+    moved = hits.filter("at is not null").withColumn("shift", F.col("at") - F.col("item_at"))
+    runs = staged(moved.groupBy("doc_id", "item_id", "form", "shift").agg(F.min("item_at").alias("first"), F.max("item_at").alias("last"), F.sort_array(F.collect_set("item_at")).alias("places")), "template-runs")
     # Slots of each run: values of the item beside those of the document. An id that repeats with several texts has several rows.
     texts = only_ids(told, runs.select("doc_id").distinct(), "doc_id").select("doc_id", F.col("raw").alias("doc_raw"))
     both = runs.join(texts, "doc_id").join(items.withColumnRenamed("raw", "item_raw"), "item_id")
@@ -128,10 +183,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     both = both.withColumn("slots", F.when(F.col("form") == "folded", _slots(folded, caseless)).otherwise(_slots(template, lambda t: t)))
     both = both.filter(F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: s["x"]))))
     both = both.select("doc_id", "item_id", "places", F.forall("slots", lambda s: caseless(s["x"]) == caseless(s["y"])).alias("verbatim"))
-    # Exact windows have no slots to compare, so that their places alone tell. (At most width sizes.)
-    for row in kept.filter("form = 'exact'").select("size").distinct().collect():
-        exact = window_hashes(told, row["size"], caseless).select("doc_id", F.explode_outer(F.array_distinct("windows")).alias("hash")).join(sides("exact", row["size"]), "hash")
-        both = both.unionByName(exact.groupBy("doc_id", "item_id").agg(F.collect_set("item_at").alias("places")).withColumn("verbatim", F.lit(True)))
+    # Exact windows have no slots to compare, so that their places alone tell.
+    exact = hits.filter("at is null").groupBy("doc_id", "item_id").agg(F.collect_set("item_at").alias("places"))
+    both = both.unionByName(exact.withColumn("verbatim", F.lit(True)))
     found = both.groupBy("doc_id", "item_id").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("places"), F.bool_and("verbatim").alias("verbatim"))
     sizes = kept.groupBy("item_id").agg(F.countDistinct("item_at").alias("item_windows"), F.collect_set(F.when(F.col("form") == "template", F.col("item_at"))).alias("plain"))
     found = found.join(sizes, "item_id").withColumn("n_windows", F.size("places").cast("long"))

@@ -401,6 +401,22 @@ def test_label_model_recovers_accuracies():
     assert prior == pytest.approx(0.8, abs=0.05) and rates[1] == pytest.approx([0.95, 0.9, 0.85, 0.9], abs=0.05)
 
 
+def test_a_prompt_in_all_items_and_documents_makes_no_pairs(spark):
+    n, rng = 2000, random.Random(8)
+    words = [f"{a}{b}{c}" for a in "bcdfgl" for b in "aeiou" for c in ("n", "r", "st", "x")]
+    prompt = " ".join(rng.choice(words) for _ in range(15))
+    items = [(i, f"{prompt} {' '.join(rng.choice(words) for _ in range(40))}") for i in range(n)]
+    docs = [(d, f"{' '.join(rng.choice(words) for _ in range(10))} {prompt} {' '.join(rng.choice(words) for _ in range(10))}") for d in range(n)]
+    docs[:20] = [(d, f"see {items[7 * d][1]} there") for d in range(20)]
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    told, asked = (decontaminate._prepared(df, c, "text", c) for df, c in ((docs, "doc_id"), (items, "item_id")))
+    kept = decontaminate._item_windows(asked, 8, "template").unionByName(decontaminate._item_windows(asked, 8, "folded"))
+    hits = decontaminate.document_hits(told, kept, 8, lambda rows: rows)
+    assert hits.count() < 60 * n
+    assert decontaminate.candidates(hits, kept, (3, 10), lambda rows: rows).count() < n  # of four million pairs
+    assert sorted((r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, items).collect()) == [(d, 7 * d) for d in range(20)]
+
+
 def test_a_text_of_a_hundred_thousand_spans(spark):
     from time import time
 
