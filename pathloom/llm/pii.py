@@ -16,7 +16,7 @@ time.
 
 from __future__ import annotations
 
-import hashlib
+import pickle
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
@@ -263,6 +263,22 @@ def trained() -> dict[str, np.ndarray]:
     return train()
 
 
+_fetched: list[dict[str, np.ndarray]] = []
+
+
+def trained_in_task(spark: SparkSession) -> dict[str, np.ndarray]:
+    """The model, trained once a session by a task, so that the driver holds nothing but its weights."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.record_batch([pa.array([pickle.dumps(train())], pa.binary())], names=["model"])
+
+    if not _fetched:
+        _fetched.append(pickle.loads(spark.range(1, numPartitions=1).mapInArrow(run, "model binary").head()["model"]))
+    return _fetched[0]
+
+
 # ---- decoding ----------------------------------------------------------------------------------------------------
 
 
@@ -437,7 +453,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     struct ``carried``.
     """
     bounded_batches(docs.sparkSession)
-    model = docs.sparkSession.sparkContext.broadcast(trained())
+    model = docs.sparkSession.sparkContext.broadcast(trained_in_task(docs.sparkSession))
     carry = carry or []
     carried = F.struct(*(F.col(f"`{c}`") for c in carry)) if carry else F.lit(None).cast("int")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), carried.alias("carried"))

@@ -4,8 +4,9 @@ labels train a hashed linear scorer.
 Labellers look at counts of a text's bytes and words and vote good (1), bad (-1) or abstain (0). Their votes on all
 documents are counted by pattern (at most 3 to the number of labellers rows); EM estimates from the counts the share of
 good documents and each labeller's accuracy (its vote rates on good and on bad ones). A logistic scorer on hashed character trigrams and a few hashed, binned
-counts is fitted to the posteriors of at most TRAIN_ROWS documents, those with the smallest hash of their id, on the
-driver; it scores every document, also those on which all labellers abstain.
+counts is fitted to the posteriors of at most TRAIN_ROWS documents, those with the smallest hash of their id. Tasks count the buckets
+of these (at most BUCKETS counts a text, however long), and one task fits; only its weights reach the driver. The scorer
+scores every document, also those on which all labellers abstain.
 
 Edge cases: a null or empty text has no words and is scored like any other; repeated rows come back as often; null ids stay
 null and are not trained on; of several texts of one id the greatest is trained on; very long texts are measured and scored
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -137,21 +139,37 @@ def counted_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return tuple(np.concatenate(x) if x else np.zeros(0, np.int32) for x in (rows, keys, counts))
 
 
-def fit(texts: pa.Array, labels: np.ndarray, rounds: int = 30, rate: float = 0.5) -> np.ndarray:
-    """Logistic regression on posterior labels by full-batch AdaGrad, over the counts of each text's buckets."""
-    data, offsets = text_buffers(texts)
-    rows, size = len(labels), BUCKETS + 16 * MEASURES + 1
+class Sample(NamedTuple):
+    """Training texts as counts: entry i is ``value[i]`` in bucket ``keys[i]`` of text ``owner[i]``; texts follow each other.
+    ``dense``: the buckets of each text's measures; ``labels``: their posteriors."""
+
+    owner: np.ndarray
+    keys: np.ndarray
+    value: np.ndarray
+    dense: np.ndarray
+    labels: np.ndarray
+
+
+def scaled(counts: np.ndarray, owner: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    return counts / np.sqrt(np.maximum(sizes, 1)).astype(np.float32)[owner]
+
+
+def fit_counts(sample: Sample, rounds: int = 30, rate: float = 0.5, step: int = 1 << 20) -> np.ndarray:
+    """Logistic regression on posterior labels by full-batch AdaGrad; entries are taken ``step`` at a time."""
+    rows, size = len(sample.labels), BUCKETS + 16 * MEASURES + 1
     weights, grown = np.zeros(size), np.full(size, 1e-6)
     if rows == 0:
         return weights
-    owner, keys, value = counted_keys(data, offsets)
-    value = value / np.sqrt(np.maximum(np.diff(offsets), 1)).astype(np.float32)[owner]
-    dense = binned(sample_measures(data, offsets))
+    parts = [slice(at, at + step) for at in range(0, len(sample.owner), step)]
     for _ in range(rounds):
-        score = np.bincount(owner, weights=weights[keys] * value, minlength=rows) + weights[dense].sum(axis=1) + weights[-1]
-        error = 1 / (1 + np.exp(-score)) - labels
-        grad = np.bincount(keys, weights=error[owner] * value, minlength=size)
-        np.add.at(grad, dense.ravel(), np.repeat(error, dense.shape[1]))
+        score = weights[sample.dense].sum(axis=1) + weights[-1]
+        for p in parts:
+            score += np.bincount(sample.owner[p], weights=weights[sample.keys[p]] * sample.value[p], minlength=rows)
+        error = 1 / (1 + np.exp(-score)) - sample.labels
+        grad = np.zeros(size)
+        for p in parts:
+            grad += np.bincount(sample.keys[p], weights=error[sample.owner[p]] * sample.value[p], minlength=size)
+        np.add.at(grad, sample.dense.ravel(), np.repeat(error, sample.dense.shape[1]))
         grad[-1] = error.sum()
         grad = grad / rows + 1e-5 * weights
         grown += grad * grad
@@ -159,6 +177,52 @@ def fit(texts: pa.Array, labels: np.ndarray, rounds: int = 30, rate: float = 0.5
     return weights
 
 
+def fit(texts: pa.Array, labels: np.ndarray, rounds: int = 30, rate: float = 0.5) -> np.ndarray:
+    """fit_counts over texts at hand."""
+    data, offsets = text_buffers(texts)
+    owner, keys, counts = counted_keys(data, offsets)
+    value = scaled(counts, owner, np.diff(offsets))
+    return fit_counts(Sample(owner, keys, value, binned(sample_measures(data, offsets)), labels), rounds, rate)
+
+
+_NONE = Sample(*(np.zeros(0, np.int64),) * 3, np.zeros((0, MEASURES), np.int64), np.zeros(0))
+COUNTED = "doc_id long, size long, votes binary, dense array<int>, keys array<int>, counts array<float>"
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """COUNTED rows of (doc_id, text) rows."""
+    for rows, data, offsets in _parts(batches):
+        owner, keys, counts = counted_keys(data, offsets)
+        at = pa.array(np.searchsorted(owner, np.arange(rows.num_rows + 1)).astype(np.int32))
+        m = measures(data, offsets)
+        dense = pa.array(binned(m).astype(np.int32).tolist(), pa.list_(pa.int32()))
+        lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in (keys.astype(np.int32), counts.astype(np.float32))]
+        cast = pa.array([v.tobytes() for v in votes(m)], pa.binary())
+        yield pa.record_batch([rows.column(0), pa.array(np.diff(offsets)), cast, dense, *lists], names=[x.split()[0] for x in COUNTED.split(", ")])
+
+
+def _learn(prior: float, rates: np.ndarray):
+    """The weights, as bytes, from all COUNTED rows: at most TRAIN_ROWS of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]
+        if parts:
+            t = pa.Table.from_batches(parts)
+            cast = np.frombuffer(b"".join(t.column("votes").to_pylist()), np.int8).reshape(t.num_rows, -1)
+            lengths = np.concatenate([np.diff(np.asarray(c.offsets)) for c in t.column("keys").chunks])
+            owner = np.repeat(np.arange(t.num_rows, dtype=np.int32), lengths)
+            keys, counts = (np.concatenate([np.asarray(c.flatten()) for c in t.column(k).chunks]) for k in ("keys", "counts"))
+            value = scaled(counts, owner, t.column("size").to_numpy())
+            dense = np.asarray(t.column("dense").combine_chunks().flatten()).astype(np.int64).reshape(t.num_rows, -1)
+            del t, counts, parts
+            sample = Sample(owner, keys, value, dense, posteriors(cast, prior, rates))
+        else:
+            sample = _NONE
+        yield pa.record_batch([pa.array([fit_counts(sample).tobytes()], pa.binary())], names=["weights"])
+
+    return run
+
+
 def _parts(batches: Iterator[pa.RecordBatch]):
     """(rows, bytes, offsets) of slices of batches whose second column is the text."""
     for batch in batches:
@@ -186,11 +250,11 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tr
     counted = voted.groupBy(*names).agg(F.count("*").alias("n")).toPandas()  # at most 3 ** len(LABELLERS) rows
     prior, rates = estimate(counted[names].to_numpy(np.int64).reshape(-1, len(names)), counted["n"].to_numpy(np.float64))
     drawn = docs.filter("doc_id is not null").select(F.xxhash64("doc_id").alias("h"), "doc_id").distinct().orderBy("h", "doc_id").limit(train_rows)
-    sample = docs.join(F.broadcast(drawn.select("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text")).orderBy("doc_id").toArrow()
-    texts = sample.column("text").combine_chunks()
-    data, offsets = text_buffers(texts)
-    labels = posteriors(votes(sample_measures(data, offsets)), prior, rates) if len(texts) else np.zeros(0)
-    shared = docs.sparkSession.sparkContext.broadcast((fit(texts, labels), prior, rates))
+    sample = docs.join(F.broadcast(drawn.select("doc_id")), "doc_id", "left_semi").groupBy("doc_id").agg(F.max("text").alias("text"))
+    fitted = sample.mapInArrow(_count, COUNTED).repartition(1).sortWithinPartitions("doc_id").mapInArrow(_learn(prior, rates), "weights binary")
+    learnt = fitted.head(1)
+    weights = np.frombuffer(learnt[0]["weights"]) if learnt else fit_counts(_NONE)
+    shared = docs.sparkSession.sparkContext.broadcast((weights, prior, rates))
 
     def score(batches):
         weights, prior, rates = shared.value
