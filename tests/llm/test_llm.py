@@ -305,6 +305,39 @@ def held_out_spans(seed=77, texts=600):
 def test_held_out_spans():
     precision, recall = held_out_spans()
     assert precision > 0.8 and recall > 0.6, (precision, recall)
+    rng = np.random.Generator(np.random.PCG64(78))
+    told = [pii.example(rng) for _ in range(900)]
+    found = pii.find([t for t, _ in told], pii.trained())
+    for k, name in enumerate(pii.KINDS):
+        want = {(i, *x) for i, (_, spans) in enumerate(told) for x in spans if x[1] == k}
+        got = {(i, *x) for i, (f, a) in enumerate(found) for x in f + a if x[1] == k}
+        assert len(got & want) > 0.95 * len(got) and len(got & want) > 0.9 * len(want), (name, len(want), len(got), len(got & want))
+        assert all(pii.well_formed(k, told[i][0][s:e]) for i, _, s, e in {(i, kk, s, e) for i, s, kk, e in want}), name
+
+
+def test_windows_decode_as_a_plain_decoder():
+    """Texts that lie in one window, decoded by themselves: the runs of the best path that reach the bar and are whole."""
+    rng, model = np.random.Generator(np.random.PCG64(79)), pii.trained()
+    for _ in range(150):
+        text = pii.example(rng)[0][:30]
+        found = pii.find([text], model)[0]
+        x = np.full((1, pii.WINDOW), 32, np.int64)
+        x[0, : len(text)] = pii.coded(text)
+        emit = pii.emissions(model, x)
+        path, sure = pii.viterbi(emit, model["moves"])[0], pii.marginals(emit, model["moves"])[0]
+        want, at = [], 0
+        while at < pii.WINDOW:
+            tag, end = int(path[at]), at + 1
+            if tag % 2:
+                while end < pii.WINDOW and path[end] == tag + 1:
+                    end += 1
+                score = np.mean([sure[j, path[j]] for j in range(at, end)])
+                whole = end <= len(text) and pii.well_formed(tag // 2, text[at:end])
+                if whole and score >= model["sure"][tag // 2] and not any(s < end and at < e for s, _, e in found[0]):
+                    want.append((at, tag // 2, end))
+            at = end
+        if pii.TRIGGER.search(text):
+            assert sorted(found[1]) == want, text
 
 
 def test_personal_data_model():
