@@ -88,6 +88,23 @@ def edge_flags(edge_table: DataFrame) -> DataFrame:
     return edge_table.withColumn("is_frequent", F.col("frequency") >= p80_frequency(edge_table).scalar())
 
 
+def counted_steps(acts: DataFrame) -> DataFrame:
+    """(src, dst, frequency, first_seen): how often dst follows src, and the place of the first time; dst is null for the
+    ends of scenarios, so that the rows of a src make up all its visits. One window and one aggregate for nodes and edges."""
+    steps = acts.select(F.col("action").alias("src"), F.lead("action").over(in_scenario()).alias("dst"), "_ord")
+    return steps.groupBy("src", "dst").agg(F.count("*").alias("frequency"), F.min("_ord").alias("first_seen"))
+
+
+def path_of_steps(rows: list) -> list[str]:
+    """most_frequent_path of collected counted_steps."""
+    seen, visits = {}, {}
+    for r in rows:
+        seen[r["src"]] = min(seen.get(r["src"], r["first_seen"]), r["first_seen"])
+        visits[r["src"]] = visits.get(r["src"], 0) + r["frequency"]
+    node_rows = [{"action": a, "visit_count": visits[a], "first_seen": seen[a]} for a in seen]
+    return most_frequent_path(node_rows, [r for r in rows if r["dst"] is not None])
+
+
 def most_frequent_path(node_rows: list, edge_rows: list) -> list[str]:
     """Greedy path over a collected graph: from the most visited root (or node) along the most frequent edge not used yet.
 

@@ -307,8 +307,8 @@ def dead_commands(spark, sf_dir):
 
 @query(None)
 def most_frequent_path(spark, sf_dir):
-    n, e = collected(nodes(spark, sf_dir), graph.MOST_DRAWN, "nodes"), collected(edge_table(spark, sf_dir), graph.MOST_DRAWN, "edges")
-    path = graph.most_frequent_path(n, e)
+    steps = graph.counted_steps(acts(spark, sf_dir))
+    path = graph.path_of_steps(collected(steps, 2 * graph.MOST_DRAWN, "steps"))
     return spark.createDataFrame(list(enumerate(path)), "step int, action string")
 
 

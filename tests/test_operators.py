@@ -84,7 +84,7 @@ def test_graph_scores_and_exports(spark, tmp_path):
     acts = graph.labelled(fold.scenarios(events_of(spark, tmp_path, lines), CONFIG))
     edges, nodes = graph.edges(acts).collect(), graph.nodes(acts).collect()
     assert [(r["frequency"], r["failure_count"], r["anomaly_score"]) for r in edges] == [(3, 0, (1 - 3 / 4) / 2)]
-    assert graph.most_frequent_path(nodes, edges) == ["Editor|A|{}", "Editor|B|{}"]
+    assert graph.most_frequent_path(nodes, edges) == ["Editor|A|{}", "Editor|B|{}"] == graph.path_of_steps(graph.counted_steps(acts).collect())
     assert "N0 -->|freq=3| N1" in graph.to_mermaid(nodes, edges, 3) and 'N0 -> N1 [label="freq=3"]' in graph.to_dot(nodes, edges)
     assert graph.p80_frequency(graph.edges(acts.limit(0))).head()[0] == 1
     report = patterns.workflow_report(acts, summary.error_sessions(events_of(spark, tmp_path, lines)), ReportConfig(top_n=5))
