@@ -6,7 +6,6 @@ Lists are tables (case_id, pos, score, depth, ...); pos is the place in the list
 from __future__ import annotations
 
 import math
-import random
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -142,15 +141,9 @@ def mcnemar_p(b: int, c: int) -> float:
     return min(1.0, 2 * tail)
 
 
-def bootstrap_ci(differences: list[float], resamples: int = 10_000, seed: int = 20260820) -> tuple[float, float]:
-    """The 2.5 and 97.5 percent places of the resampled means. A few dozen paired cases, so it runs where it is called."""
-    rng, n = random.Random(seed), len(differences)
-    means = sorted(sum(differences[rng.randrange(n)] for _ in range(n)) / n for _ in range(resamples))
-    return means[int(0.025 * resamples)], means[int(0.975 * resamples) - 1]
-
-
 def bootstrap_ci_of(pairs: DataFrame, resamples: int = 10_000, seed: int = 20260820) -> tuple[float | None, float | None]:
-    """The same interval over the paired reciprocal-rank differences of all rows of (left_rank, right_rank); a null rank counts 0.
+    """Interval of 95 % of the mean difference of reciprocal ranks, over all rows of (left_rank, right_rank); a null rank
+    counts 0.
 
     Only the distinct pairs of ranks and their counts reach the driver: a resample of n cases is a multinomial draw from them.
     """

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .config import FoldConfig, HeuristicsConfig, ReportConfig, ScoreConfig
 from .functions import scalar as X
 from .functions.abstraction import abstract_args
-from .operators import align, evalrank, fold, gates, graph, patterns, process_tree, rca, rules, summary
+from .operators import alarms, align, evalrank, fold, gates, graph, patterns, process_tree, rca, rules, summary
 from .sources.events_view import duckdb_view, trace_view
 from .sources.scratch import collected, staged
 
@@ -624,8 +624,8 @@ def rca_candidates(spark, sf_dir):
 def rca_first_alarms(spark, sf_dir):
     """Pods with two alarms each: a candidate stays one row and takes its pod's first."""
     normal, abnormal, pods = _phases(spark, sf_dir)
-    alarms = _alarms(spark).select("pod", F.explode(F.array(F.struct(F.lit(1).alias("position"), F.lit("AlarmedLater").alias("resource")), F.struct(F.lit(0).alias("position"), F.col("resource")))).alias("a")).select("pod", "a.*")
-    return rca.root_causes(normal, abnormal, pods, alarms, RCA).select("src", "dst", "pod", "resource")
+    told = _alarms(spark).select("pod", F.explode(F.array(F.struct(F.lit(1).alias("position"), F.lit("AlarmedLater").alias("resource")), F.struct(F.lit(0).alias("position"), F.col("resource")))).alias("a")).select("pod", "a.*")
+    return rca.root_causes(normal, abnormal, pods, told, RCA).select("src", "dst", "pod", "resource")
 
 
 @query(f"{_SCORED}, gp AS (SELECT src, dst, count(*) AS f FROM rp0 WHERE dst IS NOT NULL AND phase = 'normal' GROUP BY ALL), ge AS (SELECT a.src, a.dst, CASE WHEN a.src = a.dst THEN 1 - a.f::DOUBLE / (a.f + 1) ELSE (1 - (a.f - coalesce(b.f, 0))::DOUBLE / (a.f + coalesce(b.f, 0) + 1)) / 2 END AS anomaly FROM gp a LEFT JOIN gp b ON a.src = b.dst AND a.dst = b.src) SELECT src, dst, pod, row_number() OVER (ORDER BY score DESC, anomaly DESC, depth DESC, first_at, src, dst) AS pos FROM fin JOIN ge USING (src, dst)")
@@ -672,6 +672,30 @@ def p90_threshold(spark, sf_dir):
     return rca.latency_p90(spans).withColumn("p90", F.round("p90", 4))
 
 
+_SPANS = "SELECT l_orderkey * 10 + l_linenumber AS row, l_partkey % 500 AS span_id, l_suppkey % 500 AS parent_id, concat('pod', CAST(l_partkey % 7 AS {s}), '-1-x') AS pod, l_orderkey * 1000003 % 100000007 AS end_ns FROM {t}"
+_METRICS = "SELECT 'f' AS file, o_orderkey AS row, CAST(o_orderdate AS {s}) AS time, concat('pod', CAST(o_orderkey % 9 AS {s}), '-1-x') AS pod, 'CpuUsageRate(%)' AS metric_type, CAST(floor(o_totalprice / 100000) AS DOUBLE) AS value FROM {t}"
+
+
+@query(f"""WITH s AS ({_SPANS.format(s='VARCHAR', t='lineitem')}), m AS ({_METRICS.format(s='VARCHAR', t='orders')}),
+    w AS (SELECT * FROM m WHERE contains(time, '-03-1')), c AS (SELECT pod, max(value) AS value FROM w GROUP BY pod),
+    p AS (SELECT span_id AS parent_id, arg_max(pod, row) AS parent_pod, arg_max(end_ns, row) AS parent_end FROM s GROUP BY span_id),
+    g AS (SELECT pod, count(*) AS n, quantile_cont((parent_end - end_ns) / 1000000, 0.9) AS p90 FROM s JOIN p USING (parent_id) WHERE parent_pod <> pod GROUP BY pod)
+    SELECT pod, 'CpuUsageRate(%)' AS metric_type, 'metric-sample' AS kind, round(value, 4) AS value, count(*) AS n_samples, count(*) AS n_inputs FROM w JOIN c USING (pod, value) GROUP BY ALL
+    UNION ALL SELECT pod, 'NetworkP90(ms)', 'trace-derived-p90', round(CASE WHEN n > 2 THEN p90 ELSE 10.0 END, 4), n, n FROM g
+    UNION ALL SELECT DISTINCT pod, 'NetworkP90(ms)', 'fallback-threshold', 12.5, 0, 1 FROM m WHERE pod NOT IN (SELECT pod FROM s)""")
+def alarm_closure(spark, sf_dir):
+    """A proof for each alarm: the greatest sample of each pod in a window, and the latency of each."""
+    item, orders = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "orders"))
+    spans = spark.sql(_SPANS.format(s="STRING", t="{item}"), item=item)
+    metrics = spark.sql(_METRICS.format(s="STRING", t="{orders}"), orders=orders)
+    thresholds = metrics.select(X.service_of(F.col("pod")).alias("service"), F.lit(12.5).alias("value")).distinct()
+    cpu = metrics.filter(F.contains("time", F.lit("-03-1"))).groupBy("pod", "metric_type").agg(F.max("value").alias("value"))
+    pods = metrics.select("pod", X.service_of(F.col("pod")).alias("service")).distinct()
+    network = rca.pod_latency(spans, thresholds, pods).select("pod", F.lit("NetworkP90(ms)").alias("metric_type"), F.col("p90").alias("value"))
+    found = alarms.alarm_proofs(cpu.unionByName(network), metrics, "-03-1", spans, thresholds)
+    return found.select("pod", "metric_type", "kind", F.round("value", 4).alias("value"), "n_samples", F.size("inputs").cast("bigint").alias("n_inputs"))
+
+
 # ---- rank evaluation -------------------------------------------------------------------------------------------------
 
 #: Lists made from orders: a case for each customer, scored by coarse price and priority.

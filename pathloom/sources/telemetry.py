@@ -123,14 +123,3 @@ LAWS = {
     "every accepted row is an event": ("events_emitted", [(1, "spans_accepted"), (1, "logs_accepted"), (1, "alerts_emitted")]),
     "selectors are unique or repeated": ("selectors_listed", [(1, "selectors_unique"), (1, "selectors_repeated")]),
 }
-
-
-def alarm_derivations(metrics: DataFrame, window: str, alarms: DataFrame) -> DataFrame:
-    """(pod, metric_type, file, row, value): the metric rows behind each alarm. metrics: (file, row, time, pod, metric_type, value).
-
-    alarms: (pod, metric_type, value). An alarm without such a row raises when its result is read.
-    """
-    rows = metrics.filter(F.col("time").contains(window))
-    joined = alarms.withColumnRenamed("value", "expected").join(rows, ["pod", "metric_type"], "left").filter("value is null or value = expected")
-    stop = F.when(F.col("row").isNull(), F.raise_error(F.concat(F.lit("no metric row for "), "pod", F.lit(" "), "metric_type")).cast("bigint")).otherwise(F.col("row"))
-    return joined.select("pod", "metric_type", "file", stop.alias("row"), "value")
