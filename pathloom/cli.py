@@ -19,6 +19,8 @@ from .plans.diagnostic import diagnostic_bundle
 from .sources import archive, jsonl
 from .sources.scratch import collected, scratch
 
+#: Bytes of standard input that are held at a time.
+STDIN_BLOCK = 1 << 20
 OK, USAGE, DATA, MISSING, IO = 0, 64, 65, 66, 74
 
 
@@ -32,11 +34,14 @@ def _log(spark: SparkSession, path: str) -> DataFrame:
     """The events of a log ('-': standard input), which must be whole."""
     if path == "-":
         path = scratch(spark, "stdin")
-        lines = sys.stdin.buffer.read().decode("utf-8", "surrogateescape").split("\n")
-        spark.createDataFrame([(x.encode("utf-8", "surrogateescape"),) for x in lines], "value binary").coalesce(1).select(F.col("value").cast("string")).write.text(path)
+        place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/log.jsonl")
+        out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place)
+        while block := sys.stdin.buffer.read(STDIN_BLOCK):
+            out.write(bytearray(block))
+        out.close()
     elif "://" not in path and not Path(path).exists():
         raise Stop(MISSING, f"no such file: {path}")
-    events, errors = jsonl.read_events(spark, path)
+    events, errors = jsonl.read_events(spark, path, stage=True)
     bad = errors.orderBy("_ord").head(1)
     if bad:
         raise Stop(IO if bad[0]["error_class"] == "Io" else DATA, f"{bad[0]['error_class']}: {bad[0]['raw'][:200]}")
@@ -113,17 +118,18 @@ def report(spark, a) -> int:
 
 def oracle(spark, a) -> int:
     events, engine = _log(spark, a.file), rules.Engine((*rules.BUILTIN, rules.DEMO) if a.rules == "demo" else rules.BUILTIN)
+    told = rules.reported(engine, events)
     if a.html:
         with open(a.html, "w", encoding="utf-8") as out:
-            out.writelines(line + "\n" for line in rules.html_lines(engine, events))
+            out.writelines(line + "\n" for line in rules.html_lines(told))
     if a.output == "json":
-        for i, r in enumerate(rules.json_lines(engine, events).toLocalIterator()):
+        for i, r in enumerate(rules.json_of(told).toLocalIterator()):
             print(("," if i else "[") + r["value"], end="")
         print("]" if not events.isEmpty() else "[]")
     else:
-        for line in rules.text_lines(engine, events):
+        for line in rules.text_lines(told):
             print(line)
-    return rules.exit_code(engine.results(events))
+    return rules.exit_code_of(told)
 
 
 def ingest(spark, a) -> int:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import ms_between
+from ..sources.scratch import staged
 from .fold import in_session
 
 SEVERITIES = ("Warning", "Error", "Critical")
@@ -265,46 +266,64 @@ def exit_code(results: DataFrame) -> int:
     return 2 if row["critical"] else 0 if row["passed"] in (True, None) else 1
 
 
-def report_rows(engine: Engine, events: DataFrame) -> DataFrame:
-    """(session_ord, session_id, position, rule, found): what each rule found in each session, in source and rule order."""
+def reported(engine: Engine, events: DataFrame) -> DataFrame:
+    """(session_ord, session_id, position, rule, found): what each rule found in each session. Staged, so that the rules run
+    once whatever is made of it."""
     names = F.array(*(F.lit(r.name) for r in engine.rules))
     sessions = events.groupBy("session_id").agg(F.min("_ord").alias("session_ord"))
     grid = sessions.select("session_ord", "session_id", F.posexplode(names).alias("position", "rule"))
     listed = F.array_sort(F.collect_list(F.struct("evidence", "severity", "message", F.col("inner_rule").alias("reported_by"))))
     found = engine.violations(events).groupBy("session_id", "rule").agg(listed.alias("found"))
     none = F.array().cast(found.schema["found"].dataType)
-    return grid.join(found, ["session_id", "rule"], "left").withColumn("found", F.coalesce("found", none)).orderBy("session_ord", "position")
+    return staged(grid.join(found, ["session_id", "rule"], "left").withColumn("found", F.coalesce("found", none)), "rule-report")
 
 
-def text_lines(engine: Engine, events: DataFrame) -> Iterator[str]:
+def _rows(report: DataFrame) -> Iterator:
+    """In source and rule order, a partition at a time."""
+    return report.orderBy("session_ord", "position").toLocalIterator()
+
+
+def exit_code_of(report: DataFrame) -> int:
+    """exit_code of what was reported."""
+    worst = report.select(F.explode("found").alias("v")).agg(F.count("*").alias("n"), F.bool_or(F.col("v.severity") == "Critical").alias("critical")).head()
+    return 2 if worst["critical"] else 1 if worst["n"] else 0
+
+
+def text_lines(report: DataFrame) -> Iterator[str]:
     """A line for each session and rule, with the violations under it; rows come to the driver a partition at a time."""
-    told = engine.sessions(events).agg(F.count("*").alias("n"), F.count_if(~F.col("all_passed")).alias("failed")).head()
+    failed = report.groupBy("session_id").agg(F.bool_or(F.size("found") > 0).alias("failed"))
+    told = failed.agg(F.count("*").alias("n"), F.count_if("failed").alias("failed")).head()
     yield f"sessions: {told['n']}  passed: {told['n'] - told['failed']}  failed: {told['failed']}"
-    for r in report_rows(engine, events).toLocalIterator():
+    for r in _rows(report):
         yield f"  [{'FAIL' if r['found'] else 'PASS'}] session={r['session_id']} rule={r['rule']}"
         yield from (f"       {v['severity']}: {v['message']}" for v in r["found"])
 
 
 def render_text(engine: Engine, events: DataFrame) -> str:
-    return "\n".join(text_lines(engine, events)) + "\n"
+    return "\n".join(text_lines(reported(engine, events))) + "\n"
 
 
 def json_lines(engine: Engine, events: DataFrame) -> DataFrame:
+    """json_of of what the rules find."""
+    return json_of(reported(engine, events))
+
+
+def json_of(report: DataFrame) -> DataFrame:
     """(value): one JSON text for each session: its id, and its rules with what they found."""
     rules = F.array_sort(F.collect_list(F.struct("position", "rule", F.col("found").alias("violations"))))
-    listed = report_rows(engine, events).groupBy("session_ord", "session_id").agg(rules.alias("results")).orderBy("session_ord")
+    listed = report.groupBy("session_ord", "session_id").agg(rules.alias("results")).orderBy("session_ord")
     results = F.transform("results", lambda r: F.struct(r["rule"].alias("rule"), (F.size(r["violations"]) == 0).alias("passed"), r["violations"].alias("violations")))
     return listed.select(F.to_json(F.struct("session_id", results.alias("results"))).alias("value"))
 
 
-def html_lines(engine: Engine, events: DataFrame, title: str = "Rule report") -> Iterator[str]:
+def html_lines(report: DataFrame, title: str = "Rule report") -> Iterator[str]:
     """One table of sessions and rules; texts are escaped. Rows come to the driver a partition at a time."""
     import html
 
     name = html.escape(title)
     yield f"<!DOCTYPE html>\n<html lang=\"en\"><head><meta charset=\"utf-8\"><title>{name}</title></head><body>\n<h1>{name}</h1>"
     yield "<table><thead><tr><th>Session</th><th>Rule</th><th>Result</th><th>Violations</th></tr></thead><tbody>"
-    for r in report_rows(engine, events).toLocalIterator():
+    for r in _rows(report):
         listed = [f"[{v['severity']}] {html.escape(v['message'])} (seq {', '.join(map(str, v['evidence']))})" for v in r["found"]]
         verdict = "FAIL" if listed else "PASS"
         cells = (html.escape(r["session_id"]), html.escape(r["rule"]))
@@ -313,4 +332,4 @@ def html_lines(engine: Engine, events: DataFrame, title: str = "Rule report") ->
 
 
 def render_html(engine: Engine, events: DataFrame, title: str = "Rule report") -> str:
-    return "\n".join(html_lines(engine, events, title)) + "\n"
+    return "\n".join(html_lines(reported(engine, events), title)) + "\n"

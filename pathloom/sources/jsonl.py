@@ -13,6 +13,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from .scratch import staged
 
 CURRENT, DEEPEST = 2, 127
 #: Fields by the version that brought them.
@@ -172,9 +173,12 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return text.select("value", F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("pos")).alias("_ord"))
 
 
-def read_events(spark: SparkSession, path: str | list[str], strict: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(events, errors): good lines as events; the rest as (_ord, raw, error_class). strict: reading a bad line raises."""
+def read_events(spark: SparkSession, path: str | list[str], strict: bool = False, stage: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(events, errors): good lines as events; the rest as (_ord, raw, error_class). strict: reading a bad line raises.
+    stage: lines are parsed once, into a staged table of both, for those who read events and errors or either twice."""
     parsed = parse_lines(read_lines(spark, path))
+    if stage:
+        parsed = staged(parsed.withColumns({"value": F.lit(None).cast("string"), "raw": F.when(F.col("error_class").isNotNull(), F.col("raw"))}), "parsed-lines")
     if strict:
         stop = F.when(F.col("error_class").isNotNull(), F.raise_error(F.concat(F.col("error_class"), F.lit(": "), F.substring("raw", 1, 200))).cast("string"))
         parsed = parsed.withColumn("error_class", stop)
