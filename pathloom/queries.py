@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .config import FoldConfig, HeuristicsConfig, ReportConfig, ScoreConfig
 from .functions import scalar as X
 from .functions.abstraction import abstract_args
-from .operators import alarms, align, evalrank, fold, gates, graph, patterns, process_tree, rca, rules, summary
+from .operators import alarms, align, evalrank, fold, gates, graph, patterns, process_tree, ranking_log, rca, rules, summary
 from .sources.events_view import duckdb_view, trace_view
 from .sources.scratch import collected, staged
 
@@ -750,6 +750,38 @@ def evaluated_cases(spark, sf_dir):
     return evalrank.evaluated(lists.withColumn("parts", parts).drop("matches", "is_resource", "one_part"))
 
 
+#: Log lines of the cases of _TRUTH: lists of some are torn or unreadable, some have no truth. A case's claimed rank is its number.
+_TORN = "CASE WHEN {c} % 5 = 0 THEN 'no list' WHEN {c} % 7 = 0 THEN 'unreadable list' WHEN {c} % 11 = 0 THEN 'no truth' ELSE 'ok' END"
+
+
+@query(f"""WITH e AS ({ORACLE_SQL["evaluated_cases"]}), s AS (SELECT *, {_TORN.format(c="case_id")} AS status FROM e)
+    SELECT case_id::INT AS claimed_rank, status, CASE WHEN status IN ('ok', 'no truth') THEN n_candidates END AS n_candidates,
+           {", ".join(f"CASE WHEN status = 'ok' THEN {c} END AS {c}" for c in ("rank_inner", "rank_service_raw", "rank_service_dedup", "rank_historical"))} FROM s""")
+def ranking_log_eval(spark, sf_dir):
+    """A log is written, with torn lists and missing truths, read back, and every case of it evaluated."""
+    from .sources.jsonl import read_lines
+    from .sources.scratch import scratch
+
+    lists = spark.sql(_TRUTH.format(s="STRING", t="{lists}"), lists=_lists(spark, sf_dir))
+    one = F.format_string(
+        "{'score': %s, 'deepth': %s, 'pod': '%s', 'events': '%s_%s'%s}", F.col("score").cast("string"), F.col("depth").cast("string"), "pod",
+        (F.col("pos") % 4).cast("string"), (F.col("pos") % 5).cast("string"), F.coalesce(F.concat(F.lit(", 'resource': '"), "resource", F.lit("'")), F.lit("")))
+    cases = lists.groupBy("case_id").agg(F.max("one_part").alias("one_part"), F.array_sort(F.collect_list(F.struct("pos", one.alias("text")))).alias("c"))
+    listed, time = F.array_join(F.transform("c", lambda x: x["text"]), ", "), F.lit("2022-08-22 03:51")
+    kind = F.when(F.col("one_part"), "one").otherwise("two")
+    text = F.concat(F.lit("Soted Result List: ["), F.when(F.col("case_id") % 7 == 0, F.lit("{'score': ")).otherwise(listed), F.when(F.col("case_id") % 5 == 0, "").otherwise("]"))
+    truth = F.when(F.col("case_id") % 11 != 0, F.concat(time, F.lit(" Inject Ground Truth: svc3-1-x, "), kind))
+    claim = F.concat(time, F.lit(" Inject Ground Truth: svc3-1-x, "), kind, F.lit(" score "), F.col("case_id").cast("string"))
+    told = F.array(F.lit("[INFO] noise"), text, F.concat(time, F.lit(" Inject RCA Result:")), claim, truth)
+    lines = cases.select("case_id", F.posexplode(told).alias("k", "value")).filter("value is not null")
+    path = scratch(spark, "ranking-log")
+    lines.repartitionByRange(4, "case_id").sortWithinPartitions("case_id", "k").select("value").write.text(path)
+    truths = spark.createDataFrame([("svc3-1-x", "one", ["CpuUsage1"]), ("svc3-1-x", "two", ["op1", "op"])], "inject_pod string, inject_type string, parts array<string>")
+    templates = spark.createDataFrame([(str(i), f"op{i}") for i in range(5)], "id string, template string")
+    found = ranking_log.evaluated_log(ranking_log.log_cases(read_lines(spark, path)), truths, templates)
+    return found.drop("path", "case", "query_time")
+
+
 @query(_FIRST + " SELECT count(*) AS cases, round(100.0 * count_if(rank <= 1) / count(*), 6)::DOUBLE AS ac_at_1, round(100.0 * count_if(rank <= 3) / count(*), 6)::DOUBLE AS ac_at_3, round(100.0 * count_if(rank <= 5) / count(*), 6)::DOUBLE AS ac_at_5, round(avg(coalesce(1.0::DOUBLE / rank, 0)), 6) AS mrr, count(rank) AS localized, count_if(rank IS NULL)::BIGINT AS unlocalized FROM ranks")
 def ac_at_k_mrr(spark, sf_dir):
     found = evalrank.accuracy(_service_ranks(spark, sf_dir))

@@ -440,3 +440,33 @@ def test_alarm_proofs_close(spark, tmp_path):
     for bad, text in ((("b-1-x", "CpuUsageRate(%)", 91.5), "no metric row"), (("a-1-x", "MemoryUsageRate(%)", 8.0), "no metric row"), (("a-1-x", "NetworkP90(ms)", 26.0), "another value than derived"), (("z-1-x", "NetworkP90(ms)", 1.0), "another value"), (("front-1-x", "NetworkP90(ms)", 10.0), "cannot alarm"), (("b-1-x", "CpuUsageRate(%)", None), "no value")):
         with pytest.raises(Exception, match=text):
             proofs(good[0], bad)
+
+
+def test_ranking_log_keeps_every_case(spark, tmp_path):
+    from pathloom.operators import ranking_log
+    from pathloom.sources.jsonl import read_lines
+
+    good = "{'score': 1.0, 'deepth': 2, 'pod': 'svc-1-x', 'resource': 'CpuUsage'}"
+    other = "{'score': 0.7, 'deepth': 1, 'pod': 'db-1-x', 'events': '1_2'}"
+    when = "2022-08-22 03:51"
+    lines = [
+        f"{when} Inject Ground Truth: lost-1-x, cpu",  # before any header: nobody's
+        f"[INFO] Soted Result List: [{good}]", f"x Soted Result List: [{other}, {good}]  ", f"{when}:10 Inject RCA Result:", f"{when} Inject Ground Truth: svc-1-x, cpu score 2", f"{when} Inject Ground Truth: svc-1-x, cpu",
+        f"{when} Inject RCA Pod Result:", f"{when} Inject Ground Truth: svc-1-x, cpu",  # no list since the last header
+        f"Soted Result List: [{good}]", "Soted Result List: [{'score': ]", f"{when} Inject RCA Result:", f"{when} Inject Ground Truth: svc-1-x, cpu",
+        "Soted Result List: [{'score': 1.0, 'pod': 'svc-1-x'}]", f"{when} Inject RCA Result:", f"{when} Inject Ground Truth: svc-1-x, cpu",
+        "Soted Result List: [1]", f"{when} Inject RCA Result:",
+        f"Soted Result List: [{good}]", f"{when} Inject RCA Result:", f"{when} Inject Ground Truth: svc-1-x, disk",
+        "Soted Result List: []", f"{when} Inject RCA Result:", f"{when} Inject Ground Truth: svc-1-x, code",
+        f"Soted Result List: [{other}]", f"{when} Inject RCA Result:", f"{when} Inject Ground Truth: db-1-x, code",
+        f"Soted Result List: [{good}]",  # after the last header: nobody's
+    ]
+    truths = spark.createDataFrame([("svc-1-x", "cpu", ["Cpu"]), ("svc-1-x", "code", ["open", "close"]), ("db-1-x", "code", ["open", "close"])], "inject_pod string, inject_type string, parts array<string>")
+    templates = spark.createDataFrame([("1", "open file"), ("2", "close file")], "id string, template string")
+    cases = ranking_log.log_cases(read_lines(spark, log(tmp_path, lines, "rank.log")))
+    found = ranking_log.evaluated_log(cases, truths, templates).orderBy("case").collect()
+    assert [(r["status"], r["n_candidates"], r["rank_inner"], r["rank_service_raw"], r["claimed_rank"]) for r in found] == [
+        ("ok", 2, 2, 2, 2), ("no list", None, None, None, None), ("unreadable list", None, None, None, None), ("candidate defect", None, None, None, None),
+        ("candidate defect", None, None, None, None), ("no truth", 1, None, None, None), ("ok", 0, None, None, None), ("ok", 1, 1, 1, None)]
+    assert evalrank.accuracy(ranking_log.evaluated_log(cases, truths, templates).withColumnRenamed("rank_inner", "rank")).head()["cases"] == 8
+    assert found[0]["query_time"] == "2022-08-22 03:51:10"
