@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..config import HeuristicsConfig
+from ..sources.scratch import staged
 
 #: Nodes, and edges, of a graph that is drawn or walked on the driver; more raise.
 MOST_DRAWN = 200_000
@@ -157,3 +158,37 @@ def _ordered(edge_rows: list, ids: dict[str, int]) -> list:
 
 def _quoted(s: str) -> str:
     return "|".join(parts_of(s)).replace("\\", "\\\\").replace('"', "'")
+
+
+def error_actions(acts: DataFrame, events: DataFrame) -> DataFrame:
+    """(action, errors): the actions that were the last before an exception of their session, and how many."""
+    thrown = events.filter("kind = 'ExceptionThrown'").select("session_id", "_ord", F.lit(None).cast("string").alias("action"))
+    both = acts.select("session_id", "_ord", "action").unionByName(thrown)
+    before = Window.partitionBy("session_id").orderBy("_ord").rowsBetween(Window.unboundedPreceding, -1)
+    told = both.withColumn("last", F.last("action", ignorenulls=True).over(before)).filter("action is null and last is not null")
+    return told.groupBy(F.col("last").alias("action")).agg(F.count("*").alias("errors"))
+
+
+def error_prone(edge_table: DataFrame, seeds: DataFrame, decay: float = 0.5, least: float = 0.05) -> DataFrame:
+    """(action, distance, weight): actions from which an action with errors is reached along edges; weight is decay to the power
+    of the fewest steps, and search ends where it falls under ``least``.
+
+    Breadth first against the edges: each round joins the frontier with the edges into it, takes out what is known, and is
+    staged; rounds end when nothing is new. seeds: (action).
+    """
+    into = staged(edge_table.select("src", "dst").filter("src <> dst").distinct(), "edges-back")
+    front = staged(seeds.select("action").distinct(), "error-front")
+    seen, distance, weight = front.withColumn("distance", F.lit(0)), 0, 1.0
+    while weight * decay >= least and front.head(1):
+        distance, weight = distance + 1, weight * decay
+        near = into.join(front.select(F.col("action").alias("dst")), "dst").select(F.col("src").alias("action")).distinct()
+        front = staged(near.join(seen.select("action"), "action", "left_anti"), "error-front")
+        seen = seen.unionByName(front.withColumn("distance", F.lit(distance)))
+    return seen.withColumn("weight", F.pow(F.lit(decay), F.col("distance")))
+
+
+def subgraph(edge_table: DataFrame, actions: DataFrame) -> DataFrame:
+    """The edges between actions that are both in actions (action)."""
+    kept = actions.select("action").distinct()
+    out = edge_table.join(kept.withColumnRenamed("action", "src"), "src", "left_semi")
+    return out.join(kept.withColumnRenamed("action", "dst"), "dst", "left_semi")

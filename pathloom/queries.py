@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .config import FoldConfig, HeuristicsConfig, ReportConfig, ScoreConfig
 from .functions import scalar as X
 from .functions.abstraction import abstract_args
-from .operators import alarms, align, evalrank, fold, gates, graph, patterns, process_tree, ranking_log, rca, rules, summary
+from .operators import alarms, align, evalrank, fold, gates, graph, patterns, process_tree, ranking_log, rca, rule_mining, rules, summary
 from .sources.events_view import duckdb_view, trace_view
 from .sources.scratch import collected, staged
 
@@ -513,6 +513,34 @@ def session_severity(spark, sf_dir):
     return rules.Engine().sessions(trace_view(spark, sf_dir))
 
 
+_MINED = f"""{tv(True)}, f AS (SELECT session_id, command_id AS c, min(_ord) AS lo, max(_ord) AS hi FROM tv WHERE kind = 'CommandExecuted' GROUP BY ALL),
+    n AS (SELECT c, count(*) AS n FROM f GROUP BY c HAVING count(*) >= 20),
+    p AS (SELECT x.c AS a, y.c AS b, count(*) AS both_, count_if(x.hi < y.hi) AS answered, count_if(x.lo < y.lo) AS preceded, count_if(x.lo > y.hi) AS absent
+          FROM f x JOIN f y ON x.session_id = y.session_id AND x.c <> y.c GROUP BY ALL),
+    r AS (SELECT 'response' AS rule, a, b, n AS sessions, answered AS satisfied FROM p JOIN n ON a = c WHERE b IN (SELECT c FROM n)
+          UNION ALL SELECT 'precedence', a, b, n, preceded FROM p JOIN n ON b = c WHERE a IN (SELECT c FROM n)
+          UNION ALL SELECT 'absence', a, b, both_, absent FROM p WHERE a IN (SELECT c FROM n) AND b IN (SELECT c FROM n)),
+    m AS (SELECT rule, a, b, sessions::BIGINT AS sessions, satisfied::BIGINT AS satisfied, satisfied::DOUBLE / sessions AS confidence FROM r WHERE sessions >= 20)"""
+
+
+@query(f"{_MINED} SELECT rule, a, b, sessions, satisfied, round(confidence, 6) AS confidence FROM m WHERE confidence >= 0.4")
+def mined_rules(spark, sf_dir):
+    found = rule_mining.mine(trace_view(spark, sf_dir, coarse=True), 20, 0.4)
+    return found.withColumn("confidence", F.round("confidence", 6))
+
+
+@query(f"""{_MINED}, t AS (SELECT * FROM m ORDER BY confidence DESC, sessions DESC, rule, a, b LIMIT 4),
+    e AS (SELECT rule, a, b, session_id FROM t, (SELECT DISTINCT session_id FROM f))
+    SELECT e.session_id, CASE e.rule WHEN 'response' THEN a || ' is answered by ' || b WHEN 'precedence' THEN a || ' precedes ' || b ELSE b || ' never follows ' || a END AS rule
+    FROM e LEFT JOIN f x ON x.session_id = e.session_id AND x.c = a LEFT JOIN f y ON y.session_id = e.session_id AND y.c = b
+    WHERE CASE e.rule WHEN 'response' THEN x.c IS NOT NULL AND NOT coalesce(x.hi < y.hi, false) WHEN 'precedence' THEN y.c IS NOT NULL AND NOT coalesce(x.lo < y.lo, false) ELSE coalesce(x.lo < y.hi, false) END""")
+def mined_rule_violations(spark, sf_dir):
+    """The four surest mined rules, run by the engine as any other rule."""
+    events = trace_view(spark, sf_dir, coarse=True)
+    surest = rule_mining.mine(events, 20, 0.0).orderBy(F.desc("confidence"), F.desc("sessions"), "rule", "a", "b").limit(4)
+    return rules.Engine(rule_mining.as_rules(surest)).violations(events).select("session_id", "rule")
+
+
 # ---- similarity and alignment ----------------------------------------------------------------------------------------
 
 _DIMS = """, d AS (SELECT DISTINCT session_id, 'cmd:' || command_id AS dim FROM tv WHERE kind = 'CommandExecuted' UNION SELECT DISTINCT session_id, 'screen:' || screen_id FROM tv WHERE kind = 'ScreenOpened' UNION SELECT DISTINCT session_id, 'outcome:' || outcome FROM tv WHERE outcome IS NOT NULL),
@@ -696,6 +724,34 @@ def alarm_closure(spark, sf_dir):
     return found.select("pod", "metric_type", "kind", F.round("value", 4).alias("value"), "n_samples", F.size("inputs").cast("bigint").alias("n_inputs"))
 
 
+#: Actions of the command alone, so that the graph is sparse enough for distances; errors are those on one screen.
+_PRONE = f"""{graphed(WIDE).replace("action AS src, lead(action)", "screen || '|' || command_id || '|' AS src, lead(screen || '|' || command_id || '|')", 1)},
+    z AS (SELECT session_id, _ord, screen || '|' || command_id || '|' AS action FROM act UNION ALL SELECT session_id, _ord, NULL FROM tv WHERE kind = 'ExceptionThrown' AND exception_type = 'NegativeEx'),
+    y AS (SELECT action, last_value(action IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY _ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seed FROM z),
+    seed AS (SELECT seed AS action, count(*) AS errors FROM y WHERE action IS NULL AND seed IS NOT NULL GROUP BY seed HAVING count(*) >= 15),
+    often AS (SELECT src, dst FROM edge WHERE src <> dst AND frequency >= 24),
+    reach AS (WITH RECURSIVE r(action, distance) AS (SELECT action, 0 FROM seed UNION SELECT src, distance + 1 FROM r JOIN often ON dst = action WHERE distance < 4) SELECT action, min(distance) AS distance FROM r GROUP BY action)"""
+
+
+@query(f"{_PRONE} SELECT action, distance, power(0.5::DOUBLE, distance) AS weight FROM reach")
+def error_prone_actions(spark, sf_dir):
+    edges, seeds = _prone(spark, sf_dir)
+    return graph.error_prone(edges, seeds)
+
+
+@query(f"{_PRONE} SELECT src, dst FROM often WHERE src IN (SELECT action FROM reach WHERE distance <= 1) AND dst IN (SELECT action FROM reach WHERE distance <= 1)")
+def error_prone_subgraph(spark, sf_dir):
+    edges, seeds = _prone(spark, sf_dir)
+    return graph.subgraph(edges, graph.error_prone(edges, seeds, least=0.5)).filter("src <> dst").select("src", "dst")
+
+
+def _prone(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    events = trace_view(spark, sf_dir)
+    plain = staged(_rca_actions(events), "plain-actions")
+    seeds = graph.error_actions(plain, events.filter("exception_type = 'NegativeEx'")).filter("errors >= 15")
+    return graph.edges(plain).filter("frequency >= 24"), seeds
+
+
 # ---- rank evaluation -------------------------------------------------------------------------------------------------
 
 #: Lists made from orders: a case for each customer, scored by coarse price and priority.

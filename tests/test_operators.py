@@ -470,3 +470,41 @@ def test_ranking_log_keeps_every_case(spark, tmp_path):
         ("candidate defect", None, None, None, None), ("no truth", 1, None, None, None), ("ok", 0, None, None, None), ("ok", 1, 1, 1, None)]
     assert evalrank.accuracy(ranking_log.evaluated_log(cases, truths, templates).withColumnRenamed("rank_inner", "rank")).head()["cases"] == 8
     assert found[0]["query_time"] == "2022-08-22 03:51:10"
+
+
+def test_rule_mining(spark):
+    from pathloom.operators import rule_mining
+
+    rng = random.Random(12)
+    rows = [[rng.choice("abcde") for _ in range(rng.randint(1, 6))] for _ in range(40)] + [list("xy")] * 5 + [list("yx")]
+    events = sequences(spark, rows).withColumns({"seq": F.col("action_idx"), "kind": F.lit("CommandExecuted")})
+    want = {}
+    for a in "abcdexy":
+        for b in set("abcdexy") - {a}:
+            for rule, about in (("response", a), ("precedence", b), ("absence", a + b)):
+                hit = [row for row in rows if set(about) <= set(row)]
+                keep = {
+                    "response": lambda r: all(b in r[i:] for i, c in enumerate(r) if c == a),
+                    "precedence": lambda r: all(a in r[:i] for i, c in enumerate(r) if c == b),
+                    "absence": lambda r: all(b not in r[i:] for i, c in enumerate(r) if c == a),
+                }[rule]
+                good = sum(map(keep, hit))
+                together = any({a, b} <= set(row) for row in rows)
+                if together and len(hit) >= 3 and good / len(hit) >= 0.3:
+                    want[rule, a, b] = (len(hit), good)
+    found = rule_mining.mine(events, 3, 0.3)
+    assert {(r["rule"], r["a"], r["b"]): (r["sessions"], r["satisfied"]) for r in found.collect()} == want
+    mined = rule_mining.as_rules(found)
+    told = rules.Engine(mined).violations(events).groupBy("rule").count().collect()
+    names = {r.name: want[r.rule, r.a, r.b] for r in mined}
+    assert {r["rule"]: r["count"] for r in told} == {n: s - good for n, (s, good) in names.items() if s > good}
+    broken = {r["session_id"]: list(r["evidence"]) for r in rule_mining.MinedRule("response", "x", "y").violations(events).collect()}
+    assert broken == {"45": [1]}
+    assert rule_mining.mine(events.limit(0)).count() == 0
+
+
+def test_error_prone_actions(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "err"), ("d", "c"), ("c", "c"), ("err", "a"), ("far", "a"), ("x", "y")], "src string, dst string")
+    got = {r["action"]: (r["distance"], r["weight"]) for r in graph.error_prone(edges, spark.createDataFrame([("err",)], "action string"), 0.5, 0.1).collect()}
+    assert got == {"err": (0, 1.0), "c": (1, 0.5), "b": (2, 0.25), "d": (2, 0.25), "a": (3, 0.125)}
+    assert graph.error_prone(edges, edges.select(F.col("src").alias("action")).limit(0)).count() == 0
