@@ -222,10 +222,15 @@ def connected_components(edges: DataFrame, most_rounds: int = 60, hub: int = HUB
 
     Alternates large-star (every larger neighbour of u is hung on u's smallest neighbour) and small-star (u and its
     smaller neighbours are hung on the smallest of them) until the edges stay as they are; each round is staged, and the
-    one before it removed.
+    one before it removed. All rounds have one plan, in which no key has many rows, so they run in a session of their own
+    that does not plan again after each shuffle: the driver has that to do for dozens of shuffles else.
     """
     spark, folder = edges.sparkSession, fresh_path(edges.sparkSession, "links")
-    links = staged_at(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), f"{folder}/0")
+    rounds = spark.newSession()
+    rounds.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    rounds.conf.set("spark.sql.adaptive.enabled", "false")
+    first = staged_at(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), f"{folder}/0")
+    links = rounds.read.schema(first.schema).parquet(f"{folder}/0")
     state, n = None, links.count()
     for turn in range(1, most_rounds + 1):
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -240,6 +245,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60, hub: int = HUB
         state, n = now, now[0]
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+    links = spark.read.schema(first.schema).parquet(f"{folder}/{turn}")
     roots = links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return links.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
