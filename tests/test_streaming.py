@@ -1,3 +1,4 @@
+import os
 import random
 
 from helpers import S2, event, log, opened
@@ -15,6 +16,12 @@ def run(spark, df, name, tmp_path):
     return spark.table(name).collect(), left
 
 
+def aged(folder):
+    """Files come in by age: that of each is set by its name."""
+    for k, name in enumerate(sorted(os.listdir(folder))):
+        os.utime(folder / name, (1_700_000_000 + 10 * k,) * 2)
+
+
 #: Comes last, long after all others, so that the watermark passes them.
 LATER = event(0, session="00000000-0000-0000-0000-00000000000f", at="23:59:00")
 
@@ -23,7 +30,8 @@ def test_streams(spark, tmp_path):
     folder = tmp_path / "logs"
     folder.mkdir()
     log(folder, [opened(0, "A"), opened(1, "B"), event(2, kind="ExceptionThrown", exception_type="E", message="m"), opened(3, "A"), "{torn"])
-    log(folder, [LATER], "later.jsonl")
+    log(folder, [LATER], "z.jsonl")
+    aged(folder)
     found, _ = run(spark, unhandled_exceptions(stream_events(spark, str(folder))), "bad", tmp_path)
     assert [r["message"] for r in found] == ["Unhandled exception: E: m"]
     found, _ = run(spark, revisited_screens(stream_events(spark, str(folder), 1)), "again", tmp_path)
@@ -52,6 +60,7 @@ def test_session_rules_in_any_order(spark, tmp_path):
     for k in range(0, len(mixed), 3):
         log(folder, mixed[k : k + 3], f"{k:02d}.jsonl")
     log(folder, [LATER], "99.jsonl")
+    aged(folder)
     found, left = run(spark, session_violations(stream_events(spark, str(folder), 1), asked), "violations", tmp_path)
     assert sorted(map(key, found)) == want
     assert left and left[0] <= 8  # what is left is of the last session alone: its one waiting event, its time, its timers
