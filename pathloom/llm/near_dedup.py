@@ -12,7 +12,8 @@ share most of their shingles, just short of the threshold, still cost a comparis
 
 Edge cases: a null or empty text, or one of white space, has no shingles and is linked with nothing; a text of fewer
 words than ``width`` is one shingle; repeated rows of one id are one node and come back once each; a null id is returned
-with component_id null and kept true; other columns are ignored; an empty table gives no rows.
+with component_id null and kept true; a very long text is shingled whole, its minima 2,048 shingles at a time; among equal
+texts the smallest id stands for all; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations

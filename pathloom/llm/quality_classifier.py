@@ -9,7 +9,7 @@ of these (at most BUCKETS counts a text, however long), and one task fits; only
 scores every document, also those on which all labellers abstain.
 
 Edge cases: a null or empty text has no words and is scored like any other; repeated rows come back as often; null ids stay
-null and are not trained on; of several texts of one id the greatest is trained on; very long texts are measured and scored
+null and are not trained on; of several texts of one id the greatest is trained on; equal hashes of ids go by id; very long texts are measured and scored
 whole; other columns are ignored; an empty table gives no rows.
 """
 

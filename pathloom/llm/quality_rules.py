@@ -7,7 +7,7 @@ too many of them in repeated windows) overrides the posterior.
 
 Edge cases: a null or empty text has no words and fails the floor; repeated rows come back as often and are counted as
 often; null ids stay null; other columns are ignored; an empty table gives no rows; when every vote abstains, the
-posterior is the prior.
+posterior is the prior; a posterior equal to ``keep_at`` keeps; a very long text is measured whole, as arrays of its words.
 """
 
 from __future__ import annotations
