@@ -205,26 +205,32 @@ def _stars(bands: DataFrame, buckets: DataFrame, classes: DataFrame, docs: DataF
     return staged(_confirmed(staged(_agreeing(sized, at_least), "pairs"), docs, width, link), "confirmed")
 
 
-def _with_least(rows: DataFrame, edges: int, hub: int) -> DataFrame:
-    """rows (u, v), each with m, the least v of its u.
+def _least(rows: DataFrame) -> DataFrame:
+    """(u, m, n): the least v of each u of rows (u, v), and how many rows it has."""
+    return rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+
+
+def _with_least(rows: DataFrame, least: DataFrame, edges: int, hub: int) -> DataFrame:
+    """rows (u, v), each with the m of its u by least (see _least), staged.
 
     A node with many rows would bring them all to one task: nodes with more than ``hub`` rows, and more than one in HUBS of
     all, of which there are at most HUBS, are joined by broadcast and keep their rows where they are.
     """
-    least = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-    busy = F.col("n") > max(hub, edges // HUBS)
-    few_, rest = least.filter(busy).select("u", "m"), least.filter(~busy).select("u", "m")
-    told = rows.join(F.broadcast(few_.withColumnRenamed("m", "hub_m")), "u", "left")
-    return told.filter("hub_m is not null").select("u", "v", F.col("hub_m").alias("m")).union(told.filter("hub_m is null").select("u", "v").join(rest, "u"))
+    busy = max(hub, edges // HUBS)
+    if (least.agg(F.max("n")).head()[0] or 0) <= busy:
+        return rows.join(least.select("u", "m"), "u")
+    hubs, rest = (least.filter(which).select("u", "m") for which in (F.col("n") > busy, F.col("n") <= busy))
+    return rows.join(F.broadcast(hubs), "u").union(rows.join(F.broadcast(hubs), "u", "left_anti").join(rest, "u"))
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60, hub: int = HUB) -> DataFrame:
     """(node, component) of every node of edges (a, b): component is the smallest node that can be reached.
 
     Alternates large-star (every larger neighbour of u is hung on u's smallest neighbour) and small-star (u and its
-    smaller neighbours are hung on the smallest of them) until the edges stay as they are; each round is staged, and the
-    one before it removed. All rounds have one plan, in which no key has many rows, so they run in a session of their own
-    that does not plan again after each shuffle: the driver has that to do for dozens of shuffles else.
+    smaller neighbours are hung on the smallest of them) until the edges stay as they are. Each star and its minima are
+    staged, since a star reads them several times: one plan for a whole round would hold copies of copies, over a thousand
+    nodes, which the driver has to plan and keep. What a round no longer reads is removed. All rounds have the same plans,
+    in which no key has many rows, so they run in a session of their own that does not plan again after each shuffle.
     """
     spark, folder = edges.sparkSession, fresh_path(edges.sparkSession, "links")
     rounds = spark.newSession()
@@ -234,12 +240,15 @@ def connected_components(edges: DataFrame, most_rounds: int = 60, hub: int = HUB
     links = rounds.read.schema(first.schema).parquet(f"{folder}/0")
     state, n = None, links.count()
     for turn in range(1, most_rounds + 1):
-        both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both, 2 * n, hub).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
-        hung = _with_least(large, n, hub)
-        small = hung.select("u", F.col("m").alias("v")).union(hung.filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
-        links = staged_at(small, f"{folder}/{turn}")
+        steps = f"{folder}/{turn}-steps"
+        back = links.select(F.col("v").alias("u"), F.col("u").alias("v"))
+        least = staged_at(_least(links.union(back)), f"{steps}/large-least")
+        large = staged_at(_with_least(back, least, 2 * n, hub).select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct(), f"{steps}/large")
         removed(spark, f"{folder}/{turn - 1}")
+        least = staged_at(_least(large), f"{steps}/small-least")
+        hung = _with_least(large, least, n, hub).filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        links = staged_at(least.select("u", F.col("m").alias("v")).union(hung).distinct(), f"{folder}/{turn}")
+        removed(spark, steps)
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
         if now == state:
             break

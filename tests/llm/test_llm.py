@@ -87,6 +87,20 @@ def test_components(spark):
         assert got == {i: 500 for i in range(500, 900)} | {i: 500 for i in range(901, 1000)} | {2: 2, 900: 2}
 
 
+def test_component_rounds_have_small_plans(spark, monkeypatch):
+    sizes, staged_at = [], near_dedup.staged_at
+
+    def noted(df, path):
+        sizes.append(len(df._jdf.queryExecution().executedPlan().toString().splitlines()))
+        return staged_at(df, path)
+
+    monkeypatch.setattr(near_dedup, "staged_at", noted)
+    star = spark.createDataFrame([(1, i) for i in range(2, 60)] + [(70, 71), (71, 72)], "a long, b long")
+    for hub in (3, near_dedup.HUB):
+        assert dict(near_dedup.connected_components(star, hub=hub).collect()) == {i: 1 for i in range(1, 60)} | {70: 70, 71: 70, 72: 70}
+    assert max(sizes) <= 60  # each has to be planned and kept by the driver
+
+
 @pytest.mark.parametrize("order", [1, 2, 3])
 def test_language_model(spark, order):
     rows = corpus()
