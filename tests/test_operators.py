@@ -508,3 +508,48 @@ def test_error_prone_actions(spark):
     got = {r["action"]: (r["distance"], r["weight"]) for r in graph.error_prone(edges, spark.createDataFrame([("err",)], "action string"), 0.5, 0.1).collect()}
     assert got == {"err": (0, 1.0), "c": (1, 0.5), "b": (2, 0.25), "d": (2, 0.25), "a": (3, 0.125)}
     assert graph.error_prone(edges, edges.select(F.col("src").alias("action")).limit(0)).count() == 0
+
+
+def test_latency_percentiles_are_exact(spark):
+    """Against the percentile over all values, with ties, with few samples, and where the bounds miss it."""
+    from pathloom.operators import rca
+
+    n = F.col("id")
+    calls = spark.range(40_000).select(
+        F.when(n < 3, "few").when(n < 5, "two").when(n < 7, "none").when(n % 3 == 0, "ties").when(n % 3 == 1, "wide").otherwise("one").alias("pod"), n.alias("child_row"), F.lit(0).cast("bigint").alias("parent_row"),
+        F.when((n >= 5) & (n < 7), None).when(n % 3 == 0, F.pmod(F.hash("id"), F.lit(5))).when(n % 3 == 1, F.exp(F.pmod(F.hash("id"), F.lit(60_000)) / 1000) - 7.0).otherwise(4.0).cast("double").alias("ms"))
+    calls = calls.unionByName(calls.filter("pod = 'wide'").limit(100).withColumn("ms", F.lit(None).cast("double")))
+    want = {r["pod"]: (r["n"], r["p"] if r["n"] > 2 else 10.0) for r in calls.groupBy("pod").agg(F.count("*").alias("n"), F.percentile("ms", F.lit(0.9)).alias("p")).collect()}
+    assert set(want) == {"few", "two", "none", "ties", "wide", "one"}
+    for near, few in ((rca.NEAR, rca.FEW), (rca.NEAR, 1_000), (-0.05, 1_000)):
+        assert {r["pod"]: (r["n_samples"], r["p90"]) for r in rca.percentiles(calls, 10.0, near, few).collect()} == want
+
+
+def test_alarm_closure_gathers_no_pod(spark, tmp_path):
+    """The rows of a proof are counted and listed as rows: no aggregate holds all of a pod's."""
+    import duckdb
+
+    from pathloom import queries
+    from pathloom.operators import alarms, rca
+
+    sf = "/root/testdata/sf0.001"
+    found = queries.QUERIES["alarm_closure"](spark, sf)
+    con = duckdb.connect()
+    for t in ("lineitem", "orders"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    cursor = con.execute(queries.ORACLE_SQL["alarm_closure"])
+    names = [d[0] for d in cursor.description]
+    assert found.columns == names and sorted(map(tuple, found.collect())) == sorted(cursor.fetchall())
+    plans = found._jdf.queryExecution().optimizedPlan().toString(), rca.latency_p90(spark.createDataFrame([(0, "p", "", "a", 1)], "row bigint, span_id string, parent_id string, pod string, end_ns bigint"))._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(x in plan for plan in plans for x in ("collect_list", "percentile("))
+    metrics = spark.createDataFrame([("m", 4, "t1", "a-1-x", "CpuUsageRate(%)", 91.5), ("m", 5, "t1", "a-1-x", "CpuUsageRate(%)", 91.5), ("m", 6, "t1", "a-1-x", "CpuUsageRate(%)", 9.0), ("m", 7, "t2", "a-1-x", "CpuUsageRate(%)", 91.5)], "file string, row long, time string, pod string, metric_type string, value double")
+    spans = spark.createDataFrame([(0, "p", None, "b-1-x", 50_000_000), (1, "c1", "p", "a-1-x", 40_000_000), (2, "c2", "p", "a-1-x", 38_000_000), (3, "c3", "p", "a-1-x", 20_000_000)], "row long, span_id string, parent_id string, pod string, end_ns long")
+    thresholds = spark.createDataFrame([("c", 7.5)], "service string, value double")
+    told = spark.createDataFrame([("a-1-x", "CpuUsageRate(%)", 91.5), ("a-1-x", "NetworkP90(ms)", 26.4), ("c-1-x", "NetworkP90(ms)", 7.5), ("b-1-x", "NetworkP90(ms)", 10.0)], "pod string, metric_type string, value double")
+    args = (told, metrics, "t1", spans, thresholds)
+    lists = alarms.alarm_proofs(*args, "t.csv")
+    rows = sorted(map(tuple, alarms.alarm_inputs(*args, "t.csv").collect()), key=str)
+    assert rows == sorted(map(tuple, lists.select("pod", "metric_type", F.inline("inputs")).collect()), key=str) and len(rows) == 6
+    assert sorted(map(tuple, alarms.alarm_counts(*args).collect())) == sorted(map(tuple, lists.withColumn("inputs", F.size("inputs").cast("bigint")).collect()))
+    with pytest.raises(Exception, match="no metric row"):
+        alarms.alarm_counts(told, metrics, "t3", spans, thresholds).collect()
